@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 MARK = "\x01"
 LONG_BLANK = re.compile(r"\s\s\s|\s\s\Z")
-CACHE_PIECES = 300_000
-"""Pieces whose ids a worker remembers; beyond that it starts anew (speed only, not results)."""
+CACHE_PIECES = 600_000
+"""Pieces in each of two generations that a worker remembers (speed only, not results)."""
 
 
 class Encoder:
@@ -30,14 +31,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        for first in range(0, len(pieces), 20_000):
-            some = pieces[first : first + 20_000]
+        """Look up new pieces; a word with a mark after it is the word and the mark, as the pre-tokenizer cuts there."""
+        known = self.known
+        marked = [p for p in pieces if p[-1] in ".," and len(p) > 1 and p[-2].isalpha() and p[-2] < "\u0250"]
+        bare = set(pieces).difference(marked).union(p[:-1] for p in marked).union(".,").difference(known)
+        fresh = sorted(bare)
+        for first in range(0, len(fresh), 20_000):
+            some = fresh[first : first + 20_000]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
+                known[piece] = array("I", found.ids).tobytes()
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + known[piece[-1]]
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, then ``end``; null is empty."""
@@ -52,10 +59,16 @@ class Encoder:
                 cut.append(text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK).split(MARK))
         new = set().union(*(x for x in cut if x)).difference(self.known)
         if new:
-            # A start anew forgets pieces of this call too, so ask again for all of them.
             if len(self.known) > CACHE_PIECES:
+                # The generation before goes; what this call needs of the current one is taken over.
+                self.older, self.known = self.known, {}
                 new = set().union(*(x for x in cut if x))
-            self._learn(sorted(new))
+            self.known[""] = b""
+            new.discard("")
+            older = self.older
+            again = new.intersection(older)
+            self.known.update((p, older[p]) for p in again)
+            self._learn(list(new - again))
         known = self.known
         out = []
         for text, pieces in zip(texts, cut, strict=True):
