@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,108 +17,108 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each
     joins a node's neighbours to the least of them, first the larger ones, then
-    the smaller ones, until nothing changes.  Every step is a shuffle with
-    partial aggregates, so a node with very many neighbours is no bottleneck.
-    Loops and null ends are dropped; no edges give no rows.
+    the smaller ones, until every tree is a star.  Minima are taken by partial
+    aggregates, so a node with very many neighbours is no bottleneck.  Loops and
+    null ends are dropped; no edges give no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "edges")
-    last = None
     while True:
         both = now.union(now.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        large = stored(large, "large-star")
+        large = stored(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")), "large-star")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
         small = stored(small.where("x <> y").distinct(), "small-star")
-        seen = small.agg(F.count("*"), F.sum(F.xxhash64("x", "y") % 1_000_003), F.sum(F.xxhash64("y", "x") % 1_000_003)).first()
         drop(now, large)
         now = small
-        if tuple(seen) == last:
+        ends = now.select(F.col("x").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(now.select("y", F.lit(0), F.lit(1)))
+        if not ends.groupBy("id").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child > 1 or child = 1 and root = 1").limit(1).count():
             break
-        last = tuple(seen)
     roots = now.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct()
     return now.select(F.col("x").alias("id"), F.col("y").alias("component")).union(roots)
 
 
-def colliding(members: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The members (bucket, id and more) whose bucket holds another row; reads sorted partitions as a stream."""
-    kind = members.schema
-    columns = members.columns
+MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
+
+
+def colliding(members: DataFrame) -> DataFrame:
+    """Members (bucket, id, sig) of buckets with two rows or more, with the least id of the bucket as head.
+
+    Rows are sorted by bucket and read as a stream, whatever a bucket's size.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One row is held back, until the next batch shows whether it has a neighbour.
-        held, tied = None, False
+        last = head = head_sig = None
+        before = 0
         for batch in batches:
-            if held is not None:
-                batch = pa.concat_batches([held, batch.cast(held.schema) if batch.schema != held.schema else batch])
-            same = pc.equal(batch.column("bucket")[:-1], batch.column("bucket")[1:]).to_numpy(zero_copy_only=False) if batch.num_rows > 1 else []
-            take = [False] * batch.num_rows
-            if batch.num_rows > 1:
-                import numpy as np
-
-                take = np.zeros(batch.num_rows, bool)
-                take[1:] |= same
-                take[:-1] |= same
-                take[0] |= tied
-                tied = bool(same[-1])
-            out = batch.slice(0, batch.num_rows - 1).filter(pa.array(take[:-1])) if batch.num_rows > 1 else None
-            held = batch.slice(batch.num_rows - 1, 1)
-            if out is not None and out.num_rows:
-                yield out
-        if held is not None and tied:
-            yield held
-
-    placed = members.repartition("bucket") if partitions is None else members.repartition(partitions, "bucket")
-    return placed.sortWithinPartitions("bucket").select(*columns).mapInArrow(keep, kind)
-
-
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+            bucket, ids, sig = (batch.column(c).to_numpy() for c in ("bucket", "id", "sig"))
+            if not len(bucket):
+                continue
+            new = np.concatenate(([bucket[0] != last], bucket[1:] != bucket[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), -1))
+            carried = first < 0
+            place = np.where(carried, before + np.arange(len(bucket)), np.arange(len(bucket)) - first)
+            heads, head_sigs = ids[first], sig[first]
+            if carried.any():
+                heads[carried], head_sigs[carried] = head, head_sig
+            at = np.concatenate((np.flatnonzero(place > 0), second := np.flatnonzero(place == 1)))
+            if len(at):
+                out = [bucket[at], ids[at], sig[at], heads[at], head_sigs[at]]
+                # The heads themselves, each with its second row.
+                n = len(at) - len(second)
+                out[1][n:], out[2][n:] = heads[second], head_sigs[second]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["bucket", "id", "sig", "head", "head_sig"])
+            last, head, head_sig, before = bucket[-1], heads[-1], head_sigs[-1], int(place[-1]) + 1
+
+    placed = members.select("bucket", "id", F.col("sig").cast("long").alias("sig")).repartition("bucket").sortWithinPartitions("bucket", "id")
+    return placed.mapInArrow(keep, MEMBERS)
+
+
+def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column]) -> DataFrame:
     """True links that connect all ids which any true link inside a bucket connects.
 
-    members: bucket, id, sig, each id once in a bucket.  screen: a cheap
-    condition on two sigs.  confirm: from pairs (a, b) to those truly linked.
+    members: a stored result of ``colliding``.  screen: a cheap condition on two
+    sigs.  confirm: from pairs (a, b) to those truly linked.
 
-    In each round one member of each bucket is compared with all others that
-    are not in its component yet, which costs a bucket of n members n
-    comparisons.  A group of copies is joined by that in a round or two.  When
-    a round links nothing new, or the pairs still open are few against the
-    members, all those pairs are compared, so no link between components is
-    lost, whatever the buckets' sizes.
+    First every bucket's head is compared with its other members.  Then, in
+    each round, another member is compared with all that are not in its
+    component yet: a bucket of n members costs n comparisons a round, and a
+    group of copies is joined in a round or two.  When a round adds few
+    links, or the pairs still open are few against the members, all those pairs
+    are compared, so no link between components is lost, whatever the buckets'
+    sizes.
     """
-    members = stored(members, "members")
-    n_members = members.count()
-    links = comp = None
-    number = 0
-    while n_members:
-        now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("bucket", "id", "sig", F.coalesce("component", "id").alias("comp"))
-        if comp is not None:
-            now = stored(now, "labelled")
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        each = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        left = each.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs")
+        new = stored(confirm(pairs), "links")
+        drop(pairs)
+        return new
+
+    others = members.where("id <> head")
+    links = linked(others.where(screen(F.col("sig"), F.col("head_sig"))).withColumnRenamed("head", "b"))
+    size = others.count()
+    number, grown = 0, True
+    while True:
+        # Buckets of two are done with; so are those that lie in one component.
+        comp = stored(components(links), "labels")
+        now = stored(others.join(comp, "id", "left").select("bucket", "id", "sig", F.coalesce("component", "id").alias("comp")), "labelled")
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
         if not left:
+            drop(now)
             break
-        whole = left <= 2 * n_members or (number and not found)
+        whole = left <= 2 * size or not grown
         if whole:
             other = now.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b"))
             pairs = now.join(other, "bucket").where("comp < comp_b")
         else:
-            rank = F.xxhash64("id", F.lit(number)) if number else F.col("id")
-            heads = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), rank).alias("h")).select("bucket", "h.*")
+            number += 1
+            heads = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), F.xxhash64("id", F.lit(number))).alias("h")).select("bucket", "h.*")
             pairs = now.join(heads, "bucket").where("comp <> comp_b")
-        if screen is not None:
-            pairs = pairs.where(screen(F.col("sig"), F.col("sig_b")))
-        pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs")
-        new = stored(confirm(pairs), "links")
-        found = new.count()
-        drop(pairs)
-        links = new if links is None else links.union(new)
-        if comp is not None:
-            drop(now)
+        new = linked(pairs.where(screen(F.col("sig"), F.col("sig_b"))))
+        grown = new.count() > size / 100
+        links = links.union(new)
+        drop(now)
         if whole:
             break
-        comp = stored(components(links), "labels")
-        number += 1
-    drop(members)
-    return links if links is not None else members.sparkSession.createDataFrame([], "a long, b long")
+    return links

@@ -145,7 +145,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
 
     lines = stored(map_batches(rows, cut, "line long, sim long, doc_id long, number int"), "lines")
     distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    members = colliding(distinct.select(F.explode(block_keys(F.col("sim"))).alias("bucket"), F.col("line").alias("id"), F.col("sim").alias("sig")))
+    members = stored(colliding(distinct.select(F.explode(block_keys(F.col("sim"))).alias("bucket"), F.col("line").alias("id"), F.col("sim").alias("sig"))), "colliding")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
@@ -171,7 +171,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
     again = stored(known.join(keepers.drop("n"), "component").select("line", "keep"), "repeated-lines")
     dropped = lines.join(again, "line").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("number") != F.col("keep.number")))
     out = stored(dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped-lines")
-    drop(lines, distinct, again)
+    drop(lines, distinct, members, again)
     return out
 
 

@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5, si
     same = ["n_shingles", "set_a", "set_b"]
     classes = stored(signed_docs.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("sig"))
-    members = stored(colliding(members.where("id is not null")), "colliding")
+    members = stored(colliding(members), "colliding")
     wanted = members.select("id").distinct()
 
     def gather(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5, si
             sets, at = shingle_sets(data, bounds, words)
             yield {"id": part.column("doc_id"), "items": pa.array([sets[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())}
 
-    texts = rows.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = rows.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = stored(map_batches(texts, gather, "id long, items binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
