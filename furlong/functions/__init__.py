@@ -1 +1 @@
-
+"""Column expressions: names, dates, series, sheet text."""

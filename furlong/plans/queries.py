@@ -1,4 +1,307 @@
-"""Registered queries over the race operators, with the SQL that each must equal."""
+"""Registered queries over the race operators, with the SQL that each must equal.
+
+Races are not among the test tables, so columns of other tables stand in for
+them; every query reads its tables whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from furlong.functions import scalars as S
+from furlong.functions import series as V
+from furlong.functions import sheets as X
+from furlong.operators import races as R
+from furlong.operators import sheets as T
+from furlong.operators import tables as B
+from furlong.sources.documents import tracking_inventory
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ORDERED = "order by l_linenumber, l_extendedprice"
+SERIES_SQL = f"select l_orderkey, list(cast(l_quantity as int) % 20 + 1 {ORDERED}) p, list(40.0::double + l_quantity::double {ORDERED}) v from lineitem group by 1"
+
+
+def order_series(spark: SparkSession, sf_dir: str, **values) -> DataFrame:
+    return B.collect_series(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_extendedprice"], values)
+
+
+@query(
+    f"""with s as ({SERIES_SQL}), k as (select *, len(p) n, len(list_filter(p, lambda x: x <= 3)) t from s),
+    m as (select *, list_sum(v) / n mean, list_sum(v[-3:]) / 3 fin, list_sum(v[2:n-2]) / (n - 3) mid, list_sum(v[-2:]) / 2 fin2 from k)
+    select l_orderkey, case when n >= 2 then p[1] - p[n] end remontee_places, cast(case when n >= 2 then least(10, greatest(0, round_even((p[1] - p[n]) * 1.5::double, 0))) end as int) score_remontee,
+    cast(round_even(t::double / n * 100, 0) as int) pct_top3, cast(round_even(t::double / n * 100, 0) as int) >= 60 profil_leader, case when n >= 4 then round_even((fin / mean - 1) * 100, 1) end score_finish,
+    case when n >= 3 then round_even(list_max(v[2:]) - list_min(v[2:]), 1) end regularite, case when n >= 4 then round_even(mid - fin2, 1) end chute_finale from m"""
+)
+def series_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = order_series(spark, sf_dir, p=(F.col("l_quantity").cast("int") % 20 + 1), v=(F.col("l_quantity") + 40))
+    return got.select("l_orderkey", *V.indicators(F.col("p"), F.col("v")))
+
+
+@query(
+    f"""with c as (select *, sum(l_quantity) over (partition by l_orderkey {ORDERED} rows unbounded preceding) cum, row_number() over (partition by l_orderkey {ORDERED}) i from lineitem)
+    select l_orderkey, cast(i as int) section, round_even(cum - coalesce(lag(cum) over (partition by l_orderkey order by i), 0), 2)::double duration from c"""
+)
+def section_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    cum = table(spark, sf_dir, "lineitem").withColumn("cum", F.sum("l_quantity").over(w))
+    got = B.collect_series(cum, ["l_orderkey"], ["l_linenumber", "l_extendedprice"], {"cum": F.col("cum").cast("double")})
+    return got.select("l_orderkey", F.posexplode(V.section_durations(F.col("cum"))).alias("i", "duration")).select("l_orderkey", (F.col("i") + 1).alias("section"), "duration")
+
+
+@query(
+    f"""with s as (select l_orderkey, list(l_quantity::double {ORDERED}) t, max(l_quantity)::double o from lineitem group by 1),
+    f as (select l_orderkey, list_reduce(list_transform(t, lambda x: {{'kept': [x], 't600': null::double}}), lambda a, b:
+      case when abs(b.kept[1] - o) < 0.1 then a
+           when len(a.kept) > 0 and b.kept[1] < a.kept[-1] * 0.7 then {{'kept': a.kept, 't600': b.kept[1]}}
+           else {{'kept': list_concat(a.kept, b.kept), 't600': a.t600}} end, {{'kept': []::double[], 't600': null::double}}) r from s)
+    select l_orderkey, cast(len(r.kept) as int) n_kept, coalesce(list_sum(r.kept), 0)::double kept_sum, r.t600 t600 from f"""
+)
+def clean_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = order_series(spark, sf_dir, t=F.col("l_quantity").cast("double")).withColumn("r", V.clean_times(F.col("t"), F.array_max("t")))
+    return got.select("l_orderkey", F.size("r.kept").alias("n_kept"), V.total(F.col("r.kept")).alias("kept_sum"), F.col("r.t600").alias("t600"))
+
+
+@query(
+    """select o_orderkey, case when upper(o_orderpriority) like '%SABLE%' or upper(o_orderpriority) like '%PSF%' or o_orderpriority = '5-LOW' then 'PSF' else 'GAZON' end surface,
+    coalesce(case when o_orderstatus = 'O' then 'souple' end, case when o_custkey % 2 = 0 then 'bon' end, '') terrain,
+    cast(row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) - 1 as int) course_pos, strftime(o_orderdate, '%d%m%Y') date_pmu
+    from orders where o_orderstatus in ('F', 'O')"""
+)
+def programme_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
+    course = F.struct(
+        F.col("o_orderkey").alias("numOrdre"), F.lit("plat").alias("specialite"), F.when(F.col("o_orderpriority") == "5-LOW", "piste en sable").otherwise(F.col("o_orderpriority")).alias("parcours"),
+        F.when(F.col("o_orderstatus") == "O", "souple").alias("etatTerrain"), F.when(F.col("o_custkey") % 2 == 0, "bon").alias("terrain"),
+    )
+    days = o.groupBy(F.date_format("o_orderdate", "ddMMyyyy").alias("date_pmu")).agg(F.sort_array(F.collect_list(course)).alias("courses"))
+    docs = days.select("date_pmu", F.to_json(F.struct(F.array(F.struct("courses")).alias("reunions"))).alias("json"))
+    kind = "reunions array<struct<courses: array<struct<numOrdre: bigint, specialite: string, discipline: string, parcours: string, typePiste: string, etatTerrain: string, terrain: string, penetrometre: struct<intitule: string>>>>>"
+    rows = R.races_of(docs.select("date_pmu", F.from_json("json", kind).alias("programme"))).where(S.is_flat(F.col("c.specialite"), F.col("c.discipline")))
+    return rows.select(
+        F.col("c.numOrdre").alias("o_orderkey"), S.surface(F.col("c.parcours"), F.col("c.typePiste")).alias("surface"), S.going(F.col("c.etatTerrain"), F.col("c.terrain"), F.col("c.penetrometre.intitule")).alias("terrain"), "course_pos", "date_pmu"
+    )
+
+
+@query("select l_orderkey, l_partkey, cast(l_quantity as int) num, cast(row_number() over (partition by l_orderkey order by cast(l_quantity as int), l_linenumber, l_extendedprice) as int) place from lineitem")
+def runner_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("l_linenumber", "l_extendedprice", F.col("l_quantity").cast("int").alias("num"), "l_partkey")
+    got = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("p"))
+    ordered = F.array_sort(F.transform("p", lambda p, i: F.struct(p["num"].alias("num"), i.alias("pos"), p["l_partkey"].alias("l_partkey"))))
+    return got.select("l_orderkey", F.posexplode(ordered).alias("i", "r")).select("l_orderkey", "r.l_partkey", "r.num", (F.col("i") + 1).alias("place"))
+
+
+ALIASES = (("CHINA", "CHN"), ("UNITED", "UNI"), ("INDIA", "IND"), ("IRAN", "IRN"), ("A", "AAA"), ("NATION_1", "N01"), ("NATION_2", "N02"))
+ALIAS_SQL = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate(ALIASES))
+
+
+@query(
+    f"""with a(i, k, c) as (values {ALIAS_SQL}), n as (select distinct upper(trim(p_name)) n from part union select distinct upper(trim(n_name)) from nation),
+    b as (select n, arg_min(c, case when k = n then i else 1000 + i end) code from n join a on contains(n, k) or contains(k, n) group by n) select n.n as name, coalesce(code, '') code from n left join b using (n)"""
+)
+def venue_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.upper(F.trim("p_name")).alias("name")).union(table(spark, sf_dir, "nation").select(F.upper(F.trim("n_name")))).distinct()
+    return B.with_venue_code(names, "name", "code", ALIASES).select("name", "code")
+
+
+@query(
+    """select event_id, strftime(d, '%d%m%Y') date_pmu, strftime(d, '%Y%m%d') date_galop, strftime(d, '%d/%m/%Y') date_display from
+    (select event_id, ts + to_seconds(case when user_id % 3 = 0 then 3600 else (user_id % 3) * 7200 end) d from events)"""
+)
+def local_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    ms = F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts"))
+    offset = F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 3) * 7_200_000)
+    day = S.local_date(ms, offset)
+    return e.select("event_id", S.date_pmu(day).alias("date_pmu"), S.date_galop(day).alias("date_galop"), S.date_display(day).alias("date_display"))
+
+
+@query(
+    """select p_partkey, coalesce(nullif(p_size % 3, 0), nullif(p_size % 2, 0), p_size)::int first_number, coalesce(nullif(case when p_size % 2 = 0 then '' else p_brand end, ''), p_type) first_text,
+    case when p_size % 5 <> 0 then printf('%.1f', (p_size % 5 * 100 + p_size) / 10.0) else '' end weight from part"""
+)
+def truthy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", S.first_truthy(size % 3, size % 2, size, empty=0).alias("first_number"), S.first_truthy(F.when(size % 2 == 0, "").otherwise(F.col("p_brand")), F.col("p_type")).alias("first_text"),
+        S.weight_text(F.when(size % 5 != 0, size % 5 * 100 + size).otherwise(0)).alias("weight"),
+    )
+
+
+@query("select doc_id, cast(len(list_filter(string_split_regex(upper(replace(text, 'ß', 'ss')), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 3)) as int) n_words from documents")
+def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(S.tokens(F.col("text"), 3)).alias("n_words"))
+
+
+@query("select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc) = 1")
+def dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.dedupe_last(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts"]).drop("ts")
+
+
+@query(
+    """select l_orderkey, l_linenumber, l_extendedprice, coalesce(nullif(case when p_size % 2 = 0 then '' else p_brand end, ''), l_returnflag) jockey, coalesce(nullif(p_size % 4, 0), cast(l_quantity as int)) nb_courses, o_orderpriority libelle
+    from lineitem left join part on l_partkey = p_partkey left join orders on l_orderkey = o_orderkey"""
+)
+def runner_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_partkey").alias("num"), F.col("l_returnflag").alias("jockey"), F.col("l_quantity").cast("int").alias("nb_courses"))
+    info = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("num"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("jockey"), (F.col("p_size") % 4).alias("nb_courses"))
+    header = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("libelle"), "o_orderdate")
+    cards = R.runner_card(rows, info, ["num"], ("jockey", "nb_courses"))
+    return R.with_race_header(cards, header, ["l_orderkey"], ["o_orderdate"]).select("l_orderkey", "l_linenumber", "l_extendedprice", "jockey", "nb_courses", "libelle")
+
+
+@query(
+    """with r as (select p_size as day, p_partkey as cp, p_type as long_name, p_name as label, p_brand as short_label from part),
+    l as (select distinct p_size as day, case when p_partkey % 2 = 0 then p_name else split_part(p_name, ' ', 1) || ' cup' end nom_prix, p_type as hint from part),
+    s as (select l.*, cp, label, case when upper(trim(nom_prix)) = upper(trim(label)) or upper(trim(nom_prix)) = upper(trim(short_label)) then 100
+      when contains(upper(trim(label)), upper(trim(nom_prix))) or contains(upper(trim(nom_prix)), upper(trim(label))) then 80
+      when contains(upper(trim(short_label)), upper(trim(nom_prix))) or contains(upper(trim(nom_prix)), upper(trim(short_label))) then 70
+      else (select case when k > 0 then 40 + 10 * k else 0 end from (select len(list_filter(list_filter(string_split(upper(trim(nom_prix)), ' '), lambda a: length(a) > 3), lambda a: len(list_filter(list_filter(string_split(upper(trim(label)), ' '), lambda b: length(b) > 3), lambda b: contains(a, b) or contains(b, a))) > 0)) k)) end score
+      from l join r on l.day = r.day and contains(upper(long_name), upper(hint)))
+    select day, nom_prix, hint, cp as course_pos, label, cast(score as int) score from s where score >= 40 qualify row_number() over (partition by day, nom_prix, hint order by score desc, cp) = 1"""
+)
+def resolve_races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    # A venue is a p_type of a day: all its races share a number, and the course's number orders them.
+    races = part.select(
+        F.col("p_size").alias("day"), F.lit(0).alias("reunion_pos"), F.col("p_partkey").alias("course_pos"), F.lit("").alias("code"), F.col("p_type").alias("long_name"), F.lit("-").alias("short_name"),
+        F.col("p_name").alias("label"), F.col("p_brand").alias("short_label"),
+    ).withColumn("reunion_pos", F.abs(F.xxhash64("long_name")))
+    prize = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" cup")))
+    lookups = part.select(F.col("p_size").alias("day"), prize.alias("nom_prix"), F.col("p_type").alias("hint"))
+    return R.resolve_races(lookups, races).select("day", "nom_prix", "hint", "course_pos", "label", "score")
+
+
+@query(
+    """select o_orderkey, n_sheets, l_linenumber as first_sheet from orders left join (select l_orderkey, count(*) n_sheets from lineitem group by 1) a on a.l_orderkey = o_orderkey
+    left join (select l_orderkey, min(l_linenumber) l_linenumber from lineitem where l_linenumber between 2 and 10 group by 1) b on b.l_orderkey = o_orderkey"""
+)
+def scan_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey").join(sheets.groupBy("o_orderkey").agg(F.count("*").alias("n_sheets")), "o_orderkey", "left")
+    return B.scan_tracking(asked, sheets, ["o_orderkey"], "l_linenumber", 2, 10).select("o_orderkey", "n_sheets", F.col("l_linenumber").alias("first_sheet"))
+
+
+@query(
+    """with l as (select doc_id % 7 blk, doc_id * 100000 + i - 1 line_no, string_split(text, chr(10))[i] line from documents, range(1, 20001) t(i) where i <= len(string_split(text, chr(10)))),
+    h as (select distinct item_id % 7 blk, item_id, list_filter(string_split_regex(upper(trim(text)), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 2) w from benchmark),
+    s as (select h.blk, item_id, line_no, len(list_filter(w, lambda x: contains(upper(line), x))) score from h join l on h.blk = l.blk and length(line) > 1200)
+    select item_id, line_no, cast(score as int) score from s where score > 0 qualify row_number() over (partition by item_id order by score desc, line_no) = 1"""
+)
+def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("blk"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    # Lines of over 1,200 characters stand for those with a time on them.
+    lines = lines.where(F.length("line") > 1200).select("blk", (F.col("doc_id") * 100_000 + F.col("i")).alias("line_no"), F.concat("line", F.lit(" 01:02.03")).alias("line"))
+    horses = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 7).alias("blk"), "item_id", F.col("text").alias("nom"))
+    found = T.match_lines(horses, lines, ["blk"])
+    return horses.join(found, ["blk", "nom"]).select("item_id", "line_no", "score")
+
+
+LINE = "format_string('PRIX %d - %dm  Souple (%d.%d) 400m - 800m %dm - ARR %d''%02d\"%02d %02d,%d km %02d:%02d.%02d %d,%02d', l_orderkey, 1000 + l_linenumber * 100, l_linenumber, l_linenumber, 800 + l_linenumber, l_linenumber, cast(l_quantity as int), cast(l_quantity as int), 40 + cast(l_quantity as int) % 50, l_linenumber % 10, l_linenumber % 60, cast(l_quantity as int), cast(l_quantity as int), 1000 + l_linenumber, cast(l_quantity as int))"
+Q = "cast(l_quantity as int)"
+
+
+@query(
+    f"""select l_orderkey, l_linenumber, l_extendedprice, 1000 + l_linenumber * 100 as distance_m, 'Souple' terrain, (l_linenumber::varchar || '.' || l_linenumber::varchar)::double penetrometre,
+    '400m-800m,' || (800 + l_linenumber)::varchar || 'm-ARR' labels, printf('%d''%02d"%02d', l_linenumber, {Q}, {Q}) official, (l_linenumber * 60 + {Q} + {Q} / 100.0)::decimal(18,2)::double official_sec,
+    printf('%d.%d', 40 + {Q} % 50, l_linenumber % 10)::double max_speed, printf('%d.%02d', 1000 + l_linenumber, {Q})::double covered, ((l_linenumber % 60) * 60 + {Q} + {Q} / 100.0)::decimal(18,2)::double first_time from lineitem"""
+)
+def sheet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(LINE).alias("line"))
+    line = F.col("line")
+    official, seconds = X.official_time(line)
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", X.group(line, X.DISTANCE).cast("int").alias("distance_m"), X.group(line, X.GOING).alias("terrain"), X.group(line, X.GOING, 2).cast("double").alias("penetrometre"),
+        F.array_join(X.section_labels(line), ",").alias("labels"), official.alias("official"), seconds.alias("official_sec"), X.line_max_speed(line).alias("max_speed"), X.line_distance(line).alias("covered"),
+        F.get(X.line_times(line), F.lit(0)).alias("first_time"),
+    )
+
+
+@query(
+    """with w as (select user_id, event_id, event_type, value x0, extract(hour from ts) * 60 + extract(minute from ts) as top from events),
+    a as (select user_id, arg_min(top, event_id) y from w where event_type = 'view' group by 1)
+    select w.user_id, cast(count(*) as int) n, list(event_id % 21 order by x0, event_id)[1]::int first_position from w join a on w.user_id = a.user_id where event_type <> 'view' and y <> 0 and top > y - 150 and top < y + 100 group by 1"""
+)
+def geometry_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    words = e.select("user_id", F.col("event_id").alias("word_no"), F.when(F.col("event_type") == "view", "Position").otherwise((F.col("event_id") % 21).cast("string")).alias("text"), F.col("value").alias("x0"), (F.hour("ts") * 60 + F.minute("ts")).cast("double").alias("top"))
+    return T.geometry_positions(words, ["user_id"]).select("user_id", F.size("positions").alias("n"), F.get("positions", F.lit(0)).alias("first_position"))
+
+
+@query(
+    """with w as (select user_id, event_id, event_type, value x0, floor(extract(hour from ts)) * 1.0 as top, 40 + event_id % 51 as v from events),
+    r as (select a.user_id, a.event_id, a.top from w a join w b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type <> 'click' and abs(a.top - b.top) < 3 group by all having count(*) >= 4),
+    c as (select user_id, arg_min(top, event_id) y from r group by 1)
+    select w.user_id, cast(count(*) as int) n, list(v order by x0, event_id)[1]::double first_speed from w join c on w.user_id = c.user_id where event_type <> 'click' and abs(top - y) < 5 group by 1"""
+)
+def geometry_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    words = e.select("user_id", F.col("event_id").alias("word_no"), F.when(F.col("event_type") == "click", "Vitesse").otherwise((F.col("event_id") % 51 + 40).cast("string")).alias("text"), F.col("value").alias("x0"), F.hour("ts").cast("double").alias("top"))
+    return T.geometry_speeds(words, ["user_id"]).select("user_id", F.size("vitesses").alias("n"), F.get("vitesses", F.lit(0)).alias("first_speed"))
+
+
+@query(
+    f"""with s as (select l_orderkey, list(l_quantity::double {ORDERED}) t, list(l_tax::double * 100 {ORDERED})[1:2] g, count(*) n from lineitem group by 1)
+    select l_orderkey, unnest(range(1, n + 1))::int section, unnest(list_transform(range(1, n + 1), lambda i: coalesce(g[i], t[i]))) as "value" from s"""
+)
+def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = order_series(spark, sf_dir, t=F.col("l_quantity").cast("double"), g=(F.col("l_tax").cast("double") * 100))
+    merged = V.merge_sections(F.size("t"), F.col("t"), F.slice("g", 1, 2))
+    return got.select("l_orderkey", F.posexplode(merged).alias("i", "value")).select("l_orderkey", (F.col("i") + 1).alias("section"), "value")
+
+
+@query(
+    """with h as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 hist_pos from orders)
+    select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by hist_pos) as int) hist_rank from h where hist_pos < 10 and o_orderstatus <> 'P' qualify row_number() over (partition by o_custkey order by hist_pos) <= 6"""
+)
+def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", pos.alias("hist_pos"), F.when(F.col("o_orderstatus") == "P", "monte").otherwise("PLAT").alias("discipline"))
+    return B.cap_history(rows, ["o_custkey"], "hist_pos", "discipline", 6, 10).select("o_custkey", "o_orderkey", "hist_rank")
+
+
+@query("select o_custkey, cast(count_if(o_orderstatus = 'F') as bigint) nb_courses_trackers, count(*) n_races, max(o_orderkey) last_race from orders group by 1")
+def race_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("has", F.col("o_orderstatus") == "F")
+    counts = B.count_tracked(rows, ["o_custkey"], "has")
+    series = B.collect_series(rows, ["o_custkey"], ["o_orderkey"], {"races": F.col("o_orderkey")})
+    return counts.join(series, "o_custkey").select("o_custkey", "nb_courses_trackers", F.size("races").cast("long").alias("n_races"), F.element_at("races", -1).alias("last_race"))
+
+
+@query(
+    """select c_custkey, coalesce(n, 0) n, n is not null from_cache from customer left join (select o_custkey, count(*) n from orders group by 1) on c_custkey = o_custkey"""
+)
+def cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return B.cache_first(table(spark, sf_dir, "customer").select("c_custkey"), cache, ["c_custkey"], lambda misses: misses.withColumn("n", F.lit(0).cast("long")))
+
+
+@query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) cached from customer")
+def cache_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.with_cache_status(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("select l_orderkey, l_extendedprice, strftime(l_shipdate, '%Y%m%d') date_galop, case when l_returnflag = 'A' then 'CHA' else 'DEA' end code_hippo, cast(l_linenumber as int) num_course, cast(floor(l_extendedprice / 1024) as bigint) size_kb from lineitem")
+def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("l_returnflag") == "A", "CHA").otherwise("DEA")
+    name = S.tracking_file_name(F.date_format("l_shipdate", "yyyyMMdd"), code, F.col("l_linenumber"))
+    files = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("/sheets/"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_extendedprice").cast("string"), F.lit("/"), name).alias("path"), F.col("l_extendedprice").alias("length"), "l_orderkey", "l_extendedprice")
+    return tracking_inventory(files).select("l_orderkey", "l_extendedprice", "date_galop", "code_hippo", "num_course", "size_kb")
