@@ -74,7 +74,7 @@ def colliding(members: DataFrame) -> DataFrame:
     return placed.mapInArrow(keep, MEMBERS)
 
 
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column]) -> DataFrame:
+def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column], finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """True links that connect all ids which any true link inside a bucket connects.
 
     members: a stored result of ``colliding``.  screen: a cheap condition on two
@@ -82,11 +82,15 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
 
     First every bucket's head is compared with its other members.  Then, in
     each round, another member is compared with all that are not in its
-    component yet: a bucket of n members costs n comparisons a round, and a
-    group of copies is joined in a round or two.  When a round adds few
+    component yet: first the one whose buckets hold most rows, since the text
+    that others were copied from meets each of them most often, then any one.
+    A bucket of n members costs n comparisons a round, and a group of copies is
+    joined in a round or two.  When a round adds few
     links, or the pairs still open are few against the members, all those pairs
     are compared, so no link between components is lost, whatever the buckets'
-    sizes.
+    sizes.  Where an exact way is known to leave out pairs that cannot be linked,
+    it is given as finish: from the open buckets' rows (id, sig, comp) to pairs
+    (id, b), among them all true links between components.
     """
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs")
@@ -97,25 +101,31 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     others = members.where("id <> head")
     links = linked(others.where(screen(F.col("sig"), F.col("head_sig"))).withColumnRenamed("head", "b"))
     size = others.count()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    degree = stored(members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
     number, grown = 0, True
     while True:
         # Buckets of two are done with; so are those that lie in one component.
         comp = stored(components(links), "labels")
-        now = stored(others.join(comp, "id", "left").select("bucket", "id", "sig", F.coalesce("component", "id").alias("comp")), "labelled")
+        now = stored(others.join(comp, "id", "left").join(degree, "id").select("bucket", "id", "sig", "degree", F.coalesce("component", "id").alias("comp")), "labelled")
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
         if not left:
             drop(now)
             break
-        whole = left <= 2 * size or not grown
-        if whole:
+        whole = left <= size / 10 or not grown
+        if whole and finish is not None:
+            open_buckets = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+            pairs = finish(now.join(open_buckets, "bucket", "left_semi").select("id", "sig", "comp").distinct())
+        elif whole:
             other = now.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b"))
             pairs = now.join(other, "bucket").where("comp < comp_b")
         else:
             number += 1
-            heads = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), F.xxhash64("id", F.lit(number))).alias("h")).select("bucket", "h.*")
+            rank = F.struct(-F.col("degree"), F.col("id")) if number == 1 else F.struct(F.xxhash64("id", F.lit(number)), F.col("id"))
+            heads = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), rank).alias("h")).select("bucket", "h.*")
             pairs = now.join(heads, "bucket").where("comp <> comp_b")
-        new = linked(pairs.where(screen(F.col("sig"), F.col("sig_b"))))
+        new = linked(pairs if whole and finish is not None else pairs.where(screen(F.col("sig"), F.col("sig_b"))))
         grown = new.count() > size / 100
         links = links.union(new)
         drop(now)

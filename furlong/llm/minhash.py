@@ -85,6 +85,44 @@ def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def prefix_pairs(documents: DataFrame, sets: DataFrame, ratio: int) -> DataFrame:
+    """Pairs (id, b) that share one of their rarest shingles, by prefix filtering.
+
+    documents: id, sig (size of the set), comp.  If x is no larger than y and
+    they are similar enough, then in an order of all shingles, here by the
+    number of documents that have them, one of the first n - ceil(2t / (1 + t) n)
+    + 1 of x is among the first n - ceil(t n) + 1 of y.  Shingles of a single
+    document come first and can't be shared, so they are counted, not joined.
+    Pairs of one component are left out.
+    """
+
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
+        for first in range(0, batch.num_rows, 200):
+            part = batch.slice(first, 200)
+            items = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            n = [len(x) for x in items]
+            yield {"token": np.concatenate(items) if items else [], "id": np.repeat(part.column("id").to_numpy(), n)}
+
+    rows = map_batches(sets.join(documents.select("id"), "id", "left_semi").select("id", "items"), each, "token long, id long")
+    tokens = stored(rows, "open-shingles")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    lists = tokens.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    docs = documents.join(lists, "id")
+    n = F.col("sig")
+    single = n - F.size("shared")
+    probe = n - F.ceil(n * ratio / 100) + 1 - single
+    index = n - F.ceil(n * (2 * ratio) / (100 + ratio)) + 1 - single
+    cut = lambda most: F.slice("shared", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
+    docs = stored(docs.select("id", "sig", "comp", F.size("shared").alias("have"), cut(index).alias("index"), cut(probe).alias("probe")), "prefixes")
+    small = docs.select("id", "sig", "comp", "have", F.posexplode("index.token").alias("at", "token"))
+    large = docs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b"), F.col("have").alias("have_b"), F.posexplode("probe.token").alias("at_b", "token"))
+    drop(tokens)
+    # What two documents share is at most what stands before and after the shingle in both lists.
+    most = F.least("at", "at_b") + 1 + F.least(F.col("have") - F.col("at") - 1, F.col("have_b") - F.col("at_b") - 1)
+    enough = most * (100 + ratio) >= (F.col("sig") + F.col("sig_b")) * ratio
+    return small.join(large, "token").where(f"id <> b and comp <> comp_b and sig <= sig_b and 100 * sig >= {ratio} * sig_b").where(enough).select("id", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5, size: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: doc_id, n_shingles, component_id, kept.
 
@@ -143,7 +181,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5, si
         return map_batches(full.select("a", "b", "x", "y"), compare, "a long, b long")
 
     ratio = round(100 * threshold)
-    links = bucket_links(members, confirm, lambda x, y: 100 * F.least(x, y) >= ratio * F.greatest(x, y))
+
+    def rare_pairs(documents: DataFrame) -> DataFrame:
+        return prefix_pairs(documents, sets, ratio)
+
+    links = bucket_links(members, confirm, lambda x, y: 100 * F.least(x, y) >= ratio * F.greatest(x, y), rare_pairs)
     labels = stored(components(links), "components")
     drop(members, sets)
     group = classes.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("group"))
