@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.arrays import signed, word_hashes, word_spans
+from furlong.llm.arrays import ODD, mix, signed, word_hashes, word_spans
 from furlong.llm.components import bucket_links, colliding, components
 from furlong.llm.store import drop, map_batches, stored
 
@@ -33,7 +33,10 @@ def normalise(line: str) -> str:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of each normalised line, over its words."""
+    """64-bit SimHash of each normalised line, over its pairs of neighbouring words (or its only word).
+
+    Single words would not do: long lines of one language have them in like shares.
+    """
     out = np.zeros(len(lines), np.uint64)
     for first in range(0, len(lines), 4000):
         some = [x.encode() for x in lines[first : first + 4000]]
@@ -42,7 +45,12 @@ def simhashes(lines: list[str]) -> np.ndarray:
         starts, ends, texts = word_spans(data, bounds)
         if not len(starts):
             continue
-        bits = np.unpackbits(word_hashes(data, starts, ends, None).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        hashes = word_hashes(data, starts, ends, None)
+        follows = np.append(texts[1:] == texts[:-1], False)
+        alone = ~follows & np.concatenate(([True], ~follows[:-1]))
+        hashes[:-1] = np.where(follows[:-1], mix(hashes[:-1] * ODD + hashes[1:]), hashes[:-1])
+        hashes, texts = hashes[follows | alone], texts[follows | alone]
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         at = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
         ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         n = np.diff(np.append(at, len(texts)))
