@@ -16,7 +16,11 @@ from furlong.llm.components import bucket_links, colliding, components
 from furlong.llm.store import drop, map_batches, stored
 
 WORDS = re.compile(r"\w+")
+FOREIGN = re.compile(r"[^\x00-\x7f\w]")
 DIGITS = str.maketrans("123456789", "000000000")
+PLAIN = bytes(c if c >= 0x80 or WORDS.match(chr(c)) else 0x20 for c in range(128)).translate(bytes.maketrans(b"123456789", b"000000000")) + bytes(range(128, 256))
+LANE_SUMS = 255
+"""Bits that a byte can count."""
 BITS = 64
 DISTANCE = 3
 BLOCKS, SHARED = 5, 2
@@ -29,7 +33,10 @@ LEAST_CHARS = 20
 
 def normalise(line: str) -> str:
     """Lower case, digits as 0, punctuation and blanks as single spaces."""
-    return " ".join(WORDS.findall(line.lower().translate(DIGITS)))
+    line = line.lower()
+    if not line.isascii() and FOREIGN.search(line):
+        return " ".join(WORDS.findall(line.translate(DIGITS)))
+    return b" ".join(line.encode().translate(PLAIN).split()).decode()
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
@@ -50,10 +57,13 @@ def simhashes(lines: list[str]) -> np.ndarray:
         alone = ~follows & np.concatenate(([True], ~follows[:-1]))
         hashes[:-1] = np.where(follows[:-1], mix(hashes[:-1] * ODD + hashes[1:]), hashes[:-1])
         hashes, texts = hashes[follows | alone], texts[follows | alone]
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         at = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         n = np.diff(np.append(at, len(texts)))
+        # Eight bits of a hash are counted at once, in the bytes of an integer; long lines in parts that a byte can count.
+        lanes = np.unpackbits(hashes.astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        part = np.flatnonzero((np.arange(len(texts)) - np.repeat(at, n)) % LANE_SUMS == 0)
+        ones = np.add.reduceat(lanes, part, axis=0).view(np.uint8).astype(np.int32)
+        ones = np.add.reduceat(ones, np.searchsorted(part, at), axis=0)
         out[first + texts[at]] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
