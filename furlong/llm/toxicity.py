@@ -95,30 +95,47 @@ def noisy_or(model: Model, table: WordTable, text: str) -> float:
     return float(-np.expm1(-quiet))
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id") -> Model:
-    """Fit sentence weights on a bounded sample of labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id") -> Model:
+    """Fit sentence weights on a bounded sample of the documents that have a label.
 
     The sample holds at most ``rows`` documents and about ``chars`` characters;
     whole documents are taken in the order of a hash of their id.  Labels may be
-    wrong now and then: a share of each label is explained by chance.
+    wrong now and then: a share of each label is explained by chance.  Only
+    lengths and the sample's texts are shuffled to their labels.
     """
-    shape = labelled.agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("c")).first()
+    labels = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shape = texts.select(id_col, F.length("text").alias("c")).join(labels, id_col).agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
     if not shape["n"]:
         return Model({}, -20.0)
     share = min(1.0, rows / shape["n"], chars / max(1, shape["c"] or 1))
-    keep = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = labelled.where(keep | F.lit(share >= 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.col(id_col))).toPandas()
+    if share < 1:
+        # Ids are hashed to 40 bits, so that a small share of very many rows is still one.
+        texts = texts.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = texts.join(labels, id_col).orderBy(F.xxhash64(F.col(id_col))).select("text", "label").toPandas()
     if not len(sample):
         return Model({}, -20.0)
     return fit_texts(sample["text"].tolist(), sample["label"].to_numpy(float))
 
 
+class Marks(dict):
+    """Numbers of the features of a word that can mark a sentence, computed once for each word."""
+
+    def __init__(self, place: dict[str, int]):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self[word] = found = tuple(self.place[f] for f in features(word) if f in self.place)
+        return found
+
+
 def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
+    # Two passes over the texts, so that only counts and the marks of sentences are held.
     seen: Counter[str] = Counter()
-    bags = [[features(s) for s in SENTENCE.split(t) if s] or [set()] for t in texts]
     toxic: Counter[str] = Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        words = set().union(*bag)
+    for text, label in zip(texts, labels, strict=True):
+        words = features(text)
         seen.update(words)
         if label:
             toxic.update(words)
@@ -127,9 +144,11 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     names = sorted(f for f, n in toxic.items() if n >= MIN_DOCS and n > 2 * rate * seen[f])
     place = {f: i for i, f in enumerate(names)}
     # Sentences with equal features in one document act alike; those without any act through the bias.
+    marks = Marks(place)
     doc_of, n_same, item_of, item = [], [], [], []
-    for d, bag in enumerate(bags):
-        for key, times in Counter(frozenset(place[f] for f in s if f in place) for s in bag).items():
+    for d, text in enumerate(texts):
+        bag = [s for s in SENTENCE.split(text.lower()) if s] or [""]
+        for key, times in Counter(frozenset().union(*map(marks.__getitem__, set(WORD.findall(s)))) for s in bag).items():
             item_of += [len(doc_of)] * len(key)
             item += key
             doc_of.append(d)
@@ -142,7 +161,7 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     for step in range(1, EPOCHS + 1):
         z = bias + np.bincount(item_of, w[item], minlength=len(doc_of))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        quiet = np.bincount(doc_of, n_same * np.log1p(np.exp(np.clip(z, -30, 30))), minlength=len(bags))
+        quiet = np.bincount(doc_of, n_same * np.log1p(np.exp(np.clip(z, -30, 30))), minlength=len(texts))
         hot = -np.expm1(-quiet)
         one = false_one + (1 - false_one - false_zero) * hot
         slope = (labels / one - (1 - labels) / (1 - one)) * (1 - false_one - false_zero) * (1 - hot)
@@ -197,8 +216,7 @@ def held_out(doc_id):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents that aren't held out, then score all: doc_id, held_out, score, predicted."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(known, "doc_id")
-    return score(docs, fit(labelled)).withColumn("held_out", held_out(F.col("doc_id")))
+    return score(docs, fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known)).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def crc_fold(doc_id: int) -> int:
