@@ -41,10 +41,36 @@ def components(edges: DataFrame) -> DataFrame:
 MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
 
 
-def colliding(members: DataFrame) -> DataFrame:
+SMALL = 64
+"""Rows of a bucket that are compared with each other while it is read."""
+
+
+def partnered(bucket: np.ndarray, sig: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Marks of the rows to keep of a sorted batch: those with a near row in their bucket.
+
+    Buckets of more than ``SMALL`` rows, and those at the ends of the batch,
+    which may go on in others, are kept whole.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    lengths = np.diff(np.append(starts, len(bucket)))
+    small = np.repeat(lengths, lengths) <= SMALL
+    small[: lengths[0]] = small[len(bucket) - lengths[-1] :] = False
+    marks = ~small
+    for k in range(1, SMALL):
+        at = np.flatnonzero(small[k:] & (bucket[k:] == bucket[:-k]))
+        if not len(at):
+            break
+        at = at[near(sig[at], sig[at + k])]
+        marks[at] = marks[at + k] = True
+    return marks
+
+
+def colliding(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Members (bucket, id, sig) of buckets with two rows or more, with the least id of the bucket as head.
 
     Rows are sorted by bucket and read as a stream, whatever a bucket's size.
+    Where a true link needs ``near`` sigs, rows of small buckets without a near
+    one are left out: chance puts more of them together the more rows there are.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +80,9 @@ def colliding(members: DataFrame) -> DataFrame:
             bucket, ids, sig = (batch.column(c).to_numpy() for c in ("bucket", "id", "sig"))
             if not len(bucket):
                 continue
+            if near is not None:
+                marks = partnered(bucket, sig, near)
+                bucket, ids, sig = bucket[marks], ids[marks], sig[marks]
             new = np.concatenate(([bucket[0] != last], bucket[1:] != bucket[:-1]))
             first = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), -1))
             carried = first < 0

@@ -163,18 +163,18 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
 
     lines = stored(map_batches(rows, cut, "line long, sim long, doc_id long, number int"), "lines")
     distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    members = stored(colliding(distinct.select(F.explode(block_keys(F.col("sim"))).alias("bucket"), F.col("line").alias("id"), F.col("sim").alias("sig"))), "colliding")
+    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= distance
+    members = stored(colliding(distinct.select(F.explode(block_keys(F.col("sim"))).alias("bucket"), F.col("line").alias("id"), F.col("sim").alias("sig")), near), "colliding")
+    # The texts of lines that meet a near one are fetched once.
+    places = distinct.join(members.select(F.col("id").alias("line")).distinct(), "line", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-        places = distinct.join(wanted, "line", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
-
-        def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
-            found = [(a["line"], lines[a["number"]]) for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True) for lines in [text.split("\n")] for a in asked if a["number"] < len(lines)]
-            yield {"line": [x for x, _ in found], "plain": [normalise(x) for _, x in found]}
+    def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
+        found = [(a["line"], lines[a["number"]]) for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True) for lines in [text.split("\n")] for a in asked if a["number"] < len(lines)]
+        yield {"line": [x for x, _ in found], "plain": [normalise(x) for _, x in found]}
 
-        plain = stored(map_batches(rows.join(places, "doc_id").select("text", "asked"), fetch, "line long, plain string").dropDuplicates(["line"]), "line-texts")
+    plain = stored(map_batches(rows.join(places, "doc_id").select("text", "asked"), fetch, "line long, plain string").dropDuplicates(["line"]), "line-texts")
 
+    def confirm(pairs: DataFrame) -> DataFrame:
         def compare(batch: pa.RecordBatch) -> Iterator[dict]:
             keep = pa.array([similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], pa.bool_())
             yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
@@ -189,7 +189,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
     again = stored(known.join(keepers.drop("n"), "component").select("line", "keep"), "repeated-lines")
     dropped = lines.join(again, "line").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("number") != F.col("keep.number")))
     out = stored(dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped-lines")
-    drop(lines, distinct, members, again)
+    drop(lines, distinct, members, plain, again)
     return out
 
 

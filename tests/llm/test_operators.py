@@ -191,3 +191,16 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert packed.agg(F.sum("length")).first()[0] > 1000
+
+
+def test_partnered_keeps_every_near_pair():
+    rng = np.random.default_rng(5)
+    bucket = np.sort(np.concatenate((rng.integers(0, 60, 300), np.full(90, 30))))
+    sig = rng.integers(0, 16, len(bucket))
+    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= 1
+    marks = components.partnered(bucket, sig, near)
+    for i, b in enumerate(bucket):
+        others = np.flatnonzero((bucket == b) & (np.arange(len(bucket)) != i))
+        size = len(others) + 1
+        whole = size > components.SMALL or b in (bucket[0], bucket[-1])
+        assert marks[i] == (whole or bool(near(np.full(len(others), sig[i]), sig[others]).any()))
