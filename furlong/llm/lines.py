@@ -27,8 +27,6 @@ BLOCKS, SHARED = 5, 2
 """With 3 differing bits, at least 2 of 5 blocks are equal: 10 tables with keys of 25 or
 26 bits.  More bits a key (6 blocks, 3 shared: 20 tables of 32 bits) suit billions of lines."""
 EDIT_SIMILARITY = 0.9
-LEAST_CHARS = 20
-"""Shorter lines (after normalising) are left alone: they say too little to be copies."""
 
 
 def normalise(line: str) -> str:
@@ -132,9 +130,9 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
     Lines are linked if they are equal after normalising, or if their SimHashes
     differ in at most ``distance`` bits and their edit similarity is at least
     ``similarity``.  Of each connected group the first occurrence stays (by
-    document id, then line).  Lines of fewer than 20 normalised characters and
-    documents without an id are left alone; rows that repeat an id are one
-    document.  Documents that lose nothing have no row.
+    document id, then line).  Lines without a word and documents without an id
+    are left alone; rows that repeat an id are one document.  Documents that
+    lose nothing have no row.
     """
     import xxhash
 
@@ -150,7 +148,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
                 text = texts[first].as_py()
                 size += len(text) + 1
                 for i, line in enumerate(text.split("\n")):
-                    if len(line) >= LEAST_CHARS and len(line := normalise(line)) >= LEAST_CHARS:
+                    if line and (line := normalise(line)):
                         doc.append(ids[first])
                         number.append(i)
                         plain.append(line)

@@ -204,3 +204,9 @@ def test_partnered_keeps_every_near_pair():
         size = len(others) + 1
         whole = size > components.SMALL or b in (bucket[0], bucket[-1])
         assert marks[i] == (whole or bool(near(np.full(len(others), sig[i]), sig[others]).any()))
+
+
+def test_short_repeated_lines(spark):
+    rows = [(1, "Of, edti oner.\n--\nAll rights reserved.\nmore"), (2, "Of, edti oner.\n--\n(All rights reserved)\nOf"), (3, "of\n\n--")]
+    got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [0, 2], 3: [0]}
