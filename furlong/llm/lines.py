@@ -1,32 +1,36 @@
-"""Near-duplicate lines over the whole corpus: SimHash, pigeonhole blocks, edit similarity."""
+"""Near-duplicate lines over the whole corpus: sketches of grams, banding, edit similarity."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.arrays import ODD, mix, signed, word_hashes, word_spans
+from furlong.llm.arrays import BYTE_HASH, signed, windows
 from furlong.llm.components import bucket_links, colliding, components
+from furlong.llm.minhash import band_keys, sketches
 from furlong.llm.store import drop, map_batches, stored
 
 WORDS = re.compile(r"\w+")
 FOREIGN = re.compile(r"[^\x00-\x7f\w]")
 DIGITS = str.maketrans("123456789", "000000000")
 PLAIN = bytes(c if c >= 0x80 or WORDS.match(chr(c)) else 0x20 for c in range(128)).translate(bytes.maketrans(b"123456789", b"000000000")) + bytes(range(128, 256))
-LANE_SUMS = 255
-"""Bits that a byte can count."""
-BITS = 64
-DISTANCE = 3
-BLOCKS, SHARED = 5, 2
-"""With 3 differing bits, at least 2 of 5 blocks are equal: 10 tables with keys of 25 or
-26 bits.  More bits a key (6 blocks, 3 shared: 20 tables of 32 bits) suit billions of lines."""
 EDIT_SIMILARITY = 0.9
+SKETCH, BANDS = 64, 16
+"""A sketch of 64 values in 16 bands of 4: lines with 60 % of their grams in common meet in one with probability 0.89, with 70 % 0.99."""
+SHORT = 64
+SHORT_GRAM, GRAM = 3, 5
+"""Bytes in a gram of lines of up to ``SHORT`` characters and of longer ones."""
+BITS, FAR = 56, 18
+"""A signature's bits from the sketch, and how many may differ: of lines with 60 % of their grams in common one in 300 differs in more."""
+MASK = (1 << BITS) - 1
+LENGTHS = 7
+"""Steps of a signature's length for a factor e."""
 
 
 def normalise(line: str) -> str:
@@ -37,46 +41,54 @@ def normalise(line: str) -> str:
     return b" ".join(line.encode().translate(PLAIN).split()).decode()
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of each normalised line, over its pairs of neighbouring words (or its only word).
+def signatures(lines: list[str], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (a row of 32-bit numbers) and signature of each normalised line, from its grams of so many bytes.
 
-    Single words would not do: long lines of one language have them in like shares.
+    A signature has the line's length on a logarithmic scale above ``BITS`` bits of its sketch.
     """
-    out = np.zeros(len(lines), np.uint64)
-    for first in range(0, len(lines), 4000):
-        some = [x.encode() for x in lines[first : first + 4000]]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in some])))
+    keys, sigs = np.zeros((len(lines), BANDS), np.int32), np.zeros(len(lines), np.int64)
+    for first in range(0, len(lines), 2000):
+        some = [x.encode() for x in lines[first : first + 2000]]
         data = np.frombuffer(b"".join(some), np.uint8)
-        starts, ends, texts = word_spans(data, bounds)
-        if not len(starts):
-            continue
-        hashes = word_hashes(data, starts, ends, None)
-        follows = np.append(texts[1:] == texts[:-1], False)
-        alone = ~follows & np.concatenate(([True], ~follows[:-1]))
-        hashes[:-1] = np.where(follows[:-1], mix(hashes[:-1] * ODD + hashes[1:]), hashes[:-1])
-        hashes, texts = hashes[follows | alone], texts[follows | alone]
-        at = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
-        n = np.diff(np.append(at, len(texts)))
-        # Eight bits of a hash are counted at once, in the bytes of an integer; long lines in parts that a byte can count.
-        lanes = np.unpackbits(hashes.astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
-        part = np.flatnonzero((np.arange(len(texts)) - np.repeat(at, n)) % LANE_SUMS == 0)
-        ones = np.add.reduceat(lanes, part, axis=0).view(np.uint8).astype(np.int32)
-        ones = np.add.reduceat(ones, np.searchsorted(part, at), axis=0)
-        out[first + texts[at]] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
+        sizes = np.array([len(x) for x in some])
+        grams, at = windows(BYTE_HASH[data], np.repeat(np.arange(len(some)), sizes), gram)
+        rows = sketches(grams, np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes)))), SKETCH)
+        keys[first : first + len(some)] = (band_keys(rows, BANDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        bits = (rows[:, :BITS] & np.uint64(1)) << np.arange(BITS, dtype=np.uint64)
+        lengths = np.rint(LENGTHS * np.log([len(x) for x in lines[first : first + len(some)]])).astype(np.int64)
+        sigs[first : first + len(some)] = np.bitwise_or.reduce(bits, axis=1).view(np.int64) | lengths << BITS
+    return keys, sigs
+
+
+def bucket_rows(similarity: float = EDIT_SIMILARITY) -> Callable[[list[str]], dict[str, pa.Array]]:
+    """From distinct lines to columns short_keys, short_sig, keys, sig; null where lines need none of that gram.
+
+    Two similar lines have the keys of one gram at least in common: short ones those of
+    ``SHORT_GRAM``, and a longer one has no similar line that is too short for ``GRAM``.
+    """
+
+    def sign(lines: list[str]) -> dict[str, pa.Array]:
+        n = np.array([len(x) for x in lines], np.int64)
+        # A line that is too short for any edit can only be equal to another.
+        short = (n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0)
+        out = {}
+        for name, gram, chosen in (("short_", SHORT_GRAM, short), ("", GRAM, n >= int(SHORT * similarity))):
+            at = np.flatnonzero(chosen)
+            keys, sigs = signatures([lines[i] for i in at], gram)
+            place = np.full(len(lines), -1)
+            place[at] = np.arange(len(at))
+            place = pa.array(place, mask=~chosen)
+            out[name + "keys"] = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int32())).take(place)
+            out[name + "sig"] = pa.array(sigs).take(place)
+        return out
 
+    return sign
 
-def block_keys(sim: Column, blocks: int = BLOCKS, shared: int = SHARED) -> Column:
-    """Array of the keys of a SimHash: each choice of ``shared`` of its ``blocks`` blocks, with its number."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    part = lambda i: F.shiftrightunsigned(sim, edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1))
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), shared)):
-        key = F.lit(number).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part(i))
-        keys.append(key)
-    return F.array(*keys)
+
+def bucketed() -> Column:
+    """Array of (bucket, sig) of a line: its keys with the numbers of their bands."""
+    rows = lambda keys, sig, first: F.coalesce(F.transform(keys, lambda key, i: F.struct(F.shiftleft((i + first).cast("long"), 32).bitwiseOR(key.cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("bucket"), F.col(sig).alias("sig"))), F.array())
+    return F.concat(rows("short_keys", "short_sig", 0), rows("keys", "sig", BANDS))
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -124,11 +136,11 @@ def similar(a: str, b: str, least: float = EDIT_SIMILARITY) -> bool:
     return edits_within(a, b, int(max(len(a), len(b)) * (1 - least) + 1e-9))
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = EDIT_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop from each document: doc_id, dropped (numbers of lines from 0).
 
-    Lines are linked if they are equal after normalising, or if their SimHashes
-    differ in at most ``distance`` bits and their edit similarity is at least
+    Lines are linked if they are equal after normalising, or if they meet in a
+    band of their sketches and their edit similarity is at least
     ``similarity``.  Of each connected group the first occurrence stays (by
     document id, then line).  Lines without a word and documents without an id
     are left alone; rows that repeat an id are one document.  Documents that
@@ -138,6 +150,8 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
+    sign = bucket_rows(similarity)
+
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         first = 0
@@ -157,12 +171,24 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
             place = {x: i for i, x in enumerate(distinct)}
             at = np.fromiter((place[x] for x in plain), np.int64, len(plain))
             keys = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct), np.uint64, len(distinct))
-            yield {"line": signed(keys)[at], "sim": signed(simhashes(distinct))[at], "doc_id": doc, "number": number}
+            # The first of equal lines has the signatures.
+            again = np.ones(len(at), bool)
+            again[np.unique(at, return_index=True)[1]] = False
+            once = pa.array(at, mask=again)
+            yield {"line": signed(keys)[at], "doc_id": doc, "number": number} | {name: x.take(once) for name, x in sign(distinct).items()}
+
+    lines = stored(map_batches(rows, cut, "line long, doc_id long, number int, short_keys array<int>, short_sig long, keys array<int>, sig long"), "lines")
+    signs = [F.first(x, ignorenulls=True).alias(x) for x in ("short_keys", "short_sig", "keys", "sig")]
+    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), *signs, F.count("*").alias("n")), "distinct-lines")
+    steps = math.floor(1 - LENGTHS * math.log(similarity))
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(((x ^ y) & MASK).view(np.uint64)) <= FAR) & (abs((x >> BITS) - (y >> BITS)) <= steps)
+
+    def near_columns(x: Column, y: Column) -> Column:
+        return (F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(MASK))) <= FAR) & (F.abs(F.shiftright(x, BITS) - F.shiftright(y, BITS)) <= steps)
 
-    lines = stored(map_batches(rows, cut, "line long, sim long, doc_id long, number int"), "lines")
-    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= distance
-    members = stored(colliding(distinct.select(F.explode(block_keys(F.col("sim"))).alias("bucket"), F.col("line").alias("id"), F.col("sim").alias("sig")), near), "colliding")
+    members = stored(colliding(distinct.select(F.explode(bucketed()).alias("b"), F.col("line").alias("id")).select("b.bucket", "id", "b.sig"), near), "colliding")
     # The texts of lines that meet a near one are fetched once.
     places = distinct.join(members.select(F.col("id").alias("line")).distinct(), "line", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
 
@@ -180,7 +206,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
         full = pairs.join(plain.select(F.col("line").alias("a"), F.col("plain").alias("x")), "a").join(plain.select(F.col("line").alias("b"), F.col("plain").alias("y")), "b")
         return map_batches(full.select("a", "b", "x", "y"), compare, "a long, b long")
 
-    links = bucket_links(members, confirm, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance)
+    links = bucket_links(members, confirm, near_columns)
     groups = stored(components(links), "line-groups").withColumnRenamed("id", "line")
     known = distinct.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
     keepers = known.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")

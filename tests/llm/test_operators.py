@@ -206,6 +206,28 @@ def test_partnered_keeps_every_near_pair():
         assert marks[i] == (whole or bool(near(np.full(len(others), sig[i]), sig[others]).any()))
 
 
+def test_near_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(400)]
+    texts = []
+    for n in (3, 5, 8, 12, 20, 30, 60, 150):
+        for _ in range(12):
+            line = list(rng.choice(vocabulary, n))
+            texts.append(" ".join(line))
+            for _ in range(max(1, n // 20)):
+                line[rng.integers(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(line))
+            texts.append(texts[-1][:-1])
+    got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    component = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j])]
+    for _ in texts:
+        for i, j in pairs:
+            component[i] = component[j] = min(component[i], component[j])
+    want = {i for i, c in enumerate(component) if c < i}
+    assert len(want) > 100 and len(got & want) >= 0.98 * len(want) and got <= want
+
+
 def test_short_repeated_lines(spark):
     rows = [(1, "Of, edti oner.\n--\nAll rights reserved.\nmore"), (2, "Of, edti oner.\n--\n(All rights reserved)\nOf"), (3, "of\n\n--")]
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
