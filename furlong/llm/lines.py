@@ -179,7 +179,10 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
 
     lines = stored(map_batches(rows, cut, "line long, doc_id long, number int, short_keys array<int>, short_sig long, keys array<int>, sig long"), "lines")
     signs = [F.first(x, ignorenulls=True).alias(x) for x in ("short_keys", "short_sig", "keys", "sig")]
-    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), *signs, F.count("*").alias("n")), "distinct-lines")
+    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), *signs, F.count("*").alias("n")), "signed-distinct-lines")
+    # Neither table is kept with the signatures for longer than they are read.
+    wide, lines = lines, stored(lines.select("line", "doc_id", "number"), "line-places")
+    drop(wide)
     steps = math.floor(1 - LENGTHS * math.log(similarity))
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -189,6 +192,8 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
         return (F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(MASK))) <= FAR) & (F.abs(F.shiftright(x, BITS) - F.shiftright(y, BITS)) <= steps)
 
     members = stored(colliding(distinct.select(F.explode(bucketed()).alias("b"), F.col("line").alias("id")).select("b.bucket", "id", "b.sig"), near), "colliding")
+    wide, distinct = distinct, stored(distinct.select("line", "first", "n"), "distinct-lines")
+    drop(wide)
     # The texts of lines that meet a near one are fetched once.
     places = distinct.join(members.select(F.col("id").alias("line")).distinct(), "line", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
 
