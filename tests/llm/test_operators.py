@@ -133,6 +133,32 @@ def test_compression_bands():
     assert not quality.ratio_verdict(compress, prose[:9000] + b"the same words " * 1000)[2]
 
 
+@pytest.mark.parametrize("size", [128, 512, 1024, 4096, 16384, 65536, 150000])
+def test_repetition_in_every_band(size):
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    rng = np.random.default_rng(size)
+    prose = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(size // 3)]
+    assert quality.ratio_verdict(compress, " ".join(prose).encode()[:size])[2]
+    for times in (5, 6, 7):
+        assert not quality.ratio_verdict(compress, " ".join(x for x in prose for _ in range(times)).encode()[:size])[2]
+    line = " ".join(prose)[:30] + "\n"
+    assert not quality.ratio_verdict(compress, (line * size)[:size].encode())[2]
+
+
+def test_first_chunk_and_tail_are_checked():
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    rng = np.random.default_rng(6)
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(4000)).encode()
+    again = b"the same words " * 1000
+    assert quality.ratio_verdict(compress, prose[:6000])[2] and quality.ratio_verdict(compress, prose[:4097])[2]
+    assert not quality.ratio_verdict(compress, prose[:4096] + again[:3000])[2]
+    assert not quality.ratio_verdict(compress, again[:4096] + prose[:3500])[2]
+
+
 def test_toxicity(spark, docs, empty):
     clean = [(i, f"The weather in town{i} is fine today. People walk by the river{i % 7}.") for i in range(400)]
     bad = [(i, f"The weather in town{i} is fine today.\nYou are a grumbly{i % 3} fool. People walk.") for i in range(400, 520)]
