@@ -215,6 +215,21 @@ def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return horses.join(found, ["blk", "nom"]).select("item_id", "line_no", "score")
 
 
+@query(
+    """with d as (select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
+    h as (select doc_id, list_filter(string_split_regex(replace(upper(trim(ls[-1])), 'ẞ', 'SS'), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 2) w from d),
+    l as (select doc_id, unnest(range(0, len(ls))) i, unnest(ls) line from d),
+    s as (select doc_id, i, len(list_filter(w, lambda x: contains(replace(upper(line), 'ẞ', 'SS') || ' 01:02.03', x))) score from h join l using (doc_id))
+    select doc_id, cast(i as int) line_no, cast(score as int) score from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, i) = 1"""
+)
+def match_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, each with a time; a document is a sheet, and its last line the name looked for."""
+    split = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    lines = split.select("doc_id", F.posexplode("ls").alias("line_no", "line")).withColumn("line", F.concat("line", F.lit(" 01:02.03")))
+    names = split.select("doc_id", F.element_at("ls", -1).alias("nom"))
+    return T.match_lines(names, lines, ["doc_id"]).select("doc_id", "line_no", "score")
+
+
 LINE = "format_string('PRIX %d - %dm  Souple (%d.%d) 400m - 800m %dm - ARR %d''%02d\"%02d %02d,%d km %02d:%02d.%02d %d,%02d', l_orderkey, 1000 + l_linenumber * 100, l_linenumber, l_linenumber, 800 + l_linenumber, l_linenumber, cast(l_quantity as int), cast(l_quantity as int), 40 + cast(l_quantity as int) % 50, l_linenumber % 10, l_linenumber % 60, cast(l_quantity as int), cast(l_quantity as int), 1000 + l_linenumber, cast(l_quantity as int))"
 Q = "cast(l_quantity as int)"
 

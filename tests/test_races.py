@@ -79,3 +79,12 @@ def test_programme_history_and_results(spark, tmp_path):
     assert (got[2]["resolved"], got[2]["num_course"], got[2]["code_hippo"]) == (False, None, None)
     (result,) = jobs.race_results_job(history).collect()
     assert result["horses"]["A"]["nb_courses_trackers"] == 0 and len(result["horses"]["A"]["historique"]) == 2
+
+
+def test_all_lines_are_matched(spark, tmp_path):
+    from furlong.plans import queries as Q
+
+    texts = {1: "a short line\nGRAND PRIX DU LAC\nprix du lac", 100_001: "\n".join(["nothing"] * 120_000 + ["the lac is far", "no more", "lac far"]), 8: "none\n", 9: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["line_no"], r["score"]) for r in Q.QUERIES["match_all_lines"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 100_001: (120_000, 2)}
