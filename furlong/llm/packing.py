@@ -11,67 +11,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.arrays import slices
-from furlong.llm.tokens import encoder
+from furlong.llm.tokens import SLICE_BYTES, encoder, ended
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, batch long"
+BATCH_TOKENS = 1 << 17
 
 
-def binary_lengths(n: int, longest: int) -> list[int]:
-    """n as a sum of powers of two, none above ``longest`` (itself a power of two), largest first."""
-    return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n >> k & 1]
+def binary_lengths(totals: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each total as a sum of powers of two, none above ``longest`` (itself one), largest first.
 
+    Returns the lengths, end to end, and the number of the total that each belongs to.
+    """
+    powers = np.array([1 << k for k in reversed(range(longest.bit_length()))], np.int64)
+    times = np.concatenate((totals[:, None] // longest, (totals[:, None] & powers[1:]) > 0), axis=1).astype(np.int64)
+    return np.repeat(np.tile(powers, len(totals)), times.ravel()), np.repeat(np.arange(len(totals)), times.sum(axis=1))
+
+
+class Buckets:
+    """Deal the sequences of one partition to batches of equal lengths: ``tokens`` ids to a batch, the last of a bucket may have fewer."""
+
+    def __init__(self, partition: int, tokens: int):
+        self.first, self.tokens = partition << 40, tokens
+        self.filled: dict[int, int] = {}
+
+    def deal(self, bucket: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bucket), np.int64)
+        for b in np.unique(bucket).tolist():
+            at = np.flatnonzero(bucket == b)
+            number = self.filled.get(b, 0) + np.arange(len(at))
+            self.filled[b] = int(number[-1]) + 1
+            out[at] = self.first + (b << 34) + number // max(1, self.tokens >> b)
+        return out
 
-def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1, ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1, ids: bool = True, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each document's ids, with the end id, into pieces of power-of-two lengths.
 
     Every piece is a sequence of its own: no padding, and no sequence crosses
     documents.  Pieces of one length form a bucket (its binary logarithm), from
-    which batches of equal lengths are drawn (see ``batches``).  Returns doc_id,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset (0), bucket and,
-    if asked for, ids.
+    which batches of about ``batch_tokens`` ids are drawn: all sequences of a
+    batch have one length.  Returns doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset (0), bucket, batch and, if asked for, ids.
 
     A null or empty text is the end id alone; a null id stays null; repeated
-    rows are packed each; an empty table gives no rows; other columns are not
-    read.  ``sequence_id`` is made of the partition's number and a count inside
-    it, so a partition that is computed again gets the same numbers.
+    rows are packed each; an empty table gives no rows; a text of any length is
+    encoded whole; other columns are not read, whatever their names.  Numbers of
+    sequences and batches are made of the partition's number and a count inside
+    it, so a partition that is computed again gets the same ones.
     """
     if longest < 1 or longest & longest - 1:
         raise ValueError("longest must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * ids)
+    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, number = encoder(vocabulary), TaskContext.get().partitionId() << 40
+        partition = TaskContext.get().partitionId()
+        coder, buckets, number = encoder(vocabulary), Buckets(partition, batch_tokens), partition << 40
         for batch in batches:
-            for part, _, _ in slices(batch, "text"):
-                out: list[tuple] = []
-                arrays = []
-                for doc, tokens in zip(part.column("id").to_pylist(), coder.encode(part.column("text").to_pylist(), end_id), strict=True):
-                    start, view, total = 0, memoryview(tokens), len(tokens) // 4
-                    for length in binary_lengths(total, longest):
-                        piece = view[4 * start : 4 * (start + length)]
-                        out.append((doc, start, length, zlib.crc32(piece), total, number, 0, length.bit_length() - 1))
-                        if ids:
-                            arrays.append(np.frombuffer(piece, "<i4"))
-                        start += length
-                        number += 1
-                columns = list(zip(*out, strict=True)) + [arrays] * ids
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
+            for part, _, _ in slices(batch, "text", SLICE_BYTES):
+                tokens, bounds = ended(*coder.encode(part.column("text")), end_id)
+                totals = np.diff(bounds)
+                lengths, owner = binary_lengths(totals, longest)
+                ends = np.cumsum(lengths)
+                view = memoryview(tokens).cast("B")
+                edges = [0, *(4 * ends).tolist()]
+                crc = np.fromiter((zlib.crc32(view[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)), np.int64, len(lengths))
+                bucket = np.frexp(lengths)[1].astype(np.int32) - 1
+                columns = [part.column("id").take(pa.array(owner)), ends - lengths - bounds[owner], lengths, crc, totals[owner], number + np.arange(len(lengths)), np.zeros(len(lengths), np.int64), bucket, buckets.deal(bucket)]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tokens.view(np.int32))))
+                number += len(lengths)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     return rows.mapInArrow(cut, PIECES + ", ids array<int>" * ids)
-
-
-def batches(packed: DataFrame, tokens: int = 1 << 17, seed: int = 0) -> DataFrame:
-    """Add ``batch``: a number shared by about ``tokens`` ids' worth of sequences of one bucket.
-
-    Sequences are dealt to the batches of their bucket by a hash, so no global
-    order is needed; counts of the few buckets are all that reaches the driver.
-    """
-    counts = {r["bucket"]: max(1, r["n"] * (1 << r["bucket"]) // tokens) for r in packed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    n = F.lit(1)
-    for bucket, many in counts.items():
-        n = F.when(F.col("bucket") == bucket, F.lit(many)).otherwise(n)
-    return packed.withColumn("batch", F.pmod(F.xxhash64("sequence_id", F.lit(seed)), n))

@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from furlong.llm.arrays import slices
 from furlong.llm.store import new_path, stored
-from furlong.llm.tokens import encoder
+from furlong.llm.tokens import SLICE_BYTES, encoder, ended
 
 # Fixed value: the constant added by the mask.
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = "<qqq"
 PAYLOAD_HEAD = "<qBB"
+SHARD_BYTES = 64 << 20
 SHARDS = "shard int, data string, index string, n_records long, n_tokens long"
 
 
@@ -63,19 +64,23 @@ def unframe(read) -> bytes | None:
     return body[:size]
 
 
-def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode documents and write them as record files in ascending order of id.
 
     Returns the table of shards: shard, data, index, n_records, n_tokens; the
-    shards' numbers ascend with the ids.  A null text is empty (the end id
-    alone); rows with a null id come first; rows with the same id are all
-    written, side by side; an empty table has no shards.  Other columns are not
-    read.  A task that is run again writes files of another name, and the table
-    names those of the run that counted.
+    shards' numbers ascend with the ids.  There are as many as the texts have
+    ``shard_bytes``, if their number isn't given.  A null text is empty (the end
+    id alone); rows with a null id come first; rows with the same id are all
+    written, side by side, in the order of a hash of their texts; a text of any length is
+    one record; an empty table has no shards.  Other columns are not read,
+    whatever their names.  A task that is run again writes files of another
+    name, and the table names those of the run that counted.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = shards or max(1, rows.rdd.getNumPartitions())
-    placed = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
+    n = shards or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    # One id may hold any share of the rows, so their texts part them too.
+    order = "id", F.xxhash64("text"), "text"
+    placed = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,21 +89,23 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
         coder, files, name = encoder(vocabulary), None, f"{shard:06d}-{uuid.uuid4().hex[:8]}"
         at = n_records = n_tokens = 0
         for batch in batches:
-            for part, _, _ in slices(batch, "text"):
+            for part, _, _ in slices(batch, "text", SLICE_BYTES):
                 if files is None:
                     fs, base = pafs.FileSystem.from_uri(path)
                     fs.create_dir(base, recursive=True)
                     files = fs.open_output_stream(f"{base}/{name}.records"), fs.open_output_stream(f"{base}/{name}.index")
                 frames, entries = [], []
-                for doc, ids in zip(part.column("id").to_pylist(), coder.encode(part.column("text").to_pylist(), end_id), strict=True):
-                    ids = np.frombuffer(ids, "<u4")
-                    width = 2 if ids.max() < 1 << 16 else 4
-                    record = frame(struct.pack(PAYLOAD_HEAD, doc or 0, doc is not None, width) + ids.astype(f"<u{width}").tobytes())
-                    entries.append(struct.pack(INDEX_ENTRY, doc or 0, at, len(ids)))
+                ids, bounds = ended(*coder.encode(part.column("text")), end_id)
+                width = 2 if ids.max() < 1 << 16 else 4
+                view = memoryview(ids.astype(f"<u{width}")).cast("B")
+                bounds = bounds.tolist()
+                for doc, i, j in zip(part.column("id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    record = frame(struct.pack(PAYLOAD_HEAD, doc or 0, doc is not None, width) + view[width * i : width * j])
+                    entries.append(struct.pack(INDEX_ENTRY, doc or 0, at, j - i))
                     frames.append(record)
                     at += len(record)
                     n_records += 1
-                    n_tokens += len(ids)
+                    n_tokens += j - i
                 files[0].write(b"".join(frames))
                 files[1].write(b"".join(entries))
         if files is not None:

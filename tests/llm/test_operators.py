@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,14 +31,29 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def test_tokens_equal_the_library():
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_tokens_equal_the_library(ordinary):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.vocabulary())
-    plain.encode_special_tokens = True
-    texts = [t or "" for _, t in TEXTS] + ["a  b", "a   b", "a\n\n\nb ", " lead", "trail ", "it's, he'd.", "x  y", "<|endoftext|>", "a\x01b c", "\n", "a \n b", "1,000.5 ok?!", "a\r\nb", "ß. ǅ,"]
-    for text, ids in zip(texts, tokens.Encoder(tokens.vocabulary()).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    plain.encode_special_tokens = ordinary
+    texts = [t or "" for _, t in TEXTS] + ["a  b", "a   b", "a\n\n\nb ", " lead", "trail ", "it's, he'd.", "x  y", "<|endoftext|>", "see <|endoftext|> here, and<|endoftext|>.", "a\x01b c", "\n", "a \n b", "1,000.5 ok?!", "a\r\nb", "ß. ǅ,", "a\u00a0 b\u00a0", " \u00a0x", "a\x85\x85\x85b", "(half) \"said\" -- x's'", "²³. 中文。, ½!", " . , ", "word''s 'll"]
+    coder = tokens.Encoder(tokens.vocabulary(), ordinary)
+    for some in (texts, texts[::-1], [*texts, None]):
+        ids, bounds = coder.encode(pa.array(some, pa.string()))
+        for text, i, j in zip(some, bounds[:-1], bounds[1:], strict=True):
+            assert ids[i:j].tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_tokens_when_pieces_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    plain, coder = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
+    for k in range(12):
+        texts = [" ".join(f"w{(k * 7 + i) % 40}x{i % 3}." for i in range(30)), "and so on, " * k]
+        ids, bounds = coder.encode(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t).ids for t in texts]
 
 
 def test_records_round_trip(spark, docs, empty):
@@ -54,14 +70,25 @@ def test_records_round_trip(spark, docs, empty):
 
 
 def test_packing(docs, empty):
-    got = packing.pack(docs, tokens.vocabulary(), longest=64).collect()
-    assert len({r["sequence_id"] for r in got}) == len(got) and all(r["length"] & r["length"] - 1 == 0 and r["length"] == len(r["ids"]) and r["offset"] == 0 for r in got)
+    got = packing.pack(docs, tokens.vocabulary(), longest=64, batch_tokens=128).collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) and all(r["length"] & r["length"] - 1 == 0 and r["length"] == len(r["ids"]) == 1 << r["bucket"] and r["offset"] == 0 for r in got)
     for i in (1, 4, 8, 9):
         own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"] and own[-1]["ids"][-1] == 1 and [r["start"] for r in own] == np.cumsum([0] + [r["length"] for r in own])[:-1].tolist()
+    # A batch has sequences of one length, and all but the last of a bucket in a partition are full.
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch"], []).append(r["length"])
+    assert all(len(set(x)) == 1 and sum(x) <= 128 for x in batches.values()) and any(sum(x) == 128 for x in batches.values())
     assert packing.pack(empty, tokens.vocabulary()).count() == 0
 
 
+def test_binary_lengths():
+    totals = np.array([1, 64, 65, 200, 63])
+    lengths, owner = packing.binary_lengths(totals, 64)
+    assert lengths[owner == 3].tolist() == [64, 64, 64, 8] and np.bincount(owner, lengths).tolist() == totals.tolist() and lengths[owner == 4].tolist() == [32, 16, 8, 4, 2, 1]
+
+
 def test_minhash(docs, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
     sets = {}
