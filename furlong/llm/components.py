@@ -13,13 +13,14 @@ from furlong.llm.store import drop, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Component of each end of the given edges (a, b): columns id, component (its smallest id).
+    """Component of each end of the given edges (a, b): a stored table of id, component (its smallest id).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each
     joins a node's neighbours to the least of them, first the larger ones, then
     the smaller ones, until every tree is a star.  Minima are taken by partial
-    aggregates, so a node with very many neighbours is no bottleneck.  Loops and
-    null ends are dropped; no edges give no rows.
+    aggregates.  The joins have one row for a node on their other side, so Spark
+    can split the rows of a node with very many neighbours between tasks.  Loops
+    and null ends are dropped; no edges give no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "edges")
     while True:
@@ -35,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not ends.groupBy("id").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child > 1 or child = 1 and root = 1").limit(1).count():
             break
     roots = now.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct()
-    return now.select(F.col("x").alias("id"), F.col("y").alias("component")).union(roots)
+    out = stored(now.select(F.col("x").alias("id"), F.col("y").alias("component")).union(roots), "components")
+    drop(now)
+    return out
 
 
 MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
@@ -43,34 +46,75 @@ MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
 
 SMALL = 64
 """Rows of a bucket that are compared with each other while it is read."""
+WIDER = 8
 
 
-def partnered(bucket: np.ndarray, sig: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Marks of the rows to keep of a sorted batch: those with a near row in their bucket.
+def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs of ids with near sigs that share a bucket: bucket, id, sig, head, head_sig, big.
 
-    Buckets of more than ``SMALL`` rows, and those at the ends of the batch,
-    which may go on in others, are kept whole.
+    Rows (bucket, id, sig) are sorted by bucket and read as a stream.  In buckets
+    of up to ``SMALL`` ids all pairs are compared, and head is the other id of a
+    near one.  All members of larger buckets are returned, with big set and the
+    bucket's least id as head, for ``bucket_links``.  Rows that repeat a bucket
+    and an id count once.
     """
-    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    lengths = np.diff(np.append(starts, len(bucket)))
-    small = np.repeat(lengths, lengths) <= SMALL
-    small[: lengths[0]] = small[len(bucket) - lengths[-1] :] = False
-    marks = ~small
-    for k in range(1, SMALL):
-        at = np.flatnonzero(small[k:] & (bucket[k:] == bucket[:-k]))
-        if not len(at):
-            break
-        at = at[near(sig[at], sig[at + k])]
-        marks[at] = marks[at + k] = True
-    return marks
+    names = ["bucket", "id", "sig", "head", "head_sig", "big"]
+
+    def out(columns: list[np.ndarray], big: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(np.full(len(columns[0]), big))], names)
+
+    def small_pairs(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(1, SMALL):
+            at = np.flatnonzero(bucket[k:] == bucket[:-k])
+            if not len(at):
+                return
+            at = at[near(sig[at], sig[at + k])]
+            if len(at):
+                yield out([bucket[at], ids[at + k], sig[at + k], ids[at], sig[at]], False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        head = None  # bucket, id and sig of the head of a large bucket that goes on
+        for batch in _with_end(batches):
+            bucket, ids, sig = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=False))
+            if not len(bucket):
+                continue
+            new = np.ones(len(bucket), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])
+            bucket, ids, sig = bucket[new], ids[new], sig[new]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            lengths = np.diff(np.append(starts, len(bucket)))
+            large = lengths > SMALL
+            large[0] |= head is not None and head[0] == bucket[0]
+            heads = [x[starts] for x in (ids, sig)]
+            if head is not None and head[0] == bucket[0]:
+                heads[0][0], heads[1][0] = head[1:]
+            # The last bucket may go on in the next batch.
+            open_end = batch is not None and not large[-1]
+            end = starts[-1] if open_end else len(bucket)
+            big = np.repeat(large, lengths)
+            at = np.flatnonzero(big[:end])
+            if len(at):
+                group = np.repeat(np.arange(len(starts)), lengths)[at]
+                yield out([bucket[at], ids[at], sig[at], heads[0][group], heads[1][group]], True)
+            at = np.flatnonzero(~big[:end])
+            yield from small_pairs(bucket[at], ids[at], sig[at])
+            head = (bucket[-1], heads[0][-1], heads[1][-1]) if large[-1] else None
+            held = [x[end:] for x in (bucket, ids, sig)]
 
+    placed = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
+    return placed.mapInArrow(run, MEMBERS + ", big boolean")
 
-def colliding(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def colliding(members: DataFrame) -> DataFrame:
     """Members (bucket, id, sig) of buckets with two rows or more, with the least id of the bucket as head.
 
     Rows are sorted by bucket and read as a stream, whatever a bucket's size.
-    Where a true link needs ``near`` sigs, rows of small buckets without a near
-    one are left out: chance puts more of them together the more rows there are.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +124,6 @@ def colliding(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.nd
             bucket, ids, sig = (batch.column(c).to_numpy() for c in ("bucket", "id", "sig"))
             if not len(bucket):
                 continue
-            if near is not None:
-                marks = partnered(bucket, sig, near)
-                bucket, ids, sig = bucket[marks], ids[marks], sig[marks]
             new = np.concatenate(([bucket[0] != last], bucket[1:] != bucket[:-1]))
             first = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), -1))
             carried = first < 0
@@ -109,18 +150,19 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     members: a stored result of ``colliding``.  screen: a cheap condition on two
     sigs.  confirm: from pairs (a, b) to those truly linked.
 
-    First every bucket's head is compared with its other members.  Then, in
-    each round, another member is compared with all that are not in its
-    component yet: first the one whose buckets hold most rows, since the text
-    that others were copied from meets each of them most often, then any one.
-    A bucket of n members costs n comparisons a round, and a group of copies is
-    joined in a round or two.  When a round adds few
-    links, or the pairs still open are few against the members, all those pairs
-    are compared, so no link between components is lost, whatever the buckets'
-    sizes.  Where an exact way is known to leave out pairs that cannot be linked,
-    it is given as finish: from the open buckets' rows (id, sig, comp) to pairs
-    (id, b), among them all true links between components.
+    First every bucket's head is compared with its other members, then the
+    member whose buckets hold most rows, since the text that others were copied
+    from meets each of them most often: a group of copies is joined by then.
+    Members of one component are not compared again.  What is still open goes
+    to ``finish``, where an exact way is known that leaves out pairs which cannot
+    be linked: from the open buckets' rows (id, sig, comp) to pairs (id, b), among
+    them all true links between components.  Without it, each round compares
+    ``WIDER`` times as many members of a bucket as the one before with those that
+    are in other components, until no pair is open: every pair of a bucket that
+    lies in two components is compared in the end, in as many rounds as the
+    logarithm of the bucket's size.
     """
+
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs")
         new = stored(confirm(pairs), "links")
@@ -129,35 +171,32 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
 
     others = members.where("id <> head")
     links = linked(others.where(screen(F.col("sig"), F.col("head_sig"))).withColumnRenamed("head", "b"))
-    size = others.count()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     degree = stored(members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
-    number, grown = 0, True
+    others = stored(others.select("bucket", "id", "sig").join(degree, "id"), "others")
+    drop(degree)
+    number, many = 0, 1
     while True:
         # Buckets of two are done with; so are those that lie in one component.
-        comp = stored(components(links), "labels")
-        now = stored(others.join(comp, "id", "left").join(degree, "id").select("bucket", "id", "sig", "degree", F.coalesce("component", "id").alias("comp")), "labelled")
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if not left:
+        comp = components(links)
+        now = others.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        state = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+        now = stored(now.join(state, "bucket", "left_semi"), "open")
+        drop(comp, others)
+        if not now.limit(1).count():
             drop(now)
-            break
-        whole = left <= size / 10 or not grown
-        if whole and finish is not None:
-            open_buckets = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-            pairs = finish(now.join(open_buckets, "bucket", "left_semi").select("id", "sig", "comp").distinct())
-        elif whole:
-            other = now.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b"))
-            pairs = now.join(other, "bucket").where("comp < comp_b")
-        else:
-            number += 1
-            rank = F.struct(-F.col("degree"), F.col("id")) if number == 1 else F.struct(F.xxhash64("id", F.lit(number)), F.col("id"))
-            heads = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), rank).alias("h")).select("bucket", "h.*")
-            pairs = now.join(heads, "bucket").where("comp <> comp_b")
-        new = linked(pairs if whole and finish is not None else pairs.where(screen(F.col("sig"), F.col("sig_b"))))
-        grown = new.count() > size / 100
-        links = links.union(new)
-        drop(now)
-        if whole:
-            break
-    return links
+            return links
+        number += 1
+        if finish is not None and number > 1:
+            new = linked(finish(now.select("id", "sig", "comp").distinct()))
+            drop(now)
+            return links.union(new)
+        # The most met member, later some by hash.
+        rank = F.struct(-F.col("degree"), F.col("id")) if number == 1 else F.struct(F.xxhash64("id", F.lit(number)), F.col("id"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(many)).alias("slot")
+        best = F.min_by(F.struct(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("comp").alias("comp_b")), rank).alias("h")
+        heads = stored(now.groupBy("bucket", slot).agg(best).select("bucket", "h.*"), "pivots")
+        links = links.union(linked(now.join(heads, "bucket").where("comp <> comp_b").where(screen(F.col("sig"), F.col("sig_b")))))
+        others = stored(now.drop("comp").join(heads.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti"), "others")
+        drop(now, heads)
+        many *= WIDER
