@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
 DEFAULT_OFFSET_MS = 3_600_000
+# Disciplines of trot races.
 TROT = ("TROT_ATTELE", "TROT_MONTE", "ATTELE", "MONTE")
 # Venue names and codes, in the order in which they are tried.
 VENUES = (
@@ -97,9 +98,12 @@ def venue_matches(hint: Column, code: Column, long_name: Column, short_name: Col
 
 def name_score(query: Column, label: Column, short_label: Column) -> Column:
     """100 for equal names, 80 or 70 for one inside the other, else 40 and 10 for each word in common."""
-    q, long, short = norm_name(query), norm_name(label), norm_name(short_label)
-    words = tokens(label, 3)
-    common = F.size(F.filter(tokens(query, 3), lambda m: F.exists(words, lambda w: contains(w, m) | contains(m, w))))
+    return prepared_score(norm_name(query), tokens(query, 3), norm_name(label), norm_name(short_label), tokens(label, 3))
+
+
+def prepared_score(q: Column, q_words: Column, long: Column, short: Column, words: Column) -> Column:
+    """``name_score`` of names that are normalised, and cut to words, beforehand."""
+    common = F.size(F.filter(q_words, lambda m: F.exists(words, lambda w: contains(w, m) | contains(m, w))))
     return (
         F.when((q == long) | (q == short), 100).when(contains(long, q) | contains(q, long), 80).when(contains(short, q) | contains(q, short), 70).when(common > 0, 40 + 10 * common).otherwise(0)
     )

@@ -6,6 +6,8 @@ how rows were spread; rounding is half to even.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,26 +67,28 @@ def section_durations(cumulative: Column) -> Column:
     return F.transform(cumulative, lambda t, i: F.when(i == 0, t).otherwise(F.bround(t - F.get(cumulative, i - 1), 2)))
 
 
-def clean_times(times: Column, official: Column) -> Column:
+def clean_times(times: Column, official: Column, kind: str = "double", seconds: Callable[[Column], Column] = lambda t: t) -> Column:
     """Fold over raw times: struct kept, t600.
 
     The official time itself is dropped; a time below 0.7 of the last one kept
-    is that of the last 600 m; the others are kept.
+    is that of the last 600 m; the others are kept.  Times may be structs of a
+    kind, of which ``seconds`` takes the seconds.
     """
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(None).cast("double").alias("t600"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(None).cast(kind).alias("t600"))
 
     def step(s: Column, t: Column) -> Column:
         kept = s["kept"]
-        final = F.coalesce((official != 0) & (F.abs(t - official) < 0.1), F.lit(False))
-        short = (F.size(kept) > 0) & (t < F.get(kept, F.size(kept) - 1) * 0.7)
+        final = F.coalesce((official != 0) & (F.abs(seconds(t) - official) < 0.1), F.lit(False))
+        short = (F.size(kept) > 0) & (seconds(t) < seconds(F.get(kept, F.size(kept) - 1)) * 0.7)
         return F.when(final, s).when(short, F.struct(kept.alias("kept"), t.alias("t600"))).otherwise(F.struct(F.concat(kept, F.array(t)).alias("kept"), s["t600"].alias("t600")))
 
     return F.aggregate(times, start, step)
 
 
 def merge_sections(n: Column, text: Column, geometry: Column) -> Column:
-    """A value for each of n sections: from the geometry where it has one, else from the text."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.get(geometry, i), F.get(text, i)))
+    """A value for each of n sections: from the geometry where it has one, else from the text; none for no sections."""
+    merged = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.get(geometry, i), F.get(text, i)))
+    return F.slice(merged, F.lit(1), n)
 
 
 def merged_series(text: Column, geometry: Column) -> Column:

@@ -1,76 +1,127 @@
-"""Values in the text of a timing sheet: header, labels, times, detail rows."""
+"""Values in the text of a timing sheet: header, labels, times, detail rows.
+
+Patterns know Unicode digits, blanks and cases, which is slow; a text of ASCII
+alone gives the same matches with the plain classes, so it is read with those.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of the sheets' format.
-TIME = r"(?U)(\d{2}):(\d{2})\.(\d{2})"
-OFFICIAL = "(?U)(\\d+)['’](\\d{2})\"{1,2}(\\d{2})"
-REDK = "(?U)redk\\s*:?\\s*(\\d+)[’'](\\d{2})[”\"](\\d{2})"
-LABELS = "(?iuU)(DEP\\s*[-–]\\s*\\d+m|\\d+m\\s*[-–]\\s*\\d+m|\\d+m\\s*[-–]\\s*ARR)"
-GOING = r"(?iuU)(Bon|Souple|Lourd|Très lourd|Léger)[^(]*\(([\d.]+)\)"
-DISTANCE = r"(?U)(\d{3,5})\s*m"
+# Patterns of the sheets' format, without flags.
+TIME = r"(\d{2}):(\d{2})\.(\d{2})"
+OFFICIAL = "(\\d+)['’](\\d{2})\"{1,2}(\\d{2})"
+REDK = "redk\\s*:?\\s*(\\d+)[’'](\\d{2})[”\"](\\d{2})"
+LABELS = r"(DEP\s*[-–]\s*\d+m|\d+m\s*[-–]\s*\d+m|\d+m\s*[-–]\s*ARR)"
+GOING = r"(Bon|Souple|Lourd|Très lourd|Léger)[^(]*\(([\d.]+)\)"
+DISTANCE = r"(\d{3,5})\s*m"
+LINE_SPEED = r"(\d{2,3}[.,]\d)\s*km"
+LINE_DISTANCE = r"(\d{3,5})[,.](\d{2})\s*$"
+MAX_SPEED = r"Vitesse maximale\s+([\d,\.]+)"
+MEAN_SPEED = r"Vitesse moyenne\s+([\d,\.]+)\s*$"
+FASTEST = r"Tronçon le plus rapide\s+([\d:,.]+)\s+\(tronçon ([^)]+)\)"
+ROW_NUMBER = r"(\d{1,3}(?:[,.]\d)?)"
 SPEED_ROW = r"Vitesse moyenne\s*\(km/h\)"
 POSITION_ROW = r"Position\s*en course"
 STRIDE_ROW = r"Nombre de foulées"
 
 
-def group(text: Column, pattern: str, n: int = 1) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def either(text: Column, f: Callable[[str], Column], flags: str = "") -> Column:
+    """f of the flags for a text: none but the given ones if it is ASCII, with Unicode classes and cases if not."""
+    return F.when(F.octet_length(text) == F.length(text), f(f"(?{flags})" if flags else "")).otherwise(f(f"(?{flags}{'u' if 'i' in flags else ''}U)"))
+
+
+def group(text: Column, pattern: str, n: int = 1, flags: str = "") -> Column:
     """A group of the first match; null if there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
+    return F.nullif(either(text, lambda start: F.regexp_extract(text, start + pattern, n), flags), F.lit(""))
+
+
+def all_groups(text: Column, pattern: str, n: int = 1, flags: str = "") -> Column:
+    """A group of every match."""
+    return either(text, lambda start: F.regexp_extract_all(text, F.lit(start + pattern), F.lit(n)), flags)
 
 
 def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def clock(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Minutes, seconds and hundredths as text m'ss"cc and as seconds."""
-    m, s, c = (group(text, pattern, i).try_cast("int") for i in (1, 2, 3))
-    return F.when(m.isNotNull(), F.format_string("%d'%02d\"%02d", m, s, c)), F.bround(m * 60 + s + c / F.lit(100.0), 2)
+def clock(text: Column, pattern: str) -> Column:
+    """Struct text (m'ss"cc) and sec of the first match; nulls if there is none."""
+
+    def parts(match: Column) -> Column:
+        m, s, c = (F.regexp_extract(match, "(?U)" + pattern, i).try_cast("int") for i in (1, 2, 3))
+        return F.struct(F.when(m.isNotNull(), F.format_string("%d'%02d\"%02d", m, s, c)).alias("text"), F.bround(m * 60 + s + c / F.lit(100.0), 2).alias("sec"))
+
+    # The text is searched once; the groups are taken from the match.
+    return let(F.coalesce(group(text, pattern, 0), F.lit("")), parts)
 
 
 def official_time(line: Column) -> tuple[Column, Column]:
-    return clock(line, OFFICIAL)
+    found = clock(line, OFFICIAL)
+    return found["text"], found["sec"]
 
 
 def line_max_speed(line: Column) -> Column:
-    return number(group(line, r"(?iuU)(\d{2,3}[.,]\d)\s*km"))
+    return number(group(line, LINE_SPEED, 1, "i"))
 
 
 def line_distance(line: Column) -> Column:
-    stripped = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-    pattern = r"(?U)(\d{3,5})[,.](\d{2})$"
-    return F.concat(group(stripped, pattern, 1), F.lit("."), group(stripped, pattern, 2)).try_cast("double")
+    """Metres at the end of a line; the last digits are the decimals."""
+    return let(F.coalesce(group(line, LINE_DISTANCE, 0), F.lit("")), lambda m: F.concat_ws(".", *(F.nullif(F.regexp_extract(m, "(?U)" + LINE_DISTANCE, i), F.lit("")) for i in (1, 2)))).try_cast("double")
+
+
+def seconds(time: Column) -> Column:
+    """Seconds of mm:ss.cc."""
+    return F.bround(F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int") + F.substring(time, 7, 2).cast("int") / F.lit(100.0), 2)
+
+
+def time_texts(line: Column) -> Column:
+    """All mm:ss.cc on a line."""
+    return all_groups(line, TIME, 0)
 
 
 def line_times(line: Column) -> Column:
     """Seconds of all mm:ss.cc on a line."""
-    return F.transform(F.regexp_extract_all(line, F.lit(TIME), F.lit(0)), lambda t: F.bround(F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 4, 2).cast("int") + F.substring(t, 7, 2).cast("int") / F.lit(100.0), 2))
+    return F.transform(time_texts(line), seconds)
+
+
+def going(line: Column) -> Column:
+    """Struct terrain and penetrometre of the first match; nulls if there is none."""
+    take = lambda m, i: F.nullif(F.regexp_extract(m, "(?iuU)" + GOING, i), F.lit(""))
+    return let(F.coalesce(group(line, GOING, 0, "i"), F.lit("")), lambda m: F.struct(take(m, 1).alias("terrain"), take(m, 2).try_cast("double").alias("penetrometre")))
 
 
 def section_labels(line: Column) -> Column:
     """Labels of the sections if a line has two or more; blanks removed."""
-    found = F.regexp_extract_all(line, F.lit(LABELS), F.lit(1))
-    return F.when(F.size(found) >= 2, F.transform(found, lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("–"), F.lit("-"))))
+    return let(all_groups(line, LABELS, 1, "i"), lambda found: F.when(F.size(found) >= 2, F.transform(found, lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("–"), F.lit("-")))))
 
 
 def labelled_times(times: Column, labels: Column) -> Column:
-    return F.transform(times, lambda t, i: F.struct((i + 1).alias("index"), F.coalesce(F.get(labels, i), F.concat(F.lit("T"), (i + 1).cast("string"))).alias("label"), t.alias("temps_sec")))
+    """Structs index, label, temps and temps_sec of the texts of times; T and the index where there is no label."""
+    return F.transform(times, lambda t, i: F.struct((i + 1).alias("index"), F.coalesce(F.get(labels, i), F.concat(F.lit("T"), (i + 1).cast("string"))).alias("label"), t.alias("temps"), seconds(t).alias("temps_sec")))
+
+
+LABELLED = "struct<index: int, label: string, temps: string, temps_sec: double>"
 
 
 def row_values(page: Column, label: str) -> Column:
     """Numbers on the line after the one that has the label."""
     row = F.regexp_extract(page, label + r"[^\n]*\n([^\n]+)", 1)
-    return F.transform(F.regexp_extract_all(row, F.lit(r"(?U)(\d{1,3}(?:[,.]\d)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
+    return F.transform(let(row, lambda x: all_groups(x, ROW_NUMBER)), number)
 
 
 def detail_scalars(page: Column) -> list[Column]:
-    redk, redk_sec = clock(page, REDK)
-    fastest = r"(?U)Tronçon le plus rapide\s+([\d:,.]+)\s+\(tronçon ([^)]+)\)"
+    redk = clock(page, REDK)
+    fastest = let(F.coalesce(group(page, FASTEST, 0), F.lit("")), lambda m: F.struct(*(F.nullif(F.regexp_extract(m, "(?U)" + FASTEST, i), F.lit("")).alias(n) for i, n in ((1, "time"), (2, "label")))))
     return [
-        redk.alias("redk"), redk_sec.alias("redk_sec"), number(group(page, r"(?U)Vitesse maximale\s+([\d,\.]+)")).alias("vitesse_max_kmh"),
-        number(group(page, r"(?Umd)Vitesse moyenne\s+([\d,\.]+)\s*$")).alias("vitesse_moyenne_kmh"), group(page, fastest, 1).alias("troncon_plus_rapide"), F.trim(group(page, fastest, 2)).alias("troncon_plus_rapide_label"),
+        redk["text"].alias("redk"), redk["sec"].alias("redk_sec"), number(group(page, MAX_SPEED)).alias("vitesse_max_kmh"), number(group(page, MEAN_SPEED, 1, "md")).alias("vitesse_moyenne_kmh"),
+        fastest["time"].alias("troncon_plus_rapide"), F.trim(fastest["label"]).alias("troncon_plus_rapide_label"),
     ]

@@ -118,9 +118,12 @@ def resolve_races(lookups: DataFrame, races: DataFrame, day: str = "day", prize:
     meetings = races.select(*venue, "code", "long_name", "short_name").distinct()
     asked = lookups.select(day, prize, hint).distinct()
     hints = asked.select(day, hint).distinct().join(meetings, day).where(S.venue_matches(F.col(hint), F.col("code"), F.col("long_name"), F.col("short_name"))).select(day, F.coalesce(hint, F.lit("")).alias("__hint"), "reunion_pos").distinct()
-    asked = asked.withColumn("__hint", F.coalesce(hint, F.lit("")))
-    pairs = asked.join(hints, [day, "__hint"]).join(races, venue)
-    scored = pairs.withColumn("score", S.name_score(F.col(prize), F.col("label"), F.col("short_label"))).where(F.col("score") >= threshold)
+    # Names are normalised and cut to words once on either side, not for every pair.
+    asked = asked.withColumns({"__hint": F.coalesce(hint, F.lit("")), "__q": S.norm_name(F.col(prize)), "__qw": S.tokens(F.col(prize), 3)})
+    ready = races.withColumns({"__l": S.norm_name(F.col("label")), "__s": S.norm_name(F.col("short_label")), "__lw": S.tokens(F.col("label"), 3)})
+    pairs = asked.join(hints, [day, "__hint"]).join(ready, venue)
+    score = S.prepared_score(*(F.col(c) for c in ("__q", "__qw", "__l", "__s", "__lw")))
+    scored = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     kept = [c for c in races.columns if c != day]
     best = scored.groupBy(day, prize, hint).agg(F.max_by(F.struct("score", *kept), F.struct("score", -F.col("reunion_pos"), -F.col("course_pos"))).alias("b"))
     return best.select(day, prize, hint, "b.*")

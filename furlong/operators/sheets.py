@@ -24,7 +24,7 @@ def hits(text, words):
 
 def match_lines(horses: DataFrame, lines: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
     """The line with a time that has most words of the horse's name, the first of equals: keys, name, line_no, line, score."""
-    timed = lines.where(F.col("line").rlike(X.TIME))
+    timed = lines.where(X.either(F.col("line"), lambda start: F.col("line").rlike(start + X.TIME)))
     asked = horses.select(*keys, name).distinct().withColumn("__words", S.tokens(F.col(name), 2))
     scored = asked.join(timed, keys).withColumn("score", hits(F.col("line"), F.col("__words"))).where("score > 0")
     return scored.groupBy(*keys, name).agg(F.max_by(F.struct("line_no", "line", "score"), F.struct("score", -F.col("line_no"))).alias("b")).select(*keys, name, "b.*")
@@ -40,10 +40,9 @@ def match_pages(horses: DataFrame, pages: DataFrame, keys: list[str], name: str
 
 def sheet_header(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Distance (first), going and penetrometer (last) and labels (first) in the first 30 lines."""
-    top = lines.where("line_no < 30").select(
-        *keys, "line_no", X.group(F.col("line"), X.DISTANCE).try_cast("int").alias("d"), X.group(F.col("line"), X.GOING, 1).alias("g"),
-        X.group(F.col("line"), X.GOING, 2).try_cast("double").alias("p"), X.section_labels(F.col("line")).alias("l"),
-    )
+    line = F.col("line")
+    top = lines.where("line_no < 30").select(*keys, "line_no", X.group(line, X.DISTANCE).try_cast("int").alias("d"), X.going(line).alias("going"), X.section_labels(line).alias("l"))
+    top = top.select("*", F.col("going.terrain").alias("g"), F.col("going.penetrometre").alias("p"))
     first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("line_no")))
     return top.groupBy(*keys).agg(
         first("d", F.col("d") > 0).alias("distance_m"), F.max_by("g", F.when(F.col("g").isNotNull(), F.col("line_no"))).alias("terrain"),
@@ -80,31 +79,26 @@ def extract_tracking(horses: DataFrame, pages: DataFrame, words: DataFrame, keys
     detail = detail.join(geometry_positions(words, page), page, "left").join(geometry_speeds(words, page), page, "left").drop("page_no")
     rows = found.join(detail, [*keys, name], "left")
     official, official_sec = X.official_time(F.col("line"))
-    none = F.array().cast("array<double>")
+    none, no_ints = F.array().cast("array<double>"), F.array().cast("array<int>")
     rows = rows.withColumns({"temps_officiel": official, "temps_officiel_sec": official_sec, "vitesse_max_ligne": X.line_max_speed(F.col("line")), "distance_parcourue": X.line_distance(F.col("line"))})
-    raw = X.labelled_times(X.line_times(F.col("line")), F.coalesce("labels", F.array().cast("array<string>")))
-    rows = rows.withColumn("__raw", raw)
-    kept = F.aggregate(
-        "__raw", F.struct(F.array().cast("array<struct<index: int, label: string, temps_sec: double>>").alias("kept"), F.lit(None).cast("double").alias("t600")),
-        lambda s, t: F.when(F.coalesce((F.col("temps_officiel_sec") != 0) & (F.abs(t["temps_sec"] - F.col("temps_officiel_sec")) < 0.1), F.lit(False)), s)
-        .when((F.size(s["kept"]) > 0) & (t["temps_sec"] < F.get(s["kept"], F.size(s["kept"]) - 1)["temps_sec"] * 0.7), F.struct(s["kept"].alias("kept"), t["temps_sec"].alias("t600")))
-        .otherwise(F.struct(F.concat(s["kept"], F.array(t)).alias("kept"), s["t600"].alias("t600"))),
-    )
-    rows = rows.withColumn("__fold", kept)
+    raw = X.labelled_times(X.time_texts(F.col("line")), F.coalesce("labels", F.array().cast("array<string>")))
+    rows = rows.withColumn("__fold", V.clean_times(raw, F.col("temps_officiel_sec"), X.LABELLED, lambda t: t["temps_sec"]))
     text = {n: F.coalesce(X.row_values(F.col("text"), p), none) for n, p in (("v", X.SPEED_ROW), ("p", X.POSITION_ROW), ("f", X.STRIDE_ROW))}
     rows = rows.withColumns({
         "__dur": V.section_durations(F.col("__fold.kept.temps_sec")), "__v": text["v"], "__p": F.transform(text["p"], lambda x: x.cast("int")), "__f": F.transform(text["f"], lambda x: x.cast("int")),
-        "__gp": F.coalesce("positions", F.array().cast("array<int>")), "__gv": F.coalesce("vitesses", none),
+        "__gp": F.coalesce("positions", no_ints), "__gv": F.coalesce("vitesses", none),
     })
+    n = F.size("__fold.kept")
+    rows = rows.withColumns({"__mv": V.merge_sections(n, F.col("__v"), F.col("__gv")), "__mp": V.merge_sections(n, F.col("__p"), F.col("__gp"))})
     sections = F.transform(
         "__fold.kept",
         lambda t, i: F.struct(
-            (i + 1).alias("index"), t["label"].alias("label"), V.duration_text(F.get("__dur", i)).alias("temps"), F.get("__dur", i).alias("temps_sec"), t["temps_sec"].alias("cumul_sec"),
-            F.coalesce(F.get("__gv", i), F.get("__v", i)).alias("vitesse_kmh"), F.coalesce(F.get("__gp", i), F.get("__p", i)).alias("position"), F.get("__f", i).alias("foulees"),
+            (i + 1).alias("index"), t["label"].alias("label"), V.duration_text(F.get("__dur", i)).alias("temps"), F.get("__dur", i).alias("temps_sec"), t["temps"].alias("cumul"), t["temps_sec"].alias("cumul_sec"),
+            F.get("__mv", i).alias("vitesse_kmh"), F.get("__mp", i).alias("position"), F.get("__f", i).alias("foulees"),
         ),
     )
     rows = rows.withColumns({"troncons": sections, "positions_troncons": V.merged_series(F.col("__p"), F.col("__gp")), "vitesses_troncons": V.merged_series(F.col("__v"), F.col("__gv"))})
     rows = rows.select("*", *X.detail_scalars(F.col("text")), *V.indicators(F.col("positions_troncons"), F.col("vitesses_troncons")))
-    rows = rows.withColumns({"vitesse_max_kmh": F.coalesce("vitesse_max_kmh", "vitesse_max_ligne"), "temps_600m_sec": F.col("__fold.t600")})
+    rows = rows.withColumns({"vitesse_max_kmh": F.coalesce("vitesse_max_kmh", "vitesse_max_ligne"), "temps_600m": F.col("__fold.t600.temps"), "temps_600m_sec": F.col("__fold.t600.temps_sec")})
     inside = [c for c in rows.columns if c not in (*keys, name, "line", "text", "positions", "vitesses", "labels", "vitesse_max_ligne") and not c.startswith("__")]
     return rows.select(*keys, name, F.struct(*inside).alias("tracking"))

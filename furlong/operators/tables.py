@@ -22,8 +22,13 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def pick_source(df: DataFrame, key: str, priority: str, valid: Column) -> DataFrame:
-    """The valid row of the least priority of each key."""
-    return dedupe_first(df.where(valid), [key], [priority])
+    """The valid row of the least priority of each key.
+
+    Keys alone are compared, so whole documents are not sorted; a source has one
+    row for a key.
+    """
+    good = df.where(valid)
+    return good.join(good.groupBy(key).agg(F.min(priority).alias(priority)), [key, priority], "left_semi").select(*df.columns)
 
 
 def collect_series(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:

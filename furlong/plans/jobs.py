@@ -28,7 +28,7 @@ def card_job(performances: DataFrame, participants: DataFrame, races: DataFrame)
 
 
 def candidates(programmes: DataFrame) -> DataFrame:
-    """All races of the programmes as candidates for past races."""
+    """All races of the programmes, one a day, as candidates for past races."""
     return R.races_of(programmes).select(
         F.to_date("date_pmu", "ddMMyyyy").alias("day"), "reunion_pos", "course_pos", F.coalesce("r.hippodrome.codeHippodrome", F.lit("")).alias("code"),
         F.coalesce("r.hippodrome.libelleLong", F.lit("")).alias("long_name"), F.coalesce("r.hippodrome.libelleCourt", F.lit("")).alias("short_name"),
@@ -38,10 +38,22 @@ def candidates(programmes: DataFrame) -> DataFrame:
     )
 
 
+RUNNER = [*R.RACE, "pos", "nom"]
+
+
 def history_job(performances: DataFrame, programmes: DataFrame, pages: DataFrame, words: DataFrame, most: int = 6) -> DataFrame:
-    """Past races of each runner, resolved and with tracking where there is some."""
-    runner = ["date_pmu", "num_reunion", "card_course", "nom"]
-    runs = R.performances_runners(performances).where("nom <> ''").withColumnRenamed("num_course", "card_course").select(*runner, F.posexplode("coursesCourues").alias("hist_pos", "p"))
+    """Past races of each named runner of the performances documents; see ``history_of``."""
+    return history_of(R.performances_runners(performances).where("nom <> ''"), programmes, pages, words, most)
+
+
+def history_of(runners: DataFrame, programmes: DataFrame, pages: DataFrame, words: DataFrame, most: int = 6) -> DataFrame:
+    """Past races of runners (race, pos, nom, coursesCourues), resolved and with tracking where there is some.
+
+    A row for each past race that is kept; ``card_course`` is the number of the
+    runner's race, ``num_course`` that of the past one.
+    """
+    runner = [c if c != "num_course" else "card_course" for c in RUNNER]
+    runs = runners.withColumnRenamed("num_course", "card_course").select(*runner, F.posexplode("coursesCourues").alias("hist_pos", "p"))
     runs = B.cap_history(runs.withColumn("discipline", F.col("p.discipline")), runner, "hist_pos", "discipline", most)
     own = S.own_run(F.col("p.participants"))
     day = S.local_date(F.coalesce("p.date", F.lit(0)), F.col("p.timezoneOffset"))
@@ -50,7 +62,7 @@ def history_job(performances: DataFrame, programmes: DataFrame, pages: DataFrame
         R.text("p.etatTerrain").alias("terrain"), own["place"].alias("classement"), own["jockey"].alias("jockey"),
     )
     runs = B.with_venue_code(runs.withColumn("hint", F.col("hippodrome")), "hippodrome", "venue")
-    found = R.resolve_races(runs, candidates(programmes)).where("num_course <> 0").select("day", "nom_prix", "hint", "num_course", F.col("code_hippo").alias("r_code"), "course_trackee", F.col("label").alias("libelle"))
+    found = R.resolve_races(runs, candidates(pick_programmes(programmes))).where("num_course <> 0").select("day", "nom_prix", "hint", "num_course", F.col("code_hippo").alias("r_code"), "course_trackee", F.col("label").alias("libelle"))
     runs = runs.join(found, ["day", "nom_prix", "hint"], "left").withColumn("date_galop", S.date_galop(F.col("day")))
     known = runs.where("num_course is not null").withColumn("code_hippo", S.first_truthy(F.col("r_code"), F.col("venue")))
     asked = known.select(*SHEET, "nom")
@@ -59,7 +71,7 @@ def history_job(performances: DataFrame, programmes: DataFrame, pages: DataFrame
     sheets = pages.select(*SHEET).distinct().where("num_course between 1 and 10")
     tried = open_runs.select("date_galop", "code_hippo", "nom").distinct().join(sheets, ["date_galop", "code_hippo"])
     tracked = T.extract_tracking(asked.union(tried.select(*SHEET, "nom")).distinct(), pages, words, SHEET)
-    one = known.join(tracked, [*SHEET, "nom"], "left").withColumns({"resolved": F.lit(True), "resolution_strategy": F.lit("programme_pmu")})
+    one = join_tracking(known, tracked).withColumns({"resolved": F.lit(True), "resolution_strategy": F.lit("programme_pmu")})
     scanned = B.scan_tracking(open_runs.drop("num_course", "course_trackee"), tracked, ["date_galop", "code_hippo", "nom"], "num_course")
     two = scanned.withColumns({"resolved": F.col("tracking").isNotNull(), "course_trackee": F.col("tracking").isNotNull(), "resolution_strategy": F.when(F.col("tracking").isNotNull(), "scan_brute")})
     columns = [*runner, "hist_rank", "nom_prix", "hippodrome", "distance", "terrain", "classement", "jockey", "code_hippo", "libelle", "resolved", "course_trackee", "resolution_strategy", "tracking"]
@@ -67,15 +79,60 @@ def history_job(performances: DataFrame, programmes: DataFrame, pages: DataFrame
     return shape(one).unionByName(shape(two))
 
 
-def race_results_job(history: DataFrame) -> DataFrame:
-    """One row a race: horses as a map from name to history and count."""
-    race = ["date_pmu", "num_reunion", "card_course"]
-    rest = [c for c in history.columns if c not in (*race, "nom", "hist_rank")]
-    runners = history.groupBy(*race, "nom").agg(F.sort_array(F.collect_list(F.struct("hist_rank", F.struct(*rest).alias("entry")))).alias("h"), F.count_if("has_tracking_data").alias("nb_courses_trackers"))
-    runners = runners.select(*race, "nom", F.struct(F.col("h.entry").alias("historique"), "nb_courses_trackers").alias("horse"))
-    return runners.groupBy(*race).agg(F.map_from_entries(F.collect_list(F.struct("nom", "horse"))).alias("horses")).withColumnRenamed("card_course", "num_course")
+def join_tracking(runs: DataFrame, tracked: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What was read from a race's sheet for a horse beside each of its runs; nulls where there is nothing."""
+    return runs.join(tracked, keys or [*SHEET, "nom"], "left")
+
+
+def with_history(runners: DataFrame, history: DataFrame) -> DataFrame:
+    """historique (in order) and nb_courses_trackers beside each runner; empty and 0 for one without past races."""
+    keys = ["date_pmu", "num_reunion", "card_course", "pos"]
+    rest = [c for c in history.columns if c not in (*keys, "nom", "hist_rank")]
+    lists = B.collect_series(history, keys, ["hist_rank"], {"historique": F.struct(*rest)}).join(B.count_tracked(history, keys, "has_tracking_data"), keys)
+    lists = lists.withColumnRenamed("card_course", "num_course")
+    none = F.array().cast(lists.schema["historique"].dataType)
+    joined = runners.join(lists, [*R.RACE, "pos"], "left")
+    return joined.withColumns({"historique": F.coalesce("historique", none), "nb_courses_trackers": F.coalesce("nb_courses_trackers", F.lit(0).cast("long"))})
+
+
+def assemble_results(runners: DataFrame, races: DataFrame) -> DataFrame:
+    """One row a race: its keys, and horses as a map from name to historique and nb_courses_trackers.
+
+    runners: race, pos, nom, historique, nb_courses_trackers.  Empty names are
+    skipped; of equal names in a race the last counts.  races: race, its place in
+    the programme, code_hippo; a race that is not among them has an empty code.
+    """
+    last = B.dedupe_last(runners.where("nom <> ''").select(*RUNNER, "historique", "nb_courses_trackers"), [*R.RACE, "nom"], ["pos"])
+    maps = last.groupBy(*R.RACE).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("nom", F.struct("historique", "nb_courses_trackers").alias("horse"))))).alias("horses"))
+    named = R.with_race_header(maps, races.select(*R.RACE, "reunion_pos", "course_pos", "code_hippo"), R.RACE, ["reunion_pos", "course_pos"])
+    return named.select(S.date_galop(F.to_date("date_pmu", "ddMMyyyy")).alias("date_galop"), "date_pmu", S.text_or(F.col("code_hippo")).alias("code_hippo"), "num_reunion", "num_course", "horses")
+
+
+def race_results_job(performances: DataFrame, programmes: DataFrame, pages: DataFrame, words: DataFrame, most: int = 6) -> DataFrame:
+    """The result document of each race of the performances documents, ready for ``write_race_results``."""
+    runners = R.performances_runners(performances).where("nom <> ''")
+    history = history_of(runners, programmes, pages, words, most)
+    return assemble_results(with_history(runners.drop("coursesCourues"), history), programme_job(programmes))
+
+
+def horse_lookup_job(requests: DataFrame, cache: DataFrame, performances: DataFrame, programmes: DataFrame, pages: DataFrame, words: DataFrame, most: int = 6) -> DataFrame:
+    """History of requested horses: request, historique, nb_courses_trackers, from_cache.
+
+    requests: date_pmu, date_galop, code_hippo, num_reunion, num_course, nom.
+    cache: rows of ``read_race_results``.  A horse is taken from the results of
+    its race by its exact name; else its runner is found by the normalised name
+    and its history is computed; a horse that doesn't run has an empty one.
+    """
+    request = ["date_pmu", "date_galop", "code_hippo", "num_reunion", "num_course", "nom"]
+    keys = [*SHEET, "nom"]
 
+    def compute(misses: DataFrame) -> DataFrame:
+        found = R.find_runner(R.performances_runners(performances), misses, R.RACE)
+        done = with_history(found.select("asked", *RUNNER), history_of(found, programmes, pages, words, most))
+        rows = misses.join(done.select(*R.RACE, F.col("asked").alias("nom"), "historique", "nb_courses_trackers"), [*R.RACE, "nom"], "left")
+        none = F.array().cast(done.schema["historique"].dataType)
+        return rows.select(*request, F.coalesce("historique", none).alias("historique"), F.coalesce("nb_courses_trackers", F.lit(0).cast("long")).alias("nb_courses_trackers"))
 
-def horse_lookup_job(requests: DataFrame, cache: DataFrame, compute) -> DataFrame:
-    """Requested horses from the results where they are, else computed."""
-    return B.cache_first(requests, cache, [*SHEET, "nom"], compute)
+    asked = requests.select(*request).distinct()
+    stored = asked.join(cache.select(*keys, "historique", "nb_courses_trackers"), keys).select(*request, "historique", "nb_courses_trackers")
+    return B.cache_first(asked, stored, request, compute)

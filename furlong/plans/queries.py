@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furlong.functions import scalars as S
 from furlong.functions import series as V
@@ -15,7 +16,8 @@ from furlong.functions import sheets as X
 from furlong.operators import races as R
 from furlong.operators import sheets as T
 from furlong.operators import tables as B
-from furlong.sources.documents import tracking_inventory
+from furlong.plans import jobs as J
+from furlong.sources import documents as D
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,32 +83,46 @@ def clean_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select o_orderkey, case when upper(o_orderpriority) like '%SABLE%' or upper(o_orderpriority) like '%PSF%' or o_orderpriority = '5-LOW' then 'PSF' else 'GAZON' end surface,
-    coalesce(case when o_orderstatus = 'O' then 'souple' end, case when o_custkey % 2 = 0 then 'bon' end, '') terrain,
-    cast(row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) - 1 as int) course_pos, strftime(o_orderdate, '%d%m%Y') date_pmu
-    from orders where o_orderstatus in ('F', 'O')"""
+    """with d as (select *, row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) - 1 pos from orders)
+    select o_orderkey, case when o_orderpriority in ('5-LOW', '1-URGENT', '2-HIGH') then 'PSF' else 'GAZON' end surface,
+    coalesce(case when o_orderstatus = 'O' then 'souple' end, case when o_custkey % 2 = 0 then 'bon' end, case when o_custkey % 3 = 0 then 'lourd' end, '') terrain,
+    cast(pos as int) course_pos, strftime(o_orderdate, '%d%m%Y') date_pmu, case when day(o_orderdate) % 2 = 0 then 'VIC' else 'XYZ' end code_hippo, cast(case when day(o_orderdate) % 2 = 0 then 3 else 8 end as int) num_reunion,
+    cast(o_custkey as int) as num_externe, o_orderstatus = 'F' course_trackee from d where o_orderstatus <> 'P'"""
 )
 def programme_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
+    """Two documents a day, of which the first is empty on some days, through the programme job."""
+    o = table(spark, sf_dir, "orders")
+    flat, priority = F.col("o_orderstatus") != "P", F.col("o_orderpriority")
     course = F.struct(
-        F.col("o_orderkey").alias("numOrdre"), F.lit("plat").alias("specialite"), F.when(F.col("o_orderpriority") == "5-LOW", "piste en sable").otherwise(F.col("o_orderpriority")).alias("parcours"),
-        F.when(F.col("o_orderstatus") == "O", "souple").alias("etatTerrain"), F.when(F.col("o_custkey") % 2 == 0, "bon").alias("terrain"),
+        F.col("o_orderkey").cast("int").alias("numOrdre"), F.when(F.col("o_orderstatus") == "F", "Plat").otherwise("OBSTACLE").alias("specialite"), F.when(flat, "plat").otherwise("TROT_ATTELE").alias("discipline"),
+        F.when(priority == "5-LOW", "piste en sable").when(priority == "1-URGENT", "piste Fibre").otherwise(priority).alias("parcours"), F.when(priority == "2-HIGH", "psf").alias("typePiste"), F.col("o_custkey").cast("int").alias("numExterne"),
+        F.when(F.col("o_orderstatus") == "O", "souple").alias("etatTerrain"), F.when(F.col("o_custkey") % 2 == 0, "bon").alias("terrain"), F.struct(F.when(F.col("o_custkey") % 3 == 0, "lourd").alias("intitule")).alias("penetrometre"),
+        F.when(F.col("o_orderstatus") == "F", True).alias("courseTrackee"),
     )
-    days = o.groupBy(F.date_format("o_orderdate", "ddMMyyyy").alias("date_pmu")).agg(F.sort_array(F.collect_list(course)).alias("courses"))
-    docs = days.select("date_pmu", F.to_json(F.struct(F.array(F.struct("courses")).alias("reunions"))).alias("json"))
-    kind = "reunions array<struct<courses: array<struct<numOrdre: bigint, specialite: string, discipline: string, parcours: string, typePiste: string, etatTerrain: string, terrain: string, penetrometre: struct<intitule: string>>>>>"
-    rows = R.races_of(docs.select("date_pmu", F.from_json("json", kind).alias("programme"))).where(S.is_flat(F.col("c.specialite"), F.col("c.discipline")))
-    return rows.select(
-        F.col("c.numOrdre").alias("o_orderkey"), S.surface(F.col("c.parcours"), F.col("c.typePiste")).alias("surface"), S.going(F.col("c.etatTerrain"), F.col("c.terrain"), F.col("c.penetrometre.intitule")).alias("terrain"), "course_pos", "date_pmu"
-    )
+    even = F.dayofmonth("o_orderdate") % 2 == 0
+    days = o.groupBy(F.date_format("o_orderdate", "ddMMyyyy").alias("date_pmu"), even.alias("even"), (F.dayofmonth("o_orderdate") % 3 == 0).alias("late")).agg(F.sort_array(F.collect_list(course)).alias("courses"))
+    venue = F.when(F.col("even"), F.struct(F.lit(None).cast("string").alias("codeHippodrome"), F.lit("Vichy").alias("libelleLong"))).otherwise(F.struct(F.lit("XYZ").alias("codeHippodrome"), F.lit("Vichy").alias("libelleLong")))
+    meeting = F.struct(venue.alias("hippodrome"), F.when(F.col("even"), 3).alias("numOfficiel"), F.lit(8).alias("numExterneReunion"), "courses")
+    # The offline document of a day counts if it has meetings; the online one has nothing of interest then.
+    source = F.explode(F.array(F.struct(F.lit("online").alias("source"), F.when(F.col("late"), F.array(meeting)).otherwise(F.array(meeting.dropFields("courses").withField("courses", F.slice("courses", 1, 1)))).alias("reunions")), F.struct(F.lit("offline").alias("source"), F.when(F.col("late"), F.array().cast(days.select(F.array(meeting).alias("m")).schema["m"].dataType)).otherwise(F.array(meeting)).alias("reunions"))))
+    docs = days.select("date_pmu", source.alias("d")).select("date_pmu", "d.source", F.to_json(F.struct("d.reunions")).alias("json"))
+    programme = StructType.fromDDL(D.PROGRAMME)["programme"].dataType
+    races = J.programme_job(docs.select("date_pmu", "source", F.from_json("json", programme).alias("programme")))
+    return races.select(F.col("num_course").cast("long").alias("o_orderkey"), "surface", "terrain", "course_pos", "date_pmu", "code_hippo", "num_reunion", "num_externe", "course_trackee")
 
 
-@query("select l_orderkey, l_partkey, cast(l_quantity as int) num, cast(row_number() over (partition by l_orderkey order by cast(l_quantity as int), l_linenumber, l_extendedprice) as int) place from lineitem")
+@query(
+    """select l_orderkey, l_partkey, cast(l_quantity as int) num, cast(row_number() over (partition by l_orderkey order by cast(l_quantity as int), l_linenumber, l_extendedprice) as int) place,
+    case when l_returnflag = 'A' then l_returnflag else l_linestatus end jockey, coalesce(case when l_linenumber > 2 then l_linenumber end, cast(l_suppkey as int)) nb_courses from lineitem"""
+)
 def runner_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct("l_linenumber", "l_extendedprice", F.col("l_quantity").cast("int").alias("num"), "l_partkey")
-    got = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("p"))
-    ordered = F.array_sort(F.transform("p", lambda p, i: F.struct(p["num"].alias("num"), i.alias("pos"), p["l_partkey"].alias("l_partkey"))))
-    return got.select("l_orderkey", F.posexplode(ordered).alias("i", "r")).select("l_orderkey", "r.l_partkey", "r.num", (F.col("i") + 1).alias("place"))
+    given = {"numPmu": F.col("l_quantity").cast("int"), "nom": F.col("l_partkey").cast("string"), "driver": F.when(F.col("l_returnflag") == "A", F.col("l_returnflag")), "jockey": F.col("l_linestatus"), "nombreCourses": F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")), "nbCourses": F.col("l_suppkey").cast("int")}
+    item = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(D.RUNNER)))
+    got = B.collect_series(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_extendedprice"], {"p": item})
+    races = got.select("l_orderkey", R.runners_of(F.col("p")).alias("partants"))
+    # Runners are told apart by the place that each has in the array.
+    placed = races.select("l_orderkey", F.transform("partants", lambda p, i: p.withField("place", i + 1)).alias("partants"))
+    return R.flatten_runners(placed, ["l_orderkey"]).select("l_orderkey", F.col("nom").cast("long").alias("l_partkey"), "num", "place", "jockey", "nb_courses")
 
 
 ALIASES = (("CHINA", "CHN"), ("UNITED", "UNI"), ("INDIA", "IND"), ("IRAN", "IRN"), ("A", "AAA"), ("NATION_1", "N01"), ("NATION_2", "N02"))
@@ -200,19 +216,35 @@ def scan_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scan_tracking(asked, sheets, ["o_orderkey"], "l_linenumber", 2, 10).select("o_orderkey", "n_sheets", F.col("l_linenumber").alias("first_sheet"))
 
 
+WORDS_SQL = "list_filter(string_split_regex(replace(upper(trim({})), 'ẞ', 'SS'), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 2)"
+
+
 @query(
-    """with l as (select doc_id % 7 blk, doc_id * 100000 + i - 1 line_no, string_split(text, chr(10))[i] line from documents, range(1, 20001) t(i) where i <= len(string_split(text, chr(10)))),
-    h as (select distinct item_id % 7 blk, item_id, list_filter(string_split_regex(upper(trim(text)), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 2) w from benchmark),
-    s as (select h.blk, item_id, line_no, len(list_filter(w, lambda x: contains(upper(line), x))) score from h join l on h.blk = l.blk and length(line) > 1200)
-    select item_id, line_no, cast(score as int) score from s where score > 0 qualify row_number() over (partition by item_id order by score desc, line_no) = 1"""
+    f"""with d as (select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
+    h as (select doc_id, {WORDS_SQL.format("ls[1]")} w from d), l as (select doc_id, unnest(range(0, len(ls))) i, unnest(ls) line from d),
+    s as (select doc_id, i, len(list_filter(w, lambda x: contains(replace(upper(line), 'ẞ', 'SS'), x))) score from h join l using (doc_id) where length(line) % 2 = 0)
+    select doc_id, cast(i as int) line_no, cast(score as int) score from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, i) = 1"""
 )
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("blk"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    # Lines of over 1,200 characters stand for those with a time on them.
-    lines = lines.where(F.length("line") > 1200).select("blk", (F.col("doc_id") * 100_000 + F.col("i")).alias("line_no"), F.concat("line", F.lit(" 01:02.03")).alias("line"))
-    horses = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 7).alias("blk"), "item_id", F.col("text").alias("nom"))
-    found = T.match_lines(horses, lines, ["blk"])
-    return horses.join(found, ["blk", "nom"]).select("item_id", "line_no", "score")
+    """A document is a sheet of one page a line, and its first line the name looked for; lines of odd length have no time."""
+    split = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    pages = split.select("doc_id", F.posexplode("ls").alias("page_no", "line")).select("doc_id", "page_no", F.when(F.length("line") % 2 == 0, F.concat("line", F.lit(" 01:02.03"))).otherwise(F.translate("line", ":", ";")).alias("text"))
+    lines = T.sheet_lines(pages, ["doc_id"])
+    return T.match_lines(split.select("doc_id", F.element_at("ls", 1).alias("nom")), lines, ["doc_id"]).select("doc_id", "line_no", "score")
+
+
+@query(
+    f"""with d as (select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
+    h as (select doc_id, {WORDS_SQL.format("ls[1]")} w from d), l as (select doc_id, unnest(range(0, len(ls))) i, unnest(ls) line from d),
+    s as (select doc_id, i, len(list_filter(w, lambda x: contains(replace(upper(line), 'ẞ', 'SS') || ' VITESSE MOYENNE POSITION', x))) score from h join l using (doc_id) where i > 0 and length(line) % 3 <> 0)
+    select doc_id, cast(i as int) page_no, cast(score as int) score from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, i) = 1"""
+)
+def match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a sheet of one page a line; pages of a length divisible by 3 are no detail pages."""
+    split = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    rest = F.when(F.length("line") % 3 == 0, " Vitesse moyenne").otherwise(" Vitesse moyenne Position")
+    pages = split.select("doc_id", F.posexplode("ls").alias("page_no", "line")).select("doc_id", "page_no", F.concat("line", rest).alias("text"))
+    return T.match_pages(split.select("doc_id", F.element_at("ls", 1).alias("nom")), pages, ["doc_id"]).select("doc_id", "page_no", "score")
 
 
 @query(
@@ -243,13 +275,55 @@ def sheet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(LINE).alias("line"))
     line = F.col("line")
     official, seconds = X.official_time(line)
+    going = X.going(line)
     return rows.select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", X.group(line, X.DISTANCE).cast("int").alias("distance_m"), X.group(line, X.GOING).alias("terrain"), X.group(line, X.GOING, 2).cast("double").alias("penetrometre"),
+        "l_orderkey", "l_linenumber", "l_extendedprice", X.group(line, X.DISTANCE).cast("int").alias("distance_m"), going["terrain"].alias("terrain"), going["penetrometre"].alias("penetrometre"),
         F.array_join(X.section_labels(line), ",").alias("labels"), official.alias("official"), seconds.alias("official_sec"), X.line_max_speed(line).alias("max_speed"), X.line_distance(line).alias("covered"),
         F.get(X.line_times(line), F.lit(0)).alias("first_time"),
     )
 
 
+HEAD = f"concat(case when l_linestatus = 'F' then '000m ' else format_string('%dm ', 1000 + l_linenumber * 100) end, case l_returnflag when 'A' then format_string('Bon (%d.%d)', l_linenumber, l_linenumber) when 'N' then format_string('très lourd [x] (%d.5)', l_linenumber) else 'Léger 3' end, case when l_linenumber % 2 = 0 then format_string(' DEP - %dm, %dm – ARR', {Q}, {Q}) else ' 400m-ARR' end)"
+
+
+@query(
+    f"""with l as (select *, row_number() over (partition by l_orderkey {ORDERED}) - 1 i, {Q} q from lineitem), t as (select * from l where i < 30)
+    select l_orderkey, arg_min(1000 + l_linenumber * 100, case when l_linestatus <> 'F' then i end) filter (where l_linestatus <> 'F') distance_m,
+    arg_max(case l_returnflag when 'A' then 'Bon' else 'très lourd' end, i) filter (where l_returnflag <> 'R') terrain,
+    arg_max(case l_returnflag when 'A' then (l_linenumber::varchar || '.' || l_linenumber::varchar)::double else l_linenumber + 0.5::double end, i) filter (where l_returnflag <> 'R') penetrometre,
+    arg_min('DEP-' || q::varchar || 'm,' || q::varchar || 'm-ARR', i) filter (where l_linenumber % 2 = 0) labels from t group by 1"""
+)
+def sheet_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet is an order, a line a lineitem, some of them without distance, going or labels."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")) - 1
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("line_no"), F.expr(HEAD).alias("line"))
+    return T.sheet_header(lines, ["l_orderkey"]).select("l_orderkey", "distance_m", "terrain", "penetrometre", F.array_join("labels", ",").alias("labels"))
+
+
+PAGE = f"concat(format_string('X\nredk : %d’%02d”%02d\nVitesse maximale %d,%d\n', l_linenumber, {Q}, {Q}, {Q} + 40, l_linenumber % 10), case when l_returnflag = 'A' then '' else format_string('Vitesse moyenne %d,5 \n', {Q}) end, format_string('Tronçon le plus rapide 00:%02d.10 (tronçon %dm-ARR )\nVitesse moyenne (km/h)\n', {Q}, l_linenumber * 100), format_string('%d,5 %d %d.2\nPosition en course\n%d 7 x 12\n', {Q}, {Q} + 1, {Q} + 2, l_linenumber))"
+
+
+@query(
+    f"""select l_orderkey, l_linenumber, l_extendedprice, printf('%d''%02d"%02d', l_linenumber, {Q}, {Q}) redk, (l_linenumber * 60 + {Q} + {Q} / 100.0)::decimal(18,2)::double redk_sec, printf('%d.%d', {Q} + 40, l_linenumber % 10)::double vitesse_max_kmh,
+    case when l_returnflag <> 'A' then {Q} + 0.5::double end vitesse_moyenne_kmh, printf('00:%02d.10', {Q}) troncon_plus_rapide, printf('%dm-ARR', l_linenumber * 100) troncon_plus_rapide_label from lineitem"""
+)
+def detail_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(PAGE).alias("page"))
+    return pages.select("l_orderkey", "l_linenumber", "l_extendedprice", *X.detail_scalars(F.col("page")))
+
+
+@query(
+    f"""select l_orderkey, l_linenumber, l_extendedprice, printf('%d.5 %d.0 %d.2', {Q}, {Q} + 1, {Q} + 2) speeds, printf('%d 7 12', l_linenumber) positions, cast(0 as int) n_strides from lineitem"""
+)
+def row_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(PAGE).alias("page"))
+    text = lambda values, kind: F.array_join(F.transform(values, lambda x: x.cast(kind).cast("string")), " ")
+    return pages.select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", text(X.row_values(F.col("page"), X.SPEED_ROW), "double").alias("speeds"), text(X.row_values(F.col("page"), X.POSITION_ROW), "int").alias("positions"),
+        F.size(X.row_values(F.col("page"), X.STRIDE_ROW)).alias("n_strides"),
+    )
+
+
 @query(
     """with w as (select user_id, event_id, event_type, value x0, extract(hour from ts) * 60 + extract(minute from ts) as top from events),
     a as (select user_id, arg_min(top, event_id) y from w where event_type = 'view' group by 1)
@@ -294,13 +368,92 @@ def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select o_custkey, cast(count_if(o_orderstatus = 'F') as bigint) nb_courses_trackers, count(*) n_races, max(o_orderkey) last_race from orders group by 1")
-def race_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def count_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("has", F.col("o_orderstatus") == "F")
     counts = B.count_tracked(rows, ["o_custkey"], "has")
     series = B.collect_series(rows, ["o_custkey"], ["o_orderkey"], {"races": F.col("o_orderkey")})
     return counts.join(series, "o_custkey").select("o_custkey", "nb_courses_trackers", F.size("races").cast("long").alias("n_races"), F.element_at("races", -1).alias("last_race"))
 
 
+@query(
+    """with r as (select cast(o_orderdate as date) d, cast(o_custkey % 5 as int) num_course, o_orderpriority nom, o_orderkey pos, o_totalprice price, o_custkey nb from orders where o_orderpriority <> '5-LOW'),
+    k as (select * from r qualify row_number() over (partition by d, num_course, nom order by pos desc) = 1)
+    select strftime(d, '%Y%m%d') date_galop, strftime(d, '%d%m%Y') date_pmu, case when num_course = 4 then '' when day(d) % 2 = 0 then 'CHA' else 'DEA' end code_hippo, num_course, nom, cast(2 as int) n_past, price first_price, nb nb_courses_trackers from k"""
+)
+def race_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a day as horses of five races, named by their priority, of which the last counts; the map is taken apart again."""
+    o = table(spark, sf_dir, "orders").select("*", F.date_format("o_orderdate", "ddMMyyyy").alias("date_pmu"), F.lit(1).alias("num_reunion"), (F.col("o_custkey") % 5).cast("int").alias("num_course"))
+    runners = o.select(*R.RACE, F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority")).alias("nom"), F.array(F.struct("o_totalprice"), F.struct("o_totalprice")).alias("historique"), F.col("o_custkey").alias("nb_courses_trackers"))
+    code = F.when(F.dayofmonth("o_orderdate") % 2 == 0, "CHA").otherwise("DEA")
+    races = o.where("num_course <> 4").select(*R.RACE, F.lit(0).alias("reunion_pos"), F.col("o_orderkey").alias("course_pos"), code.alias("code_hippo"))
+    horses = J.assemble_results(runners, races).select("date_galop", "date_pmu", "code_hippo", "num_course", F.explode("horses").alias("nom", "h"))
+    return horses.select("date_galop", "date_pmu", "code_hippo", "num_course", "nom", F.size("h.historique").alias("n_past"), F.col("h.historique")[0]["o_totalprice"].alias("first_price"), F.col("h.nb_courses_trackers").alias("nb_courses_trackers"))
+
+
+@query(
+    """with k as (select *, row_number() over (partition by o_custkey order by o_orderkey) i from orders where o_orderstatus = 'F')
+    select c_custkey, case when o_orderkey is not null then coalesce(case when o_orderkey % 5 <> 0 then o_orderkey::varchar end, '?') end place, case when o_orderkey is not null then o_orderpriority end jockey from customer left join k on c_custkey = o_custkey and i = 1"""
+)
+def own_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as participants of a past race, of which the first finished one is the horse itself."""
+    place = F.struct(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey").cast("string")).alias("place"))
+    participant = F.struct((F.col("o_orderstatus") == "F").alias("itsHim"), place.alias("place"), F.col("o_orderpriority").alias("nomJockey"))
+    races = B.collect_series(table(spark, sf_dir, "orders").withColumn("c_custkey", F.col("o_custkey")), ["c_custkey"], ["o_orderkey"], {"participants": participant})
+    run = S.own_run(F.col("participants"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(races, "c_custkey", "left").select("c_custkey", run["place"].alias("place"), run["jockey"].alias("jockey"))
+
+
+@query(
+    """with f as (select l_orderkey, l_returnflag from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) = 1)
+    select o_orderkey, case when o_orderstatus = 'O' then 'souple' else coalesce(l_returnflag, '') end terrain from orders left join f on l_orderkey = o_orderkey"""
+)
+def fill_going(spark: SparkSession, sf_dir: str) -> DataFrame:
+    races = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "souple").otherwise("").alias("terrain"))
+    runners = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_extendedprice").alias("pos"), F.col("l_returnflag").alias("terrain"))
+    return R.fill_going(races, runners, ["o_orderkey"]).select("o_orderkey", "terrain")
+
+
+@query(
+    """with f as (select * from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) = 1)
+    select o_orderkey, l_partkey, l_extendedprice from orders left join f on l_orderkey = o_orderkey"""
+)
+def race_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several headers of a key."""
+    header = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice", "l_partkey")
+    return R.with_race_header(table(spark, sf_dir, "orders").select("o_orderkey"), header, ["o_orderkey"], ["l_linenumber", "l_extendedprice"]).select("o_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query(
+    """select o_orderkey, l_partkey, l_extendedprice from orders join lineitem on l_orderkey = o_orderkey and l_returnflag || '  ' || l_linestatus = (case when o_orderkey % 2 = 0 then 'N  O' else 'A  F' end)
+    qualify row_number() over (partition by o_orderkey order by l_linenumber, l_extendedprice) = 1"""
+)
+def find_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first runner of an order with the name asked for, in other cases and with blanks around it."""
+    runners = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws("  ", F.lower("l_returnflag"), "l_linestatus").alias("nom"), F.struct("l_linenumber", "l_extendedprice").alias("pos"), "l_partkey", "l_extendedprice")
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "\tN  o ").otherwise(" a  f").alias("nom"))
+    return R.find_runner(runners, names, ["o_orderkey"]).select("o_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query(
+    """with s as (select user_id, case event_type when 'view' then 1 when 'click' then 2 else 3 end priority, count(*) n from events group by 1, 2)
+    select user_id, cast(priority as int) priority, n from s where n > 1 qualify row_number() over (partition by user_id order by priority) = 1"""
+)
+def pick_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as sources of a user; one with a single event is not valid."""
+    priority = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    sources = table(spark, sf_dir, "events").groupBy("user_id", priority.alias("priority")).agg(F.count("*").alias("n"))
+    return B.pick_source(sources, "user_id", "priority", F.col("n") > 1).select("user_id", "priority", "n")
+
+
+@query("""select o_orderkey, l_linenumber, l_extendedprice, cast(o_orderstatus = 'F' and l_linenumber = 1 as boolean) found, case when o_orderstatus = 'F' and l_linenumber = 1 then o_totalprice end price from lineitem join orders on o_orderkey = l_orderkey""")
+def tracking_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders have a sheet, on which their first lines are."""
+    o = table(spark, sf_dir, "orders")
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice").join(o.select("o_orderkey"), "o_orderkey")
+    sheets = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(1).alias("l_linenumber"), F.col("o_totalprice").alias("price"))
+    return J.join_tracking(runs, sheets, ["o_orderkey", "l_linenumber"]).select("o_orderkey", "l_linenumber", "l_extendedprice", F.col("price").isNotNull().alias("found"), "price")
+
+
 @query(
     """select c_custkey, coalesce(n, 0) n, n is not null from_cache from customer left join (select o_custkey, count(*) n from orders group by 1) on c_custkey = o_custkey"""
 )
@@ -319,4 +472,4 @@ def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("l_returnflag") == "A", "CHA").otherwise("DEA")
     name = S.tracking_file_name(F.date_format("l_shipdate", "yyyyMMdd"), code, F.col("l_linenumber"))
     files = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("/sheets/"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_extendedprice").cast("string"), F.lit("/"), name).alias("path"), F.col("l_extendedprice").alias("length"), "l_orderkey", "l_extendedprice")
-    return tracking_inventory(files).select("l_orderkey", "l_extendedprice", "date_galop", "code_hippo", "num_course", "size_kb")
+    return D.tracking_inventory(files).select("l_orderkey", "l_extendedprice", "date_galop", "code_hippo", "num_course", "size_kb")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furlong.functions import scalars as S
 from furlong.operators.tables import pick_source
@@ -51,12 +52,12 @@ SOURCES = ("offline", "online")
 
 
 def read_programmes(spark: SparkSession, path: str) -> DataFrame:
-    """One document a day: of the first source that has meetings."""
-    docs = spark.read.schema(PROGRAMME).json(path)
-    return pick_programmes(docs)
+    """All documents, one for each day and source."""
+    return spark.read.schema(PROGRAMME).json(path)
 
 
 def pick_programmes(docs: DataFrame) -> DataFrame:
+    """One document a day: of the first source that has meetings."""
     rank = F.coalesce(F.array_position(F.lit(list(SOURCES)), F.col("source")), F.lit(0)).cast("int")
     rank = F.when(rank == 0, len(SOURCES) + 1).otherwise(rank)
     return pick_source(docs.withColumn("priority", rank), "date_pmu", "priority", F.coalesce(F.size("programme.reunions") > 0, F.lit(False))).drop("priority")
@@ -78,12 +79,15 @@ def tracking_inventory(files: DataFrame) -> DataFrame:
 
 
 def write_race_results(results: DataFrame, path: str) -> None:
-    """One JSON line a race, in folders by day and venue."""
+    """One JSON line a race, in folders by day and venue; an empty code is the folder of no venue."""
     named = results.withColumn("race_cache_path", S.race_cache_path(F.col("date_galop"), F.col("code_hippo"), F.col("num_course")))
     named.repartition("date_galop", "code_hippo").write.mode("append").partitionBy("date_galop", "code_hippo").json(path)
 
 
-def read_race_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Results as one row a horse: race key, nom, historique, nb_courses_trackers."""
+def read_race_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Results as one row a horse: race key, nom, historique, nb_courses_trackers.
+
+    schema: that of the table that was written.
+    """
     races = spark.read.schema(schema).option("basePath", path).json(path)
-    return races.select("date_galop", "code_hippo", "num_reunion", "num_course", F.explode("horses").alias("nom", "h")).select("*", "h.*").drop("h")
+    return races.select("date_galop", "code_hippo", "date_pmu", "num_reunion", "num_course", F.explode("horses").alias("nom", "h")).select("*", "h.*").drop("h")

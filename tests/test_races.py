@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import scalars as S
 from furlong.functions import series as V
+from furlong.functions import sheets as X
 from furlong.operators import sheets as T
 from furlong.operators import tables as B
 from furlong.plans import jobs
@@ -48,6 +49,7 @@ def test_sheet_end_to_end(spark):
     t = row["tracking"]
     assert (t["temps_officiel"], t["temps_officiel_sec"], t["distance_m"], t["terrain"], t["penetrometre"], t["distance_parcourue"]) == ("1'37\"42", 97.42, 1600, "Souple", 3.4, 1605.32)
     assert [(s["label"], s["temps_sec"], s["cumul_sec"], s["position"], s["foulees"]) for s in t["troncons"]] == [("DEP-400m", 25.1, 25.1, 8, 58), ("400m-800m", 24.2, 49.3, 6, 56), ("800m-ARR", 23.9, 73.2, 3, 55)]
+    assert [s["cumul"] for s in t["troncons"]] == ["00:25.10", "00:49.30", "01:13.20"] and t["temps_600m"] == "00:35.00"
     assert (t["temps_600m_sec"], t["vitesse_max_kmh"], t["remontee_places"], t["troncon_plus_rapide_label"]) == (35.0, 68.4, 7, "800m-ARR")
     assert t["positions_troncons"] == [8, 6, 3, 1] and t["vitesses_troncons"] == [57.4, 59.5, 60.3, 61.0]
 
@@ -59,26 +61,83 @@ def test_durations_and_history(spark):
     assert [r["pos"] for r in B.cap_history(runs, ["h"], "pos", "d").orderBy("pos").collect()] == [37, 38, 39]
 
 
-def test_programme_history_and_results(spark, tmp_path):
+PAGES = "date_galop string, code_hippo string, num_course int, page_no int, text string"
+WORDS = "date_galop string, code_hippo string, num_course int, page_no int, word_no int, text string, x0 double, top double"
+
+
+def documents(spark, path):
+    """Programmes, performances, pages and words of two races, read from files."""
     course = {"numOrdre": 4, "libelle": "PRIX DU LAC", "libelleCourt": "LAC", "specialite": "Plat", "parcours": "piste en sable", "participants": [{"numPmu": 2, "nom": "B"}, {"numPmu": 1, "nom": "A", "jockey": "J"}]}
     online = {"date_pmu": "01012024", "source": "online", "programme": {"reunions": [{"hippodrome": {"libelleLong": "VICHY"}, "numExterneReunion": 3, "courses": [course, {"numOrdre": 5, "discipline": "TROT"}]}]}}
     offline = {"date_pmu": "01012024", "source": "offline", "programme": {"reunions": []}}
-    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, (offline, online))))
-    programmes = D.read_programmes(spark, str(tmp_path / "p.json"))
-    (race,) = jobs.programme_job(programmes).collect()
-    assert (race["num_reunion"], race["num_course"], race["code_hippo"], race["surface"], [p["nom"] for p in race["partants"]]) == (3, 4, "VIC", "PSF", ["A", "B"])
+    today = {"date_pmu": "02012024", "source": "offline", "programme": {"reunions": [{"hippodrome": {"codeHippodrome": "DEA"}, "numOfficiel": 1, "courses": [{"numOrdre": 1, "discipline": "plat"}]}]}}
+    (path / "p.json").write_text("\n".join(map(json.dumps, (offline, online, today))))
     past = [{"date": 1704103200000, "nomPrix": "prix du lac", "hippodrome": "VICHY", "discipline": "PLAT", "participants": [{"itsHim": False}, {"itsHim": True, "nomJockey": "K", "place": {}}]}, {"date": 0, "nomPrix": "nothing", "hippodrome": "NOWHERE", "discipline": "PLAT"}]
-    perf = {"date_pmu": "02012024", "num_reunion": 1, "num_course": 1, "participants": [{"nomCheval": "A", "numPmu": 1, "coursesCourues": past}]}
-    (tmp_path / "q.json").write_text(json.dumps(perf))
-    performances = D.read_performances(spark, str(tmp_path / "q.json"))
-    pages = spark.createDataFrame([], "date_galop string, code_hippo string, num_course int, page_no int, text string")
-    words = spark.createDataFrame([], "date_galop string, code_hippo string, num_course int, page_no int, word_no int, text string, x0 double, top double")
-    history = jobs.history_job(performances, programmes, pages, words)
-    got = {r["hist_rank"]: r for r in history.collect()}
-    assert (got[1]["resolved"], got[1]["num_course"], got[1]["classement"], got[1]["jockey"], got[1]["resolution_strategy"]) == (True, 4, "?", "K", "programme_pmu")
-    assert (got[2]["resolved"], got[2]["num_course"], got[2]["code_hippo"]) == (False, None, None)
-    (result,) = jobs.race_results_job(history).collect()
-    assert result["horses"]["A"]["nb_courses_trackers"] == 0 and len(result["horses"]["A"]["historique"]) == 2
+    horses = [{"nomCheval": "Abel", "numPmu": 1, "coursesCourues": past[1:]}, {"nomCheval": "", "numPmu": 2}, {"nomCheval": "Abel", "numPmu": 3, "coursesCourues": past}, {"nomCheval": "Cleo ", "numPmu": 4}]
+    races = [{"date_pmu": "02012024", "num_reunion": 1, "num_course": n, "participants": horses} for n in (1, 2)]
+    (path / "q.json").write_text("\n".join(map(json.dumps, races)))
+    pages = spark.createDataFrame([("20240101", "VIC", 4, 0, "3 ABEL 00:25.10 00:49.30")], PAGES)
+    return D.read_programmes(spark, str(path / "p.json")), D.read_performances(spark, str(path / "q.json")), pages, spark.createDataFrame([], WORDS)
+
+
+def test_programme_and_history(spark, tmp_path):
+    programmes, performances, pages, words = documents(spark, tmp_path)
+    assert programmes.count() == 3
+    race = {r["date_pmu"]: r for r in jobs.programme_job(programmes).collect()}
+    assert len(race) == 2 and race["02012024"]["code_hippo"] == "DEA"
+    race = race["01012024"]
+    assert (race["num_reunion"], race["num_course"], race["code_hippo"], race["surface"], [p["nom"] for p in race["partants"]]) == (3, 4, "VIC", "PSF", ["A", "B"])
+    got = {(r["card_course"], r["pos"], r["hist_rank"]): r for r in jobs.history_job(performances, programmes, pages, words).collect()}
+    assert len(got) == 6
+    one, two = got[1, 2, 1], got[1, 2, 2]
+    assert (one["resolved"], one["num_course"], one["classement"], one["jockey"], one["resolution_strategy"], one["has_tracking_data"]) == (True, 4, "?", "K", "programme_pmu", True)
+    assert [s["cumul"] for s in one["tracking"]["troncons"]] == ["00:25.10", "00:49.30"]
+    assert (two["resolved"], two["num_course"], two["code_hippo"], two["has_tracking_data"]) == (False, None, None, False)
+
+
+def test_results_are_written_read_and_looked_up(spark, tmp_path):
+    programmes, performances, pages, words = documents(spark, tmp_path)
+    results = jobs.race_results_job(performances, programmes, pages, words)
+    rows = {r["num_course"]: r for r in results.collect()}
+    assert sorted(rows) == [1, 2] and (rows[1]["date_galop"], rows[1]["code_hippo"], rows[2]["code_hippo"]) == ("20240102", "DEA", "")
+    # The last of equal names counts; a horse without past races has an empty history.
+    horses = rows[1]["horses"].asDict() if hasattr(rows[1]["horses"], "asDict") else rows[1]["horses"]
+    assert sorted(horses) == ["Abel", "Cleo "] and len(horses["Abel"]["historique"]) == 2 and horses["Abel"]["nb_courses_trackers"] == 1 and horses["Cleo "]["historique"] == []
+    D.write_race_results(results.where("num_course = 1"), str(tmp_path / "out"))
+    cache = D.read_race_results(spark, str(tmp_path / "out"), results.schema)
+    assert {(r["date_galop"], r["code_hippo"], r["num_course"], r["nom"], r["nb_courses_trackers"]) for r in cache.collect()} == {("20240102", "DEA", 1, "Abel", 1), ("20240102", "DEA", 1, "Cleo ", 0)}
+    asked = spark.createDataFrame([("02012024", "20240102", "DEA", 1, 1, "Abel"), ("02012024", "20240102", "DEA", 1, 1, "cleo"), ("02012024", "20240102", "DEA", 1, 2, " abel "), ("02012024", "20240102", "DEA", 1, 2, "Nobody")], "date_pmu string, date_galop string, code_hippo string, num_reunion int, num_course int, nom string")
+    got = {(r["num_course"], r["nom"]): (r["from_cache"], len(r["historique"]), r["nb_courses_trackers"]) for r in jobs.horse_lookup_job(asked, cache, performances, programmes, pages, words).collect()}
+    assert got == {(1, "Abel"): (True, 2, 1), (1, "cleo"): (False, 0, 0), (2, " abel "): (False, 1, 0), (2, "Nobody"): (False, 0, 0)}
+
+
+def test_card(spark, tmp_path):
+    programmes, performances, _, _ = documents(spark, tmp_path)
+    card = {"date_pmu": "02012024", "num_reunion": 1, "num_course": 1, "participants": [{"numPmu": 1, "driver": "old"}, {"numPmu": 1, "driver": "D", "handicapPoids": 585, "nombreCourses": 0, "nbCourses": 7}]}
+    (tmp_path / "c.json").write_text(json.dumps(card))
+    rows = jobs.card_job(performances, D.read_participants(spark, str(tmp_path / "c.json")), jobs.programme_job(programmes)).collect()
+    one = next(r for r in rows if r["num_course"] == 1 and r["num"] == 1)
+    assert (one["jockey"], one["poids"], one["nb_courses"], one["course_ref"]["code_hippo"]) == ("D", "58.5", None, "DEA")
+    assert next(r for r in rows if r["num_course"] == 2)["course_ref"] is None
+
+
+def test_no_sections_no_values(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (2, [5.0])], "n int, v array<double>")
+    assert [r[0] for r in rows.select(V.merge_sections(F.col("n"), F.col("v"), F.array(F.lit(7.0)))).collect()] == [[], [7.0, None]]
+
+
+def test_sheet_values_beyond_ascii(spark):
+    lines = ["3 CHEVAL 1’37\"42 68,4\u00a0km 1605,32 \u00a0", "3 CHEVAL 1'37\"42 68,4 km 1605,32\t", "n° 4 ٣٤ 1'07\"02", "TRÈS LOURD (4.1)", "lourd - [3.5] (.)", None]
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in lines], "l string").select(X.official_time(F.col("l"))[1], X.line_max_speed(F.col("l")), X.line_distance(F.col("l")), X.going(F.col("l"))["terrain"], X.going(F.col("l"))["penetrometre"]).collect()]
+    assert got == [(97.42, 68.4, 1605.32, None, None), (97.42, 68.4, 1605.32, None, None), (67.02, None, None, None, None), (None, None, None, "TRÈS LOURD", 4.1), (None, None, None, "lourd", None), (None,) * 5]
+
+
+def test_plans_have_no_python_and_no_cartesian_product(spark):
+    from furlong.plans import queries as Q
+
+    for name in ("resolve_races", "match_lines", "match_pages", "programme_flatten", "series_indicators"):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Cartesian", "BroadcastNestedLoop")), name
 
 
 def test_all_lines_are_matched(spark, tmp_path):
