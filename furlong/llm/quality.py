@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.arrays import slices, windows, word_hashes, word_spans
-from furlong.llm.store import map_batches
+from furlong.llm.store import keep_rows, map_batches
 
 WINDOW = 8
 CHUNK = 4096
@@ -31,6 +32,14 @@ def limits(size: int) -> tuple[float, float]:
     return next((low, high) for most, low, high in BANDS if most is None or size <= most)
 
 
+@lru_cache(maxsize=4)
+def compressor(level: int):
+    """One compressor for each Python worker and level."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level).compress
+
+
 def ratio_verdict(compress, text: bytes) -> tuple[float, float, bool]:
     """Ratio of the whole text, share of its chunks out of band, and whether both are within limits."""
     if not text:
@@ -87,16 +96,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lev
     repeats.  The others are kept if the zstandard ratios of the whole text and
     of its chunks lie within the bands for their sizes.
 
-    Null and empty texts have no words and fail.  Every row is judged by itself:
-    null ids stay, repeated rows get equal results, an empty table gives none,
-    and other columns are not read.
+    Null and empty texts have no words and fail.  Every row is judged by itself
+    and its whole text, however long: null ids stay, repeated rows get equal
+    results, an empty table gives none, and other columns are not read, whatever
+    their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def judge(batch: pa.RecordBatch) -> Iterator[dict]:
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=level).compress
+        compress = compressor(level)
         for part, data, bounds in slices(batch, "text"):
             n = part.num_rows
             starts, ends, texts = word_spans(data, bounds)
@@ -119,26 +127,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lev
     return map_batches(rows, judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunks double, base_failed boolean, kept boolean")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``quality`` keeps, with all their columns.
+def keep_good(docs: DataFrame, text_col: str = "text", level: int = 3) -> DataFrame:
+    """The documents that ``quality`` keeps, with all their columns, which may have any names.
 
-    Rows are filtered where they are, by the same rules, so nothing is joined.
+    Null and empty texts go.  Rows are filtered where they are, by the same
+    rules, so nothing is joined; equal rows stay or go together; an empty table
+    stays empty.
     """
-    spot = "__row_text"
-    plain = docs.select("*", F.col(text_col).cast("string").alias(spot))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part, data, bounds in slices(batch, spot):
-                starts, ends, texts = word_spans(data, bounds)
-                n_words = np.bincount(texts, minlength=part.num_rows)
-                repeats = repeated_words(word_hashes(data, starts, ends, None), texts, part.num_rows)
-                good = (n_words >= 20) & (100 * repeats <= 30 * n_words)
-                for i in np.flatnonzero(good):
-                    good[i] = ratio_verdict(compress, data[bounds[i] : bounds[i + 1]].tobytes())[2]
-                yield part.drop_columns([spot]).filter(pa.array(good))
-
-    return plain.mapInArrow(keep, docs.schema)
+
+    def good(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        compress = compressor(level)
+        starts, ends, texts = word_spans(data, bounds)
+        n_words = np.bincount(texts, minlength=len(bounds) - 1)
+        repeats = repeated_words(word_hashes(data, starts, ends, None), texts, len(bounds) - 1)
+        good = (n_words >= 20) & (100 * repeats <= 30 * n_words)
+        for i in np.flatnonzero(good):
+            good[i] = ratio_verdict(compress, data[bounds[i] : bounds[i + 1]].tobytes())[2]
+        return good
+
+    return keep_rows(docs, text_col, good)

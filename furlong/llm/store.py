@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from furlong.llm.arrays import slices
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset and all runs on one machine, as in tests, it is a temporary one.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="furlong-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="furlong-")
+        context.setCheckpointDir(_own[context.applicationId])
+    return _own[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -75,3 +87,19 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], sc
                 yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) if not isinstance(columns[x.name], pa.Array) else columns[x.name].cast(x.type) for x in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, text_col: str, good: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows for whose texts ``good`` is true, with all their columns, whatever their names.
+
+    good: from the bytes of several texts and the bounds between them to a mark
+    for each.  Rows are filtered where they are; nothing is joined.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, bounds in slices(batch, "text"):
+                yield part.select(["row"]).filter(pa.array(good(data, bounds)))
+
+    return rows.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
