@@ -1,17 +1,19 @@
 """Find test items in training documents: BM25 with block-max WAND, then overlap checks.
 
-The test items form the index.  Every passage of every document is a query;
-its score for an item is the BM25 sum over their common terms, divided by the
-item's score for its own text, so one threshold serves short and long items.
-All items above it are retrieved, and each must share the word runs of its
-question and of its answer with the passage.
-
-WAND skips what cannot reach the threshold by upper bounds.  Items lie in
-blocks.  For each item the rarest terms that hold most of its score are its
-essential terms, the rest is charged in full.  A block is opened for a passage
-only if the block's greatest possible rest and the block maxima of the
-essential terms in the passage reach the threshold; these sums are made for
-thousands of passages at a time.  Nothing that could reach it is skipped.
+The test items form the inverted index.  Every passage of every document is a
+query; its score for an item is the BM25 sum over their common terms, divided
+by the item's score for its own text, so one threshold serves short and long
+items.  All items above it are retrieved, and each must share the word runs of
+its question and of its answer with the passage.
+
+For each item the rarest terms that hold most of its score have postings, the
+rest is charged in full.  Postings refer to blocks of items and hold the
+greatest score of the term in the block.  As in WAND, the terms of a passage are
+put in the order of their greatest scores: those before the pivot cannot reach
+the threshold together, so a passage without a pivot is skipped, and no list is
+read for it.  For the others the block maxima are added up, and only blocks
+that can reach the threshold are opened and scored.  This is done for thousands
+of passages at a time; nothing that could reach the threshold is skipped.
 """
 
 from __future__ import annotations
@@ -25,20 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.arrays import LOWER, ODD, mix, slices, word_hashes, word_spans
-from furlong.llm.store import map_batches
+from furlong.llm.arrays import LOWER, ODD, mix, signed, slices, word_hashes, word_spans
+from furlong.llm.store import drop, keep_rows, map_batches, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 REST = 0.2
-"""Share of an item's own score that its non-essential terms hold at most."""
+"""Share of an item's own score that its terms without postings hold at most."""
 BLOCK = 8
 GRAM = 3
 OVERLAP = 0.6
 """Share of the word runs of the question, and of the answer, that the passage must have."""
-INDEX_BYTES = 32 << 20
-"""Test items with more text than this are indexed in parts, one after the other."""
+INDEX_BYTES = 16 << 20
+"""Test items with more text than this are indexed in parts, one after the other; statistics are those of all items."""
 LEAST_PASSAGE = 64
+POSTINGS_AT_ONCE = 2_000_000
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 SENTENCE_END = re.compile(r"(?<=[.!?:])\s+|\n+")
@@ -83,67 +86,124 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 @dataclass(frozen=True)
-class Part:
-    """Distinct word runs of a question or an answer."""
+class Statistics:
+    """Of all items: their number, mean and greatest number of words, and the number of items that have each term."""
 
     n: int
-    grams: frozenset
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Distinct word runs of the questions, or answers, of all items, end to end."""
+
+    n: np.ndarray
+    runs: np.ndarray
+    bounds: np.ndarray
 
     @classmethod
-    def of(cls, text: str) -> "Part":
-        words = terms(text)
-        n = min(GRAM, max(1, len(words) // 2))
-        return cls(n, frozenset(grams(words, n).tolist()))
+    def of(cls, texts: list[str]) -> "Runs":
+        words = [terms(t) for t in texts]
+        n = np.array([min(GRAM, max(1, len(w) // 2)) for w in words], np.int64)
+        runs = [np.unique(grams(w, k)) for w, k in zip(words, n.tolist(), strict=True)]
+        return cls(n, np.concatenate(runs or [np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int64))
 
-    def overlap(self, runs: dict[int, set]) -> float:
-        return len(self.grams & runs[self.n]) / len(self.grams) if self.grams else 1.0
+    def overlap(self, i: int, passage: dict[int, np.ndarray]) -> float:
+        """Share of item i's runs among the passage's runs of as many words."""
+        own = self.runs[self.bounds[i] : self.bounds[i + 1]]
+        return float(np.isin(own, passage[int(self.n[i])], assume_unique=True).mean()) if len(own) else 1.0
 
 
 @dataclass(frozen=True)
 class Index:
     ids: list
     vocabulary: np.ndarray
-    weights: list[dict[int, float]]
-    parts: list[tuple[Part, Part]]
-    # Essential terms: where the blocks of each term begin, the blocks, their maxima.
+    # Terms of each item, end to end, and their shares of its score.
+    bounds: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    questions: Runs
+    answers: Runs
+    # Postings: where those of each term begin, the blocks, their maxima; the greatest of each term.
     first: np.ndarray
     blocks: np.ndarray
     maxima: np.ndarray
+    greatest: np.ndarray
     rest: np.ndarray
     stride: int
 
 
-def build(items: list[tuple]) -> Index:
+def build(items: list[tuple], statistics: Statistics) -> Index:
     """Index of (id, text) pairs; items without a word are left out."""
     items = [(i, t, w) for i, t in items if t and len(w := terms(t))]
-    vocabulary = np.unique(np.concatenate([w for _, _, w in items])) if items else np.zeros(0, np.uint64)
-    counts = [np.unique(np.searchsorted(vocabulary, w), return_counts=True) for _, _, w in items]
-    df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=len(vocabulary)) if items else np.zeros(0)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    lengths = np.array([len(w) for _, _, w in items], float)
-    weights, essential = [], []
-    n_blocks = max(1, -(-len(items) // BLOCK))
-    rest = np.full(n_blocks, -np.inf)
-    for i, (t, tf) in enumerate(counts):
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean()))
-        w = w / w.sum()
-        weights.append(dict(zip(t.tolist(), w.tolist(), strict=True)))
+    counted = [np.unique(w, return_counts=True) for _, _, w in items]
+    vocabulary = np.unique(np.concatenate([t for t, _ in counted])) if items else np.zeros(0, np.uint64)
+    df = statistics.df[np.searchsorted(statistics.terms, vocabulary)].astype(float)
+    idf = np.log1p((statistics.n - df + 0.5) / (df + 0.5))
+    item_terms, item_weights, bounds = [], [], [0]
+    rest = np.zeros(max(1, -(-len(items) // BLOCK)))
+    posted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, ((_, _, w), (t, tf)) in enumerate(zip(items, counted, strict=True)):
+        t = np.searchsorted(vocabulary, t)
+        score = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / statistics.mean))
+        score = score / score.sum()
+        item_terms.append(t)
+        item_weights.append(score)
+        bounds.append(bounds[-1] + len(t))
         order = np.argsort(df[t], kind="stable")
-        have = np.cumsum(w[order])
-        n = int(np.searchsorted(have, 1 - REST)) + 1
-        essential += [(int(t[j]), i // BLOCK, float(w[j])) for j in order[:n]]
-        rest[i // BLOCK] = max(rest[i // BLOCK], float(w[order[n:]].sum()))
-    best: dict[tuple[int, int], float] = {}
-    for t, b, w in essential:
-        best[t, b] = max(best.get((t, b), 0.0), w)
-    postings = sorted(best)
-    owner = np.array([t for t, _ in postings], np.int64)
+        n = int(np.searchsorted(np.cumsum(score[order]), 1 - REST)) + 1
+        posted.append((t[order[:n]], np.full(n, i // BLOCK), score[order[:n]]))
+        rest[i // BLOCK] = max(rest[i // BLOCK], float(score[order[n:]].sum()))
+    term, block, score = (np.concatenate([p[k] for p in posted]) if posted else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    order = np.lexsort((block, term))
+    term, block, score = term[order], block[order], score[order]
+    new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+    maxima = np.maximum.reduceat(score, new) if len(new) else np.zeros(0)
+    greatest = np.zeros(len(vocabulary))
+    np.maximum.at(greatest, term[new], maxima)
+    halves = [question_answer(t) for _, t, _ in items]
+    none = np.zeros(0)
     return Index(
-        [i for i, _, _ in items], vocabulary, weights, [tuple(map(Part.of, question_answer(t))) for _, t, _ in items],
-        np.searchsorted(owner, np.arange(len(vocabulary) + 1)), np.array([b for _, b in postings], np.int64), np.array([best[p] for p in postings]), rest, int(max(LEAST_PASSAGE, lengths.max() if len(items) else 0)),
+        [i for i, _, _ in items], vocabulary, np.array(bounds), np.concatenate(item_terms or [none.astype(np.int64)]), np.concatenate(item_weights or [none]), Runs.of([q for q, _ in halves]), Runs.of([a for _, a in halves]),
+        np.searchsorted(term[new], np.arange(len(vocabulary) + 1)), block[new], maxima, greatest, rest, max(LEAST_PASSAGE, statistics.longest),
     )
 
 
+def open_blocks(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Passages and blocks whose block maxima can reach the threshold, from distinct (passage, term) rows in order of passages."""
+    most_rest = float(index.rest.max())
+    # Terms of each passage from the least to the greatest possible score; the pivot is where the sum can reach the threshold.
+    order = np.lexsort((index.greatest[term], passage))
+    passage, term = passage[order], term[order]
+    starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+    sums = np.add.reduceat(index.greatest[term], starts)
+    pivoted = sums + most_rest >= threshold - 1e-9
+    lengths = np.diff(np.append(starts, len(passage)))
+    keep = np.repeat(pivoted, lengths)
+    passage, term = passage[keep], term[keep]
+    # The lists of whole passages, so many postings at a time.
+    many = index.first[term + 1] - index.first[term]
+    begin = 0
+    total = np.cumsum(many)
+    while begin < len(passage):
+        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + POSTINGS_AT_ONCE, "right"))
+        end = len(passage) if end >= len(passage) else max(int(np.searchsorted(passage, passage[end])), int(np.searchsorted(passage, passage[begin], "right")))
+        some = many[begin:end]
+        posting = np.repeat(index.first[term[begin:end]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        cell = np.repeat(passage[begin:end], some) * len(index.rest) + index.blocks[posting]
+        order = np.argsort(cell, kind="stable")
+        cell, score = cell[order], index.maxima[posting][order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        if len(first):
+            block = cell[first] % len(index.rest)
+            live = np.add.reduceat(score, first) + index.rest[block] >= threshold - 1e-9
+            yield from zip((cell[first][live] // len(index.rest)).tolist(), block[live].tolist(), strict=True)
+        begin = end
+
+
 def search(index: Index, data: np.ndarray, bounds: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, float, float, float]]:
     """Text, item, first word of the passage, score, overlap of question and answer, for all that pass.
 
@@ -160,63 +220,84 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, threshold: float
     found = np.searchsorted(index.vocabulary, hashes).clip(max=len(index.vocabulary) - 1)
     known = np.flatnonzero(index.vocabulary[found] == hashes)
     term = found[known]
-    # Strides: numbered through all texts, each text beginning a new one.
+    # Strides: numbered through all texts, each text beginning a new one; a passage has the number of its first.
     n_words = np.bincount(texts, minlength=len(bounds) - 1)
     word_base = np.cumsum(n_words) - n_words
     n_strides = -(-n_words // index.stride)
     stride_base = np.cumsum(n_strides) - n_strides
     stride_text = np.repeat(np.arange(len(n_words)), n_strides)
-    stride = stride_base[texts] + (np.arange(len(texts)) - word_base[texts]) // index.stride
-    # Bounds of every block for every stride.
-    many = index.first[term + 1] - index.first[term]
-    posting = np.repeat(index.first[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    cell = np.repeat(stride[known], many) * len(index.rest) + index.blocks[posting]
-    bound = np.bincount(cell, index.maxima[posting], minlength=len(stride_text) * len(index.rest)).reshape(len(stride_text), len(index.rest))
+    # The last stride of a text is a passage only if it is the only one.
+    single = (n_strides == 1)[stride_text]
     last = np.append(stride_text[1:] != stride_text[:-1], True)
-    alone = last & np.concatenate(([True], stride_text[1:] != stride_text[:-1]))
-    pair = bound.copy()
-    pair[:-1][~last[:-1]] += bound[1:][~last[:-1]]
-    live = (pair + index.rest >= threshold - 1e-9) & (~last | alone)[:, None]
-    opened: dict[int, list[int]] = {}
-    for p, b in zip(*np.nonzero(live), strict=True):
-        opened.setdefault(int(p), []).append(int(b))
-    for p, some in opened.items():
-        first = word_base[stride_text[p]] + (p - stride_base[stride_text[p]]) * index.stride
-        end = min(first + 2 * index.stride, word_base[stride_text[p]] + n_words[stride_text[p]])
-        have = set(term[np.searchsorted(known, first) : np.searchsorted(known, end)].tolist())
-        runs = None
-        for b in some:
-            for i in range(b * BLOCK, min((b + 1) * BLOCK, len(index.ids))):
-                score = sum(w for t, w in index.weights[i].items() if t in have)
-                if score >= threshold:
-                    if runs is None:
-                        runs = {n: set(grams(hashes[first:end], n).tolist()) for n in range(1, GRAM + 1)}
-                    question, answer = (part.overlap(runs) for part in index.parts[i])
-                    if question >= OVERLAP and answer >= OVERLAP:
-                        yield int(stride_text[p]), i, int(first - word_base[stride_text[p]]), float(score), question, answer
+    posted = index.greatest[term] > 0
+    stride = stride_base[texts[known[posted]]] + (known[posted] - word_base[texts[known[posted]]]) // index.stride
+    second = stride > stride_base[stride_text[stride]]
+    passage = np.concatenate((stride, stride[second] - 1))
+    posted_term = np.concatenate((term[posted], term[posted][second]))
+    whole = ~last[passage] | single[passage]
+    rows = np.unique(passage[whole] * len(index.vocabulary) + posted_term[whole])
+    if not len(rows):
+        return
+    at, have, runs = -1, None, None
+    for p, b in open_blocks(index, rows // len(index.vocabulary), rows % len(index.vocabulary), threshold):
+        if p != at:
+            at, runs = p, None
+            first = word_base[stride_text[p]] + (p - stride_base[stride_text[p]]) * index.stride
+            end = min(first + 2 * index.stride, word_base[stride_text[p]] + n_words[stride_text[p]])
+            have = np.zeros(len(index.vocabulary), bool) if have is None else have
+            mine = term[np.searchsorted(known, first) : np.searchsorted(known, end)]
+        have[mine] = True
+        for i in range(b * BLOCK, min((b + 1) * BLOCK, len(index.ids))):
+            own = slice(index.bounds[i], index.bounds[i + 1])
+            score = float(index.weights[own][have[index.terms[own]]].sum())
+            if score >= threshold:
+                if runs is None:
+                    runs = {n: np.unique(grams(hashes[first:end], n)) for n in range(1, GRAM + 1)}
+                question, answer = index.questions.overlap(i, runs), index.answers.overlap(i, runs)
+                if question >= OVERLAP and answer >= OVERLAP:
+                    yield int(stride_text[p]), i, int(first - word_base[stride_text[p]]), score, question, answer
+        have[mine] = False
 
 
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """One index, or several if the items have more text than ``limit`` bytes; each fits in memory."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // limit))
+    """One index, or several if the items have more text than ``limit`` bytes; each fits in memory.
+
+    Numbers of items and words, and of items that have a term, are counted over
+    all items, so scores do not depend on the parts.
+    """
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+
+    def count(batch: pa.RecordBatch) -> Iterator[dict]:
+        words = [terms(t) for t in batch.column("text").to_pylist()]
+        yield {"id": batch.column("id"), "text": batch.column("text"), "n": [len(w) for w in words], "terms": [signed(np.unique(w)) for w in words]}
+
+    counted = stored(map_batches(rows, count, "id long, text string, n long, terms array<long>").where("n > 0"), "test-items")
+    all_items = counted.agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("size")).first()
+    n = max(1, -(-(all_items["size"] or 0) // limit))
+    df = stored(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "item-terms")
     for k in range(n):
-        some = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield build([(r["id"], r["text"]) for r in some.orderBy("id", "text").collect()])
+        some = counted if n == 1 else counted.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        # Both hold no more than the text of one part.
+        known = (df if n == 1 else df.join(some.select(F.explode("terms").alias("term")).distinct(), "term")).toPandas()
+        names = known["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(names)
+        statistics = Statistics(all_items["n"], (all_items["words"] or 0) / max(1, all_items["n"]), all_items["longest"] or 0, names[order], known["df"].to_numpy(np.int64)[order])
+        yield build([(r["id"], r["text"]) for r in some.select("id", "text").orderBy("id", "text").collect()], statistics)
+    drop(counted, df)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
     """Test items found in documents: doc_id, item_id, passages, score, question_overlap, answer_overlap.
 
     One row for each document and item, with the number of passages and their
-    best values.  Null texts, null items and items without words match nothing;
-    rows that repeat an id are searched each, and counted together; empty tables
-    give no rows; other columns are not read.
+    best values.  Whole texts of any length are searched.  Null texts, null items
+    and items without words match nothing; rows that repeat an id are searched
+    each, and counted together; empty tables give no rows; other columns are not
+    read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for index in indexes(items):
+    for index in indexes(items, limit=limit):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:
@@ -233,18 +314,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("passages"), F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents in which no test item is found, with all their columns; rows are filtered where they are."""
-    spot = "__row_text"
-    for index in indexes(items):
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
+    """The documents in which no test item is found, with all their columns, which may have any names; rows are filtered where they are."""
+    for index in indexes(items, limit=limit):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, bounds in slices(batch, spot):
-                    bad = np.ones(part.num_rows, bool)
-                    bad[[f[0] for f in search(shared.value, data, bounds, threshold)]] = False
-                    yield part.drop_columns([spot]).filter(pa.array(bad))
+        def clean(data: np.ndarray, bounds: np.ndarray, shared=shared) -> np.ndarray:
+            good = np.ones(len(bounds) - 1, bool)
+            good[[f[0] for f in search(shared.value, data, bounds, threshold)]] = False
+            return good
 
-        docs = docs.select("*", F.col(text_col).cast("string").alias(spot)).mapInArrow(keep, docs.schema)
+        docs = keep_rows(docs, text_col, clean)
     return docs
