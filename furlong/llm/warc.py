@@ -3,8 +3,8 @@
 Pages are range-partitioned by their key, the URL with its host reversed
 (``com,example,www)/path``).  Each partition writes three files in that order:
 the archive (a gzip member for each record), the index (lines of key, page,
-type, digest, offset and length, in gzip blocks of ``BLOCK`` lines), and the
-directory (first key, offset and length of each block).  To find a URL, the
+type, digest, payload's length, offset and length, in gzip blocks of ``BLOCK``
+lines), and the directory (first key, offset and length of each block).  To find a URL, the
 shard is found among the shards' first keys, the block by binary search in the
 directory, the line by binary search in the block; then one range is read.
 """
@@ -17,6 +17,7 @@ import gzip
 import json
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from furlong.llm.store import new_path, stored
 
 BLOCK = 300
+SHARD_BYTES = 64 << 20
 SHARDS = "shard int, archive string, index string, directory string, first string, n_records long"
 RECORDS = "page_id long, url string, surt string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
@@ -40,21 +42,24 @@ def surt(url: Column) -> Column:
     return F.when(host == "", F.concat(F.lit(")"), url)).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
-def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record; a revisit has headers and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (payload if refers_to is None else b"")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict:
-    """Fields and payload of one record; ValueError if its payload does not match its digest."""
+def parse_record(data: bytes, payload_bytes: int) -> dict:
+    """Fields and payload of one record; ValueError if its payload does not match its digest.
+
+    payload_bytes: from the index, since a revisit has no payload.
+    """
     import hashlib
 
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -67,23 +72,25 @@ def parse_record(data: bytes) -> dict:
         raise ValueError("payload and digest differ")
     number = lambda urn: int(urn[10:-1]) if urn and urn != "<urn:page:>" else None
     return {
-        "page_id": number(fields["WARC-Record-ID"]), "url": json.loads(f'"{fields["WARC-Target-URI"]}"'), "payload_bytes": len(payload) if kind == "response" else int(fields["WARC-Payload-Length"]),
+        "page_id": number(fields["WARC-Record-ID"]), "url": json.loads(f'"{fields["WARC-Target-URI"]}"'), "payload_bytes": payload_bytes, "date": fields["WARC-Date"],
         "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload,
     }
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None) -> DataFrame:
-    """Write a record for each page; returns the table of shards.
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, shard_bytes: int = SHARD_BYTES, date: datetime | None = None) -> DataFrame:
+    """Write a record for each page; returns the table of shards, as many as the pages have ``shard_bytes`` if their number isn't given.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with
     the largest id is a response and the others, of smaller ids, revisit it.
     Null html is an empty payload, a null URL an empty one; a null id counts as
-    less than any other; rows that repeat an id are all written.  An empty table
-    has no shards.
+    less than any other; rows that repeat an id are all written.  Pages of any
+    length are written whole.  An empty table has no shards; other columns are not
+    read.  date: of all records, by default the time of the call.
     """
+    stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.select(surt(F.col("url")).alias("surt"), "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), "url", "html")
-    n = shards or max(1, rows.rdd.getNumPartitions())
+    n = shards or max(1, -(-(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // shard_bytes))
     facts = stored(rows.where(F.octet_length("html") >= least_bytes).select("surt", "page_id", "digest"), "digests")
     repeated = facts.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
     # The last copy of each payload joins only its digest's rows, none of which holds a text.
@@ -123,9 +130,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
                     first = row["surt"]
                 refers = mark[1] if mark and mark[0] == key else None
                 digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-                record = gzip.compress(record_bytes(row["page_id"], row["url"], row["html"].encode(), digest, refers), 4, mtime=0)
+                record = gzip.compress(record_bytes(row["page_id"], row["url"], payload := row["html"].encode(), digest, refers, stamp), 4, mtime=0)
                 files[0].write(record)
-                lines.append("\t".join((json.dumps(row["surt"])[1:-1], "" if row["page_id"] is None else str(row["page_id"]), "response" if refers is None else "revisit", digest, str(at), str(len(record)))))
+                lines.append("\t".join((json.dumps(row["surt"])[1:-1], "" if row["page_id"] is None else str(row["page_id"]), "response" if refers is None else "revisit", digest, str(len(payload)), str(at), str(len(record)))))
                 at += len(record)
                 count += 1
                 if len(lines) == BLOCK:
@@ -154,25 +161,25 @@ def read_directory(uri: str) -> list[tuple[str, int, int]]:
     return [(json.loads(f'"{r[0]}"'), int(r[2]), int(r[3])) for r in rows]
 
 
-def read_block(f, offset: int, length: int) -> list[tuple[str, int, int]]:
-    """Key, offset and length of each record of an index block."""
+def read_block(f, offset: int, length: int) -> list[tuple[str, int, int, int]]:
+    """Key, payload's length, offset and length of each record of an index block."""
     rows = [line.split("\t") for line in gzip.decompress(f.read_at(length, offset)).decode().split("\n")]
-    return [(json.loads(f'"{r[0]}"'), int(r[4]), int(r[5])) for r in rows]
+    return [(json.loads(f'"{r[0]}"'), int(r[4]), int(r[5]), int(r[6])) for r in rows]
 
 
-def find(shard: dict, keys: list[str]) -> Iterator[tuple[str, int, int]]:
-    """Records of one shard with these keys: key, offset, length."""
+def find(shard: dict, keys: list[str]) -> Iterator[tuple[str, int, int, int]]:
+    """Records of one shard with these keys, in order: key, payload's length, offset, length."""
     directory = read_directory(shard["directory"])
     starts = [d[0] for d in directory]
+    held, block = -1, []
     with _open(shard["index"]) as f:
         for key in keys:
             # A key may run over several blocks, and may begin at the end of the one before.
             i = max(0, bisect.bisect_left(starts, key) - 1)
             while i < len(directory) and starts[i] <= key:
-                block = read_block(f, *directory[i][1:])
-                names = [b[0] for b in block]
-                for entry in block[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
-                    yield entry
+                if i != held:
+                    held, block = i, read_block(f, *directory[i][1:])
+                yield from block[bisect.bisect_left(block, key, key=lambda b: b[0]) : bisect.bisect_right(block, key, key=lambda b: b[0])]
                 i += 1
 
 
@@ -191,7 +198,7 @@ def _rows(records: Iterator[dict], payload: bool) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(shards: DataFrame, payload: bool = True) -> DataFrame:
-    """All records, found through directory and index and read by ranges."""
+    """All records in the order of the index, without a search."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
@@ -199,8 +206,8 @@ def read_archives(shards: DataFrame, payload: bool = True) -> DataFrame:
                 for shard in batch.to_pylist():
                     with _open(shard["index"]) as index, _open(shard["archive"]) as archive:
                         for _, offset, length in read_directory(shard["directory"]):
-                            for key, at, size in read_block(index, offset, length):
-                                yield parse_record(gzip.decompress(archive.read_at(size, at))) | {"surt": key}
+                            for key, payload_bytes, at, size in read_block(index, offset, length):
+                                yield parse_record(gzip.decompress(archive.read_at(size, at)), payload_bytes) | {"surt": key}
 
         return _rows(records(), payload)
 
@@ -209,9 +216,12 @@ def read_archives(shards: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bool = True) -> DataFrame:
-    """Records of the given URLs (distinct ones); URLs without a capture give no row.
+    """Records of the given URLs (distinct ones); URLs without a capture give no row, null ones none.
 
-    The shards' first keys, one a file, are the upper level that every task has.
+    The shards' first keys, one a file, are the upper level that every task has;
+    in a shard the block is found in its directory, and the records in the block,
+    by binary search.  A task takes the keys of its shards in order, so a block is
+    read once.
     """
     tops = sorted((r.asDict() for r in shards.collect()), key=lambda r: r["shard"])
     firsts = [t["first"] for t in tops]
@@ -230,8 +240,8 @@ def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bo
                     by_shard.setdefault(row["place"], []).append(row["surt"])
                 for place, wanted in by_shard.items():
                     with _open(tops[place]["archive"]) as archive:
-                        for key, at, size in find(tops[place], sorted(wanted)):
-                            yield parse_record(gzip.decompress(archive.read_at(size, at))) | {"surt": key}
+                        for key, payload_bytes, at, size in find(tops[place], sorted(wanted)):
+                            yield parse_record(gzip.decompress(archive.read_at(size, at)), payload_bytes) | {"surt": key}
 
         return _rows(records(), payload)
 
@@ -240,5 +250,6 @@ def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bo
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder, read them back, return the facts of each record."""
-    return read_archives(write_archives(pages, new_path(pages.sparkSession, "archives")), payload=False)
+    """Write pages to archives in the shared folder, look each one's URL up in the index, return the facts of each record."""
+    shards = write_archives(pages, new_path(pages.sparkSession, "archives"))
+    return lookup(shards, pages.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")), payload=False)
