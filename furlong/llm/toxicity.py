@@ -9,7 +9,6 @@ documents' labels, so the sentences that explain them are found on the way.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,11 +39,46 @@ def features(sentence: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Model:
+    """Weights of features that can mark a sentence, and the bias of every sentence."""
+
     weights: dict[str, float]
     bias: float
 
-    def word_table(self) -> "WordTable":
-        return WordTable(self.weights)
+
+class Scorer:
+    """The score of a sentence, for documents and for the sentences at fault alike.
+
+    A sentence has the features of its words, each once, as in training.  What a
+    word adds is looked up once for each word and kept while the table is small.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.names = {f: i for i, f in enumerate(model.weights)}
+        self.values = list(model.weights.values())
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.silent = float(np.log1p(np.exp(model.bias)))
+
+    def marks(self, word: str) -> tuple[int, ...]:
+        found = self.words.get(word)
+        if found is None:
+            found = tuple(self.names[f] for f in features(word) if f in self.names)
+            if len(self.words) < 500_000:
+                self.words[word] = found
+        return found
+
+    def quiet(self, sentence: str) -> float:
+        """- log(1 - score) of a sentence in lower case."""
+        hits = [m for w in set(WORD.findall(sentence)) if (m := self.marks(w))]
+        if not hits:
+            return self.silent
+        z = self.model.bias + sum(self.values[i] for i in (hits[0] if len(hits) == 1 else set().union(*hits)))
+        return z if z > 30 else float(np.log1p(np.exp(z)))
+
+    def document(self, text: str) -> float:
+        """Noisy-or of the sentences' scores; a text without any has the score of one empty sentence."""
+        quiet = sum(self.quiet(s) for s in SENTENCE.split(text.lower()) if s)
+        return float(-np.expm1(-(quiet or self.silent)))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and score of each sentence of a text."""
@@ -52,47 +86,15 @@ class Model:
         for m in [*SENTENCE.finditer(text), None]:
             end = m.start() if m else len(text)
             if end > at:
-                out.append((at, end, self.sentence_score(text[at:end])))
+                out.append((at, end, float(-np.expm1(-self.quiet(text[at:end].lower())))))
             at = m.end() if m else end
         return out
 
-    def sentence_score(self, sentence: str) -> float:
-        z = self.bias + sum(self.weights.get(f, 0.0) for f in features(sentence))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-class WordTable(dict):
-    """What a word adds to its sentence: computed once for each word, kept while the table is small."""
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        # Sums over a sentence count a beginning once for each word that has it.
-        w = self.weights
-        value = w.get(word, 0.0) + sum(w.get(f"{word[:n]}-", 0.0) for n in PREFIXES if len(word) > n)
-        if len(self) < 500_000:
-            self[word] = value
-        return value
-
-
-def noisy_or(model: Model, table: WordTable, text: str) -> float:
-    """1 - product of (1 - sentence score) over the sentences of a text; 0 words leave the bias of one empty sentence."""
-    quiet = 0.0
-    base = model.bias
-    silent = float(np.log1p(np.exp(base)))
-    lowered = text.lower()
-    for sentence in SENTENCE.split(lowered):
-        gain = sum(map(table.__getitem__, set(WORD.findall(sentence))))
-        if gain:
-            z = base + gain
-            quiet += z if z > 30 else float(np.log1p(np.exp(z)))
-        elif sentence:
-            quiet += silent
-    if not quiet:
-        quiet = silent
-    return float(-np.expm1(-quiet))
+    def at_fault(self, text: str, at_least: float) -> list[dict]:
+        """The sentences that reach a score, or the one of the greatest if it takes several to make the text toxic."""
+        found = self.sentences(text)
+        chosen = [x for x in found if x[2] >= at_least] or [max(found, key=lambda x: x[2])] if found else []
+        return [{"start": s, "end": e, "score": x} for s, e, x in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id") -> Model:
@@ -118,18 +120,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int =
     return fit_texts(sample["text"].tolist(), sample["label"].to_numpy(float))
 
 
-class Marks(dict):
-    """Numbers of the features of a word that can mark a sentence, computed once for each word."""
-
-    def __init__(self, place: dict[str, int]):
-        super().__init__()
-        self.place = place
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = found = tuple(self.place[f] for f in features(word) if f in self.place)
-        return found
-
-
 def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     # Two passes over the texts, so that only counts and the marks of sentences are held.
     seen: Counter[str] = Counter()
@@ -142,13 +132,12 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     # Features at least twice as common among toxic documents as overall can mark a sentence.
     rate = max(float(labels.mean()), 1e-9)
     names = sorted(f for f, n in toxic.items() if n >= MIN_DOCS and n > 2 * rate * seen[f])
-    place = {f: i for i, f in enumerate(names)}
     # Sentences with equal features in one document act alike; those without any act through the bias.
-    marks = Marks(place)
+    marks = Scorer(Model(dict.fromkeys(names, 0.0), 0.0)).marks
     doc_of, n_same, item_of, item = [], [], [], []
     for d, text in enumerate(texts):
         bag = [s for s in SENTENCE.split(text.lower()) if s] or [""]
-        for key, times in Counter(frozenset().union(*map(marks.__getitem__, set(WORD.findall(s)))) for s in bag).items():
+        for key, times in Counter(frozenset().union(*map(marks, set(WORD.findall(s)))) for s in bag).items():
             item_of += [len(doc_of)] * len(key)
             item += key
             doc_of.append(d)
@@ -173,39 +162,38 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Model:
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x > 0.05}, bias)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, at_least: float = 0.5) -> DataFrame:
-    """Score whole texts: doc_id, score, predicted and, if asked for, the sentences at fault.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
+    """Score whole texts: doc_id, score, predicted, sentences.
 
-    ``spans`` lists start, end (in characters) and score of every sentence with
-    a score of ``at_least`` or more.  Null and empty texts get the score of one
-    sentence without words; null ids stay; each row is scored by itself; other
-    columns are not read.
+    ``sentences`` has start, end (in characters) and score of the sentences at
+    fault in a document that is predicted toxic: all that score ``at_least``, or
+    else the worst one.  Null and empty texts get the score of one sentence
+    without words; texts of any length are read whole; null ids stay; each row,
+    repeated ones too, is scored by itself; an empty table gives no rows; other
+    columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        model = shared.value
-        table = _table(model)
+        scorer = _scorer(shared.value)
         texts = batch.column("text").to_pylist()
-        scores = np.array([noisy_or(model, table, t or "") for t in texts])
-        out = {"doc_id": batch.column("doc_id"), "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
-        if spans:
-            out["sentences"] = [[{"start": s, "end": e, "score": x} for s, e, x in model.sentences(t or "") if x >= at_least] for t in texts]
-        yield out
+        scores = np.array([scorer.document(t or "") for t in texts])
+        predicted = scores >= 0.5
+        yield {"doc_id": batch.column("doc_id"), "score": scores, "predicted": predicted.astype(np.int32), "sentences": [scorer.at_fault(t or "", at_least) if p else [] for t, p in zip(texts, predicted, strict=True)]}
 
-    return map_batches(rows, run, "doc_id long, score double, predicted int" + ", sentences array<struct<start: int, end: int, score: double>>" * spans)
+    return map_batches(rows, run, "doc_id long, score double, predicted int, sentences array<struct<start: int, end: int, score: double>>")
 
 
-_tables: dict[int, tuple[Model, WordTable]] = {}
+_scorers: dict[int, Scorer] = {}
 
 
-def _table(model: Model) -> WordTable:
-    """One table of words for each Python worker and model."""
-    kept = _tables.get(0)
-    if kept is None or kept[0] is not model:
-        _tables[0] = kept = (model, model.word_table())
-    return kept[1]
+def _scorer(model: Model) -> Scorer:
+    """One scorer for each Python worker and model."""
+    kept = _scorers.get(0)
+    if kept is None or kept.model is not model:
+        _scorers[0] = kept = Scorer(model)
+    return kept
 
 
 def held_out(doc_id):
@@ -214,10 +202,11 @@ def held_out(doc_id):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled documents that aren't held out, then score all: doc_id, held_out, score, predicted."""
+    """Fit on the labelled documents that aren't held out, then score all: doc_id, held_out, score, predicted, sentences.
+
+    Labels without an id or a value are left out; of several for one id the
+    greatest counts.  Without any label every document gets the score of a model
+    without features.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
     return score(docs, fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known)).withColumn("held_out", held_out(F.col("doc_id")))
-
-
-def crc_fold(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5
