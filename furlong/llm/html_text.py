@@ -22,6 +22,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 DROPPED = RAW | frozenset("head nav footer aside form button select input object svg canvas audio video map dialog menu".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CELLS = frozenset("td th table".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot body".split())
+SHARE = 0.4
+"""Part of a node's points that its parent gets."""
 SCOPE = frozenset("ul ol dl table body html article section div td th".split())
 
 # Names that mark what surrounds an article.  Whole words of class, id and role count.
@@ -68,51 +72,84 @@ class Node:
             node = node.parent
 
 
+class Path:
+    """The open elements of a page, with counts of their tags, so that no end tag is looked for in vain."""
+
+    def __init__(self):
+        self.root = self.node = Node("html")
+        self.counts: dict[str, int] = {}
+        self.cells: list[dict[str, int]] = [{}]  # counts inside each open table or cell
+
+    def push(self, child: Node) -> None:
+        self.node = child
+        self.counts[child.tag] = self.counts.get(child.tag, 0) + 1
+        if child.tag in CELLS:
+            self.cells.append({})
+        self.cells[-1][child.tag] = self.cells[-1].get(child.tag, 0) + 1
+
+    def pop_to(self, node: Node) -> None:
+        while self.node is not node:
+            tag = self.node.tag
+            self.counts[tag] -= 1
+            self.cells[-1][tag] -= 1
+            if tag in CELLS:
+                self.cells.pop()
+            self.node = self.node.parent
+
+    def close(self, tag: str) -> None:
+        """An end tag; inside a table or cell only its own elements can be closed, or the table's."""
+        if (self.counts if tag in TABLE_PARTS else self.cells[-1]).get(tag):
+            up = self.node
+            while up.tag != tag:
+                up = up.parent
+            self.pop_to(up.parent)
+
+    def before_block(self, tag: str) -> None:
+        """A block ends an open paragraph; an item ends the item before it in the same list."""
+        ends = CLOSED_BY.get(tag, ())
+        if not self.counts.get("p") and not any(self.counts.get(t) for t in ends):
+            return
+        up, left = self.node, self.node
+        while up is not self.root and (up.tag == "p" or up.tag not in BLOCKS or up.tag in ends):
+            if up.tag == "p" or up.tag in ends:
+                left = up.parent
+            if up.tag in SCOPE and up.tag not in ends:
+                break
+            up = up.parent
+        self.pop_to(left)
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: unknown end tags are ignored, paragraphs and items end where the next begins."""
-    root = node = Node("html")
+    path = Path()
     at = 0
     while True:
         m = MARKUP.search(page, at)
         if m is None:
-            node.children.append(page[at:])
-            return root
+            path.node.children.append(page[at:])
+            return path.root
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            path.node.children.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            path.close(tag)
             continue
         if tag in BLOCKS:
-            # A block ends an open paragraph; an item ends the item before it in the same list.
-            up, ends = node, CLOSED_BY.get(tag, ())
-            while up is not root and (up.tag == "p" or up.tag not in BLOCKS or up.tag in ends):
-                if up.tag == "p" or up.tag in ends:
-                    node = up.parent
-                if up.tag in SCOPE and up.tag not in ends:
-                    break
-                up = up.parent
+            path.before_block(tag)
         if tag in ("html", "body"):
             continue
-        child = Node(tag, m[3], node)
-        node.children.append(child)
+        child = Node(tag, m[3], path.node)
+        path.node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             child.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            node = child
+            path.push(child)
 
 
 def measure(root: Node) -> list[Node]:
@@ -168,13 +205,12 @@ def best_nodes(root: Node) -> list[Node]:
             continue
         points = 1 + commas + min(size / 100, 3.0)
         # Text right inside a container counts for the container itself.
-        share, up = 1.0, node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
-        level = 0
-        while up is not None and level < 5:
-            up.score += points * share
-            level += 1
-            share = 0.5 if level == 1 else 1 / (level * 3)
-            up = up.parent
+        up = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+        up.score += points
+    # Every ancestor gets a share, of each level the same.
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.score += SHARE * node.score
     scored = [n for n in order if n.score > 0]
     if not scored:
         return [root]
