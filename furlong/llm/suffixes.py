@@ -114,7 +114,7 @@ def multikey_order(*columns: np.ndarray) -> np.ndarray:
     return order
 
 
-SORTED = "bucket int, head long, rest long, doc_id long, start int, n int, again boolean, mixed boolean"
+SORTED = "bucket int, head long, rest long, doc_id long, start int, n int, again boolean, mixed boolean, edge boolean"
 
 
 def sorted_suffixes(suffixes: DataFrame) -> DataFrame:
@@ -143,57 +143,33 @@ def sorted_suffixes(suffixes: DataFrame) -> DataFrame:
         group = np.cumsum(new_head) - 1
         mixed = (np.bincount(group, new_block) > 1)[group]
         keep = (np.bincount(group) > 1)[group] | (group == 0) | (group == group[-1])
+        # The first row, and that of the last block, are compared with other buckets.
+        edge = np.zeros(len(head), bool)
+        edge[0] = edge[first[-1]] = True
         bucket = np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, head[keep], rest[keep], doc[keep], start[keep].astype(np.int32), size[keep].astype(np.int32), again[keep], mixed[keep])], ["bucket", "head", "rest", "doc_id", "start", "n", "again", "mixed"])
-
-    table = stored(placed.mapInArrow(order, SORTED), "sorted-suffixes")
-    edge = F.struct("head", "rest", "doc_id", "start", "mixed")
-    # One row for each bucket.
-    ends = sorted(table.groupBy("bucket").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).collect(), key=lambda r: r["bucket"])
-    fixes = across_boundaries([(r["bucket"], tuple(r["first"]), tuple(r["last"])) for r in ends])
-    if not fixes:
-        return table
-    fixed = table.join(F.broadcast(table.sparkSession.createDataFrame(fixes, "bucket int, f_head long, f_doc long, f_start int, f_rest long, f_again boolean, f_mixed boolean, l_head long, l_mixed boolean")), "bucket", "left")
-    first = F.col("f_again") & (F.col("head") == F.col("f_head")) & (F.col("rest") == F.col("f_rest")) & ((F.col("doc_id") != F.col("f_doc")) | (F.col("start") != F.col("f_start")))
-    mixed = (F.col("f_mixed") & (F.col("head") == F.col("f_head"))) | (F.col("l_mixed") & (F.col("head") == F.col("l_head")))
-    no = F.lit(False)
-    return fixed.select("bucket", "head", "rest", "doc_id", "start", "n", (F.col("again") | F.coalesce(first, no)).alias("again"), (F.col("mixed") | F.coalesce(mixed, no)).alias("mixed"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, head[keep], rest[keep], doc[keep], start[keep].astype(np.int32), size[keep].astype(np.int32), again[keep], mixed[keep], edge[keep])], [x.split()[0] for x in SORTED.split(", ")])
+
+    return across_boundaries(stored(placed.mapInArrow(order, SORTED), "sorted-suffixes"))
 
 
-def across_boundaries(ends: list[tuple]) -> list[tuple]:
-    """What the neighbours of a bucket tell about its first and last rows.
+def across_boundaries(table: DataFrame) -> DataFrame:
+    """Correct again and mixed by what other buckets hold of the first and last heads and blocks of each.
 
-    ends: bucket, first row and last row as (head, rest, doc, start, mixed), in
-    order.  Returns a row for each bucket that shares a head with a neighbour:
-    its first head and block with the place of that block's first suffix in
-    an earlier bucket (again: whether there is one), and whether the first and
-    the last head are mixed over all buckets that have them.
+    A block that lies in several buckets is the first or the last of each, so the
+    earliest of its edge rows is the earliest of all; a head is mixed if it is in
+    any bucket or if its edge rows differ in rest.
     """
-    any_mixed: dict[int, bool] = {}
-    origin: dict[int, tuple] = {}
-    shared = set()
-    for i, (_, first, last) in enumerate(ends):
-        for row in (first, last):
-            any_mixed[row[0]] = any_mixed.get(row[0], False) or row[4]
-        if first[0] == last[0] and first[1] != last[1]:
-            any_mixed[first[0]] = True
-        if i:
-            before = ends[i - 1][2]
-            if before[0] == first[0]:
-                shared |= {i, i - 1}
-                if before[1] != first[1]:
-                    any_mixed[first[0]] = True
-                else:
-                    # The block may have begun several buckets ago.
-                    whole = ends[i - 1][1][:2] == before[:2]
-                    origin[i] = origin[i - 1] if whole and i - 1 in origin else (before[2:4] if not whole else ends[i - 1][1][2:4])
-    out = []
-    for i in sorted(shared):
-        bucket, first, last = ends[i]
-        again = i in origin
-        doc, start = origin.get(i, (0, 0))
-        out.append((bucket, first[0], doc, start, first[1], again, any_mixed[first[0]], last[0], any_mixed[last[0]]))
-    return out
+    edges = table.where("edge").select("bucket", "head", "rest", "doc_id", "start", "mixed")
+    heads = edges.groupBy("head").agg((F.max("mixed") | (F.min("rest") < F.max("rest"))).alias("any_mixed"), (F.min("bucket") < F.max("bucket")).alias("wide")).where("wide").drop("wide")
+    blocks = edges.groupBy("head", "rest").agg(F.min(F.struct("doc_id", "start")).alias("origin"), (F.min("bucket") < F.max("bucket")).alias("wide")).where("wide").drop("wide")
+    ends = edges.groupBy("bucket").agg(F.min(F.struct("head", "rest")).alias("f"), F.max("head").alias("l_head")).select("bucket", F.col("f.head").alias("f_head"), F.col("f.rest").alias("f_rest"), "l_head")
+    fixes = ends.join(heads.select(F.col("head").alias("f_head"), F.col("any_mixed").alias("f_mixed")), "f_head", "left").join(heads.select(F.col("head").alias("l_head"), F.col("any_mixed").alias("l_mixed")), "l_head", "left")
+    fixes = fixes.join(blocks.select(F.col("head").alias("f_head"), F.col("rest").alias("f_rest"), "origin"), ["f_head", "f_rest"], "left").where("f_mixed or l_mixed or origin is not null")
+    fixed = table.join(stored(fixes, "boundaries"), "bucket", "left")
+    no = F.lit(False)
+    first = (F.col("head") == F.col("f_head")) & (F.col("rest") == F.col("f_rest")) & (F.struct("doc_id", "start") > F.col("origin"))
+    mixed = (F.col("f_mixed") & (F.col("head") == F.col("f_head"))) | (F.col("l_mixed") & (F.col("head") == F.col("l_head")))
+    return fixed.select("bucket", "head", "rest", "doc_id", "start", "n", (F.col("again") | F.coalesce(first, no)).alias("again"), (F.col("mixed") | F.coalesce(mixed, no)).alias("mixed"))
 
 
 def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +177,9 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     Earlier means in a document of a smaller id, or before in the same one.
     Null ids are left out; rows that repeat an id are the same document, so
-    bytes at one place of theirs are no repeats of each other.
+    bytes at one place of theirs are no repeats of each other.  Null and short
+    texts have none, texts of any length are read whole; an empty table gives no
+    rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
@@ -296,6 +274,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: bool = True, id_col
     end of each run removed) and, if asked for, kept (the remaining bytes, which
     may begin or end inside a character).  Null texts count as empty; a text
     shorter than ``length`` loses nothing; rows with a null id lose nothing.
+    Equal texts of different ids lose all but the first; an empty table gives no
+    rows; other columns are not read, whatever their names.
     """
     found = repeated_strings(docs, length, id_col, text_col)
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("found"))
