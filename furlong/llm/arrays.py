@@ -104,9 +104,16 @@ def windows(hashes: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray,
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = hashes[:m].copy()
-    for j in range(1, n):
-        out = out * ODD + hashes[j : m + j]
+    if n & n - 1:
+        out = hashes[:m].copy()
+        for j in range(1, n):
+            out = out * ODD + hashes[j : m + j]
+    else:
+        # Runs of twice as many words from two that follow each other.
+        out, have = hashes, 1
+        while have < n:
+            out = out[:-have] * np.uint64(pow(int(ODD), have, 1 << 64)) + out[have:]
+            have *= 2
     at = np.flatnonzero(texts[:m] == texts[n - 1 :])
     return mix(out[at]), at
 

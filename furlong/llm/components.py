@@ -46,31 +46,34 @@ MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
 
 SMALL = 64
 """Rows of a bucket that are compared with each other while it is read."""
-WIDER = 8
+WIDER = 32
 
 
 def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs of ids with near sigs that share a bucket: bucket, id, sig, head, head_sig, big.
+    """Pairs of ids with near sigs that share a bucket: bucket, id, sig, head, head_sig, first, big.
 
     Rows (bucket, id, sig) are sorted by bucket and read as a stream.  In buckets
     of up to ``SMALL`` ids all pairs are compared, and head is the other id of a
-    near one.  All members of larger buckets are returned, with big set and the
-    bucket's least id as head, for ``bucket_links``.  Rows that repeat a bucket
-    and an id count once.
+    near one; first marks one near pair for each id, which are enough to connect
+    a group of ids that are all near each other.  All members of larger buckets
+    are returned, with big set and the bucket's least id as head, for
+    ``bucket_links``.  Rows that repeat a bucket and an id count once.
     """
-    names = ["bucket", "id", "sig", "head", "head_sig", "big"]
+    names = ["bucket", "id", "sig", "head", "head_sig", "first", "big"]
 
-    def out(columns: list[np.ndarray], big: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(np.full(len(columns[0]), big))], names)
+    def out(columns: list[np.ndarray], first: np.ndarray, big: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(first), pa.array(np.full(len(first), big))], names)
 
     def small_pairs(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        alone = np.ones(len(ids), bool)
         for k in range(1, SMALL):
             at = np.flatnonzero(bucket[k:] == bucket[:-k])
             if not len(at):
                 return
             at = at[near(sig[at], sig[at + k])]
             if len(at):
-                yield out([bucket[at], ids[at + k], sig[at + k], ids[at], sig[at]], False)
+                yield out([bucket[at], ids[at + k], sig[at + k], ids[at], sig[at]], alone[at + k], False)
+                alone[at + k] = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -96,14 +99,15 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
             at = np.flatnonzero(big[:end])
             if len(at):
                 group = np.repeat(np.arange(len(starts)), lengths)[at]
-                yield out([bucket[at], ids[at], sig[at], heads[0][group], heads[1][group]], True)
-            at = np.flatnonzero(~big[:end])
-            yield from small_pairs(bucket[at], ids[at], sig[at])
+                yield out([bucket[at], ids[at], sig[at], heads[0][group], heads[1][group]], np.zeros(len(at), bool), True)
+            at = np.flatnonzero((~big & np.repeat(lengths > 1, lengths))[:end])
+            if len(at):
+                yield from small_pairs(bucket[at], ids[at], sig[at])
             head = (bucket[-1], heads[0][-1], heads[1][-1]) if large[-1] else None
             held = [x[end:] for x in (bucket, ids, sig)]
 
     placed = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
-    return placed.mapInArrow(run, MEMBERS + ", big boolean")
+    return placed.mapInArrow(run, MEMBERS + ", first boolean, big boolean")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

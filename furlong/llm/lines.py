@@ -1,18 +1,27 @@
-"""Near-duplicate lines over the whole corpus: sketches of grams, banding, edit similarity."""
+"""Near-duplicate lines over the whole corpus: sketches of grams, banding, edit similarity.
+
+SimHash was tried first, and could not find the lines: pigeonhole blocks that
+part many lines need 20 bits or more each, so 64 bits allow for two or three
+blocks that differ, but lines of an edit similarity of 0.9 have SimHashes (over
+words, pairs of words or grams) that differ in 4 to 12 bits.  Blocks of a
+min-wise sketch keep what pigeonhole blocks are for, keys of which similar
+lines have one in common, and each of their values is as good as many bits.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.arrays import BYTE_HASH, signed, windows
-from furlong.llm.components import bucket_links, colliding, components
+from furlong.llm.arrays import BYTE_HASH, ODD, mix, signed, slices, windows
+from furlong.llm.components import bucket_links, components, pairs_in_buckets
+from furlong.llm.edits import within
 from furlong.llm.minhash import band_keys, sketches
 from furlong.llm.store import drop, map_batches, stored
 
@@ -20,17 +29,21 @@ WORDS = re.compile(r"\w+")
 FOREIGN = re.compile(r"[^\x00-\x7f\w]")
 DIGITS = str.maketrans("123456789", "000000000")
 PLAIN = bytes(c if c >= 0x80 or WORDS.match(chr(c)) else 0x20 for c in range(128)).translate(bytes.maketrans(b"123456789", b"000000000")) + bytes(range(128, 256))
+PLAIN_LINES = np.frombuffer(PLAIN.lower(), np.uint8).copy()
+PLAIN_LINES[10] = 10
 EDIT_SIMILARITY = 0.9
-SKETCH, BANDS = 64, 16
-"""A sketch of 64 values in 16 bands of 4: lines with 60 % of their grams in common meet in one with probability 0.89, with 70 % 0.99."""
+SKETCH, BANDS, WIDTH = 28, 8, 3
+"""Values of a sketch, blocks and values in each: lines with 60 % of their grams in common have one alike with probability 0.86, with 70 % 0.97, with 80 % 0.997."""
 SHORT = 64
-SHORT_GRAM, GRAM = 3, 5
-"""Bytes in a gram of lines of up to ``SHORT`` characters and of longer ones."""
-BITS, FAR = 56, 18
-"""A signature's bits from the sketch, and how many may differ: of lines with 60 % of their grams in common one in 300 differs in more."""
-MASK = (1 << BITS) - 1
+SHORT_GRAM, GRAM = 3, 8
+"""Bytes in a gram of lines of up to ``SHORT`` characters and of longer ones; of the latter every other gram counts, by its hash."""
+CELLS, FAR, CLOSE = 28, 11, 4
+"""Cells of two bits in a signature, and how many may differ: of lines with 70 % of their grams in common one in 70 differs in more, of unlike lines one in 10,000 in no more.  Pairs with few are compared first."""
+ODD_BITS = 0x0055555555555555
 LENGTHS = 7
 """Steps of a signature's length for a factor e."""
+SLICE_BYTES = 1 << 20
+PAIR_BYTES = 24 << 20
 
 
 def normalise(line: str) -> str:
@@ -41,197 +54,232 @@ def normalise(line: str) -> str:
     return b" ".join(line.encode().translate(PLAIN).split()).decode()
 
 
-def signatures(lines: list[str], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (a row of 32-bit numbers) and signature of each normalised line, from its grams of so many bytes.
-
-    A signature has the line's length on a logarithmic scale above ``BITS`` bits of its sketch.
+class Lines:
+    """The normalised lines of several texts that have a word: bytes end to end, a line feed after each."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        data, bounds = _known_letters(data, bounds)
+        # Texts end in a line feed, so no line goes on in the next.
+        x = np.insert(PLAIN_LINES[data], bounds[1:], np.uint8(10))
+        after = np.flatnonzero(x[:-1] == 0xC3) + 1
+        after = after[(x[after] >= 0x80) & (x[after] <= 0x9E) & (x[after] != 0x97)]
+        x[after] += 0x20
+        feeds = np.flatnonzero(x == 10)
+        inside = (x != 0x20) & (x != 10)
+        turn = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, ends = turn[::2], turn[1::2]
+        line = np.searchsorted(feeds, starts)
+        new = np.append(True, line[1:] != line[:-1])[: len(line)]
+        x[ends] = np.where(np.append(new[1:], True), 10, 0x20)[: len(ends)]
+        inside[ends] = True
+        self.data = x[inside]
+        self.ends = np.flatnonzero(self.data == 10)
+        self.starts = np.append(0, self.ends[:-1] + 1)[: len(self.ends)]
+        first = np.searchsorted(feeds, bounds + np.arange(len(bounds)))
+        self.texts = np.searchsorted(first, line[new], "right") - 1
+        self.numbers = line[new] - first[self.texts]
+        later = np.flatnonzero((self.data & 0xC0) == 0x80)
+        self.chars = self.ends - self.starts - np.searchsorted(later, self.ends) + np.searchsorted(later, self.starts)
+
+    def hashes(self) -> np.ndarray:
+        import xxhash
+
+        view = memoryview(self.data)
+        return np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(self.starts.tolist(), self.ends.tolist(), strict=True)), np.uint64, len(self.starts))
+
+
+def _known_letters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with characters other than ASCII and Latin letters of two bytes after C3 are normalised one by one."""
+    lead = data == 0xC3
+    second = np.concatenate(([False], lead[:-1])) & (data != 0x97) & (data != 0xB7)
+    odd = np.flatnonzero((data >= 0x80) & ~lead & ~second)
+    if not len(odd):
+        return data, bounds
+    odd = set((np.searchsorted(bounds, odd, "right") - 1).tolist())
+    parts = []
+    for i, (first, last) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        text = data[first:last]
+        parts.append(np.frombuffer("\n".join(map(normalise, str(text.data, "utf-8").split("\n"))).encode(), np.uint8) if i in odd else text)
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
+def long_grams(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of about every other gram of ``GRAM`` bytes of each line, chosen by their bytes, and the lines' bounds in them."""
+    none = np.zeros(0, np.uint64)
+    if len(lines.data) < GRAM:
+        return none, np.zeros(len(lines.starts) + 1, np.int64)
+    grams = np.ndarray(len(lines.data) - GRAM + 1, np.uint64, lines.data, strides=(1,)) * ODD
+    good = grams < np.uint64(1 << 63)
+    # A gram may not reach over the end of its line.
+    over = (lines.ends[:, None] - np.arange(GRAM)).ravel()
+    good[over[(over >= 0) & (over < len(good))]] = False
+    at = np.flatnonzero(good)
+    return mix(grams[at]), np.searchsorted(at, np.append(lines.starts, len(lines.data)))
+
+
+def short_grams(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of ``SHORT_GRAM`` bytes of some lines, and the lines' bounds in them."""
+    starts, lengths = lines.starts[chosen], lines.ends[chosen] - lines.starts[chosen]
+    owner = np.repeat(np.arange(len(chosen)), lengths)
+    inside = np.arange(len(owner)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    grams, at = windows(BYTE_HASH[lines.data[inside]], owner, SHORT_GRAM)
+    return grams, np.searchsorted(owner[at], np.arange(len(chosen) + 1))
+
+
+def signatures(grams: np.ndarray, bounds: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks (a row of 64-bit numbers) and signature of each line, from its grams.
+
+    A signature has the line's length on a logarithmic scale above ``CELLS`` cells of its sketch.
     """
-    keys, sigs = np.zeros((len(lines), BANDS), np.int32), np.zeros(len(lines), np.int64)
-    for first in range(0, len(lines), 2000):
-        some = [x.encode() for x in lines[first : first + 2000]]
-        data = np.frombuffer(b"".join(some), np.uint8)
-        sizes = np.array([len(x) for x in some])
-        grams, at = windows(BYTE_HASH[data], np.repeat(np.arange(len(some)), sizes), gram)
-        rows = sketches(grams, np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes)))), SKETCH)
-        keys[first : first + len(some)] = (band_keys(rows, BANDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        bits = (rows[:, :BITS] & np.uint64(1)) << np.arange(BITS, dtype=np.uint64)
-        lengths = np.rint(LENGTHS * np.log([len(x) for x in lines[first : first + len(some)]])).astype(np.int64)
-        sigs[first : first + len(some)] = np.bitwise_or.reduce(bits, axis=1).view(np.int64) | lengths << BITS
-    return keys, sigs
-
-
-def bucket_rows(similarity: float = EDIT_SIMILARITY) -> Callable[[list[str]], dict[str, pa.Array]]:
-    """From distinct lines to columns short_keys, short_sig, keys, sig; null where lines need none of that gram.
-
-    Two similar lines have the keys of one gram at least in common: short ones those of
+    rows = sketches(grams, bounds, SKETCH)
+    bits = (rows[:, :CELLS] & np.uint64(3)) << (2 * np.arange(CELLS, dtype=np.uint64))
+    sizes = np.rint(LENGTHS * np.log(chars)).astype(np.int64)
+    return band_keys(rows[:, : BANDS * WIDTH], BANDS), np.bitwise_or.reduce(bits, axis=1).view(np.int64) | sizes << 2 * CELLS
+
+
+def bucket_rows(lines: Lines, similarity: float) -> Iterator[dict]:
+    """Rows bucket, id, sig of the distinct lines, with their hashes as ids.
+
+    Two similar lines have the buckets of one gram at least in common: short ones those of
     ``SHORT_GRAM``, and a longer one has no similar line that is too short for ``GRAM``.
     """
+    keys, first = np.unique(lines.hashes(), return_index=True)
+    n = lines.chars[first]
+    # A line that is too short for any edit can only be equal to another.
+    short = np.flatnonzero((n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0))
+    long = np.flatnonzero(n >= int(SHORT * similarity))
+    if len(long):
+        buckets, sigs = (x[first[long]] for x in signatures(*long_grams(lines), lines.chars))
+        yield {"bucket": signed(buckets.ravel()), "id": np.repeat(signed(keys)[long], BANDS), "sig": np.repeat(sigs, BANDS)}
+    if len(short):
+        buckets, sigs = signatures(*short_grams(lines, first[short]), n[short])
+        yield {"bucket": signed((buckets + np.uint64(1)).ravel()), "id": np.repeat(signed(keys)[short], BANDS), "sig": np.repeat(sigs, BANDS)}
 
-    def sign(lines: list[str]) -> dict[str, pa.Array]:
-        n = np.array([len(x) for x in lines], np.int64)
-        # A line that is too short for any edit can only be equal to another.
-        short = (n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0)
-        out = {}
-        for name, gram, chosen in (("short_", SHORT_GRAM, short), ("", GRAM, n >= int(SHORT * similarity))):
-            at = np.flatnonzero(chosen)
-            keys, sigs = signatures([lines[i] for i in at], gram)
-            place = np.full(len(lines), -1)
-            place[at] = np.arange(len(at))
-            place = pa.array(place, mask=~chosen)
-            out[name + "keys"] = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int32())).take(place)
-            out[name + "sig"] = pa.array(sigs).take(place)
-        return out
-
-    return sign
-
-
-def bucketed() -> Column:
-    """Array of (bucket, sig) of a line: its keys with the numbers of their bands."""
-    rows = lambda keys, sig, first: F.coalesce(F.transform(keys, lambda key, i: F.struct(F.shiftleft((i + first).cast("long"), 32).bitwiseOR(key.cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("bucket"), F.col(sig).alias("sig"))), F.array())
-    return F.concat(rows("short_keys", "short_sig", 0), rows("keys", "sig", BANDS))
-
-
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether at most ``most`` edits turn a into b (Myers' bit vectors on what common ends leave)."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    n = min(len(a), len(b))
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    n = min(len(a), len(b))
-    i = 0
-    while i < n and a[-1 - i] == b[-1 - i]:
-        i += 1
-    a, b = a[: len(a) - i], b[: len(b) - i]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    top = 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        eq = places.get(c, 0)
-        zero = (((eq & up) + up) ^ up) | eq | down
-        plus = down | ~(zero | up) & full
-        minus = up & zero
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        if score - left > most:
-            return False
-        plus = (plus << 1 | 1) & full
-        minus = minus << 1 & full
-        up = minus | ~(zero | plus) & full
-        down = plus & zero
-    return score <= most
-
-
-def similar(a: str, b: str, least: float = EDIT_SIMILARITY) -> bool:
-    """1 - edits / longer length is at least ``least``."""
-    return edits_within(a, b, int(max(len(a), len(b)) * (1 - least) + 1e-9))
 
+def near_signatures(x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
+    differ = (x ^ y).view(np.uint64)
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(ODD_BITS)
+    return (np.bitwise_count(differ) <= FAR) & (abs((x >> 2 * CELLS) - (y >> 2 * CELLS)) <= steps)
 
-def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines to drop from each document: doc_id, dropped (numbers of lines from 0).
 
-    Lines are linked if they are equal after normalising, or if they meet in a
-    band of their sketches and their edit similarity is at least
-    ``similarity``.  Of each connected group the first occurrence stays (by
-    document id, then line).  Lines without a word and documents without an id
-    are left alone; rows that repeat an id are one document.  Documents that
-    lose nothing have no row.
-    """
-    import xxhash
+def different_cells(x: Column, y: Column) -> Column:
+    differ = x.bitwiseXOR(y)
+    return F.bit_count(differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(ODD_BITS)))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
-    sign = bucket_rows(similarity)
+def near_columns(x: Column, y: Column, steps: int) -> Column:
+    return (different_cells(x, y) <= FAR) & (F.abs(F.shiftright(x, 2 * CELLS) - F.shiftright(y, 2 * CELLS)) <= steps)
 
-    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        first = 0
-        while first < len(ids):
-            # A few megabytes of text at a time, or one longer text.
-            doc, number, plain, size = [], [], [], 0
-            while first < len(ids) and (not size or size < 2 << 20):
-                text = texts[first].as_py()
-                size += len(text) + 1
-                for i, line in enumerate(text.split("\n")):
-                    if line and (line := normalise(line)):
-                        doc.append(ids[first])
-                        number.append(i)
-                        plain.append(line)
-                first += 1
-            distinct = list(dict.fromkeys(plain))
-            place = {x: i for i, x in enumerate(distinct)}
-            at = np.fromiter((place[x] for x in plain), np.int64, len(plain))
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct), np.uint64, len(distinct))
-            # The first of equal lines has the signatures.
-            again = np.ones(len(at), bool)
-            again[np.unique(at, return_index=True)[1]] = False
-            once = pa.array(at, mask=again)
-            yield {"line": signed(keys)[at], "doc_id": doc, "number": number} | {name: x.take(once) for name, x in sign(distinct).items()}
-
-    lines = stored(map_batches(rows, cut, "line long, doc_id long, number int, short_keys array<int>, short_sig long, keys array<int>, sig long"), "lines")
-    signs = [F.first(x, ignorenulls=True).alias(x) for x in ("short_keys", "short_sig", "keys", "sig")]
-    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), *signs, F.count("*").alias("n")), "signed-distinct-lines")
-    # Neither table is kept with the signatures for longer than they are read.
-    wide, lines = lines, stored(lines.select("line", "doc_id", "number"), "line-places")
-    drop(wide)
-    steps = math.floor(1 - LENGTHS * math.log(similarity))
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(((x ^ y) & MASK).view(np.uint64)) <= FAR) & (abs((x >> BITS) - (y >> BITS)) <= steps)
+def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines to drop from each document: doc_id, mark, dropped (numbers of lines from 0).
 
-    def near_columns(x: Column, y: Column) -> Column:
-        return (F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(MASK))) <= FAR) & (F.abs(F.shiftright(x, BITS) - F.shiftright(y, BITS)) <= steps)
+    Lines are linked if they are equal after normalising, or if they meet in a
+    block of their sketches and their edit similarity, 1 - edits / the longer
+    length, is at least ``similarity``.  Of each connected group the first
+    occurrence stays (by document id, then text, then line).  mark is a hash of
+    the text: rows of one id with different texts are different documents, rows
+    that repeat an id and a text are one.  Null and empty texts, lines without a
+    word and documents without an id are left alone; lines of any length and
+    texts of any length are read whole.  Documents that lose nothing have no row.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("mark", F.xxhash64("text"))
+    steps = math.floor(1 - LENGTHS * math.log(similarity))
 
-    members = stored(colliding(distinct.select(F.explode(bucketed()).alias("b"), F.col("line").alias("id")).select("b.bucket", "id", "b.sig"), near), "colliding")
-    wide, distinct = distinct, stored(distinct.select("line", "first", "n"), "distinct-lines")
-    drop(wide)
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part, data, bounds in slices(batch, "text", SLICE_BYTES):
+            found = Lines(data, bounds)
+            at = pa.array(found.texts)
+            yield {"line": signed(found.hashes()), "doc_id": part.column("doc_id").take(at), "mark": part.column("mark").take(at), "number": found.numbers}
+
+    def sketch(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, data, bounds in slices(batch, "text", SLICE_BYTES):
+            yield from bucket_rows(Lines(data, bounds), similarity)
+
+    lines = stored(map_batches(rows, cut, "line long, doc_id long, mark long, number int"), "lines")
+    near = stored(pairs_in_buckets(map_batches(rows.select("text"), sketch, "bucket long, id long, sig long"), lambda x, y: near_signatures(x, y, steps)), "near-lines")
+    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "number")).alias("first"), F.count("*").alias("n")), "distinct-lines")
     # The texts of lines that meet a near one are fetched once.
-    places = distinct.join(members.select(F.col("id").alias("line")).distinct(), "line", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
+    asked = near.select(F.explode(F.array("id", "head")).alias("line")).distinct()
+    places = distinct.join(asked, "line", "left_semi").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
 
     def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [(a["line"], lines[a["number"]]) for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True) for lines in [text.split("\n")] for a in asked if a["number"] < len(lines)]
-        yield {"line": [x for x, _ in found], "plain": [normalise(x) for _, x in found]}
-
-    plain = stored(map_batches(rows.join(places, "doc_id").select("text", "asked"), fetch, "line long, plain string").dropDuplicates(["line"]), "line-texts")
+        asked = batch.column("asked")
+        line, number = asked.flatten().flatten()
+        number, bounds = number.to_pylist(), asked.offsets.to_pylist()
+        plain: list[str] = []
+        for text, i, j in zip(batch.column("text"), bounds[:-1], bounds[1:], strict=True):
+            own = text.as_py().split("\n")
+            plain += [normalise(own[k]) for k in number[i - bounds[0] : j - bounds[0]]]
+        yield {"line": line, "plain": plain}
+
+    found = rows.join(places, ["doc_id", "mark"]).select("text", "asked")
+    plain = stored(map_batches(found, fetch, "line long, plain string").dropDuplicates(["line"]), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        def compare(batch: pa.RecordBatch) -> Iterator[dict]:
-            keep = pa.array([similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], pa.bool_())
-            yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+        def verdict(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            x, y = rows.column("x").to_pylist(), rows.column("y").to_pylist()
+            most = np.array([int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b in zip(x, y, strict=True)], np.int64)
+            return rows.select(["a", "b"]).filter(pa.array(within(x, y, most)))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Some megabytes at a time, so that many pairs of about one length come together.
+            held, size = [], 0
+            for batch in batches:
+                held.append(batch)
+                size += batch.nbytes
+                if size > PAIR_BYTES:
+                    yield verdict(held)
+                    held, size = [], 0
+            if held:
+                yield verdict(held)
 
         full = pairs.join(plain.select(F.col("line").alias("a"), F.col("plain").alias("x")), "a").join(plain.select(F.col("line").alias("b"), F.col("plain").alias("y")), "b")
-        return map_batches(full.select("a", "b", "x", "y"), compare, "a long, b long")
-
-    links = bucket_links(members, confirm, near_columns)
-    groups = stored(components(links), "line-groups").withColumnRenamed("id", "line")
-    known = distinct.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
+        return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+    # Most groups hang together by one pair of lines that differ little for each; other pairs count only where these leave two components.
+    pairs = near.where("not big").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"), (F.col("first") & (different_cells(F.col("sig"), F.col("head_sig")) <= CLOSE)).alias("close"))
+    pairs = stored(pairs.groupBy("a", "b").agg(F.max("close").alias("close")), "near-pairs")
+    links = stored(confirm(pairs.where("close")), "links")
+    comp = components(links)
+    rest = pairs.where("not close").join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+    links = links.union(stored(confirm(rest.where("x is null or y is null or x <> y").select("a", "b")), "links"))
+    drop(comp, pairs)
+    crowds = stored(near.where("big").drop("first", "big").distinct(), "crowded-lines")
+    if crowds.limit(1).count():
+        links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps)))
+    groups = components(links)
+    known = distinct.join(groups.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     keepers = known.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     again = stored(known.join(keepers.drop("n"), "component").select("line", "keep"), "repeated-lines")
-    dropped = lines.join(again, "line").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("number") != F.col("keep.number")))
-    out = stored(dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped-lines")
-    drop(lines, distinct, members, plain, again)
+    dropped = lines.join(again, "line").where(F.struct("doc_id", "mark", "number") != F.col("keep"))
+    out = stored(dropped.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped-lines")
+    drop(lines, near, distinct, plain, crowds, groups, again)
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without their repeated lines: all columns, and n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, length_col: str | None = None) -> DataFrame:
+    """Documents without their repeated lines: all columns, and if asked for n_lines and n_dropped.
 
-    A document all of whose lines are dropped is gone; null and empty texts stay
-    as they are.  An empty table stays empty.
+    A document all of whose lines are dropped is gone; null and empty texts and
+    rows with a null id stay as they are.  Of rows that repeat an id and a text
+    none loses a line to another.  A column ``length_col`` gets the length of the
+    text where lines were dropped.  Columns may have any names; given columns
+    n_lines and n_dropped are replaced if counts are asked for.  An empty table
+    stays empty.
     """
-    lost = repeated_lines(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)))
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    joined = joined.withColumn(text_col, F.when(F.col("n_dropped") > 0, left).otherwise(F.col(text_col)))
-    bare = F.translate(F.col(text_col), " \t\n\r\x0b\x0c", "") == ""
-    return joined.where((F.col("n_dropped") == 0) | ~bare).drop("__id", "__dropped")
+    lost = repeated_lines(docs, id_col=id_col, text_col=text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
+    gone = F.coalesce(F.size("dropped"), F.lit(0))
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    text = F.when(gone > 0, left).otherwise(F.col(f"row.`{text_col}`"))
+    bare = F.translate(F.col("text"), " \t\n\r\x0b\x0c", "") == ""
+    joined = rows.join(lost, ["doc_id", "mark"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), gone.alias("n_dropped"))
+    joined = joined.where((F.col("n_dropped") == 0) | ~bare)
+    own = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        own[length_col] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
+    added = ("n_lines", "n_dropped") if counts else ()
+    return joined.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added), *added)

@@ -144,7 +144,10 @@ def prefix_pairs(documents: DataFrame, sets: DataFrame, ratio: int) -> DataFrame
 
 
 def grouped(docs: DataFrame, threshold: float = 0.75, words: int = 5, size: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate groups: doc_id, mark (a hash of the text), n_shingles, component_id, a row for each row with an id.
+    """Near-duplicate groups: doc_id, mark (a hash of the text), n_shingles, group, component_id, a row for each row with an id.
+
+    group tells groups apart, null for texts without words; component_id is its
+    smallest doc_id, which two groups share if rows of one id have different texts.
 
     Documents are linked if intersection / union of their sets of word shingles
     is at least ``threshold``.  First, documents of one and the same set become
@@ -228,10 +231,11 @@ def grouped(docs: DataFrame, threshold: float = 0.75, words: int = 5, size: int
     drop(members, sets)
     group = classes.select(*same, "id", F.col("first.doc_id").alias("least")).join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("group"), "least")
     if repeated:
-        group = group.join(group.groupBy("group").agg(F.min("least").alias("low")), "group").select(*same, F.col("low").alias("group"))
-    group = group.select(*same, "group")
-    out = signed_docs.select("doc_id", "mark", *same).join(group, same, "left")
-    return out.select("doc_id", "mark", "n_shingles", F.coalesce("group", "doc_id").alias("component_id"))
+        group = group.join(group.groupBy("group").agg(F.min("least").alias("low")), "group")
+    else:
+        group = group.withColumn("low", F.col("group"))
+    out = signed_docs.select("doc_id", "mark", *same).join(group.select(*same, "group", "low"), same, "left")
+    return out.select("doc_id", "mark", "n_shingles", "group", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -247,8 +251,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     linked with nothing and stay.  An empty table stays empty.
     """
     keys = ["doc_id", "mark"]
-    groups = stored(grouped(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0").select("component_id", *keys), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
+    groups = stored(grouped(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0").select("group", *keys), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
     seen = groups.groupBy(*keys).agg(F.count("*").alias("n"))
     gone = stored(seen.join(first.withColumn("stays", F.lit(True)), keys, "left").select(*keys, "n", F.coalesce("stays", F.lit(False)).alias("stays")).where("n > 1 or not stays"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))

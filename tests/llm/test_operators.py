@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.llm import components, decontaminate, html_text, lines, minhash, packing, quality, records, store, suffixes, tokens, toxicity, warc
+from furlong.llm import edits as edit_search
+from furlong.llm.edits import within
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, a long, id long, line long, bucket long"
 BASE = " ".join(f"word{i} and more{i * 7 % 13}" for i in range(60))
@@ -194,7 +196,7 @@ def test_toxicity(spark, docs, empty):
     got = toxicity.toxicity(texts, labels).collect()
     assert all(r["predicted"] == (r["doc_id"] >= 400) for r in got) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     model = toxicity.fit_texts([t for _, t in clean + bad], np.array([0.0] * 400 + [1.0] * 120))
-    found = toxicity.score(spark.createDataFrame([bad[0]], "doc_id long, text string"), model, spans=True).first()["sentences"]
+    found = toxicity.score(spark.createDataFrame([bad[0]], "doc_id long, text string"), model).first()["sentences"]
     assert [bad[0][1][s["start"] : s["end"]] for s in found] == ["You are a grumbly1 fool."]
     assert toxicity.score(docs, model).count() == len(TEXTS) and toxicity.score(empty, model).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).count() == len(TEXTS)
 
@@ -224,7 +226,7 @@ def test_lines(docs, empty):
     assert got[2] == [0] and 0 in got[9]
     out = lines.dedup_lines(docs)
     assert {r["doc_id"] for r in out.collect()} >= {1, 4, 5, 6, 10, None} and lines.dedup_lines(empty).count() == 0
-    assert lines.edits_within("kitten", "sitting", 3) and not lines.edits_within("kitten", "sitting", 2) and lines.edits_within("abc", "abc", 0)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"] and lines.dedup_lines(docs, counts=False, length_col="n_chars").columns == docs.columns
 
 
 def test_decontamination(spark, docs, empty):
@@ -246,17 +248,96 @@ def test_pipeline(spark):
     assert packed.agg(F.sum("length")).first()[0] > 1000
 
 
-def test_partnered_keeps_every_near_pair():
+def test_pairs_in_buckets(spark):
     rng = np.random.default_rng(5)
-    bucket = np.sort(np.concatenate((rng.integers(0, 60, 300), np.full(90, 30))))
-    sig = rng.integers(0, 16, len(bucket))
+    rows = [(int(b), i, int(s)) for i, (b, s) in enumerate(zip(np.concatenate((rng.integers(0, 60, 300), np.full(90, 30))), rng.integers(0, 16, 390), strict=True))]
     near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= 1
-    marks = components.partnered(bucket, sig, near)
-    for i, b in enumerate(bucket):
-        others = np.flatnonzero((bucket == b) & (np.arange(len(bucket)) != i))
-        size = len(others) + 1
-        whole = size > components.SMALL or b in (bucket[0], bucket[-1])
-        assert marks[i] == (whole or bool(near(np.full(len(others), sig[i]), sig[others]).any()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = components.pairs_in_buckets(spark.createDataFrame(rows + rows[:50], "bucket long, id long, sig long"), near).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_bucket = {}
+    for b, i, s in rows:
+        by_bucket.setdefault(b, []).append((i, s))
+    want = {(min(i, j), max(i, j)) for own in by_bucket.values() if len(own) <= components.SMALL for i, s in own for j, t in own if i < j and bin(s ^ t).count("1") <= 1}
+    assert {(r["head"], r["id"]) for r in found if not r["big"]} == want
+    large = {(b, i) for b, own in by_bucket.items() if len(own) > components.SMALL for i, _ in own}
+    assert large and {(r["bucket"], r["id"]) for r in found if r["big"]} == large and all(r["head"] == min(i for i, _ in by_bucket[r["bucket"]]) for r in found if r["big"])
+
+
+def test_bucket_links_lose_none(spark):
+    rng = np.random.default_rng(9)
+    value = rng.integers(0, 400, 160)
+    rows = [(b, i, int(v)) for i, v in enumerate(value) for b in (1, 2 + i % 3)]
+    members = store.stored(components.colliding(spark.createDataFrame(rows, "bucket long, id long, sig long")), "m")
+    pairs = []
+
+    def confirm(asked):
+        some = [tuple(r) for r in asked.collect()]
+        pairs.extend(some)
+        return spark.createDataFrame([p for p in some if abs(value[p[0]] - value[p[1]]) <= 2], "a long, b long")
+
+    links = components.bucket_links(members, confirm, lambda x, y: F.abs(x - y) <= 5)
+    got = {r["id"]: r["component"] for r in components.components(links).collect()}
+    comp = list(range(len(value)))
+    for _ in range(20):
+        for i in range(len(value)):
+            for j in range(len(value)):
+                if abs(value[i] - value[j]) <= 2:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert [got.get(i, i) for i in range(len(value))] == comp and len(pairs) < 160 * 159 / 4
+
+
+def edits(a, b):
+    """Edit distance, row by row."""
+    row = np.arange(len(b) + 1)
+    other = np.array([ord(c) for c in b])
+    for i, c in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (other != ord(c)))
+        row = np.minimum.accumulate(np.concatenate(([i], best)) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
+def similar(a, b, least=0.9):
+    most = int(max(len(a), len(b)) * (1 - least) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edits(a, b) <= most
+
+
+def groups_of(lines):
+    """Group of each line by brute force: the number of its first member."""
+    component = list(range(len(lines)))
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j) if similar(lines[i], lines[j])]
+    for _ in lines:
+        before = component[:]
+        for i, j in pairs:
+            component[i] = component[j] = min(component[i], component[j])
+        if component == before:
+            break
+    return component
+
+
+def test_edits(monkeypatch):
+    assert (edits("kitten", "sitting"), edits("abc", "abc"), edits("", "ab"), edits("ab", "")) == (3, 0, 2, 2)
+    rng = np.random.default_rng(8)
+    x, y, most = [""], ["ab"], [2]
+    for k in range(400):
+        line = list(rng.choice(list("abcdé "), rng.choice([1, 3, 40, 63, 64, 65, 128, 129, 330])))
+        x.append("".join(line))
+        for _ in range(rng.integers(0, 1 + len(line) // 6)):
+            at = rng.integers(len(line) + 1)
+            line[at : at + rng.integers(3)] = rng.choice(list("xyab "), rng.integers(3))
+        y.append("".join(line))
+        most.append(int(rng.choice([0, 2, max(len(x[-1]), len(y[-1])) // 10, max(len(x[-1]), len(y[-1])) // 5])))
+    want = [edits(a, b) <= n for a, b, n in zip(x, y, most, strict=True)]
+    assert any(want) and not all(want) and within(x, y, np.array(most)).tolist() == want
+    # The same by other groups, and with each pair by itself.
+    monkeypatch.setattr(edit_search, "CELLS", 8)
+    assert within(x, y, np.array(most)).tolist() == want
+    monkeypatch.setattr(edit_search, "LONG", 0)
+    monkeypatch.setattr(edit_search, "STEP", 7)
+    assert within(x, y, np.array(most)).tolist() == want
+    assert not any(edit_search.word_by_word(a, b, n) and not w for a, b, n, w in zip(x, y, most, want, strict=True))
 
 
 def test_near_lines_equal_brute_force(spark):
@@ -272,15 +353,24 @@ def test_near_lines_equal_brute_force(spark):
             texts.append(" ".join(line))
             texts.append(texts[-1][:-1])
     got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    component = list(range(len(texts)))
-    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j])]
-    for _ in texts:
-        for i, j in pairs:
-            component[i] = component[j] = min(component[i], component[j])
-    want = {i for i, c in enumerate(component) if c < i}
+    want = {i for i, c in enumerate(groups_of(texts)) if c < i}
     assert len(want) > 100 and len(got & want) >= 0.98 * len(want) and got <= want
 
 
+def test_a_crowd_of_near_lines(spark):
+    """A bucket of more lines than are compared while it is read; most are joined by the line they were made from."""
+    rng = np.random.default_rng(4)
+    base = list(rng.choice(["".join(rng.choice(list("etaoinshrdlu"), 5)) for _ in range(50)], 40))
+    texts = [" ".join(base)]
+    for k in range(299):
+        line = base[:]
+        for at in rng.choice(40, 1 + k % 3, replace=False):
+            line[at] = f"new{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        texts.append(" ".join(line))
+    got = lines.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 299
+
+
 def test_short_repeated_lines(spark):
     rows = [(1, "Of, edti oner.\n--\nAll rights reserved.\nmore"), (2, "Of, edti oner.\n--\n(All rights reserved)\nOf"), (3, "of\n\n--")]
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
