@@ -1,6 +1,8 @@
 """Documents to packed training sequences, in five stages.
 
-Each stage is written as Parquet and read again by the next.
+Each stage is written as Parquet and read again by the next, and keeps all
+columns of documents, extra ones of any name included; an empty table gives no
+sequences.
 """
 
 from __future__ import annotations
@@ -8,38 +10,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from furlong.llm import decontaminate, lines, minhash, packing, quality, tokens
 from furlong.llm.store import load, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or lie outside the compression bands."""
+    """Drop documents that fail the base rules or lie outside the compression bands.
+
+    Null and empty texts go; rows without an id are judged like any other.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that an earlier document has, and documents of such lines only."""
-    left = lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    """Drop lines that an earlier document has, and documents of such lines only; n_chars follows the text.
+
+    Null and empty texts and rows without an id stay as they are; rows of one id
+    with different texts are different documents.
+    """
+    return lines.dedup_lines(docs, counts=False, length_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate group."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each near-duplicate group, that of the smallest id.
+
+    Rows without a word or an id stay; rows of one id with different texts are
+    different documents, of equal rows one stays.
+    """
+    return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item."""
+    """Drop documents that hold a test item; null and empty texts hold none."""
     return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut what is left into sequences of power-of-two lengths, with their token ids."""
+    """Cut what is left into sequences of power-of-two lengths, with their token ids; a null text is the end id alone."""
     return packing.pack(docs, tokens.vocabulary())
 
 
@@ -51,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 ORACLE_SQL = None
-"""No SQL: compression ratios, SimHash, sketches and token ids have no form there."""
+"""No SQL: compression ratios, sketches and token ids have no form there."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
