@@ -66,10 +66,10 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
 
     def small_pairs(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         alone = np.ones(len(ids), bool)
-        for k in range(1, SMALL):
+        # From the farthest on, so that the first pair of an id leads to the least one and groups are stars rather than chains.
+        longest = int(np.diff(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))).max())
+        for k in range(longest - 1, 0, -1):
             at = np.flatnonzero(bucket[k:] == bucket[:-k])
-            if not len(at):
-                return
             at = at[near(sig[at], sig[at + k])]
             if len(at):
                 yield out([bucket[at], ids[at + k], sig[at + k], ids[at], sig[at]], alone[at + k], False)
