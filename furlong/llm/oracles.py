@@ -53,3 +53,15 @@ def _conversations() -> str:
 
 
 OP11_SQL = _conversations()
+
+OP13_SQL = f"""with recursive {CRC_TABLE}, u as (select coalesce(doc_id::varchar, '') id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) run from documents),
+    h as (select run, {crc32("id || ':' || run")} h from u, crc where length(run) >= 7),
+    w as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word from h),
+    c as (select word, count(*) n from w where length(word) >= 7 group by 1 having count(*) >= 2),
+    x as (select word, i, substr(word, 1, i) || substr(word, i + 2) cut from (select word, unnest(range(length(word))) i from c)),
+    p as (select a.word a, b.word b from x a join x b on a.cut = b.cut and a.i = b.i and a.word <> b.word union select x.word, c.word from x join c on x.cut = c.word union select c.word, x.word from x join c on x.cut = c.word),
+    m as (select a word, count(*) n_near, arg_min({{'f': b, 'n': n}}, {{'k': -n, 'b': b}}) best from p join c on c.word = p.b group by 1),
+    f as (select c.word, n, coalesce(n_near, 0) n_near, case when best.n >= 10 * n then best.f end form, case when best.n >= 10 * n then best.n end form_n from c left join m using (word)),
+    t as (select word, word last, 0 k from f union all select t.word, f.form, k + 1 from t join f on f.word = t.last where f.form is not null),
+    r as (select word, arg_max(last, k) root from t group by 1)
+    select f.word, form, root, n, n_near, form_n from f join r on r.word = f.word"""
