@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import conversations, decontaminate, html_text, lines, minhash, packing, quality, records, suffixes, tokens, toxicity, variants, warc
+from furlong.llm import conversations, decontaminate, html_text, lines, minhash, packing, positive_unlabelled, quality, records, suffixes, tokens, toxicity, variants, warc
 from furlong.llm.oracles import OP11_SQL, OP13_SQL
 from furlong.llm.store import load, new_path
 
@@ -120,6 +120,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(load(spark, sf_dir, "conversations"), damaged=True)
 
 
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and prediction of every document, learnt from positives and unlabelled text.
+
+    Null and empty texts are scored as texts without words; repeated ids are
+    scored each; null ids are not held out; texts of any length are read whole;
+    without positives every score is 0.5; an empty table gives no rows; other
+    columns are not read.
+    """
+    return positive_unlabelled.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, some of them spoilt, with the more common words they may be variants of.
 
@@ -153,6 +164,6 @@ OP10_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet
     x as (select e.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' order by first) kept from e join d on d.doc_id = e.doc_id group by 1)
     select d.doc_id, n n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256 from d left join t on t.doc_id = d.doc_id left join x on x.doc_id = d.doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_records, op3_minhash, op4_warc, op5_line_dedup, op6_html_text, op7_quality, op8_decontaminate, op9_packing, op10_suffix_dedup, op11_conversation_repair, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_records, op3_minhash, op4_warc, op5_line_dedup, op6_html_text, op7_quality, op8_decontaminate, op9_packing, op10_suffix_dedup, op11_conversation_repair, op12_pu_quality, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op3_minhash": OP3_SQL, "op4_warc": OP4_SQL, "op10_suffix_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_spelling_variants": OP13_SQL}
 """The others have no SQL: models, token ids, compression ratios and trees have no form there; tests compare them with brute force."""
