@@ -6,11 +6,17 @@ alone gives the same matches with the plain classes, so it is read with those.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from furlong.functions import scalars as S
+
 # Patterns of the sheets' format, without flags.
 TIME = r"(\d{2}):(\d{2})\.(\d{2})"
 OFFICIAL = "(\\d+)['’](\\d{2})\"{1,2}(\\d{2})"
@@ -29,39 +35,81 @@ POSITION_ROW = r"Position\s*en course"
 STRIDE_ROW = r"Nombre de foulées"
 
 
+# Decimal digits of all scripts, each with its value: numbers are read whatever their digits, as their patterns match any.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+MARKS: dict[str, tuple[str, ...]] = {
+    OFFICIAL: ("'", "’"), REDK: ("redk",), LABELS: ("-", "–"), GOING: ("(",), DISTANCE: ("m",), LINE_SPEED: (",", "."), LINE_DISTANCE: (",", "."), MAX_SPEED: ("Vitesse maximale",),
+    MEAN_SPEED: ("Vitesse moyenne",), FASTEST: ("Tronçon le plus rapide",), TIME: (":",),
+}
+"""What a text must contain, one or the other, to match: looked for before the pattern is."""
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def either(text: Column, f: Callable[[str], Column], flags: str = "") -> Column:
     """f of the flags for a text: none but the given ones if it is ASCII, with Unicode classes and cases if not."""
-    return F.when(F.octet_length(text) == F.length(text), f(f"(?{flags})" if flags else "")).otherwise(f(f"(?{flags}{'u' if 'i' in flags else ''}U)"))
+    return F.when(is_ascii(text), f(f"(?{flags})" if flags else "")).otherwise(f(f"(?{flags}{'u' if 'i' in flags else ''}U)"))
+
+
+def marked(text: Column, pattern: str) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(x)) for x in MARKS[pattern])) if pattern in MARKS else F.lit(True)
 
 
 def group(text: Column, pattern: str, n: int = 1, flags: str = "") -> Column:
     """A group of the first match; null if there is none."""
-    return F.nullif(either(text, lambda start: F.regexp_extract(text, start + pattern, n), flags), F.lit(""))
+    found = either(text, lambda start: F.regexp_extract(text, start + pattern, n), flags)
+    return F.when(marked(text, pattern), F.nullif(found, F.lit("")))
+
+
+def part(match: Column, pattern: str, n: int, flags: str = "") -> Column:
+    """A group of a match, as ``group`` gave it with n = 0; null if there is none or it is empty."""
+    return F.nullif(F.regexp_extract(F.coalesce(match, F.lit("")), f"(?{flags}{'u' if 'i' in flags else ''}U)" + pattern, n), F.lit(""))
 
 
 def all_groups(text: Column, pattern: str, n: int = 1, flags: str = "") -> Column:
     """A group of every match."""
-    return either(text, lambda start: F.regexp_extract_all(text, F.lit(start + pattern), F.lit(n)), flags)
+    found = either(text, lambda start: F.regexp_extract_all(text, F.lit(start + pattern), F.lit(n)), flags)
+    return F.when(marked(text, pattern), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+
+
+def plain_digits(text: Column) -> Column:
+    """Digits of any script as 0 to 9."""
+    return F.when(is_ascii(text), text).otherwise(F.translate(text, DIGITS, VALUES))
+
+
+def integer(text: Column) -> Column:
+    return plain_digits(text).try_cast("int")
 
 
 def number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(plain_digits(text), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def clock(text: Column, pattern: str) -> Column:
-    """Struct text (m'ss"cc) and sec of the first match; nulls if there is none."""
+def clock_numbers(match: Column) -> Column:
+    """The numbers in a match of a clock's pattern, as texts: minutes, seconds, hundredths."""
+    return F.regexp_extract_all(plain_digits(match), F.lit("[0-9]+"), F.lit(0))
 
-    def parts(match: Column) -> Column:
-        m, s, c = (F.regexp_extract(match, "(?U)" + pattern, i).try_cast("int") for i in (1, 2, 3))
-        return F.struct(F.when(m.isNotNull(), F.format_string("%d'%02d\"%02d", m, s, c)).alias("text"), F.bround(m * 60 + s + c / F.lit(100.0), 2).alias("sec"))
 
-    # The text is searched once; the groups are taken from the match.
-    return let(F.coalesce(group(text, pattern, 0), F.lit("")), parts)
+def clock_values(numbers: Column) -> tuple[Column, Column]:
+    """Text m'ss"cc and seconds of a clock's numbers; nulls if there are none."""
+    m, s, c = (F.get(numbers, F.lit(i)).try_cast("int") for i in range(3))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(m.cast("string"), F.lit("'"), two(s), F.lit('"'), two(c)), F.bround(m * 60 + s + c / F.lit(100.0), 2)
+
+
+def clock(text: Column, pattern: str) -> Column:
+    """Struct text (m'ss"cc) and sec of the first match; nulls if there is none."""
+    # The text is searched once; the numbers are taken from the match.
+    return let(clock_numbers(group(text, pattern, 0)), lambda x: F.struct(*(c.alias(n) for n, c in zip(("text", "sec"), clock_values(x), strict=True))))
 
 
 def official_time(line: Column) -> tuple[Column, Column]:
@@ -73,14 +121,20 @@ def line_max_speed(line: Column) -> Column:
     return number(group(line, LINE_SPEED, 1, "i"))
 
 
+def line_end(line: Column) -> Column:
+    """The end of a line that has all of a number at its end: ``LINE_DISTANCE`` matches no more than 8 characters but blanks."""
+    return F.right(F.when(is_ascii(line), F.rtrim(line, F.lit(" \t\n\x0b\x0c\r"))).otherwise(S.strip(line)), F.lit(8))
+
+
 def line_distance(line: Column) -> Column:
     """Metres at the end of a line; the last digits are the decimals."""
-    return let(F.coalesce(group(line, LINE_DISTANCE, 0), F.lit("")), lambda m: F.concat_ws(".", *(F.nullif(F.regexp_extract(m, "(?U)" + LINE_DISTANCE, i), F.lit("")) for i in (1, 2)))).try_cast("double")
+    return number(group(line_end(line), LINE_DISTANCE, 0))
 
 
 def seconds(time: Column) -> Column:
     """Seconds of mm:ss.cc."""
-    return F.bround(F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int") + F.substring(time, 7, 2).cast("int") / F.lit(100.0), 2)
+    m, s, c = (integer(F.substring(time, i, 2)) for i in (1, 4, 7))
+    return F.bround(m * 60 + s + c / F.lit(100.0), 2)
 
 
 def time_texts(line: Column) -> Column:
@@ -93,15 +147,35 @@ def line_times(line: Column) -> Column:
     return F.transform(time_texts(line), seconds)
 
 
+def going_of(match: Column) -> Column:
+    """Struct terrain and penetrometre of a match of ``GOING``; nulls if there is none."""
+    return F.struct(part(match, GOING, 1, "i").alias("terrain"), number(part(match, GOING, 2, "i")).alias("penetrometre"))
+
+
 def going(line: Column) -> Column:
     """Struct terrain and penetrometre of the first match; nulls if there is none."""
-    take = lambda m, i: F.nullif(F.regexp_extract(m, "(?iuU)" + GOING, i), F.lit(""))
-    return let(F.coalesce(group(line, GOING, 0, "i"), F.lit("")), lambda m: F.struct(take(m, 1).alias("terrain"), take(m, 2).try_cast("double").alias("penetrometre")))
+    return let(group(line, GOING, 0, "i"), going_of)
+
+
+def header_of(lines: Column) -> dict[str, Column]:
+    """Distance (first), going and penetrometer (last) and section labels (first) in the first 30 of a sheet's lines; to be columns of their own."""
+    top = F.slice(lines, 1, 30)
+    found = lambda f: F.filter(F.transform(top, f), lambda x: x.isNotNull())
+    return {
+        "distance_m": F.get(F.filter(F.transform(top, lambda x: integer(group(x, DISTANCE))), lambda d: d > 0), F.lit(0)),
+        "__going": F.get(F.reverse(found(lambda x: group(x, GOING, 0, "i"))), F.lit(0)),
+        "labels": F.get(found(section_labels), F.lit(0)),
+    }
+
+
+def labels_of(found: Column) -> Column:
+    """Labels without blanks if there are two or more."""
+    return F.when(F.size(found) >= 2, F.transform(found, lambda x: F.translate(x, "– ", "-")))
 
 
 def section_labels(line: Column) -> Column:
-    """Labels of the sections if a line has two or more; blanks removed."""
-    return let(all_groups(line, LABELS, 1, "i"), lambda found: F.when(F.size(found) >= 2, F.transform(found, lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("–"), F.lit("-")))))
+    """Labels of the sections if a line has two or more."""
+    return let(all_groups(line, LABELS, 1, "i"), labels_of)
 
 
 def labelled_times(times: Column, labels: Column) -> Column:
@@ -118,9 +192,44 @@ def row_values(page: Column, label: str) -> Column:
     return F.transform(let(row, lambda x: all_groups(x, ROW_NUMBER)), number)
 
 
+# Values of a line or page in steps, each of which is to be columns of its own: what a column
+# holds is computed once, however often later steps use it.
+
+
+def line_steps(line: Column) -> list[dict[str, Column]]:
+    """Official time, greatest speed and distance covered."""
+    return [
+        {"__official": group(line, OFFICIAL, 0), "__speed": group(line, LINE_SPEED, 1, "i"), "__covered": group(line_end(line), LINE_DISTANCE, 0)},
+        {"__clock": clock_numbers(F.col("__official"))},
+        {**dict(zip(("temps_officiel", "temps_officiel_sec"), clock_values(F.col("__clock")), strict=True)), "vitesse_max_ligne": number(F.col("__speed")), "distance_parcourue": number(F.col("__covered"))},
+    ]
+
+
+def head_steps(line: Column) -> list[dict[str, Column]]:
+    """Distance, going, penetrometer, labels and times of a line."""
+    return [
+        {"__distance": group(line, DISTANCE), "__going": group(line, GOING, 0, "i"), "__labels": all_groups(line, LABELS, 1, "i"), "times": time_texts(line)},
+        {"distance_m": integer(F.col("__distance")), "terrain": part(F.col("__going"), GOING, 1, "i"), "__firm": part(F.col("__going"), GOING, 2, "i"), "labels": labels_of(F.col("__labels"))},
+        {"penetrometre": number(F.col("__firm"))},
+    ]
+
+
+def detail_steps(page: Column) -> list[dict[str, Column]]:
+    """Times, speeds and fastest section of a detail page."""
+    return [
+        {"__redk": group(page, REDK, 0), "__max": group(page, MAX_SPEED), "__mean": group(page, MEAN_SPEED, 1, "md"), "__fastest": group(page, FASTEST, 0)},
+        {"__clock": clock_numbers(F.col("__redk"))},
+        {
+            **dict(zip(("redk", "redk_sec"), clock_values(F.col("__clock")), strict=True)), "vitesse_max_kmh": number(F.col("__max")), "vitesse_moyenne_kmh": number(F.col("__mean")),
+            "troncon_plus_rapide": part(F.col("__fastest"), FASTEST, 1), "troncon_plus_rapide_label": F.trim(part(F.col("__fastest"), FASTEST, 2)),
+        },
+    ]
+
+
 def detail_scalars(page: Column) -> list[Column]:
+    """Values of ``detail_values`` of a page, each found by a search of its own."""
     redk = clock(page, REDK)
-    fastest = let(F.coalesce(group(page, FASTEST, 0), F.lit("")), lambda m: F.struct(*(F.nullif(F.regexp_extract(m, "(?U)" + FASTEST, i), F.lit("")).alias(n) for i, n in ((1, "time"), (2, "label")))))
+    fastest = let(group(page, FASTEST, 0), lambda m: F.struct(*(part(m, FASTEST, i).alias(n) for i, n in ((1, "time"), (2, "label")))))
     return [
         redk["text"].alias("redk"), redk["sec"].alias("redk_sec"), number(group(page, MAX_SPEED)).alias("vitesse_max_kmh"), number(group(page, MEAN_SPEED, 1, "md")).alias("vitesse_moyenne_kmh"),
         fastest["time"].alias("troncon_plus_rapide"), F.trim(fastest["label"]).alias("troncon_plus_rapide_label"),

@@ -106,22 +106,33 @@ def fill_going(races: DataFrame, runners: DataFrame, keys: list[str], going: str
     return races.join(first, keys, "left").withColumn(going, S.text_or(S.first_truthy(F.col(going), F.col("__going")))).drop("__going")
 
 
-def resolve_races(lookups: DataFrame, races: DataFrame, day: str = "day", prize: str = "nom_prix", hint: str = "hint", threshold: int = 40) -> DataFrame:
+SPLIT = 1_000
+"""Races of a meeting that are scored in one place; a larger meeting is split, and its lookups are repeated for each part."""
+
+
+def resolve_races(lookups: DataFrame, races: DataFrame, day: str = "day", prize: str = "nom_prix", hint: str = "hint", threshold: int = 40, split: int = SPLIT) -> DataFrame:
     """The best race of the same day for each distinct (day, prize, hint).
 
     races: day, reunion_pos, course_pos, code, long_name, short_name (venue),
     label, short_label and what is to be returned.  Hints are matched to venues
-    first, once for each day, so that races join by keys; of the best score the
-    first in document order counts; below the threshold there is no row.
+    first, once for each day, so that races join by keys; a meeting's races are
+    dealt to as many parts as their number asks for, so a busy day is scored by
+    many tasks.  Of the best score the first in document order counts; below the
+    threshold there is no row.
     """
     venue = [day, "reunion_pos"]
-    meetings = races.select(*venue, "code", "long_name", "short_name").distinct()
+    meetings = races.groupBy(*venue, "code", "long_name", "short_name").agg(F.count("*").alias("__n"))
     asked = lookups.select(day, prize, hint).distinct()
-    hints = asked.select(day, hint).distinct().join(meetings, day).where(S.venue_matches(F.col(hint), F.col("code"), F.col("long_name"), F.col("short_name"))).select(day, F.coalesce(hint, F.lit("")).alias("__hint"), "reunion_pos").distinct()
+    fits = S.venue_matches(F.col(hint), F.col("code"), F.col("long_name"), F.col("short_name"))
+    # Names of one venue may differ between its races: parts are counted over all of them.
+    sizes = meetings.groupBy(*venue).agg(F.ceil(F.sum("__n") / split).cast("int").alias("__parts"))
+    hints = asked.select(day, hint).distinct().join(meetings, day).where(fits).select(day, F.coalesce(hint, F.lit("")).alias("__hint"), "reunion_pos").distinct()
+    hints = hints.join(sizes, venue)
     # Names are normalised and cut to words once on either side, not for every pair.
     asked = asked.withColumns({"__hint": F.coalesce(hint, F.lit("")), "__q": S.norm_name(F.col(prize)), "__qw": S.tokens(F.col(prize), 3)})
-    ready = races.withColumns({"__l": S.norm_name(F.col("label")), "__s": S.norm_name(F.col("short_label")), "__lw": S.tokens(F.col("label"), 3)})
-    pairs = asked.join(hints, [day, "__hint"]).join(ready, venue)
+    asked = asked.join(hints, [day, "__hint"]).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    ready = races.join(sizes, venue).withColumns({"__l": S.norm_name(F.col("label")), "__s": S.norm_name(F.col("short_label")), "__lw": S.tokens(F.col("label"), 3), "__part": F.pmod(F.xxhash64("course_pos", "label"), F.col("__parts")).cast("int")})
+    pairs = asked.join(ready.drop("__parts"), [*venue, "__part"])
     score = S.prepared_score(*(F.col(c) for c in ("__q", "__qw", "__l", "__s", "__lw")))
     scored = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     kept = [c for c in races.columns if c != day]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.functions import scalars as S
@@ -10,84 +10,189 @@ from furlong.functions import series as V
 from furlong.functions import sheets as X
 
 
+def sheet_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a sheet: keys, pages (structs page_no, text, in order).  This is where texts are shuffled."""
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
+    return pages.groupBy(*keys).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+
+
+def lines_of(pages: Column) -> Column:
+    """Lines of a sheet from its pages."""
+    return F.split(F.array_join(F.transform(pages, lambda p: p["text"]), "\n"), "\n", -1)
+
+
 def sheet_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of a sheet, numbered over its pages in order: keys, line_no, line."""
-    whole = pages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    return whole.select(*keys, F.posexplode(F.split(joined, "\n", -1)).alias("line_no", "line"))
+    return sheet_pages(pages, keys).select(*keys, F.posexplode(lines_of(F.col("pages"))).alias("line_no", "line"))
+
+
+def hits(upper: Column, words: Column) -> Column:
+    """Words that occur in a text, which is in upper case, with multiplicity."""
+    return F.size(F.filter(words, lambda w: S.contains(upper, w)))
+
+
+def is_detail(page_no: Column, text: Column) -> Column:
+    return (page_no > 0) & text.contains("Vitesse moyenne") & text.contains("Position")
+
+
+def has_time(line: Column) -> Column:
+    return X.marked(line, X.TIME) & X.either(line, lambda start: line.rlike(start + X.TIME))
+
+
+def sheet_rows(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a sheet with what is looked up in it: keys, header, timed (structs line_no, line, upper), detail (page_no, text, upper).
+
+    A sheet's text is gathered and cut to lines once; everything else is read
+    from this row.
+    """
+    whole = sheet_pages(pages, keys).select(*keys, "pages", lines_of(F.col("pages")).alias("lines"))
+    line = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.upper(x).alias("upper")))
+    page = F.filter("pages", lambda p: is_detail(p["page_no"], p["text"]))
+    return whole.select(
+        *keys, *(c.alias(n) for n, c in X.header_of(F.col("lines")).items()), F.filter(line, lambda x: has_time(x["line"])).alias("timed"),
+        F.transform(page, lambda p: F.struct(p["page_no"].alias("page_no"), p["text"].alias("text"), F.upper(p["text"]).alias("upper"))).alias("detail"),
+    )
+
+
+def best_of(items: Column, words: Column, number: str, text: str) -> Column:
+    """Of structs with a number, a text and it in upper case the one with most of the words, the first of equals: struct score, number, text; null if none has one."""
+    scored = F.transform(items, lambda x: F.struct(hits(x["upper"], words).alias("score"), (-x[number]).alias("rank"), x[text].alias(text)))
+    return F.array_max(F.filter(scored, lambda x: x["score"] > 0))
+
 
+def asked_words(horses: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return horses.select(*keys, name).distinct().withColumn("__words", S.tokens(F.col(name), 2))
 
-def hits(text, words):
-    """Words that occur in a text, in upper case, with multiplicity."""
-    return F.size(F.filter(words, lambda w: S.contains(F.upper(text), w)))
+
+def listed(horses: DataFrame, sheets: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
+    """Which horses have a line on their sheet: keys, name.  sheets: of ``sheet_rows``."""
+    found = asked_words(horses, keys, name).join(sheets.select(*keys, F.col("timed.upper").alias("__timed")), keys)
+    on = F.exists("__timed", lambda x: F.exists("__words", lambda w: S.contains(x, w)))
+    return found.where(on).select(*keys, name)
 
 
 def match_lines(horses: DataFrame, lines: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
     """The line with a time that has most words of the horse's name, the first of equals: keys, name, line_no, line, score."""
-    timed = lines.where(X.either(F.col("line"), lambda start: F.col("line").rlike(start + X.TIME)))
-    asked = horses.select(*keys, name).distinct().withColumn("__words", S.tokens(F.col(name), 2))
-    scored = asked.join(timed, keys).withColumn("score", hits(F.col("line"), F.col("__words"))).where("score > 0")
+    timed = lines.where(has_time(F.col("line"))).withColumn("__upper", F.upper("line"))
+    scored = asked_words(horses, keys, name).join(timed, keys).withColumn("score", hits(F.col("__upper"), F.col("__words"))).where("score > 0")
     return scored.groupBy(*keys, name).agg(F.max_by(F.struct("line_no", "line", "score"), F.struct("score", -F.col("line_no"))).alias("b")).select(*keys, name, "b.*")
 
 
 def match_pages(horses: DataFrame, pages: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
-    """The detail page, after the first page, that has most words of the horse's name: keys, name, page_no, score."""
-    detail = pages.where((F.col("page_no") > 0) & F.col("text").contains("Vitesse moyenne") & F.col("text").contains("Position"))
-    asked = horses.select(*keys, name).distinct().withColumn("__words", S.tokens(F.col(name), 2))
-    scored = asked.join(detail, keys).withColumn("score", hits(F.col("text"), F.col("__words"))).where("score > 0")
+    """The detail page, after the first page, that has most words of the horse's name: keys, name, page_no, score.
+
+    The names of a sheet are one row, so a page is scored for all of them where
+    it is met; only numbers and scores go on from there.
+    """
+    detail = pages.where(is_detail(F.col("page_no"), F.col("text"))).select(*keys, "page_no", F.upper("text").alias("__upper"))
+    names = asked_words(horses, keys, name).groupBy(*keys).agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col("__words").alias("words"))).alias("__names"))
+    scores = F.filter(F.transform("__names", lambda x: F.struct(x["name"].alias("name"), hits(F.col("__upper"), x["words"]).alias("score"))), lambda x: x["score"] > 0)
+    scored = detail.join(names, keys).select(*keys, "page_no", F.explode(scores).alias("s")).select(*keys, F.col("s.name").alias(name), "page_no", "s.score")
     return scored.groupBy(*keys, name).agg(F.max_by(F.struct("page_no", "score"), F.struct("score", -F.col("page_no"))).alias("b")).select(*keys, name, "b.*")
 
 
 def sheet_header(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Distance (first), going and penetrometer (last) and labels (first) in the first 30 lines."""
     line = F.col("line")
-    top = lines.where("line_no < 30").select(*keys, "line_no", X.group(line, X.DISTANCE).try_cast("int").alias("d"), X.going(line).alias("going"), X.section_labels(line).alias("l"))
-    top = top.select("*", F.col("going.terrain").alias("g"), F.col("going.penetrometre").alias("p"))
+    top = lines.where("line_no < 30").select(*keys, "line_no", X.integer(X.group(line, X.DISTANCE)).alias("d"), X.group(line, X.GOING, 0, "i").alias("g"), X.section_labels(line).alias("l"))
     first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("line_no")))
-    return top.groupBy(*keys).agg(
-        first("d", F.col("d") > 0).alias("distance_m"), F.max_by("g", F.when(F.col("g").isNotNull(), F.col("line_no"))).alias("terrain"),
-        F.max_by("p", F.when(F.col("g").isNotNull(), F.col("line_no"))).alias("penetrometre"), first("l", F.col("l").isNotNull()).alias("labels"),
-    )
+    found = top.groupBy(*keys).agg(first("d", F.col("d") > 0).alias("distance_m"), F.max_by("g", F.when(F.col("g").isNotNull(), F.col("line_no"))).alias("__going"), first("l", F.col("l").isNotNull()).alias("labels"))
+    return found.select(*keys, "distance_m", X.going_of(F.col("__going")).alias("g"), "labels").select(*keys, "distance_m", "g.*", "labels")
+
+
+def in_steps(df: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    """Columns in steps that build on each other; those that begin with __ are dropped in the end."""
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*(name for step in steps for name in step if name.startswith("__")))
+
+
+def line_values(df: DataFrame, line: str = "line") -> DataFrame:
+    """temps_officiel, temps_officiel_sec, vitesse_max_ligne and distance_parcourue beside the lines; each pattern is searched once."""
+    return in_steps(df, X.line_steps(F.col(line)))
+
+
+def head_values(df: DataFrame, line: str = "line") -> DataFrame:
+    """distance_m, terrain, penetrometre, labels and times beside the lines; each pattern is searched once."""
+    return in_steps(df, X.head_steps(F.col(line)))
+
+
+def detail_values(df: DataFrame, page: str = "text") -> DataFrame:
+    """The values of a detail page beside it; each pattern is searched once."""
+    return in_steps(df, X.detail_steps(F.col(page)))
+
+
+# Words that are positions and speeds.
+WHOLE, SPEED = r"^\d{1,2}$", r"^\d{2,3}(?:[,.]\d)?$"
+NEAR = 3
+"""Height of the row of an anchor, to either side."""
 
 
 def geometry_positions(words: DataFrame, page: list[str]) -> DataFrame:
     """Integers up to 20 around the first word "Position", from left to right: page, positions."""
     anchor = words.where("text = 'Position'").groupBy(*page).agg(F.min_by("top", "word_no").alias("__y")).where("__y <> 0")
-    near = words.where(F.col("text").rlike(r"(?U)^\d{1,2}$")).join(anchor, page).where("top > __y - 150 and top < __y + 100")
-    near = near.withColumn("__n", F.col("text").cast("int")).where("__n <= 20")
+    near = words.where(F.col("text").rlike("(?U)" + WHOLE)).join(anchor, page).where("top > __y - 150 and top < __y + 100")
+    near = near.withColumn("__n", X.integer(F.col("text"))).where("__n <= 20")
     got = near.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("x0", "word_no", "__n"))).alias("w"))
     return got.select(*page, F.col("w.__n").alias("positions"))
 
 
 def geometry_speeds(words: DataFrame, page: list[str]) -> DataFrame:
     """Speeds on the row of the first word "Vitesse" that has four of them: page, vitesses."""
-    values = words.where(F.col("text").rlike(r"(?U)^\d{2,3}(?:[,.]\d)?$")).withColumn("__v", F.replace("text", F.lit(","), F.lit(".")).try_cast("double")).where("__v between 40 and 90")
-    anchors = words.where("text = 'Vitesse'").select(*page, F.col("word_no").alias("__a"), F.col("top").alias("__y"))
-    rows = anchors.join(values.select(*page, "top"), page).where(F.abs(F.col("top") - F.col("__y")) < 3).groupBy(*page, "__a", "__y").agg(F.count("*").alias("n")).where("n >= 4")
+    values = words.where(F.col("text").rlike("(?U)" + SPEED)).withColumn("__v", X.number(F.col("text"))).where("__v between 40 and 90")
+    # An anchor meets the values of its band of the page and of the bands beside it, not all of them.
+    band = F.floor(F.col("top") / NEAR)
+    anchors = words.where("text = 'Vitesse'").select(*page, F.col("word_no").alias("__a"), F.col("top").alias("__y"), F.explode(F.array(band - 1, band, band + 1)).alias("__band"))
+    rows = anchors.join(values.select(*page, "top", band.alias("__band")), [*page, "__band"]).where(F.abs(F.col("top") - F.col("__y")) < NEAR).groupBy(*page, "__a", "__y").agg(F.count("*").alias("n")).where("n >= 4")
     chosen = rows.groupBy(*page).agg(F.min_by("__y", "__a").alias("__y"))
     near = values.join(chosen, page).where(F.abs(F.col("top") - F.col("__y")) < 5)
     got = near.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("x0", "word_no", "__v"))).alias("w"))
     return got.select(*page, F.col("w.__v").alias("vitesses"))
 
 
-def extract_tracking(horses: DataFrame, pages: DataFrame, words: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
-    """Sections, series and indicators of each (sheet, horse) that is found on its sheet."""
-    lines = sheet_lines(pages, keys)
-    found = match_lines(horses, lines, keys, name).drop("line_no", "score").join(sheet_header(lines, keys), keys, "left")
-    detail = match_pages(horses, pages, keys, name).drop("score").join(pages, [*keys, "page_no"])
-    page = [*keys, "page_no"]
-    detail = detail.join(geometry_positions(words, page), page, "left").join(geometry_speeds(words, page), page, "left").drop("page_no")
-    rows = found.join(detail, [*keys, name], "left")
-    official, official_sec = X.official_time(F.col("line"))
+def page_series(words: DataFrame, page: list[str]) -> DataFrame:
+    """``geometry_positions`` and ``geometry_speeds`` of each page: page, positions, vitesses; null where there are none.
+
+    The words of a page are one row, which is all that both need.
+    """
+    text = F.col("text")
+    integer = F.when(X.either(text, lambda start: text.rlike(start + WHOLE)), X.integer(text))
+    speed = F.when(X.either(text, lambda start: text.rlike(start + SPEED)), X.number(text))
+    label = F.when(text.isin("Position", "Vitesse"), text)
+    rows = words.select(*page, "word_no", "x0", "top", label.alias("label"), integer.alias("n"), speed.alias("v")).where("label is not null or n <= 20 or v between 40 and 90")
+    whole = rows.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("word_no", "x0", "top", "label", "n", "v"))).alias("w"))
+    pick = lambda fits: F.filter("w", fits)
+    whole = whole.withColumns({"__speeds": pick(lambda x: x["v"].between(40, 90)), "__y": F.get(pick(lambda x: x["label"] == "Position"), F.lit(0))["top"], "__anchors": pick(lambda x: x["label"] == "Vitesse")})
+    near = lambda y, reach: F.filter("__speeds", lambda x: F.abs(x["top"] - y) < reach)
+    whole = whole.withColumn("__row", F.get(F.filter("__anchors", lambda a: F.size(near(a["top"], NEAR)) >= 4), F.lit(0))["top"])
+    placed = lambda found, value: F.transform(F.sort_array(F.transform(found, lambda x: F.struct(x["x0"], x["word_no"], x[value].alias("value")))), lambda x: x["value"])
+    around = pick(lambda x: (x["n"] <= 20) & (x["top"] > F.col("__y") - 150) & (x["top"] < F.col("__y") + 100))
+    none = lambda a: F.when(F.size(a) > 0, a)
+    found = whole.select(*page, F.when(F.col("__y") != 0, placed(around, "n")).alias("positions"), F.when(F.col("__row").isNotNull(), placed(near(F.col("__row"), 5), "v")).alias("vitesses"))
+    return found.select(*page, none(F.col("positions")).alias("positions"), none(F.col("vitesses")).alias("vitesses"))
+
+
+def extract_tracking(horses: DataFrame, pages: DataFrame, words: DataFrame, keys: list[str], name: str = "nom", sheets: DataFrame | None = None) -> DataFrame:
+    """Sections, series and indicators of each (sheet, horse) that is found on its sheet.
+
+    sheets: ``sheet_rows`` of the pages, if they are at hand.  The horses of a
+    sheet meet its row; all that is read from text is read there, and only values
+    go on to meet the series from the words of their pages.
+    """
+    sheets = sheet_rows(pages, keys) if sheets is None else sheets
+    rows = asked_words(horses, keys, name).join(sheets, keys)
+    rows = rows.select(*keys, name, "distance_m", "__going", "labels", best_of(F.col("timed"), F.col("__words"), "line_no", "line").alias("l"), best_of(F.col("detail"), F.col("__words"), "page_no", "text").alias("d"))
+    rows = rows.where("l is not null").select(*keys, name, "distance_m", "__going", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("l.line").alias("line"), (-F.col("d.rank")).alias("page_no"), F.col("d.text").alias("text"))
     none, no_ints = F.array().cast("array<double>"), F.array().cast("array<int>")
-    rows = rows.withColumns({"temps_officiel": official, "temps_officiel_sec": official_sec, "vitesse_max_ligne": X.line_max_speed(F.col("line")), "distance_parcourue": X.line_distance(F.col("line"))})
-    raw = X.labelled_times(X.time_texts(F.col("line")), F.coalesce("labels", F.array().cast("array<string>")))
-    rows = rows.withColumn("__fold", V.clean_times(raw, F.col("temps_officiel_sec"), X.LABELLED, lambda t: t["temps_sec"]))
-    text = {n: F.coalesce(X.row_values(F.col("text"), p), none) for n, p in (("v", X.SPEED_ROW), ("p", X.POSITION_ROW), ("f", X.STRIDE_ROW))}
-    rows = rows.withColumns({
-        "__dur": V.section_durations(F.col("__fold.kept.temps_sec")), "__v": text["v"], "__p": F.transform(text["p"], lambda x: x.cast("int")), "__f": F.transform(text["f"], lambda x: x.cast("int")),
-        "__gp": F.coalesce("positions", no_ints), "__gv": F.coalesce("vitesses", none),
-    })
+    numbers = {n: F.coalesce(X.row_values(F.col("text"), p), none) for n, p in (("__v", X.SPEED_ROW), ("__rows_p", X.POSITION_ROW), ("__rows_f", X.STRIDE_ROW))}
+    whole = {n: F.transform(f"__rows_{n}", lambda x: x.cast("int")) for n in "pf"}
+    rows = detail_values(line_values(rows)).withColumns({"going": X.going_of(F.col("__going")), "__raw": X.labelled_times(X.time_texts(F.col("line")), F.col("labels")), **numbers})
+    rows = rows.withColumns({"terrain": F.col("going.terrain"), "penetrometre": F.col("going.penetrometre"), "__p": whole["p"], "__f": whole["f"], "__fold": V.clean_times(F.col("__raw"), F.col("temps_officiel_sec"), X.LABELLED, lambda t: t["temps_sec"])})
+    rows = rows.drop("line", "text", "__going", "going", "__raw", "__rows_p", "__rows_f", "labels")
+    page = [*keys, "page_no"]
+    asked = words.join(horses.select(*keys).distinct(), keys, "left_semi")
+    rows = rows.join(page_series(asked, page), page, "left")
+    rows = rows.withColumns({"__dur": V.section_durations(F.col("__fold.kept.temps_sec")), "__gp": F.coalesce("positions", no_ints), "__gv": F.coalesce("vitesses", none)})
     n = F.size("__fold.kept")
     rows = rows.withColumns({"__mv": V.merge_sections(n, F.col("__v"), F.col("__gv")), "__mp": V.merge_sections(n, F.col("__p"), F.col("__gp"))})
     sections = F.transform(
@@ -98,7 +203,13 @@ def extract_tracking(horses: DataFrame, pages: DataFrame, words: DataFrame, keys
         ),
     )
     rows = rows.withColumns({"troncons": sections, "positions_troncons": V.merged_series(F.col("__p"), F.col("__gp")), "vitesses_troncons": V.merged_series(F.col("__v"), F.col("__gv"))})
-    rows = rows.select("*", *X.detail_scalars(F.col("text")), *V.indicators(F.col("positions_troncons"), F.col("vitesses_troncons")))
+    rows = rows.select("*", *V.indicators(F.col("positions_troncons"), F.col("vitesses_troncons")))
     rows = rows.withColumns({"vitesse_max_kmh": F.coalesce("vitesse_max_kmh", "vitesse_max_ligne"), "temps_600m": F.col("__fold.t600.temps"), "temps_600m_sec": F.col("__fold.t600.temps_sec")})
-    inside = [c for c in rows.columns if c not in (*keys, name, "line", "text", "positions", "vitesses", "labels", "vitesse_max_ligne") and not c.startswith("__")]
-    return rows.select(*keys, name, F.struct(*inside).alias("tracking"))
+    return rows.select(*keys, name, F.struct(*TRACKING).alias("tracking"))
+
+
+TRACKING = (
+    "distance_m", "terrain", "penetrometre", "temps_officiel", "temps_officiel_sec", "distance_parcourue", "troncons", "positions_troncons", "vitesses_troncons", "redk", "redk_sec", "vitesse_max_kmh", "vitesse_moyenne_kmh",
+    "troncon_plus_rapide", "troncon_plus_rapide_label", "remontee_places", "score_remontee", "pct_top3", "profil_leader", "score_finish", "regularite", "chute_finale", "temps_600m", "temps_600m_sec",
+)
+"""Fields of what is read for a horse from its sheet."""

@@ -24,11 +24,11 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def pick_source(df: DataFrame, key: str, priority: str, valid: Column) -> DataFrame:
     """The valid row of the least priority of each key.
 
-    Keys alone are compared, so whole documents are not sorted; a source has one
-    row for a key.
+    Documents are scanned once; Spark keeps the first row of a key in each
+    partition before it shuffles them.  A source has one row for a key.
     """
-    good = df.where(valid)
-    return good.join(good.groupBy(key).agg(F.min(priority).alias(priority)), [key, priority], "left_semi").select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(priority))
+    return df.where(valid).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def collect_series(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
@@ -49,29 +49,39 @@ def count_tracked(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("nb_courses_trackers"))
 
 
+def tracked_in(series: Column, flag: str) -> Column:
+    """``count_tracked`` of entries that are an array already."""
+    return F.size(F.filter(series, lambda x: F.coalesce(x[flag], F.lit(False)))).cast("long")
+
+
 def with_cache_status(races: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return races.join(cache.select(*keys).distinct().withColumn("__hit", F.lit(True)), keys, "left").withColumn("cached", F.col("__hit").isNotNull()).drop("__hit")
 
 
 def cache_first(requests: DataFrame, cache: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of the cache for the requests it has; the others are computed.  Adds from_cache."""
-    hits = cache.join(requests.select(*keys).distinct(), keys, "left_semi").withColumn("from_cache", F.lit(True))
-    misses = compute(requests.join(cache.select(*keys).distinct(), keys, "left_anti")).withColumn("from_cache", F.lit(False))
+    """Requests with the values of the cache where it has some; the others are computed.  Adds from_cache.
+
+    compute: from requests to their rows, with the same columns.  One join tells
+    hits from misses.
+    """
+    values = [c for c in cache.columns if c not in keys]
+    both = requests.join(cache.withColumn("__hit", F.lit(True)), keys, "left")
+    hits = both.where("__hit").select(*requests.columns, *values).withColumn("from_cache", F.lit(True))
+    misses = compute(both.where("__hit is null").select(*requests.columns)).withColumn("from_cache", F.lit(False))
     return hits.unionByName(misses)
 
 
 def with_venue_code(df: DataFrame, name: str, out: str = "code", venues: tuple[tuple[str, str], ...] = S.VENUES) -> DataFrame:
     """Code of a venue: of the equal name, else of the first name that contains it or that it contains, else ''.
 
-    The dictionary is a constant, so it is a chain of conditions, not a join.
+    The dictionary is a constant, so it is searched in the row, not joined; the
+    name is normalised once, as a column.
     """
-    n = S.norm_name(F.col(name))
-    code = F.lit("")
-    for key, value in reversed(venues):
-        code = F.when(S.contains(n, F.lit(key)) | S.contains(F.lit(key), n), value).otherwise(code)
-    for key, value in reversed(venues):
-        code = F.when(n == key, value).otherwise(code)
-    return df.withColumn(out, code)
+    known = F.array(*(F.struct(F.lit(key).alias("name"), F.lit(value).alias("code")) for key, value in venues))
+    n = F.col("__venue")
+    first = lambda fits: F.get(F.filter(known, fits), F.lit(0))["code"]
+    code = F.coalesce(first(lambda v: v["name"] == n), first(lambda v: S.contains(n, v["name"]) | S.contains(v["name"], n)), F.lit(""))
+    return df.withColumn("__venue", S.norm_name(F.col(name))).withColumn(out, code).drop("__venue")
 
 
 def scan_tracking(wanted: DataFrame, tracking: DataFrame, keys: list[str], number: str, low: int = 1, high: int = 10) -> DataFrame:

@@ -9,7 +9,8 @@ from furlong.functions import scalars as S
 from furlong.operators import races as R
 from furlong.operators import sheets as T
 from furlong.operators import tables as B
-from furlong.sources.documents import pick_programmes
+from furlong.sources.documents import HISTORY, pick_programmes
+from furlong.sources.scratch import written
 
 SHEET = ["date_galop", "code_hippo", "num_course"]
 
@@ -20,11 +21,16 @@ def programme_job(documents: DataFrame) -> DataFrame:
 
 
 def card_job(performances: DataFrame, participants: DataFrame, races: DataFrame) -> DataFrame:
-    """Runners of each race with the race's header; the going is filled in from the first runner."""
+    """Runners of each race by number, with the race's header; the going is filled in from the first runner.
+
+    historique is empty and nb_courses_trackers 0 until histories are asked for.
+    """
     runners = R.performances_runners(performances)
     cards = R.runner_card(runners.drop("coursesCourues"), R.participants_info(participants), [*R.RACE, "num"])
     header = R.fill_going(races, runners, R.RACE).select(*R.RACE, F.struct("reunion_pos", "course_pos", "code_hippo", "nom_hippo", "libelle", "distance", "surface", "terrain").alias("course_ref"), "reunion_pos", "course_pos")
-    return R.with_race_header(cards.drop("terrain"), header, R.RACE, ["reunion_pos", "course_pos"]).drop("reunion_pos", "course_pos")
+    cards = R.with_race_header(cards.drop("terrain"), header, R.RACE, ["reunion_pos", "course_pos"]).drop("reunion_pos", "course_pos")
+    empty = {"historique": F.array().cast(f"array<struct<{HISTORY}>>"), "nb_courses_trackers": F.lit(0).cast("long")}
+    return cards.withColumns(empty).orderBy(*R.RACE, "num", "pos")
 
 
 def candidates(programmes: DataFrame) -> DataFrame:
@@ -64,19 +70,23 @@ def history_of(runners: DataFrame, programmes: DataFrame, pages: DataFrame, word
     runs = B.with_venue_code(runs.withColumn("hint", F.col("hippodrome")), "hippodrome", "venue")
     found = R.resolve_races(runs, candidates(pick_programmes(programmes))).where("num_course <> 0").select("day", "nom_prix", "hint", "num_course", F.col("code_hippo").alias("r_code"), "course_trackee", F.col("label").alias("libelle"))
     runs = runs.join(found, ["day", "nom_prix", "hint"], "left").withColumn("date_galop", S.date_galop(F.col("day")))
-    known = runs.where("num_course is not null").withColumn("code_hippo", S.first_truthy(F.col("r_code"), F.col("venue")))
-    asked = known.select(*SHEET, "nom")
-    open_runs = runs.where("num_course is null").withColumn("code_hippo", F.nullif("venue", F.lit("")))
-    # Unresolved races ask the first ten sheets of their day and venue that exist.
-    sheets = pages.select(*SHEET).distinct().where("num_course between 1 and 10")
-    tried = open_runs.select("date_galop", "code_hippo", "nom").distinct().join(sheets, ["date_galop", "code_hippo"])
-    tracked = T.extract_tracking(asked.union(tried.select(*SHEET, "nom")).distinct(), pages, words, SHEET)
-    one = join_tracking(known, tracked).withColumns({"resolved": F.lit(True), "resolution_strategy": F.lit("programme_pmu")})
-    scanned = B.scan_tracking(open_runs.drop("num_course", "course_trackee"), tracked, ["date_galop", "code_hippo", "nom"], "num_course")
-    two = scanned.withColumns({"resolved": F.col("tracking").isNotNull(), "course_trackee": F.col("tracking").isNotNull(), "resolution_strategy": F.when(F.col("tracking").isNotNull(), "scan_brute")})
-    columns = [*runner, "hist_rank", "nom_prix", "hippodrome", "distance", "terrain", "classement", "jockey", "code_hippo", "libelle", "resolved", "course_trackee", "resolution_strategy", "tracking"]
-    shape = lambda df: df.select(*columns, "num_course", S.date_display(F.col("day")).alias("date_display"), F.col("tracking").isNotNull().alias("has_tracking_data"))
-    return shape(one).unionByName(shape(two))
+    # Resolved runs are used several times below.
+    runs = written(runs, "runs")
+    known = runs.where("num_course is not null").withColumns({"code_hippo": S.first_truthy(F.col("r_code"), F.col("venue")), "resolution_strategy": F.lit("programme_pmu")})
+    # Unresolved races ask the first ten sheets of their day and venue that exist, for the first that has the horse.
+    sheets = T.sheet_rows(pages, SHEET)
+    open_runs = runs.where("num_course is null").drop("num_course").withColumn("code_hippo", F.nullif("venue", F.lit("")))
+    numbers = pages.select(*SHEET).distinct().where("num_course between 1 and 10")
+    tried = open_runs.select("date_galop", "code_hippo", "nom").distinct().join(numbers, ["date_galop", "code_hippo"])
+    scanned = B.scan_tracking(open_runs, T.listed(tried, sheets, SHEET), ["date_galop", "code_hippo", "nom"], "num_course")
+    hit = F.col("num_course").isNotNull()
+    scanned = scanned.withColumns({"course_trackee": hit, "resolution_strategy": F.when(hit, "scan_brute")})
+    columns = [*runner, "hist_rank", "day", "date_galop", "nom_prix", "hippodrome", "distance", "terrain", "classement", "jockey", "code_hippo", "libelle", "num_course", "course_trackee", "resolution_strategy"]
+    runs = known.select(*columns).unionByName(scanned.select(*columns)).withColumn("resolved", F.col("num_course").isNotNull())
+    # Everything else is read from the chosen sheets alone.
+    tracked = T.extract_tracking(runs.where("resolved").select(*SHEET, "nom").distinct(), pages, words, SHEET, sheets=sheets)
+    columns = [*runner, "hist_rank", "nom_prix", "hippodrome", "distance", "terrain", "classement", "jockey", "code_hippo", "libelle", "resolved", "course_trackee", "resolution_strategy", "tracking", "num_course"]
+    return join_tracking(runs, tracked).select(*columns, S.date_display(F.col("day")).alias("date_display"), F.col("tracking").isNotNull().alias("has_tracking_data"))
 
 
 def join_tracking(runs: DataFrame, tracked: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -88,7 +98,8 @@ def with_history(runners: DataFrame, history: DataFrame) -> DataFrame:
     """historique (in order) and nb_courses_trackers beside each runner; empty and 0 for one without past races."""
     keys = ["date_pmu", "num_reunion", "card_course", "pos"]
     rest = [c for c in history.columns if c not in (*keys, "nom", "hist_rank")]
-    lists = B.collect_series(history, keys, ["hist_rank"], {"historique": F.struct(*rest)}).join(B.count_tracked(history, keys, "has_tracking_data"), keys)
+    lists = B.collect_series(history, keys, ["hist_rank"], {"historique": F.struct(*rest)})
+    lists = lists.withColumn("nb_courses_trackers", B.tracked_in(F.col("historique"), "has_tracking_data"))
     lists = lists.withColumnRenamed("card_course", "num_course")
     none = F.array().cast(lists.schema["historique"].dataType)
     joined = runners.join(lists, [*R.RACE, "pos"], "left")
@@ -119,20 +130,22 @@ def horse_lookup_job(requests: DataFrame, cache: DataFrame, performances: DataFr
     """History of requested horses: request, historique, nb_courses_trackers, from_cache.
 
     requests: date_pmu, date_galop, code_hippo, num_reunion, num_course, nom.
-    cache: rows of ``read_race_results``.  A horse is taken from the results of
-    its race by its exact name; else its runner is found by the normalised name
-    and its history is computed; a horse that doesn't run has an empty one.
+    cache: rows of ``read_race_results``, which reads the requests' folders alone
+    if it is given them.  Blanks around a name and the case of a venue's code
+    don't matter; a request without a name has no row.  A horse is taken from the
+    results of its race by its exact name, if the request has a day and a venue;
+    else its runner is found by the normalised name and its history is computed;
+    a horse that doesn't run has an empty one.
     """
     request = ["date_pmu", "date_galop", "code_hippo", "num_reunion", "num_course", "nom"]
-    keys = [*SHEET, "nom"]
+    asked = requests.select(*request).distinct().withColumns({"__nom": S.strip(F.col("nom")), "__code": F.upper("code_hippo")}).where("__nom <> ''")
 
     def compute(misses: DataFrame) -> DataFrame:
-        found = R.find_runner(R.performances_runners(performances), misses, R.RACE)
+        found = R.find_runner(R.performances_runners(performances), misses.select(*R.RACE, F.col("__nom").alias("nom")).distinct(), R.RACE)
         done = with_history(found.select("asked", *RUNNER), history_of(found, programmes, pages, words, most))
-        rows = misses.join(done.select(*R.RACE, F.col("asked").alias("nom"), "historique", "nb_courses_trackers"), [*R.RACE, "nom"], "left")
+        rows = misses.join(done.select(*R.RACE, F.col("asked").alias("__nom"), "historique", "nb_courses_trackers"), [*R.RACE, "__nom"], "left")
         none = F.array().cast(done.schema["historique"].dataType)
-        return rows.select(*request, F.coalesce("historique", none).alias("historique"), F.coalesce("nb_courses_trackers", F.lit(0).cast("long")).alias("nb_courses_trackers"))
+        return rows.select(*asked.columns, F.coalesce("historique", none).alias("historique"), F.coalesce("nb_courses_trackers", F.lit(0).cast("long")).alias("nb_courses_trackers"))
 
-    asked = requests.select(*request).distinct()
-    stored = asked.join(cache.select(*keys, "historique", "nb_courses_trackers"), keys).select(*request, "historique", "nb_courses_trackers")
-    return B.cache_first(asked, stored, request, compute)
+    kept = cache.select("date_galop", F.col("code_hippo").alias("__code"), "num_course", F.col("nom").alias("__nom"), "historique", "nb_courses_trackers").where("date_galop <> '' and __code <> ''")
+    return B.cache_first(asked, kept, ["date_galop", "__code", "num_course", "__nom"], compute).select(*request, "historique", "nb_courses_trackers", "from_cache")

@@ -273,13 +273,9 @@ Q = "cast(l_quantity as int)"
 )
 def sheet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(LINE).alias("line"))
-    line = F.col("line")
-    official, seconds = X.official_time(line)
-    going = X.going(line)
-    return rows.select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", X.group(line, X.DISTANCE).cast("int").alias("distance_m"), going["terrain"].alias("terrain"), going["penetrometre"].alias("penetrometre"),
-        F.array_join(X.section_labels(line), ",").alias("labels"), official.alias("official"), seconds.alias("official_sec"), X.line_max_speed(line).alias("max_speed"), X.line_distance(line).alias("covered"),
-        F.get(X.line_times(line), F.lit(0)).alias("first_time"),
+    return T.head_values(T.line_values(rows)).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "distance_m", "terrain", "penetrometre", F.array_join("labels", ",").alias("labels"), F.col("temps_officiel").alias("official"),
+        F.col("temps_officiel_sec").alias("official_sec"), F.col("vitesse_max_ligne").alias("max_speed"), F.col("distance_parcourue").alias("covered"), X.seconds(F.get("times", F.lit(0))).alias("first_time"),
     )
 
 
@@ -309,7 +305,7 @@ PAGE = f"concat(format_string('X\nredk : %d’%02d”%02d\nVitesse maximale %d,%
 )
 def detail_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(PAGE).alias("page"))
-    return pages.select("l_orderkey", "l_linenumber", "l_extendedprice", *X.detail_scalars(F.col("page")))
+    return T.detail_values(pages, "page").drop("page")
 
 
 @query(

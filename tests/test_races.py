@@ -1,6 +1,7 @@
 """Hand-computed cases of the race operators."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -118,6 +119,7 @@ def test_card(spark, tmp_path):
     rows = jobs.card_job(performances, D.read_participants(spark, str(tmp_path / "c.json")), jobs.programme_job(programmes)).collect()
     one = next(r for r in rows if r["num_course"] == 1 and r["num"] == 1)
     assert (one["jockey"], one["poids"], one["nb_courses"], one["course_ref"]["code_hippo"]) == ("D", "58.5", None, "DEA")
+    assert [(r["num_course"], r["num"], r["historique"], r["nb_courses_trackers"]) for r in rows] == [(c, n, [], 0) for c in (1, 2) for n in (1, 2, 3, 4)]
     assert next(r for r in rows if r["num_course"] == 2)["course_ref"] is None
 
 
@@ -132,6 +134,127 @@ def test_sheet_values_beyond_ascii(spark):
     assert got == [(97.42, 68.4, 1605.32, None, None), (97.42, 68.4, 1605.32, None, None), (67.02, None, None, None, None), (None, None, None, "TRÈS LOURD", 4.1), (None, None, None, "lourd", None), (None,) * 5]
 
 
+def test_digits_of_any_script(spark):
+    bold = "".join(chr(0x1D7CE + int(c)) for c in "37")
+    lines = ["A ٠٠:٢٥.١٠ 1'٣7\"42 68,٤ km 1605,3٢", f"B 01:{bold}.05 12٣4,56 \u00a0", "C 00:1:02.3", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [tuple(r) for r in T.line_values(T.head_values(df)).select(F.transform("times", X.seconds), "temps_officiel", "temps_officiel_sec", "vitesse_max_ligne", "distance_parcourue").collect()]
+    assert got == [([25.1], "1'37\"42", 97.42, 68.4, 1605.32), ([97.05], None, None, None, 1234.56), ([], None, None, None, None), ([], None, None, None, None)]
+    page = spark.createDataFrame([("Position en course\n٣ x 1٢\n",)], "text string").select(X.row_values(F.col("text"), X.POSITION_ROW)).first()[0]
+    assert page == [3.0, 12.0]
+    words = spark.createDataFrame([(1, 0, "Position", 1.0, 50.0), (1, 1, "٣", 3.0, 60.0), (1, 2, "7", 2.0, 60.0), (1, 3, "²", 1.0, 60.0)], "page int, word_no int, text string, x0 double, top double")
+    assert T.geometry_positions(words, ["page"]).first()["positions"] == [7, 3]
+    # The columns that search a text each by themselves agree with the steps.
+    one = df.select(*(c.alias(n) for n, c in zip("abcd", (*X.official_time(F.col("line")), X.line_max_speed(F.col("line")), X.line_distance(F.col("line"))))))
+    assert [tuple(r) for r in one.collect()] == [x[1:] for x in got]
+
+
+def test_geometry_of_pages(spark):
+    import random
+
+    rng = random.Random(5)
+    kinds = ["Position", "Vitesse", "7", "21", "٣", "55", "61,5", "41.2", "95", "x", "40", "90"]
+    rows = [(p, i, rng.choice(kinds), rng.choice([float(rng.randrange(40)), None]) if i % 9 == 0 else float(rng.randrange(40)), float(rng.randrange(0, 25))) for p in range(60) for i in range(rng.randrange(2, 60))]
+    words = spark.createDataFrame(rows, "page int, word_no int, text string, x0 double, top double")
+    value = {"7": 7, "٣": 3, "21": 21, "55": 55, "40": 40, "90": 90, "95": 95, "61,5": 61.5, "41.2": 41.2}
+    want = {}
+    for p in range(60):
+        mine = [r for r in rows if r[0] == p]
+        y = next((r[4] for r in mine if r[2] == "Position"), 0)
+        order = lambda r: (r[3] is not None, r[3] or 0, r[1])
+        numbers = [value[r[2]] for r in sorted((r for r in mine if r[2] in ("7", "٣") and y and y - 150 < r[4] < y + 100), key=order)]
+        speeds = [r for r in mine if 40 <= value.get(r[2], 0) <= 90]
+        row = next((a[4] for a in mine if a[2] == "Vitesse" and sum(abs(s[4] - a[4]) < 3 for s in speeds) >= 4), None)
+        fast = [float(value[r[2]]) for r in sorted((s for s in speeds if row is not None and abs(s[4] - row) < 5), key=order)]
+        want[p] = (numbers or None, fast or None)
+    got = {r["page"]: (r["positions"], r["vitesses"]) for r in T.page_series(words, ["page"]).collect()}
+    assert {p: got.get(p, (None, None)) for p in want} == want and any(a and b for a, b in want.values())
+    assert {r["page"]: r["positions"] for r in T.geometry_positions(words, ["page"]).collect()} == {p: a for p, (a, _) in want.items() if a}
+    assert {r["page"]: r["vitesses"] for r in T.geometry_speeds(words, ["page"]).collect()} == {p: b for p, (_, b) in want.items() if b}
+
+
+def formatted(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def exchanged(df):
+    """Columns of each exchange of a plan, those used again once."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[(.*)\]", formatted(df))
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_sheet_is_gathered_once(spark, tmp_path):
+    keys = ["date_galop", "code_hippo", "num_course"]
+    for name, kind in (("pages", PAGES), ("words", WORDS)):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / name))
+    pages, words = (spark.read.parquet(str(tmp_path / x)) for x in ("pages", "words"))
+    horses = spark.range(5).selectExpr("'20240101' date_galop", "'CHA' code_hippo", "int(id) num_course", "string(id) nom")
+    moved = exchanged(T.extract_tracking(horses, pages, words, keys))
+    # Pages are gathered in one exchange, of partial lists of page and text; no other has text.
+    assert sum("buf#" in x and "page_no#" not in x for x in moved) == 1, moved
+    assert not any(x in c for c in moved for x in ("text#", "line#", "lines#", "timed#", "detail#"))
+    # Names are scored beside the pages; numbers and scores are what is shuffled after that.
+    assert sum("text#" in x for x in exchanged(T.match_pages(horses, pages, keys))) == 0
+
+
+def test_scanned_sheets(spark, tmp_path):
+    """The first of ten sheets of the day that has the horse; sheet 11 and other days don't count."""
+    performances = {"date_pmu": "02012024", "num_reunion": 1, "num_course": 1, "participants": [{"nomCheval": n, "numPmu": i, "coursesCourues": [{"date": 1704103200000, "nomPrix": "zz", "hippodrome": "VICHY", "discipline": "PLAT"}]} for i, n in enumerate(("ABEL", "BRUNO", "CLEO"))]}
+    (tmp_path / "q.json").write_text(json.dumps(performances))
+    sheets = [("20240101", "VIC", 2, 0, "1 ABEL 00:20.00"), ("20240101", "VIC", 3, 0, "ABEL\n1 BRUNO 00:30.00"), ("20240101", "VIC", 5, 0, "1 ABEL 00:50.00\n2 BRUNO 00:51.00"), ("20240101", "VIC", 11, 0, "1 CLEO 00:55.00"), ("20240102", "VIC", 1, 0, "1 CLEO 00:55.00")]
+    pages, words = spark.createDataFrame(sheets, PAGES), spark.createDataFrame([], WORDS)
+    programmes = spark.createDataFrame([], D.PROGRAMME)
+    got = {r["nom"]: (r["num_course"], r["resolved"], r["resolution_strategy"], r["tracking"] and r["tracking"]["troncons"][0]["temps_sec"], r["code_hippo"]) for r in jobs.history_job(D.read_performances(spark, str(tmp_path / "q.json")), programmes, pages, words).collect()}
+    assert got == {"ABEL": (2, True, "scan_brute", 20.0, "VIC"), "BRUNO": (3, True, "scan_brute", 30.0, "VIC"), "CLEO": (None, False, None, None, "VIC")}
+
+
+def test_busy_days_are_split(spark):
+    from furlong.operators import races as R
+
+    n = 100_000
+    label = F.concat(F.lit("prix "), (F.col("id") % 977).cast("string"), F.lit(" du lac"))
+    races = spark.range(n).select(F.lit(1).alias("day"), F.lit(0).alias("reunion_pos"), F.col("id").alias("course_pos"), F.lit("VIC").alias("code"), F.lit("VICHY").alias("long_name"), F.lit("-").alias("short_name"), label.alias("label"), F.lit("-").alias("short_label"))
+    lookups = spark.createDataFrame([(1, f"PRIX {i} DU LAC", h) for i in (0, 5, 976, 2000) for h in ("vichy", "")], "day int, nom_prix string, hint string")
+    rows = {k: sorted(tuple(r) for r in R.resolve_races(lookups, races, split=k).select("nom_prix", "hint", "course_pos", "score").collect()) for k in (500, 10**9)}
+    assert rows[500] == rows[10**9] and (("PRIX 5 DU LAC", "", 5, 100) in rows[500])
+    # Parts of the one meeting, dealt to tasks by their key: none has twice the mean.
+    parts = races.withColumn("part", F.pmod(F.xxhash64("course_pos", "label"), F.lit(200)).cast("int")).repartition(8, "day", "reunion_pos", "part").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 2 * n / 8
+
+
+def test_results_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "out")
+    horse = lambda nb: {"Abel": {"historique": [], "nb_courses_trackers": nb}}
+    make = lambda rows: spark.createDataFrame([(d, "02012024", c, 1, n, horse(nb)) for d, c, n, nb in rows], D.RESULTS.rsplit(", ", 1)[0])
+    D.write_race_results(make([("20240102", "DEA", 1, 1), ("20240102", "DEA", 2, 2), ("20240102", "", 1, 3), ("20240103", "CHA", 1, 4)]), path)
+    D.write_race_results(make([("20240102", "DEA", 2, 7), ("20240102", "", 2, 8)]), path)
+    D.write_race_results(make([("20240102", "DEA", 2, 7), ("20240102", "", 2, 8)]), path)
+    got = sorted((r["date_galop"], r["code_hippo"], r["num_course"], r["nb_courses_trackers"]) for r in D.read_race_results(spark, path).collect())
+    assert got == [("20240102", "", 1, 3), ("20240102", "", 2, 8), ("20240102", "DEA", 1, 1), ("20240102", "DEA", 2, 7), ("20240103", "CHA", 1, 4)]
+    asked = spark.createDataFrame([("20240102", "DEA", 2), ("20240103", "CHA", 9), ("20240102", "", 1)], "date_galop string, code_hippo string, num_course int")
+    found = D.read_race_results(spark, path, requests=asked)
+    assert [(r["num_course"], r["nb_courses_trackers"]) for r in found.collect()] == [(2, 7)]
+    # Only the folders of the requests are read.
+    assert "dynamicpruning" in formatted(found)
+
+
+def test_lookup_names(spark, tmp_path):
+    programmes, performances, pages, words = documents(spark, tmp_path)
+    cache = spark.createDataFrame([("20240102", "DEA", 1, "Abel", 9), ("20240102", "", 2, "Abel", 8)], "date_galop string, code_hippo string, num_course int, nom string, nb_courses_trackers long")
+    cache = cache.withColumn("historique", F.array().cast(f"array<struct<{D.HISTORY}>>"))
+    asked = spark.createDataFrame([("02012024", "20240102", c, 1, n, x) for c, n, x in (("dea", 1, " Abel\t"), ("DEA", 1, "  "), ("DEA", 1, None), ("", 2, "Abel"), ("DEA", 1, "abel"))], "date_pmu string, date_galop string, code_hippo string, num_reunion int, num_course int, nom string")
+    got = {(r["num_course"], r["nom"]): (r["from_cache"], r["nb_courses_trackers"], len(r["historique"])) for r in jobs.horse_lookup_job(asked, cache, performances, programmes, pages, words).collect()}
+    assert got == {(1, " Abel\t"): (True, 9, 0), (2, "Abel"): (False, 0, 1), (1, "abel"): (False, 0, 1)}
+
+
+def test_one_scan_of_documents(spark, tmp_path):
+    programmes, *_ = documents(spark, tmp_path)
+    assert jobs.programme_job(programmes)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_plans_have_no_python_and_no_cartesian_product(spark):
     from furlong.plans import queries as Q
 
