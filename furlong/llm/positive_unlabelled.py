@@ -263,14 +263,17 @@ def fit(docs: DataFrame, positives: DataFrame, rows: int = TRAIN_ROWS, chars: in
     characters, whole ones in the order of a hash of their id.
     """
 
-    def sample(side: DataFrame, mark: str) -> list[str]:
-        shape = side.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+    def sample(among: DataFrame | None, mark: str) -> list[str]:
+        # Lengths alone meet the positives, then the texts of the sample.
+        lengths = docs.select("doc_id", F.length("text").alias("c"))
+        lengths = lengths if among is None else lengths.join(among, "doc_id", "left_semi")
+        shape = lengths.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
         share = min(1.0, rows / max(1, shape["n"]), chars / max(1, shape["c"] or 1))
-        if share < 1:
-            side = side.where(F.pmod(F.xxhash64("doc_id", F.lit(mark)), F.lit(1 << 40)) < int(share * (1 << 40)))
-        return [r["text"] for r in side.orderBy(F.xxhash64("doc_id"), "text").limit(rows).collect()]
+        texts = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(mark)), F.lit(1 << 40)) < int(share * (1 << 40)))
+        texts = texts if among is None else texts.join(among, "doc_id", "left_semi")
+        return [r["text"] for r in texts.orderBy(F.xxhash64("doc_id"), "text").limit(rows).collect()]
 
-    return fit_texts(sample(docs.join(positives, "doc_id", "left_semi"), "trusted"), sample(docs, "web"))
+    return fit_texts(sample(positives, "trusted"), sample(None, "web"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
