@@ -71,13 +71,47 @@ def listed(horses: DataFrame, sheets: DataFrame, keys: list[str], name: str = "n
     return found.where(on).select(*keys, name)
 
 
-def match_lines(horses: DataFrame, lines: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
-    """The line with a time that has most words of the horse's name, the first of equals: keys, name, line_no, line, score."""
+CROWDED = 200
+"""Names of a sheet up to which each of its lines is searched for all of them."""
+
+
+def match_lines(horses: DataFrame, lines: DataFrame, keys: list[str], name: str = "nom", crowded: int = CROWDED) -> DataFrame:
+    """The line with a time that has most words of the horse's name, the first of equals: keys, name, line_no, line, score.
+
+    A sheet of up to ``crowded`` names is searched line by line.  On one with
+    more, which would make a pair of each name and line, words meet the lines
+    that have their first three letters, by ``posted_lines``.
+    """
     timed = lines.where(has_time(F.col("line"))).withColumn("__upper", F.upper("line"))
-    scored = asked_words(horses, keys, name).join(timed, keys).withColumn("score", hits(F.col("__upper"), F.col("__words"))).where("score > 0")
+    asked = asked_words(horses, keys, name)
+    sizes = asked.groupBy(*keys).agg(F.count("*").alias("__n"))
+    few, many = (asked.join(sizes.where(ok).select(*keys), keys, "left_semi") for ok in (F.col("__n") <= crowded, F.col("__n") > crowded))
+    columns = [*keys, name, "line_no", "line", "score"]
+    scored = few.join(timed, keys).withColumn("score", hits(F.col("__upper"), F.col("__words"))).where("score > 0").select(*columns)
+    scored = scored.unionByName(scored_posts(posted_lines(many, timed, keys, name), timed, keys, name).select(*columns))
     return scored.groupBy(*keys, name).agg(F.max_by(F.struct("line_no", "line", "score"), F.struct("score", -F.col("line_no"))).alias("b")).select(*keys, name, "b.*")
 
 
+def posted_lines(asked: DataFrame, timed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Lines that may have a word of a name, for they have its first three letters: keys, name, word, times, line_no.
+
+    asked: names with their words, each longer than two letters; times: how often
+    a name has the word.  Only grams and line numbers are shuffled.
+    """
+    gram = lambda text, at: F.substring(text, at, F.lit(3))
+    words = asked.select(*keys, name, F.explode("__words").alias("word")).groupBy(*keys, name, "word").agg(F.count("*").alias("times")).withColumn("gram", gram(F.col("word"), F.lit(1)))
+    upper = F.col("__upper")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(upper) - 2, F.lit(1))), lambda i: gram(upper, i)))
+    posts = timed.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "line_no", F.explode(grams).alias("gram"))
+    return posts.join(words, [*keys, "gram"]).select(*keys, name, "word", "times", "line_no")
+
+
+def scored_posts(posts: DataFrame, timed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Lines with the number of a name's words they really have: keys, name, line_no, line, score."""
+    found = posts.join(timed.select(*keys, "line_no", "line", "__upper"), [*keys, "line_no"]).where(S.contains(F.col("__upper"), F.col("word")))
+    return found.groupBy(*keys, name, "line_no").agg(F.any_value("line").alias("line"), F.sum("times").cast("int").alias("score"))
+
+
 def match_pages(horses: DataFrame, pages: DataFrame, keys: list[str], name: str = "nom") -> DataFrame:
     """The detail page, after the first page, that has most words of the horse's name: keys, name, page_no, score.
 

@@ -255,6 +255,22 @@ def test_one_scan_of_documents(spark, tmp_path):
     assert jobs.programme_job(programmes)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+def test_crowded_sheets(spark):
+    """Names meet the lines that have a word's first letters, and find the same lines as by looking at all pairs."""
+    import random
+
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    names = [(s, " ".join(part() for _ in range(rng.randrange(1, 4)))) for s in (1, 2) for _ in range(300)] + [(1, "Été été ab"), (2, None), (3, "xyz")]
+    lines = [(s, i, " ".join([*(rng.choice(names[:600])[1] for _ in range(2)), part().upper(), "01:02.03" if i % 9 else "x"])) for s in (1, 2, 4) for i in range(200)] + [(1, 200, "ÉTÉ 00:00.01"), (1, 201, "00:00.01")]
+    horses, table = spark.createDataFrame(names, "s int, nom string"), spark.createDataFrame(lines, "s int, line_no int, line string")
+    rows = {c: sorted(map(tuple, T.match_lines(horses, table, ["s"], crowded=c).collect()), key=repr) for c in (10, 10**9)}
+    assert rows[10] == rows[10**9] and (1, "Été été ab", 200, "ÉTÉ 00:00.01", 2) in rows[10]
+    timed = table.withColumn("__upper", F.upper("line"))
+    pairs = T.posted_lines(T.asked_words(horses, ["s"], "nom"), timed, ["s"], "nom").select("s", "nom", "line_no").distinct().count()
+    assert pairs < 0.05 * horses.distinct().join(table, "s").count()
+
+
 def test_plans_have_no_python_and_no_cartesian_product(spark):
     from furlong.plans import queries as Q
 
