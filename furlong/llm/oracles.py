@@ -40,8 +40,9 @@ def _conversations() -> str:
     start = f"[{_state('0', chr(39) * 2, chr(39) * 2)}, {never}, {never}, {never}] s"
     return f"""with recursive {CRC_TABLE}, d as (select conv_id, turn, coalesce(role, ' ') "role", coalesce(text, ' ') text, {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 k from conversations, crc),
     e as (select conv_id, turn, case when k = 4 then 'user' else role end "role", case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text, unnest(range(case k when 3 then 2 when 0 then 0 else 1 end)) copy from d),
-    f as (select *, row_number() over w i, lag("role"[1]) over w prior, row_number() over (partition by conv_id, "role", text order by turn nulls first, copy) > 1 dup, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) stop from e window w as (partition by conv_id order by turn nulls first, "role", text, copy)),
-    g as (select *, stop = '' blank, stop <> '' and dup again, stop <> '' and not dup and stop not in ('.', '!', '?') short from f),
+    f as (select *, row_number() over w i, lag("role"[1]) over w prior, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) stop from e window w as (partition by conv_id order by turn nulls first, "role", text, copy)),
+    b as (select *, i > min(i) over (partition by conv_id, "role", text) dup from f),
+    g as (select *, stop = '' blank, stop <> '' and dup again, stop <> '' and not dup and stop not in ('.', '!', '?') short from b),
     h as (select *, blank or again gone, case when short then 5 else 0 end late from g),
     n as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count_if(blank) blank, count_if(again) duplicate, count_if(short) truncated, count_if(i > 1 and prior || "role"[1] not in ('su', 'ua', 'au')) illegal from h group by 1),
     c as (select distinct conv_id from conversations),
