@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,42 +28,59 @@ SHARE = 0.4
 """Part of a node's points that its parent gets."""
 SCOPE = frozenset("ul ol dl table body html article section div td th".split())
 
-# Names that mark what surrounds an article.  Whole words of class, id and role count.
+# Names that mark what surrounds an article.  Whole words of class, id and role count.
 AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail "
     "header masthead topbar footer foot bottombar copyright legal cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "login register share sharing social follow related recommended recommendations popular trending comment comments commentlist respond reply replies disqus feedback discussion widget widgets "
     "pagination pager toolbar search searchform form complementary contentinfo tags taglist byline toc skip hidden".split()
 )
+# Words that say nothing about what they are joined to.
+FILLER = frozenset("list box block wrap wrapper container section area item items inner outer site group bar panel link links button buttons row col column global primary secondary top bottom left right".split())
 INSIDE = frozenset("article articlebody body content contents entry main maincontent page post postcontent story text".split())
 NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
+SHORT, LINKED = 140, 0.4
+"""Something whose name has other words beside those of ``AROUND`` is dropped if it has less text, or a greater share of it in links."""
+PROSE, MENU = 60, 0.6
+"""Text, in characters, that makes a plain sibling a part of the article; share of links from which a list may be a menu."""
 
 
 class Node:
-    __slots__ = ("tag", "names", "hidden", "parent", "children", "score", "text_size", "link_size")
+    __slots__ = ("tag", "names", "marked", "hidden", "gone", "parent", "children", "score", "text_size", "link_size")
 
     def __init__(self, tag: str, attributes: str = "", parent: "Node | None" = None):
         self.tag, self.parent, self.children = tag, parent, []
         self.score, self.text_size, self.link_size = 0.0, 0, 0
-        self.names, self.hidden = frozenset(), False
+        self.names, self.marked, self.hidden, self.gone = frozenset(), False, False, False
         if attributes:
             found = []
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role", "itemprop"):
-                    found += [w.lower() for w in NAME.findall(value)]
+                    for name in value.split():
+                        words = [w.lower() for w in NAME.findall(name)]
+                        found += words
+                        # A name of such words alone says what it is; one that has others may be a subject.
+                        self.marked |= any(w in AROUND for w in words) and all(w in AROUND or w in FILLER for w in words)
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     self.hidden = True
             self.names = frozenset(found)
 
     def surrounding(self) -> bool:
-        """Whether it is part of what stands around an article."""
+        """Whether its tag, its attributes or a name of its own say that it stands around an article."""
         if self.hidden or self.tag in DROPPED:
             return True
         if self.tag == "header":
             # The title of an article may stand in a header of its own.
             return not any(p.tag in ("article", "main") for p in self.above())
-        return self.tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "em", "strong", "span", "h1") and bool(self.names & AROUND) and not self.names & INSIDE
+        return self.nameable() and self.marked and not self.names & INSIDE
+
+    def nameable(self) -> bool:
+        return self.tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "em", "strong", "span", "h1")
+
+    def beside(self) -> bool:
+        """Whether one word of a name, and little text or many links, say so; asked once texts are measured."""
+        return self.nameable() and bool(self.names & AROUND) and not self.names & INSIDE and (self.text_size < SHORT or density(self) > LINKED)
 
     def above(self) -> Iterator["Node"]:
         node = self.parent
@@ -170,10 +187,23 @@ def measure(root: Node) -> list[Node]:
         node.children = kept
         stack += [(c, linked or node.tag == "a") for c in reversed(kept) if not isinstance(c, str)]
     for node in reversed(order):
-        if node.parent is not None:
-            node.parent.text_size += node.text_size
-            node.parent.link_size += node.link_size
-    return order
+        # Parts of a node are complete before it is.
+        kept = []
+        for child in node.children:
+            if not isinstance(child, str):
+                child.gone = child.beside()
+                if child.gone:
+                    continue
+                node.text_size += child.text_size
+                node.link_size += child.link_size
+            kept.append(child)
+        node.children = kept
+    out = []
+    for node in order:
+        node.gone |= node.parent is not None and node.parent.gone
+        if not node.gone:
+            out.append(node)
+    return out
 
 
 def density(node: Node) -> float:
@@ -227,16 +257,49 @@ def best_nodes(root: Node) -> list[Node]:
             break
     if top.parent is None or top.tag in ("article", "main"):
         return [top]
-    least = max(10.0, 0.2 * value(top))
-    chosen = []
-    for sibling in top.parent.children:
-        if isinstance(sibling, str):
-            continue
-        if sibling is top or sibling.score and value(sibling) >= least or sibling.tag in ("h1", "h2") or sibling.tag == "p" and (sibling.text_size > 80 and density(sibling) < 0.25 or 0 < sibling.text_size <= 80 and not sibling.link_size):
-            chosen.append(sibling)
+    # What goes with it stands beside it, or beside the containers around it.  A container of several
+    # parts of an article is the article's, with all that is left in it; the page itself is not.
+    chosen, at = [top], top
+    while at.parent is not None:
+        before, after, parts = [], [], False
+        side = before
+        for sibling in at.parent.children:
+            if sibling is at:
+                side = after
+            elif not isinstance(sibling, str) and goes_with(sibling, at, value, at is top):
+                side.append(sibling)
+                parts |= sibling.tag not in ("h1", "h2") and sibling.text_size > PROSE
+        at = at.parent
+        chosen = [at] if parts and at.parent is not None else [*before, *chosen, *after]
     return chosen
 
 
+def goes_with(node: Node, at: Node, value: Callable[[Node], float], first: bool) -> bool:
+    """Whether a sibling of the best container, or of one around it, belongs to the article."""
+    if node.tag == "h1" or first and node.tag == "h2":
+        return True
+    if node.tag == "p":
+        return node.text_size > 80 and density(node) < 0.25 or first and 0 < node.text_size <= 80 and not node.link_size
+    if node.score <= 0 or density(node) >= 0.3:
+        return False
+    return value(node) >= 0.2 * value(at) or bool(node.names) and node.names == at.names or node.text_size >= PROSE
+
+
+def sentences(node: Node) -> bool:
+    """Whether what a list links are sentences rather than the words of a menu."""
+    items = whole = 0
+    stack = [node]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                text = child.strip()
+                items += len(text) > 1
+                whole += len(text) >= 40 or len(text) > 15 and text[-1] in ".!?"
+            else:
+                stack.append(child)
+    return 2 * whole >= items > 0
+
+
 def block_texts(node: Node) -> list[str]:
     """Texts of the blocks of a node in page order."""
     out: list[list[str]] = [[]]
@@ -252,7 +315,7 @@ def block_texts(node: Node) -> list[str]:
         else:
             block = x.tag in BLOCKS
             if block:
-                if x.tag in ("ul", "ol", "div", "section", "table") and x.text_size and density(x) > 0.6:
+                if x.tag in ("ul", "ol", "div", "section", "table") and x.text_size and density(x) > MENU and not sentences(x):
                     continue
                 out.append([])
                 stack.append(None)
@@ -273,7 +336,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages have an empty text.  Each row is treated by itself:
     null ids stay, repeated rows get equal results, an empty table gives none;
-    text outside any markup is one block; other columns are not read.
+    text outside any markup is one block; of containers of equal value the first
+    in page order is the best; pages of any length and depth are read whole, in
+    time in proportion; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -245,3 +245,74 @@ def test_prior_and_calibration():
     slope, shift = P.calibrate(good, web, 0.8)
     chance = P.sigmoid(slope * web + shift)
     assert slope > 0 and abs(chance.mean() - 0.8) < 0.02 and chance[-600:].mean() < 0.2 < 0.8 < chance[:2400].mean()
+
+
+def story(rng, k):
+    """A paragraph of an article."""
+    return f"Part {k} says, {' '.join(rng.choice(['more', 'less', 'and', 'so', 'on', 'again', 'then']) for _ in range(rng.randrange(8, 40)))}."
+
+
+def generated_page(rng):
+    """A page, and the text of its article by construction: nested and sibling containers, link lists, listed names, and things around it."""
+    text, k = [], iter(range(10**6))
+
+    def paragraphs(n):
+        made = [story(rng, next(k)) for _ in range(n)]
+        text.extend(made)
+        return "".join(f"<p>{x}</p>" for x in made)
+
+    def around():
+        words = " ".join(f"Noise {rng.randrange(100)} of theirs, and of ours." for _ in range(rng.randrange(1, 12)))
+        return rng.choice([
+            f"<div class='{rng.choice(['ad', 'comments', 'comment-list', 'cookie-notice', 'sidebar right', 'share-buttons', 'newsletter box'])}'><p>{words}</p></div>", f"<aside><p>{words}</p></aside>", f"<form>{words}<input></form>", f"<script>var x = '<p>{words}</p>';</script>",
+            "<div class='related-articles'><ul>" + "".join(f"<li><a href=/{i}>Other {i}</a></li>" for i in range(6)) + "</ul></div>", f"<nav><ul><li><a href=/>{words}</a></li></ul></nav>", "<ul>" + "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(5)) + "</ul>", "<!-- <p>none of it</p> -->",
+        ])
+
+    def container(depth):
+        kind = rng.randrange(6)
+        if depth == 0 or kind == 0:
+            return paragraphs(rng.randrange(1, 4))
+        if kind == 1:
+            lead = paragraphs(2)
+            made = [f"See what number {next(k)} had to say to them." for _ in range(rng.randrange(2, 5))]
+            text.extend(made)
+            return lead + "<ul>" + "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(made)) + "</ul>"
+        name = rng.choice(["", "", " class='content'", " class='related-work'", " class=notice-of-results", " id=part"])
+        tag = rng.choice(["div", "section"])
+        many = 3 if "class" in name and "content" not in name else rng.randrange(1, 4)
+        inside = "".join(container(depth - 1) if i or "-" not in name else paragraphs(4) for i in range(many))
+        return f"<{tag}{name}>{inside}</{tag}>" + (around() if rng.random() < 0.3 else "")
+
+    whole = rng.choice(["article", "main", "div"])
+    first = story(rng, next(k))
+    text.append(first)
+    body = f"<p>{first}</p>" + paragraphs(2) + "".join(container(2) for _ in range(rng.randrange(1, 5)))
+    if whole == "div" and rng.random() < 0.5:
+        # No container of its own: parts lie side by side in the page.
+        text.clear()
+        body = "".join(f"<div>{paragraphs(2)}</div>" + (around() if rng.random() < 0.5 else "") for _ in range(rng.randrange(2, 6)))
+        return f"<html><head><title>t</title></head><body>{around()}{body}<footer><p>They own all of this.</p></footer></body></html>", "\n".join(text)
+    return f"<html><head><title>t</title></head><body>{around()}<{whole}>{body}</{whole}>{around()}<footer><p>They own all of this.</p></footer></body></html>", "\n".join(text)
+
+
+def test_generated_pages_keep_their_article(spark, tmp_path):
+    rng = random.Random(12)
+    made = [generated_page(rng) for _ in range(400)]
+    spark.createDataFrame([(i, f"u{i}", h, "x", 1) for i, (h, _) in enumerate(made)], "page_id long, url string, html string, text string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.QUERIES["op6_html_text"](spark, str(tmp_path)).collect()}
+    assert [got[i]["text"] for i in range(len(made))] == [t for _, t in made]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert queries.QUERIES["op6_html_text"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_long_and_wide_pages_take_time_in_proportion():
+    import time
+
+    from furlong.llm.html_text import main_text
+
+    wide = "<div>" + "".join(f"<p>Line {i} of a very long page, with words.</p><div class='related-work'>x</div>" for i in range(40_000)) + "</div>"
+    began = time.time()
+    assert main_text(wide).count("\n") == 39_999 and time.time() - began < 30
+    same = "<p>Equal parts, of equal worth, stand here.</p>"
+    assert main_text(f"<div>{same}</div><div>{same}</div>").count("\n") == 1
