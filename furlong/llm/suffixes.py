@@ -11,8 +11,13 @@ hash of all bytes that the block's strings cover.
     the splitters), each bucket is sorted by multikey quicksort, and
     neighbours are compared, also across the boundaries of buckets.  A block
     equal to an earlier one is a repeat as a whole.
-2.  Where blocks share an anchor but differ, strings of one may still occur in
+2. Where blocks share an anchor but differ, strings of one may still occur in
     another: only these few blocks are looked at string by string.
+
+Equality is that of hashes: of two independent ones of 64 bits for strings, of
+one for blocks with the same anchor.  Of m different blocks of an anchor two
+are taken for equal with a chance of m * m / 2 ** 65: of a million one in 40
+million, and a corpus has few anchors with so many.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.arrays import BYTE_HASH, ODD, mix, powers, signed, slices
+from furlong.llm.arrays import BYTE_HASH, ODD, mix, powers, seeded, signed, slices
 from furlong.llm.store import drop, map_batches, stored
 
 GRAM = 24
@@ -37,11 +42,15 @@ LOCAL_BLOCKS = 2_000
 """Differing blocks with one anchor that a single task compares; larger groups are sorted over all buckets."""
 
 
+OTHER_HASH = seeded(256, 2)
+"""Byte values of a second hash, independent of the first."""
+
+
 class RunningHash:
     """Hashes of substrings of one byte array, from sums of its prefixes."""
 
-    def __init__(self, data: np.ndarray):
-        values = BYTE_HASH[data]
+    def __init__(self, data: np.ndarray, letters: np.ndarray = BYTE_HASH):
+        values = letters[data]
         values *= powers(ODD, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values, out=self.sums[1:])
@@ -206,22 +215,23 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     crowded = stored(taken.groupBy("head").agg(F.count("*").alias("many")).where(F.col("many") > LOCAL_BLOCKS).select("head"), "crowded")
 
     def strings(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """Hash, document and place of every string of these blocks."""
+        """Two hashes, document and place of every string of these blocks."""
         data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
         n = rows.column("n").to_numpy().astype(np.int64)
         base = np.concatenate(([0], np.cumsum(n + length - 1)[:-1]))
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(base, n) + inner
-        return signed(RunningHash(data).of(at, at + length)), np.repeat(rows.column("doc_id").to_numpy(), n), np.repeat(rows.column("start").to_numpy(), n) + inner
+        one, two = (signed(RunningHash(data, letters).of(at, at + length)) for letters in (BYTE_HASH, OTHER_HASH))
+        return one, two, np.repeat(rows.column("doc_id").to_numpy(), n), np.repeat(rows.column("start").to_numpy(), n) + inner
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by head: groups are taken together until there is enough to do."""
 
         def compare(some: list[pa.RecordBatch]) -> pa.RecordBatch:
-            hashes, doc, start = strings(pa.concat_batches(some))
-            at = multikey_order(hashes, doc, start)
-            hashes, doc, start = hashes[at], doc[at], start[at]
-            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            one, two, doc, start = strings(pa.concat_batches(some))
+            at = multikey_order(one, two, doc, start)
+            one, two, doc, start = one[at], two[at], doc[at], start[at]
+            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             again = ~new & ((doc != doc[first]) | (start != start[first]))
             doc, start = doc[again], start[again]
@@ -257,8 +267,8 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     def spread(batch: pa.RecordBatch) -> Iterator[dict]:
         for first in range(0, batch.num_rows, 2_000):
-            hashes, doc, start = strings(batch.slice(first, 2_000))
-            yield {"head": hashes, "rest": np.zeros(len(hashes), np.int64), "doc_id": doc, "start": start, "n": np.ones(len(hashes), np.int32)}
+            one, two, doc, start = strings(batch.slice(first, 2_000))
+            yield {"head": one, "rest": two, "doc_id": doc, "start": start, "n": np.ones(len(one), np.int32)}
 
     many = taken.join(crowded, "head", "left_semi")
     hot = stored(map_batches(many, spread, "head long, rest long, doc_id long, start int, n int"), "crowded-strings")
