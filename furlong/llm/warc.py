@@ -15,9 +15,11 @@ import base64
 import bisect
 import gzip
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import groupby, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,15 +33,24 @@ SHARD_BYTES = 64 << 20
 SHARDS = "shard int, archive string, index string, directory string, first string, n_records long"
 RECORDS = "page_id long, url string, surt string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+URL_PORT = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]*(:\d+)"
+SITE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*")
 URL_REST = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)"
 
 
 def surt(url: Column) -> Column:
-    """Sort key of a URL: reversed host, then path and query; the fragment is dropped, null is empty."""
+    """Sort key of a URL: reversed host with its port, then path and query; scheme and fragment are dropped, null is empty."""
     url = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(url, URL_HOST, 1))
     rest = F.regexp_extract(url, URL_REST, 1)
-    return F.when(host == "", F.concat(F.lit(")"), url)).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+    return F.when(host == "", F.concat(F.lit(")"), url)).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.regexp_extract(url, URL_PORT, 1), F.lit(")"), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
+def without_fragment(url: str) -> str:
+    """What a URL is found by: scheme and host in lower case, no fragment."""
+    url = url.partition("#")[0]
+    site = SITE.match(url)
+    return site[0].lower() + url[site.end() :] if site else url
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -218,6 +229,9 @@ def read_archives(shards: DataFrame, payload: bool = True) -> DataFrame:
 def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bool = True) -> DataFrame:
     """Records of the given URLs (distinct ones); URLs without a capture give no row, null ones none.
 
+    URLs are the same if they differ in nothing but their fragments and the case
+    of scheme and host; a key that several URLs share is searched once.
+
     The shards' first keys, one a file, are the upper level that every task has;
     in a shard the block is found in its directory, and the records in the block,
     by binary search.  A task takes the keys of its shards in order, so a block is
@@ -225,27 +239,29 @@ def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bo
     """
     tops = sorted((r.asDict() for r in shards.collect()), key=lambda r: r["shard"])
     firsts = [t["first"] for t in tops]
-    keys = urls.where(F.col(url_col).isNotNull()).select(surt(F.col(url_col)).alias("surt")).distinct()
+    keys = urls.where(F.col(url_col).isNotNull()).select(surt(F.col(url_col)).alias("surt"), F.col(url_col).alias("url")).distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, i) for k in batch.column("surt").to_pylist() for i in range(max(0, bisect.bisect_left(firsts, k) - 1), bisect.bisect_right(firsts, k))]
-            yield pa.RecordBatch.from_pylist([{"surt": k, "place": i} for k, i in out], pa.schema([("surt", pa.string()), ("place", pa.int32())]))
+            asked = zip(batch.column("surt").to_pylist(), batch.column("url").to_pylist(), strict=True)
+            out = [(k, u, i) for k, u in asked for i in range(max(0, bisect.bisect_left(firsts, k) - 1), bisect.bisect_right(firsts, k))]
+            yield pa.RecordBatch.from_pylist([{"surt": k, "url": u, "place": i} for k, u, i in out], pa.schema([("surt", pa.string()), ("url", pa.string()), ("place", pa.int32())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
-            for batch in batches:
-                by_shard: dict[int, list[str]] = {}
-                for row in batch.to_pylist():
-                    by_shard.setdefault(row["place"], []).append(row["surt"])
-                for place, wanted in by_shard.items():
-                    with _open(tops[place]["archive"]) as archive:
-                        for key, payload_bytes, at, size in find(tops[place], sorted(wanted)):
-                            yield parse_record(gzip.decompress(archive.read_at(size, at)), payload_bytes) | {"surt": key}
+            rows = ((r["place"], r["surt"], r["url"]) for batch in batches for r in batch.to_pylist())
+            for place, of_place in groupby(rows, key=lambda r: r[0]):
+                asked = ((key, {without_fragment(r[2]) for r in same}) for key, same in groupby(of_place, key=lambda r: r[1]))
+                with _open(tops[place]["archive"]) as archive:
+                    while wanted := dict(islice(asked, 2000)):
+                        for key, payload_bytes, at, size in find(tops[place], list(wanted)):
+                            record = parse_record(gzip.decompress(archive.read_at(size, at)), payload_bytes)
+                            if without_fragment(record["url"]) in wanted[key]:
+                                yield record | {"surt": key}
 
         return _rows(records(), payload)
 
-    routed = keys.mapInArrow(route, "surt string, place int").repartitionByRange("place", "surt")
+    routed = keys.mapInArrow(route, "surt string, url string, place int").repartitionByRange("place", "surt").sortWithinPartitions("place", "surt")
     return routed.mapInArrow(read, RECORDS + ", payload binary" * payload)
 
 

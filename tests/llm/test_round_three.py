@@ -316,3 +316,15 @@ def test_long_and_wide_pages_take_time_in_proportion():
     assert main_text(wide).count("\n") == 39_999 and time.time() - began < 30
     same = "<p>Equal parts, of equal worth, stand here.</p>"
     assert main_text(f"<div>{same}</div><div>{same}</div>").count("\n") == 1
+
+
+def test_urls_of_one_key_are_told_apart(spark, tmp_path):
+    from furlong.llm import warc
+
+    urls = ["http://a.org/x", "https://a.org/x", "http://a.org:8080/x", "HTTP://A.org/x#part", "http://a.org/X", "", None, "a.org/x"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    shards = warc.write_archives(pages, f"file://{tmp_path}/archives")
+    find = lambda *asked: sorted(r["page_id"] for r in warc.lookup(shards, spark.createDataFrame([(u,) for u in asked], "url string")).collect())
+    assert find("http://a.org/x") == find("http://A.ORG/x#other", "http://a.org/x") == [0, 3]
+    assert find("https://a.org/x") == [1] and find("http://a.org:8080/x") == [2] and find("http://a.org/X", "nothing") == [4] and find("a.org/x") == [7]
+    assert sorted(r["page_id"] for r in warc.archived(pages).collect()) == list(range(len(urls)))
