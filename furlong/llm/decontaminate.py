@@ -14,6 +14,12 @@ the threshold together, so a passage without a pivot is skipped, and no list is
 read for it.  For the others the block maxima are added up, and only blocks
 that can reach the threshold are opened and scored.  This is done for thousands
 of passages at a time; nothing that could reach the threshold is skipped.
+
+A passage is twice as long as the longest item of its index, so that every item
+that stands in a text stands whole in one of its passages.  So the passages of
+all items are wider if one item is long: what is found whole is found as before,
+but the number of passages an item is found in, and the overlaps of items that
+are found in scattered pieces, may be others.
 """
 
 from __future__ import annotations
@@ -315,7 +321,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
-    """The documents in which no test item is found, with all their columns, which may have any names; rows are filtered where they are."""
+    """The documents in which no test item is found, with all their columns, which may have any names; rows are filtered where they are.
+
+    Null and empty texts, and texts without words, hold no item and stay; texts
+    of any length are searched whole; each row, repeated ones and null ids too,
+    is judged by itself; an empty table stays empty, and without items all stay.
+    """
     for index in indexes(items, limit=limit):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
