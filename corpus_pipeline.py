@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from furlong.llm import decontaminate, lines, minhash, packing, quality, tokens
-from furlong.llm.store import load, stored
+from furlong.llm.store import drop, load, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or lie outside the compression bands.
 
-    Null and empty texts go; rows without an id are judged like any other.
+    Null and empty texts go; texts of any length are judged whole; rows without an
+    id and repeated rows are judged each by itself; an empty table stays empty.
     """
     return quality.keep_good(docs)
 
@@ -42,12 +43,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item; null and empty texts hold none."""
+    """Drop documents that hold a test item.
+
+    Null and empty texts hold none; texts of any length are searched whole; each
+    row is judged by itself, repeated ones too; an item at the threshold counts.
+    """
     return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut what is left into sequences of power-of-two lengths, with their token ids; a null text is the end id alone."""
+    """Cut what is left into sequences of power-of-two lengths, with their token ids.
+
+    A null or empty text is the end id alone; texts of any length are cut whole;
+    each row is packed by itself, repeated ones too; an empty table gives no rows.
+    """
     return packing.pack(docs, tokens.vocabulary())
 
 
@@ -63,8 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``; the table between two stages is deleted once the next one is written."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
