@@ -162,7 +162,7 @@ def header_of(lines: Column) -> dict[str, Column]:
     top = F.slice(lines, 1, 30)
     found = lambda f: F.filter(F.transform(top, f), lambda x: x.isNotNull())
     return {
-        "distance_m": F.get(F.filter(F.transform(top, lambda x: integer(group(x, DISTANCE))), lambda d: d > 0), F.lit(0)),
+        "distance_m": F.get(F.filter(F.transform(found(lambda x: group(x, DISTANCE)), integer), lambda d: d > 0), F.lit(0)),
         "__going": F.get(F.reverse(found(lambda x: group(x, GOING, 0, "i"))), F.lit(0)),
         "labels": F.get(found(section_labels), F.lit(0)),
     }

@@ -320,6 +320,46 @@ def row_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHEETS = f"""select l_orderkey, row_number() over (partition by l_orderkey {ORDERED}) i, cast(l_quantity as int) q, cast(l_linenumber as int) n from lineitem"""
+RUN = {"t1": "2000 + q * 10", "t2": "4100 + q * 11 + n", "t3": "6500 + q * 12 + n", "official": "9000 + q"}
+"""Hundredths of a second of a runner's cumulative times, and its official time."""
+
+
+@query(
+    f"""with r as (select *, {", ".join(f"{x} {k}" for k, x in RUN.items())} from ({SHEETS})),
+    d as (select *, (t2 - t1) d2, (t3 - t2) d3, i % 2 = 0 detail, [1 + q % 9, 1 + n % 5, 1 + (q + n) % 4] p, [1 + q % 7, 1 + n % 3] g from r),
+    e as (select *, case when not detail then null when i % 4 = 0 then g else p end pos from d)
+    select l_orderkey, printf('Coursier%02dx', i) nom, cast(1000 + 100 * (l_orderkey % 20) as int) distance_m, 3 + (l_orderkey % 10) / 10.0::double penetrometre, (official / 100.0)::double temps_officiel_sec, 1600 + q / 100.0::double distance_parcourue,
+    case when detail then 60 + q / 100.0::double else 60 + n / 10.0::double end vitesse_max_kmh, 'DEP-400m,400m-800m,800m-ARR' labels, printf('%02d:%05.2f,%02d:%05.2f,%02d:%05.2f', 0, t1 / 100.0::double, 0, d2 / 100.0::double, 0, d3 / 100.0::double) durations,
+    printf('%02d:%02d.%02d', t3 // 6000, t3 % 6000 // 100, t3 % 100) last_time, case when detail then array_to_string(list_transform(range(1, 4), lambda k: coalesce(case when i % 4 = 0 then g[k] end, p[k])), ',') else '' end section_positions,
+    cast(pos[1] - pos[-1] as int) remontee_places, cast(case when pos is not null then round_even(len(list_filter(pos, lambda x: x <= 3)) / len(pos)::double * 100, 0) end as int) pct_top3, case when detail then 55.5::double + q end first_speed from e"""
+)
+def extracted_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet is an order and its runners the lineitems: a page with their lines, a detail page for every other runner, words for every fourth."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice"))
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("i"), F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").cast("int").alias("n"))
+    r = r.withColumns({k: F.expr(x) for k, x in RUN.items()}).withColumn("nom", F.format_string("Coursier%02dx", "i"))
+    time = lambda t: F.format_string("%02d:%02d.%02d", (F.col(t) / 6000).cast("int"), (F.col(t) % 6000 / 100).cast("int"), F.col(t) % 100)
+    minutes = F.format_string("%d'%02d\"%02d", (F.col("official") / 6000).cast("int"), (F.col("official") % 6000 / 100).cast("int"), F.col("official") % 100)
+    line = F.format_string("%d %s %s %s %s %s 6%d,%d km 16%02d,%02d", "i", F.upper("nom"), time("t1"), time("t2"), time("t3"), minutes, (F.col("n") / 10).cast("int"), F.col("n") % 10, F.lit(0), "q")
+    head = F.format_string("PRIX %d - %dm  Souple (3.%d)\nDEP - 400m   400m – 800m   800m - ARR", "l_orderkey", 1000 + 100 * (F.col("l_orderkey") % 20), F.col("l_orderkey") % 10)
+    first = r.select("l_orderkey", "i", line.alias("line")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("lines"))
+    first = first.select("l_orderkey", F.lit(0).alias("page_no"), F.concat(head, F.lit("\n"), F.array_join("lines.line", "\n")).alias("text"))
+    text = F.format_string(
+        "%s\nVitesse maximale 60,%02d\nVitesse moyenne 58,5\nVitesse moyenne (km/h)\n%d,5 %d %d.5\nPosition en course\n%d %d %d\n", F.upper("nom"), "q", 55 + F.col("q"), 56 + F.col("q"), 57 + F.col("n"), 1 + F.col("q") % 9, 1 + F.col("n") % 5, 1 + (F.col("q") + F.col("n")) % 4
+    )
+    detail = r.where("i % 2 = 0")
+    pages = first.unionByName(detail.select("l_orderkey", F.col("i").alias("page_no"), text.alias("text")))
+    words = F.array(*(F.struct(F.lit(k).alias("word_no"), F.lit(t).cast("string").alias("text") if isinstance(t, str) else (1 + t).cast("string").alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("top")) for k, (t, x, y) in enumerate((("Position", 0, 50), (F.col("n") % 3, 20, 60), (F.col("q") % 7, 10, 60), ("33", 5, 60)))))
+    words = detail.where("i % 4 = 0").select("l_orderkey", F.col("i").alias("page_no"), F.explode(words).alias("w")).select("l_orderkey", "page_no", "w.*")
+    got = T.extract_tracking(r.select("l_orderkey", "nom"), pages, words, ["l_orderkey"]).select("l_orderkey", "nom", "tracking.*")
+    joined = lambda c: F.array_join(c, ",")
+    return got.select(
+        "l_orderkey", "nom", "distance_m", "penetrometre", "temps_officiel_sec", "distance_parcourue", "vitesse_max_kmh", joined("troncons.label").alias("labels"), joined("troncons.temps").alias("durations"),
+        F.element_at("troncons", -1)["cumul"].alias("last_time"), joined(F.transform("troncons.position", lambda x: x.cast("string"))).alias("section_positions"), "remontee_places", "pct_top3", F.get("vitesses_troncons", F.lit(0)).alias("first_speed"),
+    )
+
+
 @query(
     """with w as (select user_id, event_id, event_type, value x0, extract(hour from ts) * 60 + extract(minute from ts) as top from events),
     a as (select user_id, arg_min(top, event_id) y from w where event_type = 'view' group by 1)
