@@ -272,7 +272,9 @@ Q = "cast(l_quantity as int)"
     printf('%d.%d', 40 + {Q} % 50, l_linenumber % 10)::double max_speed, printf('%d.%02d', 1000 + l_linenumber, {Q})::double covered, ((l_linenumber % 60) * 60 + {Q} + {Q} / 100.0)::decimal(18,2)::double first_time from lineitem"""
 )
 def sheet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(LINE).alias("line"))
+    # A small file is one split, but each of its lines is much work: rows are spread before lines are made of them.
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").repartition(spark.sparkContext.defaultParallelism)
+    rows = rows.select("l_orderkey", "l_linenumber", "l_extendedprice", F.expr(LINE).alias("line"))
     return T.head_values(T.line_values(rows)).select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "distance_m", "terrain", "penetrometre", F.array_join("labels", ",").alias("labels"), F.col("temps_officiel").alias("official"),
         F.col("temps_officiel_sec").alias("official_sec"), F.col("vitesse_max_ligne").alias("max_speed"), F.col("distance_parcourue").alias("covered"), X.seconds(F.get("times", F.lit(0))).alias("first_time"),
