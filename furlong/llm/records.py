@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.llm.arrays import slices
-from furlong.llm.store import new_path, stored
+from furlong.llm.store import new_path, running_before, stored
 from furlong.llm.tokens import SLICE_BYTES, encoder, ended
 
 # Fixed value: the constant added by the mask.
@@ -143,13 +143,8 @@ def read_records(shards: DataFrame, ids: bool = True, seed: int | None = None) -
 
     ``start`` counts the ids of all records before this one, over all shards in
     order.  With a seed each shard is read through its index in shuffled order.
-    The list of shards (one row a file) is summed up on the driver.
+    Shards are summed up in groups and groups of groups, one task reads a shard.
     """
-    spark = shards.sparkSession
-    before, files = 0, []
-    for row in sorted(shards.collect(), key=lambda r: r["shard"]):
-        files.append((row["shard"], row["data"], row["index"], before))
-        before += row["n_tokens"]
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +164,8 @@ def read_records(shards: DataFrame, ids: bool = True, seed: int | None = None) -
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids)
-    listed = spark.createDataFrame(files, "shard int, data string, index string, before long")
-    return listed.repartition(max(1, len(files))).mapInArrow(read, kind)
+    listed = running_before(shards, "shard", "n_tokens", "before").select("shard", "data", "index", "before")
+    return listed.repartitionByRange(max(1, shards.count()), "shard").mapInArrow(read, kind)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -70,6 +70,27 @@ def drop(*tables: DataFrame | str) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+FAN = 4096
+"""Rows of a list of files that are one group; a longer list has levels of groups, so that none is passed whole through a task or the driver."""
+
+
+def running_before(files: DataFrame, number: str, value: str, name: str) -> DataFrame:
+    """files with a column: the sum of a value over all rows of lower number.  Numbers are distinct, not null, from 0."""
+    last = files.agg(F.max(number)).first()[0] or 0
+
+    def level(rows: DataFrame, last: int) -> DataFrame:
+        group = F.floor(F.col(number) / FAN)
+        inside = Window.partitionBy("__group").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("__group", group)
+        own = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        if last < FAN:
+            return own.drop("__group")
+        sums = level(rows.groupBy("__group").agg(F.sum(value).alias(value)).withColumnRenamed("__group", number), last // FAN)
+        return own.join(sums.select(F.col(number).alias("__group"), F.col(name).alias("__lower")), "__group").withColumn(name, F.col(name) + F.col("__lower")).drop("__group", "__lower")
+
+    return level(files, last)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

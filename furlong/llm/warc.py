@@ -5,8 +5,8 @@ Pages are range-partitioned by their key, the URL with its host reversed
 the archive (a gzip member for each record), the index (lines of key, page,
 type, digest, payload's length, offset and length, in gzip blocks of ``BLOCK``
 lines), and the directory (first key, offset and length of each block).  To find a URL, the
-shard is found among the shards' first keys, the block by binary search in the
-directory, the line by binary search in the block; then one range is read.
+shard is found by binary search in the shards' first keys, of which many are kept
+in files of a tree, the block by binary search in the directory, the line by binary search in the block; then one range is read.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import gzip
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from functools import lru_cache
 from itertools import groupby, islice
 
 import pyarrow as pa
@@ -26,10 +27,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm import store
 from furlong.llm.store import new_path, stored
 
 BLOCK = 300
 SHARD_BYTES = 64 << 20
+ARCHIVE = ".warc.gz"
+NODES = 16
+"""Files of the tree over the shards that a task holds.  They are asked for in order of keys."""
 SHARDS = "shard int, archive string, index string, directory string, first string, n_records long"
 RECORDS = "page_id long, url string, surt string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
@@ -178,12 +183,12 @@ def read_block(f, offset: int, length: int) -> list[tuple[str, int, int, int]]:
     return [(json.loads(f'"{r[0]}"'), int(r[4]), int(r[5]), int(r[6])) for r in rows]
 
 
-def find(shard: dict, keys: list[str]) -> Iterator[tuple[str, int, int, int]]:
-    """Records of one shard with these keys, in order: key, payload's length, offset, length."""
-    directory = read_directory(shard["directory"])
+def find(name: str, keys: list[str]) -> Iterator[tuple[str, int, int, int]]:
+    """Records of one shard, by the name of its files, with these keys, in order: key, payload's length, offset, length."""
+    directory = read_directory(f"{name}.directory")
     starts = [d[0] for d in directory]
     held, block = -1, []
-    with _open(shard["index"]) as f:
+    with _open(f"{name}.index") as f:
         for key in keys:
             # A key may run over several blocks, and may begin at the end of the one before.
             i = max(0, bisect.bisect_left(starts, key) - 1)
@@ -226,42 +231,86 @@ def read_archives(shards: DataFrame, payload: bool = True) -> DataFrame:
     return shards.repartition(n, F.col("shard")).mapInArrow(read, RECORDS + ", payload binary" * payload)
 
 
+def upper_levels(shards: DataFrame, path: str) -> tuple[int, list[tuple[int, str, str]]]:
+    """Tree over the first keys of the shards: its depth, and its root of at most ``store.FAN`` rows (number, first key, name of the files).
+
+    While a level has more rows than a root may have, each ``store.FAN`` of them are
+    written as a file, which is a row of the next level.
+    """
+    level = shards.select(F.col("shard").cast("long").alias("number"), "first", F.expr(f"left(archive, length(archive) - {len(ARCHIVE)})").alias("name"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(path)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                name = f"{path}/{row['number']:06d}-{uuid.uuid4().hex[:8]}"
+                children = [(c["number"], c["first"], c["name"]) for c in row["children"]]
+                with fs.open_output_stream(pafs.FileSystem.from_uri(name)[1], compression=None) as f:
+                    f.write(gzip.compress(json.dumps(children).encode(), 6, mtime=0))
+                rows.append({"number": row["number"], "first": children[0][1], "name": name})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("number", pa.int64()), ("first", pa.string()), ("name", pa.string())]))
+
+    depth = 0
+    while level.count() > store.FAN:
+        nodes = level.groupBy(F.floor(F.col("number") / store.FAN).alias("node")).agg(F.sort_array(F.collect_list(F.struct("number", "first", "name"))).alias("children"))
+        level = stored(nodes.select(F.col("node").alias("number"), "children").mapInArrow(write, "number long, first string, name string"), "archive-nodes")
+        depth += 1
+    return depth, sorted((r["number"], r["first"], r["name"]) for r in level.collect())
+
+
+def read_node(name: str) -> list[tuple[int, str, str]]:
+    with _open(name) as f:
+        return [tuple(row) for row in json.loads(gzip.decompress(f.read()))]
+
+
+def shards_of(key: str, rows: list[tuple[int, str, str]], depth: int, children: Callable[[str], list[tuple[int, str, str]]]) -> Iterator[tuple[int, str]]:
+    """Number and name of the shards that may have a key: it may begin at the end of one and run over several."""
+    first = max(0, bisect.bisect_left(rows, key, key=lambda r: r[1]) - 1)
+    for number, _, name in rows[first : bisect.bisect_right(rows, key, key=lambda r: r[1])]:
+        if depth:
+            yield from shards_of(key, children(name), depth - 1, children)
+        else:
+            yield number, name
+
+
 def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bool = True) -> DataFrame:
     """Records of the given URLs (distinct ones); URLs without a capture give no row, null ones none.
 
     URLs are the same if they differ in nothing but their fragments and the case
     of scheme and host; a key that several URLs share is searched once.
 
-    The shards' first keys, one a file, are the upper level that every task has;
-    in a shard the block is found in its directory, and the records in the block,
-    by binary search.  A task takes the keys of its shards in order, so a block is
-    read once.
+    The shard is found in ``upper_levels``, the block in its directory, and the
+    records in the block, by binary search.  A task takes the keys of its shards in
+    order, so a block is read once.
     """
-    tops = sorted((r.asDict() for r in shards.collect()), key=lambda r: r["shard"])
-    firsts = [t["first"] for t in tops]
+    depth, root = upper_levels(shards, new_path(shards.sparkSession, "archive-tree"))
     keys = urls.where(F.col(url_col).isNotNull()).select(surt(F.col(url_col)).alias("surt"), F.col(url_col).alias("url")).distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        children = lru_cache(NODES)(read_node)
         for batch in batches:
-            asked = zip(batch.column("surt").to_pylist(), batch.column("url").to_pylist(), strict=True)
-            out = [(k, u, i) for k, u in asked for i in range(max(0, bisect.bisect_left(firsts, k) - 1), bisect.bisect_right(firsts, k))]
-            yield pa.RecordBatch.from_pylist([{"surt": k, "url": u, "place": i} for k, u, i in out], pa.schema([("surt", pa.string()), ("url", pa.string()), ("place", pa.int32())]))
+            # Keys in order, so that they ask for the same nodes one after the other.
+            asked = sorted(zip(batch.column("surt").to_pylist(), batch.column("url").to_pylist(), strict=True))
+            out = [(k, u, *shard) for k, u in asked for shard in shards_of(k, root, depth, children)]
+            yield pa.RecordBatch.from_pylist([{"surt": k, "url": u, "place": i, "name": name} for k, u, i, name in out], pa.schema([("surt", pa.string()), ("url", pa.string()), ("place", pa.int64()), ("name", pa.string())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
-            rows = ((r["place"], r["surt"], r["url"]) for batch in batches for r in batch.to_pylist())
-            for place, of_place in groupby(rows, key=lambda r: r[0]):
-                asked = ((key, {without_fragment(r[2]) for r in same}) for key, same in groupby(of_place, key=lambda r: r[1]))
-                with _open(tops[place]["archive"]) as archive:
+            rows = ((r["name"], r["surt"], r["url"]) for batch in batches for r in batch.to_pylist())
+            for name, of_shard in groupby(rows, key=lambda r: r[0]):
+                asked = ((key, {without_fragment(r[2]) for r in same}) for key, same in groupby(of_shard, key=lambda r: r[1]))
+                with _open(f"{name}{ARCHIVE}") as archive:
                     while wanted := dict(islice(asked, 2000)):
-                        for key, payload_bytes, at, size in find(tops[place], list(wanted)):
+                        for key, payload_bytes, at, size in find(name, list(wanted)):
                             record = parse_record(gzip.decompress(archive.read_at(size, at)), payload_bytes)
                             if without_fragment(record["url"]) in wanted[key]:
                                 yield record | {"surt": key}
 
         return _rows(records(), payload)
 
-    routed = keys.mapInArrow(route, "surt string, url string, place int").repartitionByRange("place", "surt").sortWithinPartitions("place", "surt")
+    routed = keys.mapInArrow(route, "surt string, url string, place long, name string").repartitionByRange("place", "surt").sortWithinPartitions("place", "surt")
     return routed.mapInArrow(read, RECORDS + ", payload binary" * payload)
 
 

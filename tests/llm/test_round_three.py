@@ -328,3 +328,42 @@ def test_urls_of_one_key_are_told_apart(spark, tmp_path):
     assert find("http://a.org/x") == find("http://A.ORG/x#other", "http://a.org/x") == [0, 3]
     assert find("https://a.org/x") == [1] and find("http://a.org:8080/x") == [2] and find("http://a.org/X", "nothing") == [4] and find("a.org/x") == [7]
     assert sorted(r["page_id"] for r in warc.archived(pages).collect()) == list(range(len(urls)))
+
+
+def test_archives_of_many_shards(spark, monkeypatch):
+    from furlong.llm import store, warc
+
+    monkeypatch.setattr(store, "FAN", 5)
+    urls = [f"http://h{i % 40}.org/{i}" for i in range(200)] + ["http://same.org/x"] * 40
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = store.new_path(spark, "many")
+    shards = warc.write_archives(pages, path, shards=80)
+    depth, root = warc.upper_levels(shards, store.new_path(spark, "tree"))
+    assert depth >= 2 and len(root) <= 5 and shards.count() > 25
+    found = warc.lookup(shards, spark.createDataFrame([(u,) for u in [*urls, "http://none.org/", "http://h1.org/"]], "url string"))
+    assert sorted((r["page_id"], r["url"]) for r in found.collect()) == list(enumerate(urls))
+    flat = sorted((r["shard"], r["first"]) for r in shards.collect())
+    children = warc.read_node
+    for key in {f for _, f in flat} | {"", "org,h1", "zz"}:
+        names = [i for i, _ in warc.shards_of(key, root, depth, children)]
+        before = [i for i, f in flat if f < key]
+        assert names == before[-1:] + [i for i, f in flat if f == key]
+    none = warc.write_archives(pages.limit(0), store.new_path(spark, "none"))
+    assert warc.upper_levels(none, path) == (0, []) and warc.lookup(none, pages.select("url")).count() == 0
+
+
+def test_running_sums_have_levels(spark, monkeypatch):
+    from furlong.llm import records, store, tokens
+
+    monkeypatch.setattr(store, "FAN", 4)
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(9)) for i in range(150) if rng.random() < 0.8]
+    got = store.running_before(spark.createDataFrame(rows, "shard int, n long"), "shard", "n", "before")
+    assert {r["shard"]: r["before"] for r in got.collect()} == {i: sum(n for j, n in rows if j < i) for i, _ in rows}
+    assert got.columns == ["shard", "n", "before"] and store.running_before(got.limit(0).drop("before"), "shard", "n", "before").count() == 0
+    docs = spark.createDataFrame([(i, "word " * rng.randrange(9)) for i in range(120)], "doc_id long, text string")
+    read = records.read_records(records.write_records(docs, store.new_path(spark, "t"), tokens.vocabulary(), shards=30)).orderBy("doc_id").collect()
+    at = 0
+    for i, r in enumerate(read):
+        assert (r["doc_id"], r["start"], len(r["ids"])) == (i, at, r["n_tokens"])
+        at += r["n_tokens"]
