@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import store
-from furlong.llm.store import new_path, stored
+from furlong.llm.store import drop, new_path, stored
 
 BLOCK = 300
 SHARD_BYTES = 64 << 20
 ARCHIVE = ".warc.gz"
 NODES = 16
 """Files of the tree over the shards that a task holds.  They are asked for in order of keys."""
+LOOKUPS = 5000
+"""URLs that a task looks up.  Their rows are few bytes, but each has a record to read, so tasks are not merged by bytes."""
 SHARDS = "shard int, archive string, index string, directory string, first string, n_records long"
 RECORDS = "page_id long, url string, surt string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
@@ -162,7 +164,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
             one = [[shard], [f"{name}.warc.gz"], [f"{name}.index"], [f"{name}.directory"], [first], [count]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["shard", "archive", "index", "directory", "first", "n_records"])
 
-    return stored(placed.mapInArrow(write, SHARDS), "archive-shards")
+    out = stored(placed.mapInArrow(write, SHARDS), "archive-shards")
+    drop(facts, revisits)
+    return out
 
 
 def _open(uri: str):
@@ -286,7 +290,9 @@ def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bo
     order, so a block is read once.
     """
     depth, root = upper_levels(shards, new_path(shards.sparkSession, "archive-tree"))
-    keys = urls.where(F.col(url_col).isNotNull()).select(surt(F.col(url_col)).alias("surt"), F.col(url_col).alias("url")).distinct()
+    given = urls.where(F.col(url_col).isNotNull())
+    keys = given.select(surt(F.col(url_col)).alias("surt"), F.col(url_col).alias("url")).distinct()
+    tasks = max(1, -(-given.count() // LOOKUPS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         children = lru_cache(NODES)(read_node)
@@ -310,7 +316,7 @@ def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", payload: bo
 
         return _rows(records(), payload)
 
-    routed = keys.mapInArrow(route, "surt string, url string, place long, name string").repartitionByRange("place", "surt").sortWithinPartitions("place", "surt")
+    routed = keys.mapInArrow(route, "surt string, url string, place long, name string").repartitionByRange(tasks, "place", "surt").sortWithinPartitions("place", "surt")
     return routed.mapInArrow(read, RECORDS + ", payload binary" * payload)
 
 
