@@ -20,7 +20,8 @@ def whole(*columns: str, default: int | None = 0) -> Column:
 def races_of(programmes: DataFrame) -> DataFrame:
     """Every race of the programmes with its places in the document: date_pmu, reunion_pos, course_pos, r, c."""
     meetings = programmes.select("date_pmu", F.posexplode("programme.reunions").alias("reunion_pos", "r"))
-    return meetings.select("date_pmu", "reunion_pos", "r", F.posexplode("r.courses").alias("course_pos", "c"))
+    # A race's row has its meeting, but not all the meeting's other races.
+    return meetings.select("date_pmu", "reunion_pos", F.col("r").dropFields("courses").alias("r"), F.posexplode("r.courses").alias("course_pos", "c"))
 
 
 def flatten_races(programmes: DataFrame, flat_only: bool = True) -> DataFrame:

@@ -286,3 +286,28 @@ def test_all_lines_are_matched(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["line_no"], r["score"]) for r in Q.QUERIES["match_all_lines"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 2), 100_001: (120_000, 2)}
+
+
+def registered(spark, folder, name, **tables):
+    """Rows of a query and of its SQL over given tables, sorted."""
+    import duckdb
+
+    from furlong.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for table, rows in tables.items():
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    return [sorted(map(tuple, rows), key=str) for rows in (QUERIES[name](spark, str(folder)).collect(), con.execute(ORACLES[name]).fetchall())]
+
+
+def test_busy_days_come_in_several_documents(spark, tmp_path, monkeypatch):
+    from furlong.plans import queries
+
+    orders = "id o_orderkey, id % 7 o_custkey, element_at(array('O', 'F', 'P'), cast(id % 3 + 1 as int)) o_orderstatus, element_at(array('5-LOW', '1-URGENT', '2-HIGH', 'x'), cast(id % 4 + 1 as int)) o_orderpriority, timestamp_ntz '2024-01-01' + make_dt_interval(cast(id % 4 as int)) o_orderdate"
+    orders = spark.sql(f"select {orders} from range(900)")
+    documents = []
+    monkeypatch.setattr(queries.J, "programme_job", lambda docs, job=queries.J.programme_job: documents.append(docs) or job(docs))
+    got, want = registered(spark, tmp_path, "programme_flatten", orders=orders)
+    assert got == want and len(got) == 600
+    assert documents[0].selectExpr("max(size(get(programme.reunions, 0).courses))").first()[0] == queries.DOCUMENT
