@@ -311,3 +311,13 @@ def test_busy_days_come_in_several_documents(spark, tmp_path, monkeypatch):
     got, want = registered(spark, tmp_path, "programme_flatten", orders=orders)
     assert got == want and len(got) == 600
     assert documents[0].selectExpr("max(size(get(programme.reunions, 0).courses))").first()[0] == queries.DOCUMENT
+
+
+def test_series_of_ties_and_near_ties(spark, tmp_path):
+    # Sums of 11 lines give means beside a tie; 23 lines make a middle of 20, and lines of one number and price tie.
+    rows = [(k, i // 3, 1.0 * (i % 3 // 2), float((k * 7 + i * i * (k % 5 + 1) + i * k) % 50 + 1), (k + i) % 9 / 100, "ARN"[(k + i) % 3], "FO"[(k * i) % 2]) for k in range(1500) for i in (range(23) if k % 2 else range(22, -1, -1))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_tax double, l_returnflag string, l_linestatus string")
+    assert lines.groupBy("l_orderkey", "l_linenumber", "l_extendedprice").count().where("count > 1").count()
+    for name in ("series_indicators", "section_durations", "clean_times", "merge_sections", "sheet_header"):
+        got, want = registered(spark, tmp_path, name, lineitem=lines)
+        assert len(got) == len(want) and [pair for pair in zip(got, want, strict=True) if pair[0] != pair[1]][:3] == [], name
