@@ -321,3 +321,11 @@ def test_series_of_ties_and_near_ties(spark, tmp_path):
     for name in ("series_indicators", "section_durations", "clean_times", "merge_sections", "sheet_header"):
         got, want = registered(spark, tmp_path, name, lineitem=lines)
         assert len(got) == len(want) and [pair for pair in zip(got, want, strict=True) if pair[0] != pair[1]][:3] == [], name
+
+
+def test_a_searched_text_is_computed_once(spark):
+    rows = spark.createDataFrame([("3 x 1'37\"42  68,4 km  1605,32 ",), ("3 é 1'37\"42  68,4 km  1605,32 ",)], "line string")
+    got = T.line_values(rows)
+    # The end of a line is stripped once, by one of two patterns, not wherever its search looks at it (20 places).
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+    assert [r["distance_parcourue"] for r in got.collect()] == [1605.32, 1605.32]
