@@ -159,8 +159,8 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     from meets each of them most often: a group of copies is joined by then.
     Members of one component are not compared again.  What is still open goes
     to ``finish``, where an exact way is known that leaves out pairs which cannot
-    be linked: from the open buckets' rows (id, sig, comp) to pairs (id, b), among
-    them all true links between components.  Without it, each round compares
+    be linked: from the open buckets' rows (bucket, id, sig, comp) to pairs (id, b),
+    among them links that connect whatever true links between components connect.  Without it, each round compares
     ``WIDER`` times as many members of a bucket as the one before with those that
     are in other components, until no pair is open: every pair of a bucket that
     lies in two components is compared in the end, in as many rounds as the
@@ -192,7 +192,7 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
             return links
         number += 1
         if finish is not None and number > 1:
-            new = linked(finish(now.select("id", "sig", "comp").distinct()))
+            new = linked(finish(now.select("bucket", "id", "sig", "comp")))
             drop(now)
             return links.union(new)
         # The most met member, later some by hash.

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from furlong.llm.arrays import BYTE_HASH, ODD, mix, signed, slices, windows
 from furlong.llm.components import bucket_links, components, pairs_in_buckets
-from furlong.llm.edits import within
-from furlong.llm.minhash import band_keys, sketches
+from furlong.llm.edits import codes, within
+from furlong.llm.minhash import band_keys, parities, sketches
 from furlong.llm.store import drop, map_batches, stored
 
 WORDS = re.compile(r"\w+")
@@ -44,6 +44,10 @@ LENGTHS = 7
 """Steps of a signature's length for a factor e."""
 SLICE_BYTES = 1 << 20
 PAIR_BYTES = 24 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+"""Lines of a crowded bucket that are compared with each other in one place: so many, or as many as have these bytes."""
+ROWS, PAIRS = 128, 1 << 14
+"""Rows of a block whose signatures are compared, and pairs whose texts are compared, at a time."""
 
 
 def normalise(line: str) -> str:
@@ -171,6 +175,142 @@ def near_columns(x: Column, y: Column, steps: int) -> Column:
     return (different_cells(x, y) <= FAR) & (F.abs(F.shiftright(x, 2 * CELLS) - F.shiftright(y, 2 * CELLS)) <= steps)
 
 
+def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that two lines may be apart, by the longer one's length."""
+    return (n * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def trigram_parities(texts: list[str]) -> np.ndarray:
+    """Parities of the three-letter grams of each text; an edit changes at most six of them."""
+    letters, bounds = codes(texts)
+    x = letters.astype(np.uint64)
+    grams, at = windows(mix(x + np.uint64(1)), np.repeat(np.arange(len(texts)), np.diff(bounds)), 3)
+    return parities(grams, np.searchsorted(at, bounds))
+
+
+def block_links(block: pa.RecordBatch, similarity: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block that connect all those that its true links connect.
+
+    Rows: bucket, part, low, high, id, sig, comp, buckets, plain, block, own.
+    Pairs of which no row is ``own``, or that are not of the blocks low and high,
+    or that have an earlier bucket in common, are compared elsewhere.  Pairs that
+    lengths or parities show to be too far apart are left out, which loses none,
+    and so are those that links found before have connected.
+    """
+    bucket, low, high = (block.column(c)[0].as_py() for c in ("bucket", "low", "high"))
+    ids, sig, comp, own, place = (block.column(c).to_numpy(zero_copy_only=False) for c in ("id", "sig", "comp", "own", "block"))
+    texts = block.column("plain").to_pylist()
+    n = np.array([len(x) for x in texts])
+    found = []
+    for first in range(0, len(ids), ROWS):
+        a = np.arange(first, min(first + ROWS, len(ids)))[:, None]
+        b = np.arange(first, len(ids))[None, :]
+        good = (a < b) & (own[a] | own[b]) & (comp[a] != comp[b]) & (np.minimum(place[a], place[b]) == low) & (np.maximum(place[a], place[b]) == high)
+        good &= abs(n[a] - n[b]) <= allowed(np.maximum(n[a], n[b]), similarity)
+        i, j = np.nonzero(good)
+        i, j = i + first, j + first
+        near = near_signatures(sig[i], sig[j], steps)
+        found.append(np.stack((i[near], j[near])))
+    a, b = np.concatenate(found, axis=1)
+    lists = block.column("buckets")
+    bounds = lists.offsets.to_numpy()
+    others = np.full((len(ids), int(np.diff(bounds).max())), bucket)
+    # Buckets before this one; each row's others are filled with this one, which both have.
+    owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+    others[owner, np.arange(len(owner)) - (bounds[:-1] - bounds[0])[owner]] = lists.flatten().to_numpy()
+    bits = trigram_parities(texts)
+    keep = np.zeros(len(a), bool)
+    for first in range(0, len(a), PAIRS):
+        i, j = a[first : first + PAIRS], b[first : first + PAIRS]
+        before = ((others[i][:, :, None] == others[j][:, None, :]) & (others[i] < bucket)[:, :, None]).any(axis=(1, 2))
+        # Lines with buckets of short and of long grams have two signatures, so each bucket is looked at.
+        before &= (np.maximum(n[i], n[j]) > SHORT) | (np.minimum(n[i], n[j]) < int(SHORT * similarity))
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        keep[first : first + PAIRS] = ~before & (differ <= 6 * allowed(np.maximum(n[i], n[j]), similarity))
+    a, b = a[keep], b[keep]
+    # Those that differ least first: they connect most.
+    differ = (sig[a] ^ sig[b]).view(np.uint64)
+    order = np.argsort(np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(ODD_BITS)), kind="stable")
+    a, b = a[order], b[order]
+    up = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    links = []
+    first, size = 0, PAIRS >> 4
+    while first < len(a):
+        roots = {c: root(c) for c in up}
+        top = np.array([roots[c] for c in comp.tolist()])
+        i, j = a[first:], b[first:]
+        open_pairs = np.flatnonzero(top[i] != top[j])[:size]
+        if not len(open_pairs):
+            break
+        first += int(open_pairs[-1]) + 1
+        i, j = i[open_pairs], j[open_pairs]
+        true = within([texts[k] for k in i], [texts[k] for k in j], allowed(np.maximum(n[i], n[j]), similarity))
+        for x, y in zip(i[true].tolist(), j[true].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                links.append((x, y))
+        size = PAIRS
+    x, y = np.array(links, np.int64).reshape(-1, 2).T
+    return ids[x], ids[y]
+
+
+def crowd_links(rows: DataFrame, plain: DataFrame, similarity: float, steps: int) -> DataFrame:
+    """Links (id, b) between the components of crowded buckets' rows (bucket, id, sig, comp).
+
+    A line's text goes once to the lines of its bucket of about its length and
+    once to those that are somewhat longer; where these are too many for one
+    place, they are dealt to blocks, of which any two meet.  So no pair of lines
+    is a row, and what a task holds is bounded.
+    """
+    unit = max(-1.001 * math.log(similarity), 0.001)
+    rows = stored(rows, "crowd")
+    buckets = rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    texts = rows.join(buckets, "id").join(plain.withColumnRenamed("line", "id"), "id").withColumn("size", F.floor(F.log(F.length("plain")) / unit))
+    texts = stored(texts, "crowd-texts")
+    both = F.explode(F.array(F.struct(F.col("size").alias("part"), F.lit(True).alias("own")), F.struct((F.col("size") + 1).alias("part"), F.lit(False).alias("own")))).alias("p")
+    parts = texts.select("bucket", "comp", both).groupBy("bucket", F.col("p.part").alias("part")).agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("p.own").alias("any"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / F.exp(F.col("part") * unit))))
+    parts = parts.where("any and least <> most").select("bucket", "part", F.ceil(F.col("n") / most).alias("blocks"))
+    placed = texts.select("bucket", "id", "sig", "comp", "buckets", "plain", both).select("*", "p.part", "p.own").drop("p").join(parts, ["bucket", "part"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    place = ["bucket", "part", "low", "high"]
+    placed = placed.select("bucket", "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "sig", "comp", "buckets", "plain", "block", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            if sum(x.num_rows for x in held) > 1:
+                x, y = block_links(pa.concat_batches(held), similarity, steps)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["id", "b"])
+            held.clear()
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in place])
+            starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1))
+            for i, j in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                if held and tuple(keys[:, i]) != last:
+                    yield from linked()
+                held.append(batch.slice(i, j - i))
+                last = tuple(keys[:, i])
+        yield from linked()
+
+    links = stored(placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "id long, b long"), "crowd-links")
+    drop(rows, texts)
+    return links
+
+
 def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop from each document: doc_id, mark, dropped (numbers of lines from 0).
 
@@ -220,7 +360,7 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
         def verdict(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.concat_batches(held)
             x, y = rows.column("x").to_pylist(), rows.column("y").to_pylist()
-            most = np.array([int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b in zip(x, y, strict=True)], np.int64)
+            most = allowed(np.array([max(len(a), len(b)) for a, b in zip(x, y, strict=True)]), similarity)
             return rows.select(["a", "b"]).filter(pa.array(within(x, y, most)))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +388,7 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
     drop(comp, pairs)
     crowds = stored(near.where("big").drop("first", "big").distinct(), "crowded-lines")
     if crowds.limit(1).count():
-        links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps)))
+        links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps), lambda rows: crowd_links(rows, plain, similarity, steps)))
     groups = components(links)
     known = distinct.join(groups.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     keepers = known.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")

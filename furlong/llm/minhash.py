@@ -223,8 +223,8 @@ def grouped(docs: DataFrame, threshold: float = 0.75, words: int = 5, size: int
 
     ratio = round(100 * threshold)
 
-    def rare_pairs(documents: DataFrame) -> DataFrame:
-        return prefix_pairs(documents, sets, ratio)
+    def rare_pairs(rows: DataFrame) -> DataFrame:
+        return prefix_pairs(rows.select("id", "sig", "comp").distinct(), sets, ratio)
 
     links = bucket_links(members, confirm, lambda x, y: 100 * F.least(x, y) >= ratio * F.greatest(x, y), rare_pairs)
     labels = components(links)

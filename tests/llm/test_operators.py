@@ -371,6 +371,36 @@ def test_a_crowd_of_near_lines(spark):
     assert len(got) == 299
 
 
+@pytest.mark.parametrize("rows", [None, 20])
+def test_lines_with_a_passage_in_common(spark, monkeypatch, rows):
+    """Lines that share most of a long passage and little else meet in crowded buckets, but no table has all their pairs."""
+    if rows:
+        monkeypatch.setattr(lines, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(3, 9)))
+    passage = " ".join(word() for _ in range(24))
+    texts, want = [], set()
+    for k in range(200):
+        texts.append(" ".join([*(word() for _ in range(11 + k % 5)), passage]))
+        if k % 10 == 0:
+            want.add(len(texts))
+            texts.append(texts[-1].replace(passage, passage[:60] + "x" + passage[62:]))
+    asked = []
+
+    def counted(members, confirm, *others):
+        def count(pairs):
+            asked.append((pairs.count(), members.count()))
+            return confirm(pairs)
+
+        return bucket_links(members, count, *others)
+
+    bucket_links = components.bucket_links
+    monkeypatch.setattr(lines, "bucket_links", counted)
+    got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+    assert asked and all(pairs <= rows for pairs, rows in asked)
+
+
 def test_short_repeated_lines(spark):
     rows = [(1, "Of, edti oner.\n--\nAll rights reserved.\nmore"), (2, "Of, edti oner.\n--\n(All rights reserved)\nOf"), (3, "of\n\n--")]
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
