@@ -47,15 +47,18 @@ MEMBERS = "bucket long, id long, sig long, head long, head_sig long"
 SMALL = 64
 """Rows of a bucket that are compared with each other while it is read."""
 WIDER = 32
+SPARSE = 4
+"""Near pairs for each id up to which those of a bucket of medium size are returned as they are."""
 
 
-def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = SMALL) -> DataFrame:
     """Pairs of ids with near sigs that share a bucket: bucket, id, sig, head, head_sig, first, big.
 
     Rows (bucket, id, sig) are sorted by bucket and read as a stream.  In buckets
     of up to ``SMALL`` ids all pairs are compared, and head is the other id of a
     near one; first marks one near pair for each id, which are enough to connect
-    a group of ids that are all near each other.  All members of larger buckets
+    a group of ids that are all near each other.  So they are in buckets of up to
+    ``small``, if no more than ``SPARSE`` pairs for each id are near.  All members of other buckets
     are returned, with big set and the bucket's least id as head, for
     ``bucket_links``.  Rows that repeat a bucket and an id count once.
     """
@@ -87,23 +90,33 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
             bucket, ids, sig = bucket[new], ids[new], sig[new]
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             lengths = np.diff(np.append(starts, len(bucket)))
-            large = lengths > SMALL
+            large = lengths > small
             large[0] |= head is not None and head[0] == bucket[0]
             heads = [x[starts] for x in (ids, sig)]
             if head is not None and head[0] == bucket[0]:
                 heads[0][0], heads[1][0] = head[1:]
             # The last bucket may go on in the next batch.
-            open_end = batch is not None and not large[-1]
+            goes_on = large[-1]
+            open_end = batch is not None and not goes_on
             end = starts[-1] if open_end else len(bucket)
-            big = np.repeat(large, lengths)
+            # Of buckets of medium size those with few near pairs are done with; the others are large.
+            sparse = np.zeros(len(starts), bool)
+            for k in np.flatnonzero((lengths > SMALL) & ~large & (starts < end)):
+                i, j = starts[k], starts[k] + lengths[k]
+                later, before = np.nonzero(np.tril(near(sig[i:j, None], sig[None, i:j]), -1))
+                sparse[k] = len(later) <= SPARSE * lengths[k]
+                if sparse[k] and len(later):
+                    yield out([bucket[i + later], ids[i + later], sig[i + later], ids[i + before], sig[i + before]], np.diff(later, prepend=-1) > 0, False)
+            large[: len(starts) - open_end] |= (lengths > SMALL)[: len(starts) - open_end]
+            big = np.repeat(large & ~sparse, lengths)
             at = np.flatnonzero(big[:end])
             if len(at):
                 group = np.repeat(np.arange(len(starts)), lengths)[at]
                 yield out([bucket[at], ids[at], sig[at], heads[0][group], heads[1][group]], np.zeros(len(at), bool), True)
-            at = np.flatnonzero((~big & np.repeat(lengths > 1, lengths))[:end])
+            at = np.flatnonzero((~big & np.repeat((lengths > 1) & ~sparse, lengths))[:end])
             if len(at):
                 yield from small_pairs(bucket[at], ids[at], sig[at])
-            head = (bucket[-1], heads[0][-1], heads[1][-1]) if large[-1] else None
+            head = (bucket[-1], heads[0][-1], heads[1][-1]) if goes_on else None
             held = [x[end:] for x in (bucket, ids, sig)]
 
     placed = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
@@ -183,10 +196,10 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     while True:
         # Buckets of two are done with; so are those that lie in one component.
         comp = components(links)
-        now = others.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        now = placed = stored(others.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         state = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
         now = stored(now.join(state, "bucket", "left_semi"), "open")
-        drop(comp, others)
+        drop(comp, others, placed)
         if not now.limit(1).count():
             drop(now)
             return links

@@ -11,7 +11,10 @@ CELLS = 1 << 15
 """Pairs times blocks of the shorter string that are handled at a time."""
 LONG = 4096
 """From this length on a pair is handled by itself, on Python's long integers."""
-STEP = 512
+STEP = 128
+"""Columns after which pairs on long integers are looked at, and after which those in groups are."""
+FEW = 32
+"""Pairs of about one length up to which each is handled by itself: a group costs as much, however small."""
 ONE = np.uint64(1)
 ALL = np.uint64(2**64 - 1)
 
@@ -34,6 +37,9 @@ def within(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
     at = at[np.argsort(n[at], kind="stable")]
     for first, last in runs(n[at]):
         some = at[first:last]
+        if len(some) <= FEW:
+            out[some] = [one_within(short[i], long[i], int(most[i])) for i in some]
+            continue
         out[some] = group_within([short[i] for i in some], [long[i] for i in some], most[some].astype(np.int64))
     return out
 
@@ -87,11 +93,15 @@ def group_within(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
 
     Only blocks within reach of the diagonal are computed: cells outside are
     taken for greater than they are, which changes no distance up to ``most``.
+    A way that leaves the diagonal has to come back to the last one, so half the
+    edits lead as far as it may go.  A cell of the last diagonal is no greater than the
+    distance, if that is up to ``most``, so pairs beyond are let go on the way.
     """
-    count, reach = len(xs), int(most.max())
+    count = len(xs)
     (a, a_bounds), (b, b_bounds) = codes(xs), codes(ys)
     letters = np.unique(a)
     m, n = np.diff(a_bounds), np.diff(b_bounds)
+    above, below = int((most - n + m).max()) // 2, int((most + n - m).max()) // 2
     own = (m - 1) // WORD
     blocks = int(own.max()) + 1
     # Places of the letters in x as bits, by block, letter and pair; the last letter is one that x does not have.
@@ -111,14 +121,16 @@ def group_within(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
     ends = [np.where(own == w, (m - 1) % WORD, WORD - 1).astype(np.uint64) for w in range(blocks)]
     last = 0
     scores = [ends[0] + ONE]
-    final = np.zeros(count, np.uint64)
-    done = 0
-    for j, letter in enumerate(columns):
-        while last < min(blocks - 1, (j + reach) // WORD):
+    out = np.zeros(count, bool)
+    still = np.arange(count)
+    done = base = 0
+    for j in range(int(n.max())):
+        letter = columns[j - base]
+        while last < min(blocks - 1, (j + above) // WORD):
             last += 1
             scores.append(scores[-1] + ends[last] + ONE)
         above_up, above_down = ONE, None
-        for w in range(max(0, (j - reach) // WORD), last + 1):
+        for w in range(max(0, (j - below) // WORD), last + 1):
             pv, mv = up[w], down[w]
             eq = bits[w].take(letter)
             xv = eq | mv
@@ -152,19 +164,43 @@ def group_within(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
             stop = int(np.searchsorted(n, j + 1, "right"))
             for w in range(last + 1):
                 at = done + np.flatnonzero(own[done:stop] == w)
-                final[at] = scores[w][at]
+                out[still[at]] = scores[w][at].view(np.int64) <= most[at]
             done = stop
-    return final.view(np.int64) <= most
+            if done == len(n):
+                break
+        if j % STEP == STEP - 1:
+            row = j - n + m
+            near = np.arange(len(n)) >= done
+            for w in range(last + 1):
+                at = np.flatnonzero(near & (row >= 0) & (row // WORD == w))
+                later = ALL << (row[at] % WORD).astype(np.uint64) << ONE
+                later &= ALL >> (np.uint64(WORD - 1) - ends[w][at])
+                cell = scores[w][at].view(np.int64) - np.bitwise_count(up[w][at] & later) + np.bitwise_count(down[w][at] & later)
+                near[at] = cell <= most[at]
+            keep = np.flatnonzero(near)
+            if len(keep) <= FEW:
+                out[still[keep]] = [one_within(xs[i], ys[i], int(k)) for i, k in zip(still[keep], most[keep], strict=True)]
+                break
+            if 2 * len(keep) <= len(n):
+                bits = bits.reshape(blocks, -1, len(n))[:, :, keep].reshape(blocks, -1)
+                columns = (columns[j + 1 - base :, keep] - keep) // len(n) * len(keep) + np.arange(len(keep))
+                up, down = up[:, keep], down[:, keep]
+                ends, scores = [x[keep] for x in ends], [x[keep] for x in scores]
+                still, own, m, n, most = (x[keep] for x in (still, own, m, n, most))
+                done, base = 0, j + 1
+    return out
 
 
 def one_within(a: str, b: str, most: int) -> bool:
     """``within`` for one pair, a no longer than b; rows out of reach of the diagonal are left out, ``STEP`` columns at a time."""
+    more = len(b) - len(a)
+    above, below = (most - more) // 2, (most + more) // 2
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     up = down = score = low = high = 0
     for first in range(0, len(b), STEP):
-        start, end = max(0, first - most), min(len(a), first + STEP + most)
+        start, end = max(0, first - below), min(len(a), first + STEP + above)
         up, down = up >> start - low, down >> start - low
         up |= (1 << end - high) - 1 << high - start
         score += end - high
@@ -183,4 +219,8 @@ def one_within(a: str, b: str, most: int) -> bool:
             minus = minus << 1 & full
             up = minus | ~(zero | plus) & full
             down = plus & zero
+        # A cell of the last diagonal is no greater than the distance, if that is up to most.
+        row = min(first + STEP, len(b)) - more - low
+        if row > 0 and score - (up >> row).bit_count() + (down >> row).bit_count() > most:
+            return False
     return score <= most

@@ -46,6 +46,8 @@ SLICE_BYTES = 1 << 20
 PAIR_BYTES = 24 << 20
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 """Lines of a crowded bucket that are compared with each other in one place: so many, or as many as have these bytes."""
+CROWD = 256
+"""Lines of a bucket whose signatures are compared with each other while it is read; lines of larger ones, and of those with many near pairs, are compared in blocks."""
 ROWS, PAIRS = 128, 1 << 14
 """Rows of a block whose signatures are compared, and pairs whose texts are compared, at a time."""
 
@@ -141,23 +143,30 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, chars: np.ndarray) -> tupl
     return band_keys(rows[:, : BANDS * WIDTH], BANDS), np.bitwise_or.reduce(bits, axis=1).view(np.int64) | sizes << 2 * CELLS
 
 
-def bucket_rows(lines: Lines, similarity: float) -> Iterator[dict]:
-    """Rows bucket, id, sig of the distinct lines, with their hashes as ids.
+def block_keys(lines: Lines, hashes: np.ndarray, similarity: float) -> dict:
+    """Columns keys, sig, short_keys, short_sig of the lines: null for those too short, and where a line is not the first of equal ones.
 
-    Two similar lines have the buckets of one gram at least in common: short ones those of
+    Two similar lines have the keys of one gram at least in common: short ones those of
     ``SHORT_GRAM``, and a longer one has no similar line that is too short for ``GRAM``.
     """
-    keys, first = np.unique(lines.hashes(), return_index=True)
+    first = np.unique(hashes, return_index=True)[1]
     n = lines.chars[first]
     # A line that is too short for any edit can only be equal to another.
-    short = np.flatnonzero((n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0))
-    long = np.flatnonzero(n >= int(SHORT * similarity))
-    if len(long):
-        buckets, sigs = (x[first[long]] for x in signatures(*long_grams(lines), lines.chars))
-        yield {"bucket": signed(buckets.ravel()), "id": np.repeat(signed(keys)[long], BANDS), "sig": np.repeat(sigs, BANDS)}
-    if len(short):
-        buckets, sigs = signatures(*short_grams(lines, first[short]), n[short])
-        yield {"bucket": signed((buckets + np.uint64(1)).ravel()), "id": np.repeat(signed(keys)[short], BANDS), "sig": np.repeat(sigs, BANDS)}
+    short = np.sort(first[(n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0)])
+    long = np.sort(first[n >= int(SHORT * similarity)])
+
+    def columns(chosen: np.ndarray, keys: np.ndarray, sigs: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        own = np.zeros(len(hashes), bool)
+        own[chosen] = True
+        ends = np.concatenate(([0], np.cumsum(own) * BANDS)).astype(np.int32)
+        all_sigs = np.zeros(len(hashes), np.int64)
+        all_sigs[chosen] = sigs
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys.ravel())), mask=pa.array(~own)), pa.array(all_sigs, mask=~own)
+
+    none = np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int64)
+    keys, sig = columns(long, *((x[long] for x in signatures(*long_grams(lines), lines.chars)) if len(long) else none))
+    short_keys, short_sig = columns(short, *(signatures(*short_grams(lines, short), lines.chars[short]) if len(short) else none))
+    return {"keys": keys, "sig": sig, "short_keys": short_keys, "short_sig": short_sig}
 
 
 def near_signatures(x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
@@ -329,15 +338,13 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         for part, data, bounds in slices(batch, "text", SLICE_BYTES):
             found = Lines(data, bounds)
+            hashes = found.hashes()
             at = pa.array(found.texts)
-            yield {"line": signed(found.hashes()), "doc_id": part.column("doc_id").take(at), "mark": part.column("mark").take(at), "number": found.numbers}
-
-    def sketch(batch: pa.RecordBatch) -> Iterator[dict]:
-        for _, data, bounds in slices(batch, "text", SLICE_BYTES):
-            yield from bucket_rows(Lines(data, bounds), similarity)
+            yield {"line": signed(hashes), "doc_id": part.column("doc_id").take(at), "mark": part.column("mark").take(at), "number": found.numbers} | block_keys(found, hashes, similarity)
 
-    lines = stored(map_batches(rows, cut, "line long, doc_id long, mark long, number int"), "lines")
-    near = stored(pairs_in_buckets(map_batches(rows.select("text"), sketch, "bucket long, id long, sig long"), lambda x, y: near_signatures(x, y, steps)), "near-lines")
+    lines = stored(map_batches(rows, cut, "line long, doc_id long, mark long, number int, keys array<long>, sig long, short_keys array<long>, short_sig long"), "lines")
+    members = lines.select(F.explode("keys").alias("bucket"), F.col("line").alias("id"), "sig").union(lines.select(F.explode("short_keys").alias("key"), "line", "short_sig").select(F.col("key") + 1, "line", "short_sig"))
+    near = stored(pairs_in_buckets(members, lambda x, y: near_signatures(x, y, steps), CROWD), "near-lines")
     distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "number")).alias("first"), F.count("*").alias("n")), "distinct-lines")
     # The texts of lines that meet a near one are fetched once.
     asked = near.select(F.explode(F.array("id", "head")).alias("line")).distinct()
@@ -390,12 +397,14 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
     if crowds.limit(1).count():
         links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps), lambda rows: crowd_links(rows, plain, similarity, steps)))
     groups = components(links)
-    known = distinct.join(groups.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    keepers = known.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    again = stored(known.join(keepers.drop("n"), "component").select("line", "keep"), "repeated-lines")
-    dropped = lines.join(again, "line").where(F.struct("doc_id", "mark", "number") != F.col("keep"))
+    # A line that is there once and has no near one stays.
+    known = distinct.join(groups.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
+    known = stored(known.select("line", "first", F.coalesce("component", "line").alias("component")), "known-lines")
+    keepers = known.groupBy("component").agg(F.min("first").alias("keep"))
+    again = stored(known.join(keepers, "component").select("line", "keep"), "repeated-lines")
+    dropped = lines.select("line", "doc_id", "mark", "number").join(again, "line").where(F.struct("doc_id", "mark", "number") != F.col("keep"))
     out = stored(dropped.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("number")).alias("dropped")), "dropped-lines")
-    drop(lines, near, distinct, plain, crowds, groups, again)
+    drop(lines, near, distinct, plain, crowds, groups, known, again)
     return out
 
 
@@ -411,12 +420,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lost = repeated_lines(docs, id_col=id_col, text_col=text_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
+    whole = F.col(f"row.`{text_col}`").cast("string")
     gone = F.coalesce(F.size("dropped"), F.lit(0))
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    text = F.when(gone > 0, left).otherwise(F.col(f"row.`{text_col}`"))
-    bare = F.translate(F.col("text"), " \t\n\r\x0b\x0c", "") == ""
-    joined = rows.join(lost, ["doc_id", "mark"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), gone.alias("n_dropped"))
+    left = F.array_join(F.filter(F.split(whole, "\n", -1), lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    # A row of its own, so that Spark makes the text once for the result and the condition.
+    text = F.explode(F.array(F.when(gone > 0, left).otherwise(whole)))
+    bare = F.ltrim(F.col("text"), F.lit(" \t\n\r\x0b\x0c")) == ""
+    n_lines = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    joined = rows.join(lost, ["doc_id", "mark"], "left").select("row", text.alias("text"), n_lines.alias("n_lines"), gone.alias("n_dropped"))
     joined = joined.where((F.col("n_dropped") == 0) | ~bare)
     own = {text_col: F.col("text")}
     if length_col in docs.columns:

@@ -405,3 +405,41 @@ def test_short_repeated_lines(spark):
     rows = [(1, "Of, edti oner.\n--\nAll rights reserved.\nmore"), (2, "Of, edti oner.\n--\n(All rights reserved)\nOf"), (3, "of\n\n--")]
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: [0, 2], 3: [0]}
+
+
+def test_buckets_of_medium_size(spark):
+    """Few near pairs are returned as they are, so no later step has rows for all lines of the bucket; many make it a crowd."""
+    rng = np.random.default_rng(6)
+    sparse = [(1, i, int(s)) for i, s in enumerate(rng.integers(0, 1 << 40, 200))] + [(1, 500, 7), (1, 501, 7), (1, 502, 6)]
+    dense = [(2, 1000 + i, 5) for i in range(200)]
+    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= 1
+    for size in (10000, 37):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            found = components.pairs_in_buckets(spark.createDataFrame(sparse + dense, "bucket long, id long, sig long"), near, 256).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r["head"], r["id"], r["first"]) for r in found if not r["big"]) == [(500, 501, True), (500, 502, True), (501, 502, False)]
+        assert sorted(r["id"] for r in found if r["big"]) == [i for _, i, _ in dense] and {r["head"] for r in found if r["big"]} == {1000}
+
+
+def test_unlike_pairs_are_let_go(monkeypatch):
+    """Pairs in groups that shrink on the way, single ones, and how many of a group's columns unlike pairs take."""
+    rng = np.random.default_rng(7)
+    text = lambda n: "".join(rng.choice(list("abcd "), n))
+    xs, ys, want = [], [], []
+    for k in range(240):
+        n = 380 + k % 40
+        x = text(n)
+        y = text(n) if k % 3 else x[:100] + "z" * (k % 60) + x[100:]
+        xs.append(x)
+        ys.append(y)
+        want.append(k % 3 == 0 and k % 60 <= int(0.1 * len(y)))
+    most = (np.array([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]) * 0.1).astype(int)
+    monkeypatch.setattr(edit_search, "word_by_word", lambda *some: False)
+    for few in (0, edit_search.FEW):
+        monkeypatch.setattr(edit_search, "FEW", few)
+        assert edit_search.within(xs, ys, most).tolist() == want
+    # A few pairs are no group.
+    monkeypatch.setattr(edit_search, "group_within", None)
+    assert edit_search.within(xs[:6], ys[:6], most[:6]).tolist() == want[:6]
