@@ -42,7 +42,7 @@ CELLS, FAR, CLOSE = 28, 11, 4
 ODD_BITS = 0x0055555555555555
 LENGTHS = 7
 """Steps of a signature's length for a factor e."""
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 PAIR_BYTES = 24 << 20
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 """Lines of a crowded bucket that are compared with each other in one place: so many, or as many as have these bytes."""
