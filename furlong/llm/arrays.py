@@ -24,10 +24,11 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers (a bijection)."""
     x = x ^ (x >> np.uint64(33))
-    x = x * MIX_A
-    x = x ^ (x >> np.uint64(33))
-    x = x * MIX_B
-    return x ^ (x >> np.uint64(33))
+    x *= MIX_A
+    x ^= x >> np.uint64(33)
+    x *= MIX_B
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def seeded(n: int, seed: int) -> np.ndarray:

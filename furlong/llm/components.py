@@ -51,7 +51,7 @@ SPARSE = 4
 """Near pairs for each id up to which those of a bucket of medium size are returned as they are."""
 
 
-def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = SMALL) -> DataFrame:
+def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = SMALL, least: bool = True) -> DataFrame:
     """Pairs of ids with near sigs that share a bucket: bucket, id, sig, head, head_sig, first, big.
 
     Rows (bucket, id, sig) are sorted by bucket and read as a stream.  In buckets
@@ -60,7 +60,9 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
     a group of ids that are all near each other.  So they are in buckets of up to
     ``small``, if no more than ``SPARSE`` pairs for each id are near.  All members of other buckets
     are returned, with big set and the bucket's least id as head, for
-    ``bucket_links``.  Rows that repeat a bucket and an id count once.
+    ``bucket_links``.  Rows that repeat a bucket and an id count once.  Without
+    ``least``, rows are sorted by their bucket alone, which Spark does by its
+    digits; in large buckets head is any one id then, and rows may be repeated.
     """
     names = ["bucket", "id", "sig", "head", "head_sig", "first", "big"]
 
@@ -85,6 +87,13 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
             bucket, ids, sig = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=False))
             if not len(bucket):
                 continue
+            # Most rows are alone in their bucket; the last bucket may go on, and the first be the rest of a large one.
+            met = np.append(bucket[1:] == bucket[:-1], True)
+            met[1:] |= met[:-1]
+            met[0] |= head is not None and head[0] == bucket[0]
+            bucket, ids, sig = bucket[met], ids[met], sig[met]
+            order = np.lexsort((ids, bucket))
+            bucket, ids, sig = bucket[order], ids[order], sig[order]
             new = np.ones(len(bucket), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])
             bucket, ids, sig = bucket[new], ids[new], sig[new]
@@ -119,7 +128,7 @@ def pairs_in_buckets(members: DataFrame, near: Callable[[np.ndarray, np.ndarray]
             head = (bucket[-1], heads[0][-1], heads[1][-1]) if goes_on else None
             held = [x[end:] for x in (bucket, ids, sig)]
 
-    placed = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
+    placed = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions(*["bucket", "id"][: 1 + least])
     return placed.mapInArrow(run, MEMBERS + ", first boolean, big boolean")
 
 

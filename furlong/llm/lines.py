@@ -144,29 +144,31 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, chars: np.ndarray) -> tupl
 
 
 def block_keys(lines: Lines, hashes: np.ndarray, similarity: float) -> dict:
-    """Columns keys, sig, short_keys, short_sig of the lines: null for those too short, and where a line is not the first of equal ones.
+    """Columns keys, sig, short_sig of the lines: null for those too short, and where a line is not the first of equal ones.
 
     Two similar lines have the keys of one gram at least in common: short ones those of
     ``SHORT_GRAM``, and a longer one has no similar line that is too short for ``GRAM``.
+    Lines that have both have those of ``GRAM`` first, with sig, and the others' signature in short_sig.
     """
     first = np.unique(hashes, return_index=True)[1]
     n = lines.chars[first]
     # A line that is too short for any edit can only be equal to another.
     short = np.sort(first[(n <= SHORT) & (((n + 1) * (1 - similarity) + 1e-9).astype(np.int64) > 0)])
     long = np.sort(first[n >= int(SHORT * similarity)])
-
-    def columns(chosen: np.ndarray, keys: np.ndarray, sigs: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        own = np.zeros(len(hashes), bool)
-        own[chosen] = True
-        ends = np.concatenate(([0], np.cumsum(own) * BANDS)).astype(np.int32)
-        all_sigs = np.zeros(len(hashes), np.int64)
-        all_sigs[chosen] = sigs
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys.ravel())), mask=pa.array(~own)), pa.array(all_sigs, mask=~own)
-
-    none = np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int64)
-    keys, sig = columns(long, *((x[long] for x in signatures(*long_grams(lines), lines.chars)) if len(long) else none))
-    short_keys, short_sig = columns(short, *(signatures(*short_grams(lines, short), lines.chars[short]) if len(short) else none))
-    return {"keys": keys, "sig": sig, "short_keys": short_keys, "short_sig": short_sig}
+    count, sigs = np.zeros(len(hashes), np.int64), np.zeros((2, len(hashes)), np.int64)
+    parts = []
+    for chosen, grams, step in ((long, lambda: (x[long] for x in signatures(*long_grams(lines), lines.chars)), 0), (short, lambda: signatures(*short_grams(lines, short), lines.chars[short]), 1)):
+        if len(chosen):
+            keys, sig = grams()
+            sigs[count[chosen], chosen] = sig
+            parts.append((count[chosen], chosen, keys + np.uint64(step)))
+            count[chosen] += 1
+    ends = np.append(0, np.cumsum(count))
+    keys = np.zeros((ends[-1], BANDS), np.uint64)
+    for before, chosen, own in parts:
+        keys[ends[chosen] + before] = own
+    lists = pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(signed(keys.ravel())), mask=pa.array(count == 0))
+    return {"keys": lists, "sig": pa.array(sigs[0], mask=count == 0), "short_sig": pa.array(sigs[1], mask=count < 2)}
 
 
 def near_signatures(x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
@@ -342,13 +344,15 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
             at = pa.array(found.texts)
             yield {"line": signed(hashes), "doc_id": part.column("doc_id").take(at), "mark": part.column("mark").take(at), "number": found.numbers} | block_keys(found, hashes, similarity)
 
-    lines = stored(map_batches(rows, cut, "line long, doc_id long, mark long, number int, keys array<long>, sig long, short_keys array<long>, short_sig long"), "lines")
-    members = lines.select(F.explode("keys").alias("bucket"), F.col("line").alias("id"), "sig").union(lines.select(F.explode("short_keys").alias("key"), "line", "short_sig").select(F.col("key") + 1, "line", "short_sig"))
-    near = stored(pairs_in_buckets(members, lambda x, y: near_signatures(x, y, steps), CROWD), "near-lines")
-    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "number")).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    lines = stored(map_batches(rows, cut, "line long, doc_id long, mark long, number int, keys array<long>, sig long, short_sig long"), "lines", dictionary=False)
+    members = lines.select(F.posexplode("keys").alias("at", "bucket"), F.col("line").alias("id"), "sig", "short_sig").select("bucket", "id", F.when(F.col("at") < BANDS, F.col("sig")).otherwise(F.col("short_sig")).alias("sig"))
+    near = stored(pairs_in_buckets(members, lambda x, y: near_signatures(x, y, steps), CROWD, least=False), "near-lines", dictionary=False)
+    asked = near.select(F.explode(F.array("id", "head")).alias("line")).distinct().withColumn("asked", F.lit(True))
+    # A line that is there once and meets no near one stays.
+    distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "number")).alias("first"), F.count("*").alias("n"))
+    distinct = stored(distinct.join(asked, "line", "left").where("n > 1 or asked"), "distinct-lines")
     # The texts of lines that meet a near one are fetched once.
-    asked = near.select(F.explode(F.array("id", "head")).alias("line")).distinct()
-    places = distinct.join(asked, "line", "left_semi").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
+    places = distinct.where("asked").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("line", "first.number")).alias("asked"))
 
     def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
         asked = batch.column("asked")
@@ -360,7 +364,8 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
             plain += [normalise(own[k]) for k in number[i - bounds[0] : j - bounds[0]]]
         yield {"line": line, "plain": plain}
 
-    found = rows.join(places, ["doc_id", "mark"]).select("text", "asked")
+    # The texts need no sorting.
+    found = rows.join(places.hint("shuffle_hash"), ["doc_id", "mark"]).select("text", "asked")
     plain = stored(map_batches(found, fetch, "line long, plain string").dropDuplicates(["line"]), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -385,14 +390,14 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
         full = pairs.join(plain.select(F.col("line").alias("a"), F.col("plain").alias("x")), "a").join(plain.select(F.col("line").alias("b"), F.col("plain").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    # Most groups hang together by one pair of lines that differ little for each; other pairs count only where these leave two components.
+    # Most groups are stars of pairs of lines that differ little, one for each line; other pairs count only where these do not lead both lines to one.
     pairs = near.where("not big").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"), (F.col("first") & (different_cells(F.col("sig"), F.col("head_sig")) <= CLOSE)).alias("close"))
     pairs = stored(pairs.groupBy("a", "b").agg(F.max("close").alias("close")), "near-pairs")
     links = stored(confirm(pairs.where("close")), "links")
-    comp = components(links)
-    rest = pairs.where("not close").join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
-    links = links.union(stored(confirm(rest.where("x is null or y is null or x <> y").select("a", "b")), "links"))
-    drop(comp, pairs)
+    star = stored(links.groupBy("b").agg(F.min("a").alias("least")), "stars")
+    rest = pairs.where("not close").join(star.select(F.col("b").alias("a"), F.col("least").alias("x")), "a", "left").join(star.select("b", F.col("least").alias("y")), "b", "left")
+    links = links.union(stored(confirm(rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")), "links"))
+    drop(star, pairs)
     crowds = stored(near.where("big").drop("first", "big").distinct(), "crowded-lines")
     if crowds.limit(1).count():
         links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps), lambda rows: crowd_links(rows, plain, similarity, steps)))
@@ -419,18 +424,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays empty.
     """
     lost = repeated_lines(docs, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    whole = F.col(f"row.`{text_col}`").cast("string")
+    # Names that no given column can take; the text goes with its row once.
+    others = {c: f"column {i}" for i, c in enumerate(docs.columns) if c != text_col}
+    rows = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in others.items()), F.col(f"`{text_col}`").cast("string").alias("whole"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    rows = rows.withColumn("mark", F.xxhash64("whole"))
     gone = F.coalesce(F.size("dropped"), F.lit(0))
-    left = F.array_join(F.filter(F.split(whole, "\n", -1), lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    left = F.array_join(F.filter(F.split("whole", "\n", -1), lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     # A row of its own, so that Spark makes the text once for the result and the condition.
-    text = F.explode(F.array(F.when(gone > 0, left).otherwise(whole)))
+    text = F.explode(F.array(F.when(gone > 0, left).otherwise(F.col("whole"))))
     bare = F.ltrim(F.col("text"), F.lit(" \t\n\r\x0b\x0c")) == ""
-    n_lines = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    joined = rows.join(lost, ["doc_id", "mark"], "left").select("row", text.alias("text"), n_lines.alias("n_lines"), gone.alias("n_dropped"))
+    n_lines = F.coalesce(F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    joined = rows.join(lost.hint("shuffle_hash"), ["doc_id", "mark"], "left").select(*others.values(), text.alias("text"), *([n_lines.alias("n_lines")] if counts else []), gone.alias("n_dropped"))
     joined = joined.where((F.col("n_dropped") == 0) | ~bare)
-    own = {text_col: F.col("text")}
+    own = {c: F.col(name) for c, name in others.items()} | {text_col: F.col("text")}
     if length_col in docs.columns:
-        own[length_col] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
+        own[length_col] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(own[length_col]).cast(docs.schema[length_col].dataType)
     added = ("n_lines", "n_dropped") if counts else ()
-    return joined.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added), *added)
+    return joined.select(*(own[c].alias(c) for c in docs.columns if c not in added), *added)

@@ -60,17 +60,27 @@ def sketches(items: np.ndarray, bounds: np.ndarray, size: int, seed: int = 7) ->
     out = np.full(n * size, top, np.uint64)
     keys = seeded(2 * size, seed)
     owner = np.repeat(np.arange(n), np.diff(bounds))
+    # Places of the sets' first bins.
+    place = owner * size
     for i in range(2 * size):
         if not len(items):
             break
         h = mix(items ^ keys[i])
-        value = (np.uint64(i) << np.uint64(48)) | (h >> np.uint64(16))
-        at = owner * size + ((h & LOW) * np.uint64(size) >> np.uint64(32)).astype(np.int64) if i < size else owner * size + (i - size)
-        np.minimum.at(out, at, value)
+        if i < size:
+            at = h & LOW
+            at *= np.uint64(size)
+            at >>= np.uint64(32)
+            at = at.view(np.int64)
+            at += place
+        else:
+            at = place + (i - size)
+        h >>= np.uint64(16)
+        h |= np.uint64(i) << np.uint64(48)
+        np.minimum.at(out, at, h)
         if i < 4 or i % 8 == 0 or i >= size:
             full = (out.reshape(n, size) != top).all(axis=1)
-            stay = ~full[owner]
-            items, owner = items[stay], owner[stay]
+            stay = np.flatnonzero(~full[owner])
+            items, owner, place = items[stay], owner[stay], place[stay]
     return out.reshape(n, size)
 
 

@@ -443,3 +443,63 @@ def test_unlike_pairs_are_let_go(monkeypatch):
     # A few pairs are no group.
     monkeypatch.setattr(edit_search, "group_within", None)
     assert edit_search.within(xs[:6], ys[:6], most[:6]).tolist() == want[:6]
+
+
+def test_only_lines_that_others_meet_are_kept(spark, monkeypatch):
+    """Lines that are there once and meet no other are in no table but the first, and groups are looked for once."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(3, 9)))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(100)]
+    texts += [texts[0], texts[1], texts[2] + " more"]
+    sizes, calls = {}, []
+
+    def stored(df, name, *others, **options):
+        out = store.stored(df, name, *others, **options)
+        sizes[name] = out.count()
+        return out
+
+    def components_of(links):
+        calls.append(links)
+        return components.components(links)
+
+    monkeypatch.setattr(lines, "stored", stored)
+    monkeypatch.setattr(lines, "components", components_of)
+    got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {100, 101, 102}
+    assert sizes["lines"] == 103 and sizes["distinct-lines"] <= 8 and len(calls) == 1
+
+
+def test_buckets_sorted_by_one_key(spark):
+    """Without least the same pairs are found and the same buckets are large, from rows that are sorted by the bucket alone."""
+    rng = np.random.default_rng(11)
+    bucket = np.concatenate((rng.integers(0, 60, 300), np.full(90, 70), np.full(300, 71)))
+    rows = [(int(b), i, int(s)) for i, (b, s) in enumerate(zip(bucket, rng.integers(0, 1 << 9, len(bucket)), strict=True))]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    members = spark.createDataFrame(rows + rows[:50], "bucket long, id long, sig long")
+    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= 1
+    plan = components.pairs_in_buckets(members, near, 256, least=False)._jdf.queryExecution().toString()
+    assert re.search(r"Sort \[bucket#\d+L ASC NULLS FIRST\], false", plan)
+    found = []
+    for least in (True, False):
+        for size in (10000, 37):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            try:
+                out = components.pairs_in_buckets(members, near, 256, least=least).collect()
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            large = [r for r in out if r["big"]]
+            heads = {r["bucket"]: r["head"] for r in large}
+            assert all(r["head"] == heads[r["bucket"]] for r in large) and {(r["bucket"], r["head"]) for r in large} <= {(r["bucket"], r["id"]) for r in large}
+            found.append((sorted((r["bucket"], r["head"], r["id"], r["first"]) for r in out if not r["big"]), {(r["bucket"], r["id"], r["sig"]) for r in large}))
+    assert all(x == found[0] for x in found) and found[0][0] and {b for b, *_ in found[0][1]} == {71}
+
+
+def test_keys_of_both_grams_are_one_list():
+    texts = ["x" * 3, "of lines some are short", "of lines others are longer than short ones, but not too long", "and this one is so long that grams of eight bytes alone are taken for its keys, as they are for most"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = lines.Lines(data, np.cumsum([0, *map(len, texts)]))
+    got = lines.block_keys(found, found.hashes(), lines.EDIT_SIMILARITY)
+    keys, sig, short_sig = (got[c].to_pylist() for c in ("keys", "sig", "short_sig"))
+    assert [x and len(x) for x in keys] == [None, lines.BANDS, 2 * lines.BANDS, lines.BANDS]
+    assert [x is None for x in sig] == [True, False, False, False] and [x is None for x in short_sig] == [True, True, False, True]
+    assert sig[2] != short_sig[2] and len(set(keys[2])) == 2 * lines.BANDS
