@@ -170,7 +170,7 @@ def colliding(members: DataFrame) -> DataFrame:
     return placed.mapInArrow(keep, MEMBERS)
 
 
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column], finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], screen: Callable[[Column, Column], Column], finish: Callable[[DataFrame], DataFrame] | None = None, sure: bool = False) -> DataFrame:
     """True links that connect all ids which any true link inside a bucket connects.
 
     members: a stored result of ``colliding``.  screen: a cheap condition on two
@@ -182,7 +182,8 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     Members of one component are not compared again.  What is still open goes
     to ``finish``, where an exact way is known that leaves out pairs which cannot
     be linked: from the open buckets' rows (bucket, id, sig, comp) to pairs (id, b),
-    among them links that connect whatever true links between components connect.  Without it, each round compares
+    among them links that connect whatever true links between components connect; if ``sure``,
+    all of them are true links and are not confirmed again.  Without it, each round compares
     ``WIDER`` times as many members of a bucket as the one before with those that
     are in other components, until no pair is open: every pair of a bucket that
     lies in two components is compared in the end, in as many rounds as the
@@ -214,7 +215,8 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
             return links
         number += 1
         if finish is not None and number > 1:
-            new = linked(finish(now.select("bucket", "id", "sig", "comp")))
+            new = finish(now.select("bucket", "id", "sig", "comp"))
+            new = new.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")) if sure else linked(new)
             drop(now)
             return links.union(new)
         # The most met member, later some by hash.

@@ -400,7 +400,7 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, id_col:
     drop(star, pairs)
     crowds = stored(near.where("big").drop("first", "big").distinct(), "crowded-lines")
     if crowds.limit(1).count():
-        links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps), lambda rows: crowd_links(rows, plain, similarity, steps)))
+        links = links.union(bucket_links(crowds, confirm, lambda x, y: near_columns(x, y, steps), lambda rows: crowd_links(rows, plain, similarity, steps), True))
     groups = components(links)
     # A line that is there once and has no near one stays.
     known = distinct.join(groups.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
