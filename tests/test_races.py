@@ -329,3 +329,31 @@ def test_a_searched_text_is_computed_once(spark):
     # The end of a line is stripped once, by one of two patterns, not wherever its search looks at it (20 places).
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
     assert [r["distance_parcourue"] for r in got.collect()] == [1605.32, 1605.32]
+
+
+def test_a_sheets_text_is_searched_whole(spark):
+    """The header found in a sheet's text is that of a search line by line, and no line is searched by itself."""
+    filler = "\n".join(["x"] * 29)
+    texts = [
+        "000m 1200m\nPRIX 1600\nm 800 m Bon [x\n(3.4) Souple (2.5)\nDEP -\n400m\n400m-ARR\nDEP - 400m  400m – 800m", "Bon (1.0)\r\ntrès lourd (4.2)\r\nLéger 3\n 1 200m-400m 400m -\n800m",
+        "١٢٣٤m LÉGER (٣.٤)\ndep – ٤m ٤m – arr\n00٠m", filler + "\n1000m Bon (3.0)", filler + "\nx\n1000m Bon (3.0) 400m-800m 800m-ARR", "", "0000m\n00000m\n\n",
+    ]
+    pages = spark.createDataFrame([(k, no, part) for k, text in enumerate(texts) for no, part in enumerate((text, "1 A 00:20.10\n1:20.10\n2 É ٠٠:٢٠.١٠ x\r\n"))], "k int, page_no int, text string")
+    sheets = T.sheet_rows(pages, ["k"])
+    got = {r["k"]: r for r in sheets.collect()}
+    want = {r["k"]: r for r in T.sheet_header(T.sheet_lines(pages, ["k"]), ["k"]).collect()}
+    for k in range(len(texts)):
+        assert (got[k]["distance_m"], got[k]["terrain"], got[k]["penetrometre"], got[k]["labels"]) == (want[k]["distance_m"], want[k]["terrain"], want[k]["penetrometre"], want[k]["labels"] or []), k
+        assert got[k]["timed"] == ["1 A 00:20.10", "2 É ٠٠:٢٠.١٠ x\r"] and got[k]["upper"].split("\n") == ["1 A 00:20.10", "2 É ٠٠:٢٠.١٠ X\r"]
+    assert [got[k]["distance_m"] for k in range(7)] == [800, 200, 1234, 1000, None, None, None]
+    assert "RLIKE" not in sheets._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_times_are_folded_where_one_is_dropped(spark):
+    cases = [([2010, 4930, 7320, 3500], 97.42), ([2010, 4930, 9742], 97.42), ([2010, 4930, 9738], 97.42), ([4930, 2010], None), ([2010, 4930], None), ([2010, 2010], 0.0), ([9752, 9760], 97.42), ([5], 97.42), ([9000, 9732], 97.42)]
+    rows = spark.createDataFrame([(i, [(n, c) for n, c in enumerate(cs)], o) for i, (cs, o) in enumerate(cases)], f"i int, t array<{X.NUMBERED}>, o double")
+    folds = rows.select(V.kept_times(F.col("t"), F.col("o"), X.NUMBERED).alias("a"), V.clean_times(F.col("t"), F.col("o"), X.NUMBERED, lambda t: t["cs"] / F.lit(100.0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in folds)
+    texts = spark.createDataFrame([(c,) for c in (0, 5, 5999, 6000, 599_999, 600_000, 603_999, -150)], "c int")
+    texts = texts.select(V.clock_text(V.clock_digits(F.col("c")), F.col("c")).alias("a"), V.duration_text(F.col("c") / F.lit(100.0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in texts) and texts[2]["a"] == "00:59.99"
